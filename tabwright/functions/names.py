@@ -68,3 +68,23 @@ def table_identifier(c: Column) -> Column:
     """:func:`table_name` without the collision check, for a column of file names."""
     stem = F.regexp_replace(c, r"\.[^.]*$", "")
     return _prefixed_expr(_squashed(stem), "tbl", "uploaded_table")
+
+
+# Fixed value: similarity (0-100) from which a requested name counts as meant.
+MIN_NAME_SCORE = 60.0
+
+
+def closest_name(requested: Column, known: list[str], default: str) -> Column:
+    """The most similar known name (edit distance), or the default below the minimum score.
+
+    The known names come from schemas, so they travel inside the expression; any number
+    of requests is matched without a join.
+    """
+
+    def scored(name: Column) -> Column:
+        longest = F.greatest(F.length(requested), F.length(name), F.lit(1))
+        score = (F.lit(1.0) - F.levenshtein(requested, name) / longest) * 100.0
+        return F.struct((-score).alias("loss"), name.alias("name"))
+
+    best = F.array_min(F.transform(F.array(*[F.lit(k) for k in known]), scored))
+    return F.when(best["loss"] <= -MIN_NAME_SCORE, best["name"]).otherwise(default)
