@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["relational", "values"]
+THEMES = ["relational", "values", "cleaning"]
 
 
 def load() -> None:
