@@ -74,8 +74,8 @@ def fit(features: DataFrame, names: list[str], rows: int) -> dict[int, pd.DataFr
         )
         sample = mark.select(F.explode(chosen).alias("tree"), "x")
 
-    def grow(key, group: pd.DataFrame) -> pd.DataFrame:
-        return _grow(int(key[0]), np.stack(group["x"].to_numpy()))
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        return _grow(int(group["tree"].iloc[0]), np.stack(group["x"].to_numpy()))
 
     nodes = sample.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     return {int(t): part.sort_values("node") for t, part in nodes.groupby("tree")}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["relational", "values", "cleaning"]
+THEMES = ["relational", "values", "cleaning", "analysis", "documents"]
 
 
 def load() -> None:
