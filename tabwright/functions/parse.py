@@ -1,8 +1,9 @@
-"""Text-to-value expressions. All are plain column expressions, null on bad input."""
+"""Text-to-value expressions as SQL text: each takes the text of an expression and returns
+the text of another, null on bad input."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from tabwright.functions.text import one_of, pattern
 
 # Words read as booleans.
 TRUE_WORDS = ["true", "yes", "1", "t", "y"]
@@ -25,104 +26,121 @@ NA_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Currency text, and the characters removed before it is read.
-CURRENCY_TEXT = r"^[$€£₹¥]?\s*[\d,]+\.?\d*$"
-CURRENCY_MARKS = r"[$€£₹¥,\s]"
+# The characters that count as whitespace around a text, one by one and as a
+# character class (control blanks, next line, no-break, ogham, en quad to hair, line and
+# paragraph separators, narrow no-break, mathematical, ideographic).
+_BLANK_CODES = [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+]
+_BLANK_CLASS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0  -  -   　"
+
+# Currency text, the characters removed before it is read, and plain numbers.
+CURRENCY_SIGNS = "$€£₹¥"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Prefixes that make text look like a date.
-DATE_LOOKS = [
-    r"^\d{4}-\d{2}-\d{2}",
-    r"^\d{1,2}/\d{1,2}/\d{4}",
-    r"^\d{1,2}-\d{1,2}-\d{4}",
-    r"^\d{4}/\d{2}/\d{2}",
-]
+# Starts that make text look like a date.
+DATE_LOOKS = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{4}/\d{2}/\d{2})"
 
-# Whole-text date shapes and how each is read (month first, then day first).
-ISO_TEXT = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+# Whole-text date shapes, and the orders in which their parts make
+# year-month-day (month first, then day first).
+ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?"
 DATE_SHAPES = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", ["$3-$1-$2", "$3-$2-$1"]),
+    (r"(\d{1,2})-(\d{1,2})-(\d{4})", ["$3-$1-$2", "$3-$2-$1"]),
+    (r"(\d{4})/(\d{1,2})/(\d{1,2})", ["$1-$2-$3"]),
 ]
 
 # Unix times from 2000-01-01 up to the 32-bit end, in seconds.
 EPOCH_FIRST = 946_684_800
 EPOCH_LAST = 2_147_483_647
 
+_BLANKS = "'" + "".join(f"\\u{code:04x}" for code in _BLANK_CODES) + "'"
+_BLANK = f"[{_BLANK_CLASS}]*"
+
+
+def _whole(x: str, shape: str) -> str:
+    """Whether the text, blanks around it aside, has a shape. Anchored: other text fails at once."""
+    return f"{x} RLIKE {pattern(f'^{_BLANK}{shape}{_BLANK}$')}"
+
 
-def strip(c: Column) -> Column:
+def strip(x: str) -> str:
     """Remove every kind of leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return f"btrim({x}, {_BLANKS})"
 
 
-def strip_to_null(c: Column) -> Column:
-    return F.nullif(strip(c), F.lit(""))
+def strip_to_null(x: str) -> str:
+    return f"nullif({strip(x)}, '')"
 
 
-def _folded(c: Column) -> Column:
-    return F.lower(strip(c.cast("string")))
+def word(x: str) -> str:
+    """The text folded to lower case when it is one short word, else null."""
+    return f"CASE WHEN {_whole(x, '[A-Za-z0-9.]{1,8}')} THEN lower({strip(x)}) END"
 
 
-def is_bool_text(c: Column) -> Column:
-    return _folded(c).isin(TRUE_WORDS + FALSE_WORDS)
+def is_bool(x: str) -> str:
+    return one_of(word(x), TRUE_WORDS + FALSE_WORDS)
 
 
-def parse_bool(c: Column) -> Column:
-    folded = _folded(c)
-    return F.when(folded.isin(TRUE_WORDS), F.lit(True)).when(folded.isin(FALSE_WORDS), F.lit(False))
+def read_bool(x: str) -> str:
+    return f"CASE WHEN {one_of(word(x), TRUE_WORDS)} THEN true WHEN {one_of(word(x), FALSE_WORDS)} THEN false END"
 
 
-def is_currency_text(c: Column) -> Column:
-    return strip(c).rlike(CURRENCY_TEXT)
+def is_currency(x: str) -> str:
+    return _whole(x, rf"[{CURRENCY_SIGNS}]?\s*[\d,]+\.?\d*")
 
 
-def parse_currency(c: Column) -> Column:
-    return parse_number(F.regexp_replace(c, CURRENCY_MARKS, ""))
+def read_currency(x: str) -> str:
+    """Number from text with currency signs, thousands commas and blanks anywhere."""
+    possible = rf"[{CURRENCY_SIGNS},\d+\-.eE{_BLANK_CLASS}]+"
+    bare = f"translate({x}, '{CURRENCY_SIGNS},' || {_BLANKS}, '')"
+    return f"CASE WHEN {x} RLIKE {pattern(f'^{possible}$')} THEN {read_number(bare)} END"
 
 
-def parse_number(c: Column) -> Column:
-    text = strip(c)
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+def read_number(x: str) -> str:
+    return f"CASE WHEN {x} RLIKE {pattern(NUMBER_TEXT)} THEN try_cast({x} AS DOUBLE) END"
 
 
-def parse_date(c: Column) -> Column:
+def read_date(x: str) -> str:
     """Timestamp from text in one of the fixed shapes; a bare number is not a date."""
-    text = strip(c)
-    result = F.when(text.rlike(ISO_TEXT), text.try_cast("timestamp_ntz"))
-    for shape, formats in DATE_SHAPES:
-        readings = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-        result = result.when(text.rlike(shape), F.coalesce(*readings))
-    return result
+    possible = rf"^{_BLANK}\d{{1,4}}[-/]\d{{1,2}}[-/]\d"
+    branches = [
+        f"WHEN NOT {x} RLIKE {pattern(possible)} THEN NULL",
+        f"WHEN {_whole(x, ISO_DATE)} THEN try_cast({strip(x)} AS TIMESTAMP_NTZ)",
+    ]
+    for shape, orders in DATE_SHAPES:
+        whole = pattern(f"^{_BLANK}{shape}{_BLANK}$")
+        readings = [f"try_cast(regexp_replace({x}, {whole}, '{order}') AS TIMESTAMP_NTZ)" for order in orders]
+        branches.append(f"WHEN {x} RLIKE {whole} THEN coalesce({', '.join(readings)})")
+    return f"CASE {' '.join(branches)} END"
 
 
-def looks_like_date(c: Column) -> Column:
-    return strip(c).rlike("|".join(DATE_LOOKS))
+def looks_like_date(x: str) -> str:
+    return f"{x} RLIKE {pattern(f'^{_BLANK}{DATE_LOOKS}')}"
 
 
-def epoch_unit(low: Column, high: Column) -> Column:
+def epoch_unit(low: str, high: str) -> str:
     """'s' or 'ms' when every value between low and high is a plausible unix time."""
-    seconds = (low >= EPOCH_FIRST) & (high <= EPOCH_LAST)
-    millis = (low >= EPOCH_FIRST * 1000) & (high <= EPOCH_LAST * 1000)
-    return F.when(seconds, "s").when(millis, "ms")
+    return (
+        f"CASE WHEN {low} >= {EPOCH_FIRST} AND {high} <= {EPOCH_LAST} THEN 's' "
+        f"WHEN {low} >= {EPOCH_FIRST}000 AND {high} <= {EPOCH_LAST}000 THEN 'ms' END"
+    )
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def nan_to_null(x: str) -> str:
+    return f"nullif({x}, double('NaN'))"
 
 
-def finite(c: Column) -> Column:
+def finite(x: str) -> str:
     """Double value, or null for NaN and both infinities."""
-    value = c.cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return f"CASE WHEN abs(double({x})) < double('Infinity') THEN double({x}) END"
 
 
-def iso_text(c: Column, dtype: str) -> Column:
+def iso_text(x: str, dtype: str) -> str:
     """Text form used in reports: ISO dates, plain text for everything else."""
-    text = c.cast("string")
-    return F.replace(text, F.lit(" "), F.lit("T")) if dtype.startswith("timestamp") else text
+    return f"replace(string({x}), ' ', 'T')" if dtype.startswith("timestamp") else f"string({x})"
 
 
-def shorten(c: Column, limit: int = 50) -> Column:
+def shorten(x: str, limit: int = 50) -> str:
     """Text beyond the limit keeps its first limit-3 characters and gets an ellipsis."""
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
+    return f"CASE WHEN length({x}) > {limit} THEN substring({x}, 1, {limit - 3}) || '...' ELSE {x} END"

@@ -1,37 +1,32 @@
-"""Aggregate expressions with the small-sample and zero-variance cases settled."""
+"""Aggregate expressions as SQL text, with small samples and zero variance settled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def sample_std(c: Column) -> Column:
+def sample_std(x: str) -> str:
     """Sample deviation; 0 for a single value."""
-    return F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(c), F.lit(0.0)))
+    return f"CASE WHEN count({x}) > 0 THEN coalesce(stddev_samp({x}), 0D) END"
 
 
-def adjusted_skew(c: Column) -> Column:
+def adjusted_skew(x: str) -> str:
     """Bias-adjusted skewness; 0 for fewer than three values or a constant column."""
-    n = F.count(c).cast("double")
-    g1 = F.coalesce(F.skewness(c), F.lit(0.0))
-    return F.coalesce(F.try_divide(g1 * F.sqrt(n * (n - 1)), F.when(n > 2, n - 2)), F.lit(0.0))
+    n = f"double(count({x}))"
+    factor = f"try_divide(sqrt({n} * ({n} - 1)), CASE WHEN {n} > 2 THEN {n} - 2 END)"
+    return f"coalesce(skewness({x}) * {factor}, 0D)"
 
 
-def adjusted_kurtosis(c: Column) -> Column:
+def adjusted_kurtosis(x: str) -> str:
     """Bias-adjusted excess kurtosis; null below four values, 0 for a constant column."""
-    n = F.count(c).cast("double")
-    g2 = F.kurtosis(c)
-    scale = F.try_divide(n - 1, F.when(n > 3, (n - 2) * (n - 3)))
-    return F.when(n > 3, F.coalesce(scale * ((n + 1) * g2 + 6), F.lit(0.0)))
+    n = f"double(count({x}))"
+    scale = f"try_divide({n} - 1, CASE WHEN {n} > 3 THEN ({n} - 2) * ({n} - 3) END)"
+    return f"CASE WHEN {n} > 3 THEN coalesce({scale} * (({n} + 1) * kurtosis({x}) + 6), 0D) END"
 
 
-def pearson(a: Column, b: Column) -> Column:
+def pearson(a: str, b: str) -> str:
     """Pearson r over rows where both are present; null when either is constant there."""
-    a_here, b_here = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    spread = F.stddev_samp(a_here) * F.stddev_samp(b_here)
-    return F.try_divide(F.covar_samp(a, b), spread)
+    a_here, b_here = f"nvl2({b}, {a}, NULL)", f"nvl2({a}, {b}, NULL)"
+    return f"try_divide(covar_samp({a}, {b}), stddev_samp({a_here}) * stddev_samp({b_here}))"
 
 
-def share(condition: Column) -> Column:
-    """Fraction of rows that meet a condition."""
-    return F.avg(F.when(condition, 1.0).otherwise(0.0))
+def percent(part: str, whole: str, digits: int) -> str:
+    return f"round(try_divide(100D * {part}, {whole}), {digits})"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions import stats
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
 from tabwright.operators.profile import numeric_summary
 
@@ -25,10 +26,10 @@ def shape(df: DataFrame, columns: list[str]) -> DataFrame:
         df,
         columns,
         lambda c: {
-            "n": F.count(C.col(c)),
-            "variance": F.coalesce(F.var_samp(C.col(c)), F.lit(0.0)),
-            "skewness": stats.adjusted_skew(C.col(c)),
-            "kurtosis": stats.adjusted_kurtosis(C.col(c)),
+            "n": f"count({name(c)})",
+            "variance": f"coalesce(var_samp({name(c)}), 0D)",
+            "skewness": stats.adjusted_skew(name(c)),
+            "kurtosis": stats.adjusted_kurtosis(name(c)),
         },
     )
 
@@ -43,11 +44,8 @@ def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
         ),
     )
     summary = numeric_summary(df, columns).filter("n > 0")
-    four = lambda c, name: F.round(c, 4).alias(name)
-    table = summary.select(
-        "attribute", four("mean", "mean"), four("median", "median"), four("std", "std"),
-        four("min", "min"), four("max", "max"), four("p25", "q1"), four("p75", "q3"),
-    )
+    shown = {"mean": "mean", "median": "median", "std": "std", "min": "min", "max": "max", "p25": "q1", "p75": "q3"}
+    table = summary.selectExpr("attribute", *[f"round({c}, 4) AS {to}" for c, to in shown.items()])
     return C.with_row(table, leaders)
 
 
@@ -68,19 +66,16 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """(col1, col2, correlation) for every column pair, nulls ignored pair by pair."""
-    numbers = df.select(*[C.col(c).cast("double").alias(c) for c in columns])
+    numbers = df.selectExpr(*[f"double({name(c)}) AS {name(c)}" for c in columns])
     pairs = list(combinations(columns, 2))
     scans = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         cells = [
-            F.struct(
-                F.lit(a).alias("col1"),
-                F.lit(b).alias("col2"),
-                F.round(stats.pearson(C.col(a), C.col(b)), digits).alias("correlation"),
-            )
+            f"struct({quoted(a)} AS col1, {quoted(b)} AS col2, "
+            f"round({stats.pearson(name(a), name(b))}, {digits}) AS correlation)"
             for a, b in pairs[start : start + PAIRS_PER_SCAN]
         ]
-        scans.append(numbers.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+        scans.append(numbers.agg(F.expr(f"array({', '.join(cells)})").alias("cells")).select(F.inline("cells")))
     result = scans[0]
     for scan in scans[1:]:
         result = result.unionByName(scan)
@@ -104,9 +99,9 @@ def correlation_leaders(df: DataFrame, columns: list[str], k: int = 3) -> DataFr
     label = F.format_string("%s & %s (%+.2f)", "col1", "col2", "correlation")
     strength = F.abs("correlation")
 
-    def side(name: str, keep: Column) -> DataFrame:
+    def side(direction: str, keep: Column) -> DataFrame:
         best = pairs.filter(keep).orderBy(F.desc(strength), "col1", "col2").limit(k)
-        return best.select(F.lit(name).alias("direction"), "col1", "col2", "correlation", label.alias("label"))
+        return best.select(F.lit(direction).alias("direction"), "col1", "col2", "correlation", label.alias("label"))
 
     return side("positive", F.col("correlation") > 0).unionByName(side("negative", F.col("correlation") < 0))
 
@@ -135,13 +130,13 @@ def top_categories(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     return top.select("attribute", "rank", "value", "n")
 
 
-def shares(df: DataFrame, key: Column, name: str, total: Column | None = None) -> DataFrame:
+def shares(df: DataFrame, key: Column, label: str, total: Column | None = None) -> DataFrame:
     """Group sizes (or sums) and their percentage of the whole, without a single-task window."""
     measure = F.count("*") if total is None else F.sum(total)
-    groups = df.groupBy(key.alias(name)).agg(measure.alias("amount"))
+    groups = df.groupBy(key.alias(label)).agg(measure.alias("amount"))
     whole = groups.agg(F.sum("amount").alias("whole"))
     pct = F.round(F.lit(100.0) * F.col("amount") / F.col("whole"), 1)
-    return C.with_row(groups, whole).select(name, "amount", pct.alias("pct"))
+    return C.with_row(groups, whole).select(label, "amount", pct.alias("pct"))
 
 
 def status_breakdown(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions import parse
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
 
 CONTAMINATION = 0.05
@@ -15,22 +16,23 @@ MIN_Z = 2.5
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median of the finite values per column; columns without any are left out."""
-    finite = df.select(*[parse.finite(C.col(c)).alias(c) for c in columns])
+    finite = df.selectExpr(*[f"{parse.finite(name(c))} AS {name(c)}" for c in columns])
     cuts = exact_quantiles(C.long_numbers(finite, columns), ["attribute"], "value", [0.5])
     found = {r["attribute"]: r["quantiles"][0] for r in cuts.collect()}
     return {c: found[c] for c in columns if c in found}
 
 
-def impute_median(df: DataFrame, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+def filled_columns(columns: list[str], medians: dict[str, float]) -> dict[str, str]:
+    """Per column the SQL text of its value, or its median (else 0) where that is missing."""
+    return {c: f"coalesce({parse.finite(name(c))}, {float(medians.get(c, 0.0))!r}D)" for c in columns}
+
+
+def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Infinite and missing numbers take their column's median, or 0 when it has none."""
     names = columns or C.numeric_columns(df)
     medians = column_medians(df, names)
-    filled = {
-        c: F.coalesce(parse.finite(C.col(c)), F.lit(float(medians.get(c, 0.0)))).alias(prefix + c) for c in names
-    }
-    if prefix:
-        return df.select("*", *filled.values())
-    return df.select(*[filled.get(c, C.col(c)) for c in df.columns])
+    filled = filled_columns(names, medians)
+    return df.selectExpr(*[f"{filled[c]} AS {name(c)}" if c in filled else name(c) for c in df.columns])
 
 
 def zscore(
@@ -55,20 +57,19 @@ def zscore(
     )
     if not names:
         return nothing
-    filled = {c: F.coalesce(parse.finite(C.col(c)), F.lit(float(medians[c]))) for c in names}
-    moments = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(filled[c]) for c in names]).alias("mean"),
-        F.array(*[F.stddev_samp(filled[c]) for c in names]).alias("std"),
+    filled = filled_columns(names, medians)
+    moments = df.selectExpr(
+        "count(*) AS n",
+        f"array({', '.join(f'avg({x})' for x in filled.values())}) AS mean",
+        f"array({', '.join(f'stddev_samp({x})' for x in filled.values())}) AS std",
     ).first()
     if moments["n"] < min_rows:
         return nothing
-    z = [
-        F.abs((filled[c] - F.lit(m)) / F.lit(s or 1.0))
-        for c, m, s in zip(names, moments["mean"], moments["std"])
-    ]
-    ranked = F.array(*[F.struct((-e).alias("z"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, (e, c) in enumerate(zip(z, names))])
-    scored = df.select("*", F.array_max(F.array(*z)).alias("anomaly_score"), ranked.alias("__z"))
+    z = [f"abs(({filled[c]} - {m!r}D) / {s or 1.0!r}D)" for c, m, s in zip(names, moments["mean"], moments["std"])]
+    ranked = [f"struct(-{e} AS z, {i} AS i, {quoted(c)} AS c)" for i, (e, c) in enumerate(zip(z, names))]
+    scored = df.selectExpr(
+        "*", f"array_max(array({', '.join(z)})) AS anomaly_score", f"array({', '.join(ranked)}) AS __z"
+    )
     cut = exact_quantiles(
         scored.select(F.lit(1).alias("all"), "anomaly_score"), ["all"], "anomaly_score", [1 - contamination]
     ).first()["quantiles"][0]

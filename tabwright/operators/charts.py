@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.text import name
 from tabwright.operators import columns as C
 
 BINS = 20
@@ -30,10 +31,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     bounds = C.per_column(
         df,
         columns,
-        lambda c: {
-            "low": F.min(C.col(c).cast("double")),
-            "high": F.max(C.col(c).cast("double")),
-        },
+        lambda c: {"low": f"double(min({name(c)}))", "high": f"double(max({name(c)}))"},
     ).drop("position")
     at = equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)
     placed = cells.join(F.broadcast(bounds), "attribute")
@@ -47,15 +45,16 @@ def heatmap(cells: DataFrame, row: str, col: str, value: str, labels: list[str])
 
 def correlation_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """Symmetric matrix with a unit diagonal from (col1, col2, correlation)."""
-    flipped = pairs.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "correlation")
-    names = F.array(*[F.lit(c) for c in columns])
-    diagonal = (
-        pairs.groupBy()
-        .agg(F.count("*"))
-        .select(F.explode(names).alias("col1"))
-        .select("col1", F.col("col1").alias("col2"), F.lit(1.0).alias("correlation"))
+
+    def cell(row: str, col: str, value: Column) -> Column:
+        return F.struct(F.col(row).alias("row"), F.col(col).alias("col"), value.alias("value"))
+
+    r, one = F.col("correlation"), F.lit(1.0)
+    mirrored = F.array(
+        cell("col1", "col2", r), cell("col2", "col1", r), cell("col1", "col1", one), cell("col2", "col2", one)
     )
-    return heatmap(pairs.unionByName(flipped).unionByName(diagonal), "col1", "col2", "correlation", columns)
+    cells = pairs.select(F.inline(mirrored))
+    return heatmap(cells, "row", "col", "value", columns).withColumnRenamed("row", "col1")
 
 
 def density(df: DataFrame, x: str, y: str, flag: str, bins: int = BINS) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tabwright.functions import parse
 from tabwright.functions.names import unique_names
+from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators import quality
 
@@ -29,13 +30,11 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 def column_fill(df: DataFrame) -> Row:
     """One job: row count, rows with every value null, and filled cells per column."""
-    nothing = F.lit(True)
-    for c in df.columns:
-        nothing = nothing & C.col(c).isNull()
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(nothing).alias("empty_rows"),
-        F.array(*[F.count(C.col(c)) for c in df.columns]).alias("filled"),
+    names = [name(c) for c in df.columns]
+    return df.selectExpr(
+        "count(*) AS rows",
+        f"count_if(coalesce({', '.join(f'string({x} IS NOT NULL OR NULL)' for x in names)}) IS NULL) AS empty_rows",
+        f"array({', '.join(f'count({x})' for x in names)}) AS filled",
     ).first()
 
 
@@ -57,8 +56,8 @@ def drop_empty_columns(df: DataFrame, fill: Row | None = None) -> DataFrame:
 def trim_strings(df: DataFrame) -> DataFrame:
     """Strip all text; text of whitespace only becomes null."""
     text = set(C.string_columns(df))
-    return df.select(
-        *[parse.strip_to_null(C.col(c)).alias(c) if c in text else C.col(c) for c in df.columns]
+    return df.selectExpr(
+        *[f"{parse.strip_to_null(name(c))} AS {name(c)}" if c in text else name(c) for c in df.columns]
     )
 
 
@@ -96,28 +95,25 @@ def type_evidence(df: DataFrame) -> DataFrame:
         df,
         C.string_columns(df),
         lambda c: {
-            "filled": F.count(C.col(c)),
-            "booleans": F.count_if(parse.is_bool_text(C.col(c))),
-            "dates": F.count(parse.parse_date(C.col(c))),
-            "currency": F.count_if(parse.is_currency_text(C.col(c))),
+            "filled": f"count({name(c)})",
+            "booleans": f"count_if({parse.is_bool(name(c))})",
+            "dates": f"count({parse.read_date(name(c))})",
+            "currency": f"count_if({parse.is_currency(name(c))})",
         },
     )
 
 
 def inferred_types(evidence: DataFrame) -> DataFrame:
     """Decision per text column: boolean, timestamp, double or string."""
-    n = F.col("filled")
-    decision = (
-        F.when(n == 0, "string")
-        .when(F.col("booleans") == n, "boolean")
-        .when(F.col("dates") >= n * DATE_SHARE, "timestamp")
-        .when(F.col("currency") > n * CURRENCY_SHARE, "double")
-        .otherwise("string")
+    return evidence.selectExpr(
+        "*",
+        f"""CASE WHEN filled = 0 THEN 'string' WHEN booleans = filled THEN 'boolean'
+                 WHEN dates >= {DATE_SHARE}D * filled THEN 'timestamp'
+                 WHEN currency > {CURRENCY_SHARE}D * filled THEN 'double' ELSE 'string' END AS inferred""",
     )
-    return evidence.select("*", decision.alias("inferred"))
 
 
-_READERS = {"boolean": parse.parse_bool, "timestamp": parse.parse_date, "double": parse.parse_currency}
+_READERS = {"boolean": parse.read_bool, "timestamp": parse.read_date, "double": parse.read_currency}
 
 
 def infer_types(df: DataFrame, only: set[str] | None = None) -> DataFrame:
@@ -126,8 +122,8 @@ def infer_types(df: DataFrame, only: set[str] | None = None) -> DataFrame:
         return df
     chosen = {r["attribute"]: r["inferred"] for r in inferred_types(type_evidence(df)).collect()}
     wanted = {c: t for c, t in chosen.items() if t != "string" and (only is None or t in only)}
-    return df.select(
-        *[_READERS[wanted[c]](C.col(c)).alias(c) if c in wanted else C.col(c) for c in df.columns]
+    return df.selectExpr(
+        *[f"{_READERS[wanted[c]](name(c))} AS {name(c)}" if c in wanted else name(c) for c in df.columns]
     )
 
 
@@ -142,6 +138,7 @@ class Cleaned:
     raw: DataFrame
     mapping: dict[str, str]
     dropped_columns: list[str]
+    empty_rows_dropped: int = 0
     warnings: list[str] = field(default_factory=list)
 
     def report(self, source: str) -> DataFrame:
@@ -172,61 +169,41 @@ def clean_table(raw: DataFrame, stage: Callable[[DataFrame], DataFrame] | None =
     if stage:
         unique = stage(unique)
     dropped = sorted(sparse) + empty
-    return Cleaned(infer_types(unique), raw, mapping, dropped, warnings)
+    gone = 0 if warnings else fill["empty_rows"]
+    return Cleaned(infer_types(unique), raw, mapping, dropped, gone, warnings)
 
 
 def cleaning_report(cleaned: Cleaned, source: str) -> DataFrame:
     """One row describing what cleaning did, before and after."""
-    spark_map = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
-    def nulls(df: DataFrame, prefix: str) -> DataFrame:
-        names = df.columns
-        counts = F.array(*[F.count_if(C.col(c).isNull()) for c in names])
-        return df.agg(
-            F.map_from_arrays(F.array(*[F.lit(c) for c in names]), counts).alias(f"nulls_{prefix}")
+    def assessed(df: DataFrame, when: str) -> DataFrame:
+        return quality.assess(df).select(
+            F.col("row_count").alias(f"rows_{when}"),
+            F.col("duplicate_rows").alias(f"duplicates_{when}"),
+            F.col("nulls").alias(f"nulls_per_column_{when}"),
+            F.col("score").alias(f"score_{when}"),
         )
 
-    def score(df: DataFrame, prefix: str) -> DataFrame:
-        return quality.quality_score(df).select(
-            F.col("row_count").alias(f"rows_{prefix}"),
-            F.col("duplicate_rows").alias(f"duplicates_{prefix}"),
-            F.col("score").alias(f"{prefix}_score"),
-        )
+    def texts(values: list[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-    renamed = {k: v for k, v in cleaned.mapping.items() if k != v}
-    parts = score(cleaned.raw, "raw")
-    for part in (score(cleaned.df, "clean"), nulls(cleaned.raw, "before"), nulls(cleaned.df, "after")):
-        parts = C.with_row(parts, part)
-    text_array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    return parts.select(
+    renamed = [F.lit(x) for raw, clean in cleaned.mapping.items() if raw != clean for x in (raw, clean)]
+    both = C.with_row(assessed(cleaned.raw, "before"), assessed(cleaned.df, "after"))
+    # Rows equal only after trimming are duplicates too; rows of nothing are not.
+    removed = F.col("rows_before") - F.col("rows_after") - F.lit(cleaned.empty_rows_dropped)
+    return both.select(
         F.lit(source).alias("source_name"),
-        F.col("rows_raw").alias("rows_before"),
-        F.col("rows_clean").alias("rows_after"),
+        "rows_before",
+        "rows_after",
         F.lit(len(cleaned.raw.columns)).alias("columns_before"),
         F.lit(len(cleaned.df.columns)).alias("columns_after"),
-        # Rows that repeat an earlier raw row; rows equal only after trimming add to it.
-        F.greatest(
-            F.col("duplicates_raw"), F.col("rows_raw") - F.col("rows_clean") - _empty_rows(cleaned)
-        ).alias("duplicates_removed"),
-        text_array(cleaned.dropped_columns).alias("dropped_columns"),
-        F.col("nulls_before").alias("nulls_per_column_before"),
-        F.col("nulls_after").alias("nulls_per_column_after"),
-        (spark_map(renamed) if renamed else F.create_map().cast("map<string,string>")).alias("columns_renamed"),
-        text_array(["clean_column_names", "drop_empty_rows", "drop_duplicates", "type_inference"]).alias(
-            "operations"
-        ),
-        text_array(cleaned.warnings).alias("warnings"),
-        "raw_score",
-        "clean_score",
+        F.greatest(F.col("duplicates_before"), removed).alias("duplicates_removed"),
+        texts(cleaned.dropped_columns).alias("dropped_columns"),
+        "nulls_per_column_before",
+        "nulls_per_column_after",
+        F.create_map(*renamed).cast("map<string,string>").alias("columns_renamed"),
+        texts(["clean_column_names", "drop_empty_rows", "drop_duplicates", "type_inference"]).alias("operations"),
+        texts(cleaned.warnings).alias("warnings"),
+        F.col("score_before").alias("raw_score"),
+        F.col("score_after").alias("clean_score"),
     )
-
-
-def _empty_rows(cleaned: Cleaned):
-    """Rows with nothing left after trimming, as a scalar; they are not duplicates."""
-    if cleaned.warnings:
-        return F.lit(0)
-    kept = trim_strings(cleaned.raw.toDF(*cleaned.mapping.values())).drop(*cleaned.dropped_columns)
-    nothing = F.lit(True)
-    for c in kept.columns:
-        nothing = nothing & C.col(c).isNull()
-    return kept.agg(F.count_if(nothing)).scalar()

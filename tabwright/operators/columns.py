@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tabwright.functions.text import name, one_of, quoted
+
 _NUMERIC = (T.NumericType,)
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -28,42 +30,40 @@ def flat_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, nested)]
 
 
-def col(name: str) -> Column:
+def col(column: str) -> Column:
     """Column by literal name, whatever characters it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(name(column))
 
 
-def per_column(
-    df: DataFrame, columns: Sequence[str], stats: Callable[[str], Mapping[str, Column]]
-) -> DataFrame:
+def per_column(df: DataFrame, columns: Sequence[str], stats: Callable[[str], Mapping[str, str]]) -> DataFrame:
     """One aggregation over all columns, turned into one row per column.
 
-    ``stats`` maps a column name to named aggregate expressions; every column must
-    give the same names and types.
+    ``stats`` maps a column name to named aggregates as SQL text; every column must give
+    the same names and types.
     """
     rows = [
-        F.struct(
-            F.lit(name).alias("attribute"),
-            F.lit(position).alias("position"),
-            *[e.alias(k) for k, e in stats(name).items()],
-        )
-        for position, name in enumerate(columns)
+        f"struct({quoted(c)} AS attribute, {i} AS position, "
+        + ", ".join(f"{sql} AS {key}" for key, sql in stats(c).items())
+        + ")"
+        for i, c in enumerate(columns)
     ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
+
+
+def _stacked(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
+    cells = df.selectExpr(*[f"{dtype}({name(c)}) AS {name(c)}" for c in columns])
+    values = [name(c) for c in columns]
+    return cells.unpivot([], values, "attribute", "value")
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(attribute, value): one row per non-null cell, as text."""
-    text = df.select(*[col(c).cast("string").alias(c) for c in columns])
-    cells = text.unpivot([], [col(c) for c in columns], "attribute", "value")
-    return cells.filter("value is not null")
+    return _stacked(df, columns, "string").filter("value IS NOT NULL")
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(attribute, value): one row per finite cell of the numeric columns."""
-    doubles = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    cells = doubles.unpivot([], [col(c) for c in columns], "attribute", "value")
-    return cells.filter("value is not null and not isnan(value)")
+    """(attribute, value): one row per cell of the numeric columns, as doubles."""
+    return _stacked(df, columns, "double").filter("value IS NOT NULL AND NOT isnan(value)")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
@@ -72,8 +72,8 @@ def value_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] =
     ``num`` is the value as a double for numeric columns, so that they order as numbers.
     """
     counts = long_values(df, columns).groupBy("attribute", "value").agg(F.count("*").alias("n"))
-    is_number = F.col("attribute").isin(list(numeric)) if numeric else F.lit(False)
-    return counts.withColumn("num", F.when(is_number, F.col("value").try_cast("double")))
+    number = f"CASE WHEN {one_of('attribute', numeric)} THEN try_cast(value AS DOUBLE) END" if numeric else "double(NULL)"
+    return counts.withColumn("num", F.expr(number))
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
@@ -105,14 +105,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Equal rows are combined before the shuffle, so a row that makes up a third of
     the table costs one record per input partition.
     """
-    keys = [col(c) for c in df.columns]
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("__copies"))
-        .agg(
-            F.coalesce(F.sum("__copies"), F.lit(0)).alias("row_count"),
-            F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        )
+    copies = df.groupBy(*[name(c) for c in df.columns]).agg(F.expr("count(*)").alias("__copies"))
+    return copies.selectExpr(
+        "coalesce(sum(__copies), 0) AS row_count", "coalesce(sum(__copies - 1), 0) AS duplicate_rows"
     )
 
 

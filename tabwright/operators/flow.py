@@ -13,7 +13,7 @@ from tabwright.operators.clean import Cleaned, clean_table
 from tabwright.operators.profile import profile_roles, profile_table, quality_score_v1
 from tabwright.session import staged
 from tabwright.sources.readers import missing_to_null, read_any
-from tabwright.sources.store import Store
+from tabwright.sources.store import Store, catalog
 
 
 @dataclass
@@ -27,6 +27,15 @@ class Analysis:
     sections: DataFrame
 
 
+def clean_and_store(raw: DataFrame, name: str, store: Store) -> tuple[DataFrame, Cleaned, DataFrame]:
+    """Stored raw twin, cleaning result and stored clean table."""
+    kept = store.write_raw(name, missing_to_null(raw))
+    cleaned = clean_table(kept, stage=lambda df: staged(df, "clean"))
+    clean = store.write_clean(name, cleaned.df)
+    cleaned.df = clean
+    return kept, cleaned, clean
+
+
 def with_table_name(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.lit(name).alias("table_name"), "*")
 
@@ -72,7 +81,7 @@ def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]
     if task == "correlation_analysis":
         return [(task, analyze.correlation(df, numbers)), ("correlation_leaders", analyze.correlation_leaders(df, numbers))]
     if task == "outlier_detection":
-        scored = forest.isolation_forest(df, numbers, min_rows=6)
+        scored = staged(forest.isolation_forest(df, numbers, min_rows=6), "scored")
         grid = charts.density(scored, numbers[0], "anomaly_score", "is_anomaly")
         return [(task, anomaly.summary(scored)), ("chart_scatter", grid)]
     if task == "value_frequency":
@@ -104,9 +113,7 @@ def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]
 
 def auto_analysis(raw: DataFrame, name: str, store: Store) -> Analysis:
     """Clean, profile, classify, plan, run and store. A section that fails is kept with its reason."""
-    raw = missing_to_null(raw)
-    cleaned = clean_table(raw, stage=lambda df: staged(df, "clean"))
-    clean = store.write_raw_clean(name, raw, cleaned.df)
+    raw, cleaned, clean = clean_and_store(raw, name, store)
     store.save_metadata(name, cleaned.report(name), cleaned.mapping)
     roles = staged(with_table_name(profile_roles(clean), name), "roles")
     c = classify.classify_dataset(roles).first()
@@ -143,41 +150,38 @@ def auto_analysis(raw: DataFrame, name: str, store: Store) -> Analysis:
     return Analysis(report.title(c["dataset_type"], c["key_entity"]), clean, roles, c, store.read(log))
 
 
-def dataset_report(name: str, cleaned: Cleaned, clean: DataFrame) -> DataFrame:
+def dataset_report(name: str, cleaned: Cleaned, summary: DataFrame) -> DataFrame:
     """One row: sizes, quality, domain, column profile and cleaning summary, ready to be versioned."""
-    profiled = profile_table(clean)
-    names = profiled.select(F.lit(name).alias("table_name"), "position", "attribute", "dtype", "row_count")
-    domain = classify.classify_domain(names)
+    profiled = profile_table(cleaned.df)
     columns = profiled.agg(
         # As many entries as the table has columns.
-        F.array_sort(F.collect_list(F.struct("position", *[x for x in profiled.columns if x != "position"]))).alias("profile"),
+        F.array_sort(F.collect_list(F.struct("position", *[c for c in profiled.columns if c != "position"]))).alias(
+            "profile"
+        ),
         F.max("row_count").alias("rows_clean"),
         F.count("*").cast("int").alias("columns_count"),
     )
-    summary = cleaning_struct(cleaned.report(name))
+    domain = classify.classify_domain(catalog({name: cleaned.df}))
+    cleaning = summary.select(F.struct(*summary.columns).alias("cleaning"))
     issues = quality.quality_issues(cleaned.raw).agg(F.collect_list(F.struct("*")).alias("issues"))
-    parts = C.with_row(C.with_row(C.with_row(domain, columns), summary), issues)
+    parts = C.with_row(C.with_row(C.with_row(domain, columns), cleaning), issues)
+    facts = ["domain", "confidence", "reason", "likely_kpis", "likely_dimensions", "suggested_questions"]
     return parts.select(
         "table_name",
         F.col("cleaning.rows_before").alias("rows_raw"),
         "rows_clean",
         "columns_count",
         F.struct("cleaning.raw_score", "cleaning.clean_score", "issues").alias("quality"),
-        F.struct("domain", "confidence", "reason", "likely_kpis", "likely_dimensions", "suggested_questions").alias("domain"),
+        F.struct(*facts).alias("domain"),
         "profile",
         "cleaning",
     )
 
 
-def cleaning_struct(cleaning: DataFrame) -> DataFrame:
-    return cleaning.select(F.struct(*cleaning.columns).alias("cleaning"))
-
-
 def load_file(store: Store, path: str, name: str) -> DataFrame:
     """Read a file, store raw and clean tables, and append the next report version."""
-    raw = missing_to_null(read_any(store.spark, path))
-    cleaned = clean_table(raw, stage=lambda df: staged(df, "clean"))
-    clean = store.write_raw_clean(name, raw, cleaned.df)
-    store.save_metadata(name, cleaned.report(name), cleaned.mapping)
-    store.append_report(dataset_report(name, cleaned, clean))
+    _, cleaned, clean = clean_and_store(read_any(store.spark, path), name, store)
+    summary = staged(cleaned.report(name), "summary")
+    store.save_metadata(name, summary, cleaned.mapping)
+    store.append_report(dataset_report(name, cleaned, summary))
     return clean

@@ -12,10 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions import parse
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.text import name
 from tabwright.operators import columns as C
-from tabwright.operators.anomaly import CONTAMINATION, column_medians
+from tabwright.operators.anomaly import CONTAMINATION, column_medians, filled_columns
 
 TREES = 100
 SAMPLE = 256
@@ -135,10 +135,10 @@ def isolation_forest(
             F.array().cast("array<string>").alias("drivers"),
             F.array().cast("array<double>").alias("contributions"),
         )
-    filled = [F.coalesce(parse.finite(C.col(c)), F.lit(float(medians[c]))).alias(c) for c in names]
-    model = fit(df.select(*filled), names, rows)
+    filled = filled_columns(names, medians)
+    model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows)
     score = _scorer(model, names, min(SAMPLE, rows))
-    scored = df.select("*", score(F.array(*filled)).alias("__s"))
+    scored = df.select("*", score(F.expr(f"array({', '.join(filled.values())})")).alias("__s"))
     cut = exact_quantiles(
         scored.select(F.lit(1).alias("all"), F.col("__s.score").alias("score")), ["all"], "score", [1 - contamination]
     ).first()["quantiles"][0]

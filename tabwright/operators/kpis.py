@@ -6,7 +6,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwright.functions import stats
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import columns as C
 
@@ -149,7 +148,7 @@ def subscription(df: DataFrame, signup: str, cancelled: str, monthly: str, as_of
     return df.agg(
         F.count(F.lit(1)).alias("accounts"),
         F.count_if(~live).alias("churned"),
-        F.round(stats.share(~live) * 100, 2).alias("churn_pct"),
+        F.round(F.avg(F.when(live, 0.0).otherwise(1.0)) * 100, 2).alias("churn_pct"),
         F.round(F.sum(F.when(live, fee).otherwise(0.0)), 2).alias("live_mrr"),
         F.count_if(fee > 0).alias("paid"),
         F.count_if(fee <= 0).alias("unpaid"),

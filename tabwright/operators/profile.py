@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions import parse, stats
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.text import name, one_of, quoted
 from tabwright.operators import columns as C
 
 SAMPLE_ALL_UP_TO = 20
@@ -18,12 +19,12 @@ def null_stats(df: DataFrame) -> DataFrame:
     """Per column: null count, null percentage (1 dp) and completeness."""
 
     def one(c: str):
-        missing = F.count(F.when(C.col(c).isNull(), 1))
+        missing = f"(count(*) - count({name(c)}))"
         return {
-            "row_count": F.count(F.lit(1)),
+            "row_count": "count(*)",
             "null_count": missing,
-            "null_pct": F.round(F.try_divide(missing * 100.0, F.count(F.lit(1))).cast("double"), 1),
-            "completeness": F.try_divide(F.count(C.col(c)), F.count(F.lit(1))),
+            "null_pct": stats.percent(missing, "count(*)", 1),
+            "completeness": f"try_divide(count({name(c)}), count(*))",
         }
 
     return C.per_column(df, df.columns, one)
@@ -33,14 +34,12 @@ def distinct(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct values per column: exact from one shuffle, or a sketch in one scan."""
     flat = C.flat_columns(df)
     if approximate:
-        return C.per_column(
-            df, flat, lambda c: {"distinct_count": F.approx_count_distinct(C.col(c))}
-        ).drop("position")
+        sketched = C.per_column(df, flat, lambda c: {"distinct_count": f"approx_count_distinct({name(c)})"})
+        return sketched.drop("position")
+    # A column of nulls has no counts; the rows from the schema keep it in the result.
+    named = df.sparkSession.range(1).selectExpr(f"explode(array({', '.join(map(quoted, flat))})) AS attribute")
     found = C.distinct_counts(C.value_counts(df, flat))
-    names = C.per_column(df, flat, lambda c: {"filled": F.count(C.col(c))})
-    return names.join(found, "attribute", "left").select(
-        "attribute", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count")
-    )
+    return named.join(found, "attribute", "left").selectExpr("attribute", "coalesce(distinct_count, 0) AS distinct_count")
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -50,19 +49,16 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         df,
         names,
         lambda c: {
-            "n": F.count(C.col(c)),
-            "min": F.min(C.col(c).cast("double")),
-            "max": F.max(C.col(c).cast("double")),
-            "mean": F.avg(C.col(c)).cast("double"),
-            "std": stats.sample_std(C.col(c)),
+            "n": f"count({name(c)})",
+            "min": f"double(min({name(c)}))",
+            "max": f"double(max({name(c)}))",
+            "mean": f"double(avg({name(c)}))",
+            "std": stats.sample_std(name(c)),
         },
     )
     cuts = exact_quantiles(C.long_numbers(df, names), ["attribute"], "value", [0.25, 0.5, 0.75])
-    return moments.join(cuts, "attribute", "left").select(
-        *moments.columns,
-        F.col("quantiles")[0].alias("p25"),
-        F.col("quantiles")[1].alias("median"),
-        F.col("quantiles")[2].alias("p75"),
+    return moments.join(cuts, "attribute", "left").selectExpr(
+        *moments.columns, "quantiles[0] AS p25", "quantiles[1] AS median", "quantiles[2] AS p75"
     )
 
 
@@ -73,62 +69,43 @@ def profile_table(df: DataFrame) -> DataFrame:
     dtypes = dict(df.dtypes)
 
     def one(c: str):
-        shown = c in numeric or c in dates
-        low, high = F.min(C.col(c)), F.max(C.col(c))
+        x, number, shown = name(c), c in numeric, c in numeric or c in dates
         return {
-            "dtype": F.lit(dtypes[c]),
-            "row_count": F.count(F.lit(1)),
-            "null_pct": F.round(
-                F.try_divide(F.count(F.when(C.col(c).isNull(), 1)) * 100.0, F.count(F.lit(1))).cast("double"), 1
-            ),
-            "min": parse.iso_text(low, dtypes[c]) if shown else F.lit(None).cast("string"),
-            "max": parse.iso_text(high, dtypes[c]) if shown else F.lit(None).cast("string"),
-            "mean": F.round(F.avg(C.col(c)).cast("double"), 4) if c in numeric else F.lit(None).cast("double"),
-            "std": F.round(stats.sample_std(C.col(c)), 4) if c in numeric else F.lit(None).cast("double"),
+            "dtype": quoted(dtypes[c]),
+            "row_count": "count(*)",
+            "null_pct": stats.percent(f"(count(*) - count({x}))", "count(*)", 1),
+            "min": parse.iso_text(f"min({x})", dtypes[c]) if shown else "string(NULL)",
+            "max": parse.iso_text(f"max({x})", dtypes[c]) if shown else "string(NULL)",
+            "mean": f"round(double(avg({x})), 4)" if number else "double(NULL)",
+            "std": f"round({stats.sample_std(x)}, 4)" if number else "double(NULL)",
         }
 
-    base = C.per_column(df, flat, one)
+    out = C.per_column(df, flat, one)
+    # Distinct counts, top values and samples come from the same shuffle of value counts.
     counts = C.value_counts(df, flat, numeric)
-    top = (
-        C.top_values(counts, 5)
-        .groupBy("attribute")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("__top"))
-    )
-    first = (
-        C.smallest_values(counts, SAMPLE_ALL_UP_TO)
-        .groupBy("attribute")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("__first"))
-    )
-    out = base.join(C.distinct_counts(counts), "attribute", "left")
-    out = out.join(top, "attribute", "left").join(first, "attribute", "left")
+    ranked = lambda fields, to: F.expr(f"array_sort(collect_list(struct({fields})))").alias(to)
+    top = C.top_values(counts, 5).groupBy("attribute").agg(ranked("rank, value, n", "__top"))
+    first = C.smallest_values(counts, SAMPLE_ALL_UP_TO).groupBy("attribute").agg(ranked("rank, value", "__first"))
+    for part in (C.distinct_counts(counts), top, first):
+        out = out.join(part, "attribute", "left")
     if numeric:
         cuts = exact_quantiles(C.long_numbers(df, numeric), ["attribute"], "value", [0.25, 0.5, 0.75])
         out = out.join(cuts, "attribute", "left")
     else:
-        out = out.withColumn("quantiles", F.lit(None).cast("array<double>"))
-    n = F.coalesce("distinct_count", F.lit(0))
-    values = F.transform("__first", lambda s: s["value"])
-    return out.select(
-        "attribute", "position", "dtype", "row_count", "null_pct",
-        n.alias("distinct_count"),
-        "min", "max", "mean",
-        F.col("quantiles")[1].alias("median"),
+        out = out.withColumn("quantiles", F.expr("CAST(NULL AS ARRAY<DOUBLE>)"))
+    is_number = one_of("attribute", numeric) if numeric else "false"
+    return out.withColumn("distinct_count", F.expr("coalesce(distinct_count, 0)")).selectExpr(
+        "attribute", "position", "dtype", "row_count", "null_pct", "distinct_count", "min", "max", "mean",
+        "quantiles[1] AS median",
         "std",
-        F.col("quantiles")[0].alias("p25"),
-        F.col("quantiles")[2].alias("p75"),
-        F.coalesce(
-            F.when(n <= SAMPLE_ALL_UP_TO, values).otherwise(F.slice(values, 1, SAMPLE_SIZE)),
-            F.array().cast("array<string>"),
-        ).alias("sample_values"),
-        F.coalesce(
-            F.when(
-                ~F.col("attribute").isin(numeric),
-                F.transform("__top", lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))),
-            ),
-            F.array().cast("array<struct<value:string,n:bigint>>"),
-        ).alias("top_5"),
-        (F.try_divide(n, "row_count") >= 0.95).alias("is_candidate_id"),
-        (n <= 1).alias("is_constant"),
+        "quantiles[0] AS p25",
+        "quantiles[2] AS p75",
+        f"""coalesce(slice(transform(__first, s -> s.value), 1, if(distinct_count <= {SAMPLE_ALL_UP_TO}, {SAMPLE_ALL_UP_TO},
+            {SAMPLE_SIZE})), CAST(array() AS ARRAY<STRING>)) AS sample_values""",
+        f"""coalesce(if({is_number}, NULL, transform(__top, s -> struct(s.value, s.n))),
+            CAST(array() AS ARRAY<STRUCT<value: STRING, n: BIGINT>>)) AS top_5""",
+        "try_divide(distinct_count, row_count) >= 0.95D AS is_candidate_id",
+        "distinct_count <= 1 AS is_constant",
     )
 
 
@@ -148,58 +125,59 @@ def role_evidence(df: DataFrame) -> DataFrame:
     numeric, strings, dates = C.numeric_columns(df), C.string_columns(df), C.date_columns(df)
     dtypes = dict(df.dtypes)
 
-    def one(c: str):
-        value = C.col(c)
-        filled = F.count(value)
+    def is_datetime(c: str, x: str) -> str:
         if c in dates:
-            is_date = F.lit(True)
-        elif c in numeric:
-            is_date = parse.epoch_unit(F.min(value), F.max(value)).isNotNull()
-        elif c in strings:
-            looks = F.count(F.when(parse.looks_like_date(value), 1))
-            reads = F.count(F.when(parse.parse_date(value).isNotNull(), 1))
-            is_date = (filled > 0) & ((looks >= filled * 0.7) | (reads == filled))
-        else:
-            is_date = F.lit(False)
-        in_pair = F.lit(dtypes[c] == "boolean")
+            return "true"
+        if c in numeric:
+            return f"{parse.epoch_unit(f'min({x})', f'max({x})')} IS NOT NULL"
+        if c in strings:
+            looks, reads = f"count_if({parse.looks_like_date(x)})", f"count({parse.read_date(x)})"
+            return f"count({x}) > 0 AND ({looks} >= 0.7D * count({x}) OR {reads} = count({x}))"
+        return "false"
+
+    def is_boolean(c: str, x: str) -> str:
         if c in numeric:
-            in_pair = F.coalesce(F.bool_and(value.isin(0, 1)), F.lit(False))
-        elif c in strings:
-            text = F.lower(parse.strip(value))
-            for pair in parse.BOOLEAN_PAIRS:
-                in_pair = in_pair | F.coalesce(F.bool_and(text.isin(*pair)), F.lit(False))
+            return f"coalesce(bool_and({x} IN (0, 1)), false)"
+        if c in strings:
+            word = name("__word " + c)
+            fits = [f"coalesce({one_of(word, pair)}, false)" for pair in parse.BOOLEAN_PAIRS]
+            pairs = [f"coalesce(bool_and(nvl2({x}, {fit}, NULL)), false)" for fit in fits]
+            return f"({' OR '.join(pairs)})"
+        return "true" if dtypes[c] == "boolean" else "false"
+
+    def one(c: str):
+        x = name(c)
         return {
-            "dtype": F.lit(dtypes[c]),
-            "row_count": F.count(F.lit(1)),
-            "null_count": F.count(F.when(value.isNull(), 1)),
-            "has_id_name": F.lit(has_id_name(c)),
-            "is_datetime": F.coalesce(is_date, F.lit(False)),
-            "is_boolean": in_pair,
-            "is_numeric": F.lit(c in numeric),
-            "is_string": F.lit(c in strings),
-            "mean_length": F.avg(F.length(value)) if c in strings else F.lit(None).cast("double"),
+            "dtype": quoted(dtypes[c]),
+            "row_count": "count(*)",
+            "null_count": f"count(*) - count({x})",
+            "has_id_name": str(has_id_name(c)).lower(),
+            "is_datetime": is_datetime(c, x),
+            "is_boolean": is_boolean(c, x),
+            "is_numeric": str(c in numeric).lower(),
+            "is_string": str(c in strings).lower(),
+            "mean_length": f"avg(length({x}))" if c in strings else "double(NULL)",
         }
 
-    return C.per_column(df, flat, one).join(distinct(df), "attribute", "left")
+    words = df.selectExpr(
+        *[name(c) for c in flat], *[f"{parse.word(name(c))} AS {name('__word ' + c)}" for c in strings]
+    )
+    return C.per_column(words, flat, one).join(distinct(df), "attribute", "left")
 
 
 def profile_roles(df: DataFrame) -> DataFrame:
     """Role per column; the first rule that matches wins."""
-    ratio = F.try_divide("distinct_count", "row_count")
-    enough = F.least(F.lit(5), F.floor(F.col("row_count") * 0.3))
-    role = (
-        F.when(F.col("has_id_name") & (F.col("distinct_count") >= enough), "id")
-        .when(F.col("is_datetime"), "datetime")
-        .when(F.col("is_boolean"), "boolean")
-        .when(F.col("is_numeric"), "numeric")
-        .when((ratio >= 0.85) & (F.col("row_count") > 10), "id")
-        .when(F.col("is_string") & (ratio > 0.5) & (F.col("mean_length") > 25), "text")
-        .otherwise("categorical")
-    )
-    missing = F.round(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")).cast("double"), 2)
-    return role_evidence(df).select(
-        "attribute", "position", "dtype", "row_count", missing.alias("missing_pct"),
-        "distinct_count", role.alias("role"),
+    return role_evidence(df).selectExpr(
+        "attribute", "position", "dtype", "row_count",
+        f"{stats.percent('null_count', 'row_count', 2)} AS missing_pct",
+        "distinct_count",
+        """CASE WHEN has_id_name AND distinct_count >= least(5, floor(0.3D * row_count)) THEN 'id'
+                WHEN is_datetime THEN 'datetime'
+                WHEN is_boolean THEN 'boolean'
+                WHEN is_numeric THEN 'numeric'
+                WHEN try_divide(distinct_count, row_count) >= 0.85D AND row_count > 10 THEN 'id'
+                WHEN is_string AND try_divide(distinct_count, row_count) > 0.5D AND mean_length > 25 THEN 'text'
+                ELSE 'categorical' END AS role""",
     )
 
 
@@ -213,29 +191,16 @@ def detect_boolean_columns(df: DataFrame) -> DataFrame:
 
 def quality_score_v1(df: DataFrame) -> DataFrame:
     """100 less penalties for missing cells, duplicate rows and mostly empty columns."""
-    missing = null_stats(df).select(
-        F.round(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")).cast("double"), 2).alias("pct")
-    )
-    columns = missing.agg(
-        F.coalesce(F.avg("pct"), F.lit(0.0)).alias("avg_missing_pct"),
-        F.count(F.when(F.col("pct") >= 60, 1)).alias("mostly_missing_columns"),
+    columns = null_stats(df).withColumn("pct", F.expr(stats.percent("null_count", "row_count", 2))).selectExpr(
+        "coalesce(avg(pct), 0D) AS avg_missing_pct", "count_if(pct >= 60) AS mostly_missing_columns"
     )
-    rows = C.duplicate_rows(df).select(
-        "row_count",
-        "duplicate_rows",
-        F.coalesce(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("row_count")), F.lit(0.0))
-        .cast("double")
-        .alias("duplicate_pct"),
+    rows = C.duplicate_rows(df).selectExpr(
+        "*", "coalesce(try_divide(100D * duplicate_rows, row_count), 0D) AS duplicate_pct"
     )
-    both = C.with_row(rows, columns)
-    raw = (
-        F.lit(100.0)
-        - F.col("avg_missing_pct") * 0.4
-        - F.col("duplicate_pct") * 0.3
-        - F.col("mostly_missing_columns") * 3.0
+    penalty = "avg_missing_pct * 0.4D + duplicate_pct * 0.3D + mostly_missing_columns * 3D"
+    return C.with_row(rows, columns).selectExpr(
+        "*", f"greatest(0D, least(100D, round(100D - ({penalty}), 1))) AS score"
     )
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(raw.cast("double"), 1)))
-    return both.withColumn("score", score)
 
 
 def profile_samples(df: DataFrame, k: int = 3) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions import parse
+from tabwright.functions import parse, stats
+from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
 
 # Name parts of columns expected to hold dates, and of amounts that
@@ -14,181 +15,144 @@ AMOUNT_NAME_PARTS = [
     "amount", "price", "qty", "quantity", "cost", "total", "sales", "revenue", "units", "balance",
 ]
 
+RATES = [
+    "completeness", "duplicate_rate", "invalid_date_rate", "numeric_text_rate", "empty_constant_rate", "negative_rate",
+]
+
 
-def _named_like(name: str, parts: list[str]) -> bool:
-    return any(part in name.lower() for part in parts)
+def _named_like(column: str, parts: list[str]) -> bool:
+    return any(part in column.lower() for part in parts)
 
 
 def column_findings(df: DataFrame) -> DataFrame:
     """One row per column with the counts every quality rule needs. One scan."""
-    strings, numeric = C.string_columns(df), C.numeric_columns(df)
-    flat = C.flat_columns(df)
+    strings, numeric, flat = set(C.string_columns(df)), set(C.numeric_columns(df)), set(C.flat_columns(df))
 
     def one(c: str):
-        value, zero = C.col(c), F.lit(0).cast("bigint")
-        is_text = c in strings
-        number = parse.parse_currency(value) if is_text else value if c in numeric else None
-        watched = _named_like(c, AMOUNT_NAME_PARTS) and number is not None
-        comparable = c in flat
+        x, is_text = name(c), c in strings
+        number = parse.read_currency(x) if is_text else x if c in numeric else None
+        watched = number and _named_like(c, AMOUNT_NAME_PARTS)
         return {
-            "row_count": F.count(F.lit(1)),
-            "filled": F.count(value),
-            "is_text": F.lit(is_text),
-            "date_name": F.lit(_named_like(c, DATE_NAME_PARTS)),
-            "dates_ok": F.count(parse.parse_date(value)) if is_text else zero,
-            "numbers_ok": F.count(parse.parse_currency(value)) if is_text else zero,
-            "negatives": F.count(F.when(number < 0, 1)) if watched else zero,
-            "one_value": (
-                F.coalesce(F.min(value) == F.max(value), F.lit(False)) if comparable else F.lit(False)
-            ),
+            "row_count": "count(*)",
+            "filled": f"count({x})",
+            "is_text": str(is_text).lower(),
+            "date_name": str(_named_like(c, DATE_NAME_PARTS)).lower(),
+            "dates_ok": f"count({parse.read_date(x)})" if is_text else "0L",
+            "numbers_ok": f"count({number})" if is_text else "0L",
+            "negatives": f"count_if({number} < 0)" if watched else "0L",
+            "one_value": f"coalesce(min({x}) = max({x}), false)" if c in flat else "false",
         }
 
     found = C.per_column(df, df.columns, one)
-    filled = F.col("filled")
-    any_filled = filled > 0
-    date_like = F.col("date_name") | (F.col("dates_ok") >= F.greatest(F.lit(1.0), filled * 0.4))
-    as_date = any_filled & F.col("is_text") & date_like
-    as_number = (
-        any_filled & F.col("is_text") & ~as_date & (F.col("numbers_ok") >= F.greatest(F.lit(1.0), filled * 0.8))
+    judged = found.selectExpr(
+        "*", "filled > 0 AND is_text AND (date_name OR dates_ok >= greatest(1D, 0.4D * filled)) AS as_date"
     )
-    return found.select(
-        "attribute", "position", "row_count", "filled",
-        F.when(as_date, filled - F.col("dates_ok")).otherwise(0).alias("bad_dates"),
-        F.when(as_date, filled).otherwise(0).alias("date_cells"),
-        as_number.alias("numeric_as_text"),
-        (filled == 0).alias("is_empty"),
-        (any_filled & F.col("one_value")).alias("is_constant"),
-        "negatives",
+    return judged.selectExpr(
+        "attribute", "position", "row_count", "filled", "negatives",
+        "if(as_date, filled - dates_ok, 0L) AS bad_dates",
+        "if(as_date, filled, 0L) AS date_cells",
+        "filled > 0 AND is_text AND NOT as_date AND numbers_ok >= greatest(1D, 0.8D * filled) AS numeric_as_text",
+        "filled = 0 AS is_empty",
+        "filled > 0 AND one_value AS is_constant",
     )
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """One row: the six components and the score."""
-    flags = ["numeric_as_text", "is_empty", "is_constant"]
-    columns = column_findings(df).agg(
-        F.count("*").alias("column_count"),
-        F.avg(F.try_divide("filled", "row_count")).alias("completeness"),
-        F.sum("bad_dates").alias("bad_dates"),
-        F.sum("date_cells").alias("date_cells"),
-        *[F.count_if(f).alias(f) for f in flags],
-        F.count_if(F.col("negatives") > 0).alias("negative_columns"),
+def assess(df: DataFrame) -> DataFrame:
+    """One row: sizes, the six rates, the score and the nulls per column. One scan, one shuffle."""
+    columns = column_findings(df).selectExpr(
+        "count(*) AS column_count",
+        "coalesce(avg(try_divide(filled, row_count)), 0D) AS completeness",
+        "coalesce(try_divide(sum(bad_dates), sum(date_cells)), 0D) AS invalid_date_rate",
+        "try_divide(count_if(numeric_as_text), count(*)) AS numeric_text_rate",
+        "try_divide(count_if(is_empty) + count_if(is_constant), count(*)) AS empty_constant_rate",
+        "try_divide(count_if(negatives > 0), count(*)) AS negative_rate",
+        # One entry per column of the table.
+        "map_from_entries(collect_list(struct(attribute, row_count - filled))) AS nulls",
     )
-    both = C.with_row(C.duplicate_rows(df), columns)
-
-    def rate(part: str, whole: str):
-        return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-
-    both = both.select(
-        "row_count",
-        "column_count",
-        "duplicate_rows",
-        F.coalesce("completeness", F.lit(0.0)).alias("completeness"),
-        rate("duplicate_rows", "row_count").alias("duplicate_rate"),
-        rate("bad_dates", "date_cells").alias("invalid_date_rate"),
-        rate("numeric_as_text", "column_count").alias("numeric_text_rate"),
-        F.coalesce(F.try_divide(F.col("is_empty") + F.col("is_constant"), "column_count"), F.lit(0.0)).alias(
-            "empty_constant_rate"
-        ),
-        rate("negative_columns", "column_count").alias("negative_rate"),
+    rows = C.duplicate_rows(df).selectExpr(
+        "*", "coalesce(try_divide(duplicate_rows, row_count), 0D) AS duplicate_rate"
     )
-    points = (
-        F.col("completeness") * 25.0
-        + (1 - F.col("duplicate_rate")) * 20.0
-        + (1 - F.col("invalid_date_rate")) * 15.0
-        + (1 - F.col("numeric_text_rate")) * 15.0
-        + (1 - F.col("empty_constant_rate")) * 15.0
-        + (1 - F.col("negative_rate")) * 10.0
+    points = """completeness * 25D + (1 - duplicate_rate) * 20D + (1 - invalid_date_rate) * 15D
+        + (1 - numeric_text_rate) * 15D + (1 - empty_constant_rate) * 15D + (1 - negative_rate) * 10D"""
+    return C.with_row(rows, columns).selectExpr(
+        "row_count", "column_count", "duplicate_rows", *RATES, "nulls",
+        f"if(row_count = 0, 0, greatest(0, least(100, int(bround({points}, 0))))) AS score",
     )
-    bounded = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(points, 0).cast("int")))
-    return both.withColumn("score", F.when(F.col("row_count") == 0, 0).otherwise(bounded))
+
+
+def quality_score(df: DataFrame) -> DataFrame:
+    """One row: sizes, the six rates and the score."""
+    return assess(df).drop("nulls")
+
+
+_NULL_PCT = "(100D * (row_count - filled) / row_count)"
+# Condition, severity, description and suggestion of every per-column issue.
+_COLUMN_ISSUES = [
+    (
+        f"{_NULL_PCT} > 10 AND {_NULL_PCT} < 100",
+        f"if({_NULL_PCT} >= 50, 'high', 'medium')",
+        f"format_string(\"Column '%s' has %s%% missing values.\", attribute, string(round({_NULL_PCT}, 1)))",
+        "Impute missing values or remove sparse rows.",
+    ),
+    (
+        "bad_dates > 0",
+        "'high'",
+        "format_string(\"Column '%s' contains %d date value(s) that failed date parsing.\", attribute, bad_dates)",
+        "Standardize date strings into ISO format (YYYY-MM-DD).",
+    ),
+    (
+        "numeric_as_text",
+        "'medium'",
+        "format_string(\"Column '%s' contains numeric values stored as text/string.\", attribute)",
+        "Cast column to numeric (int/float) data type.",
+    ),
+    (
+        "is_empty",
+        "'high'",
+        "format_string(\"Column '%s' is completely empty (100%% missing values).\", attribute)",
+        "Drop empty column from dataset.",
+    ),
+    (
+        "is_constant",
+        "'low'",
+        "format_string(\"Column '%s' contains a single constant value.\", attribute)",
+        "Check if constant column can be dropped.",
+    ),
+    (
+        "negatives > 0",
+        "'high'",
+        "format_string(\"Column '%s' contains %d negative value(s).\", attribute, negatives)",
+        "Verify whether negative values represent invalid records or returns.",
+    ),
+]
+_ROW_ISSUES = [
+    (
+        "row_count = 0",
+        "'high'",
+        "'Dataset is completely empty.'",
+        "Upload a non-empty CSV/JSON/Excel/Parquet file.",
+    ),
+    (
+        "duplicate_rows > 0",
+        "'medium'",
+        f"format_string('Found %d duplicate row(s) (%s%% of dataset).', duplicate_rows, "
+        f"string({stats.percent('duplicate_rows', 'row_count', 1)}))",
+        "Deduplicate rows to prevent skewed aggregations.",
+    ),
+]
+
+
+def _issues(facts: DataFrame, rules: list[tuple[str, str, str, str]], attribute: str) -> DataFrame:
+    found = [
+        f"if({when}, struct({severity} AS severity, {attribute} AS attribute, {text} AS description, "
+        f"{quoted(suggestion)} AS suggestion), NULL)"
+        for when, severity, text, suggestion in rules
+    ]
+    return facts.select(F.expr(f"inline(array_compact(array({', '.join(found)})))"))
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Rows (severity, attribute, description, suggestion), one per finding."""
-    per_column = column_findings(df)
-    null_pct = (F.col("row_count") - F.col("filled")) * 100.0 / F.col("row_count")
-
-    def issue(when, severity, text, suggestion):
-        return F.when(
-            when,
-            F.struct(
-                severity.alias("severity") if not isinstance(severity, str) else F.lit(severity).alias("severity"),
-                F.col("attribute"),
-                text.alias("description"),
-                F.lit(suggestion).alias("suggestion"),
-            ),
-        )
-
-    def says(pattern: str, *args):
-        return F.format_string(pattern, *args)
-
-    name = F.col("attribute")
-    column_issues = F.array_compact(
-        F.array(
-            issue(
-                (null_pct > 10) & (null_pct < 100),
-                F.when(null_pct >= 50, "high").otherwise("medium"),
-                F.concat(F.lit("Column '"), name, F.lit("' has "), F.round(null_pct, 1).cast("string"),
-                         F.lit("% missing values.")),
-                "Impute missing values or remove sparse rows.",
-            ),
-            issue(
-                F.col("bad_dates") > 0,
-                "high",
-                says("Column '%s' contains %d date value(s) that failed date parsing.", name, F.col("bad_dates")),
-                "Standardize date strings into ISO format (YYYY-MM-DD).",
-            ),
-            issue(
-                F.col("numeric_as_text"),
-                "medium",
-                says("Column '%s' contains numeric values stored as text/string.", name),
-                "Cast column to numeric (int/float) data type.",
-            ),
-            issue(
-                F.col("is_empty"),
-                "high",
-                says("Column '%s' is completely empty (100%% missing values).", name),
-                "Drop empty column from dataset.",
-            ),
-            issue(
-                F.col("is_constant"),
-                "low",
-                says("Column '%s' contains a single constant value.", name),
-                "Check if constant column can be dropped.",
-            ),
-            issue(
-                F.col("negatives") > 0,
-                "high",
-                says("Column '%s' contains %d negative value(s).", name, F.col("negatives")),
-                "Verify whether negative values represent invalid records or returns.",
-            ),
-        )
-    )
-    from_columns = per_column.filter("row_count > 0").select(F.inline(column_issues))
-    rows = C.duplicate_rows(df)
-    duplicate_pct = F.round(F.col("duplicate_rows") * 100.0 / F.col("row_count"), 1)
-    row_issue = (
-        F.when(
-            F.col("row_count") == 0,
-            F.struct(
-                F.lit("high").alias("severity"),
-                F.lit(None).cast("string").alias("attribute"),
-                F.lit("Dataset is completely empty.").alias("description"),
-                F.lit("Upload a non-empty CSV/JSON/Excel/Parquet file.").alias("suggestion"),
-            ),
-        )
-        .when(
-            F.col("duplicate_rows") > 0,
-            F.struct(
-                F.lit("medium").alias("severity"),
-                F.lit(None).cast("string").alias("attribute"),
-                F.concat(
-                    F.lit("Found "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate row(s) ("),
-                    duplicate_pct.cast("string"), F.lit("% of dataset)."),
-                ).alias("description"),
-                F.lit("Deduplicate rows to prevent skewed aggregations.").alias("suggestion"),
-            ),
-        )
-    )
-    from_rows = rows.select(row_issue.alias("i")).filter("i is not null").select("i.*")
-    return from_columns.unionByName(from_rows)
+    filled = column_findings(df).filter("row_count > 0")
+    per_column = _issues(filled, _COLUMN_ISSUES, "attribute")
+    return per_column.unionByName(_issues(C.duplicate_rows(df), _ROW_ISSUES, "string(NULL)"))

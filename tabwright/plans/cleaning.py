@@ -234,13 +234,8 @@ SELECT d.rows AS row_count, column_count, d.n AS duplicate_rows, round(completen
   greatest(0, least(100, round_even(completeness * 25 + (1 - d.n / d.rows) * 20 + (1 - invalid_date_rate) * 15
     + (1 - numeric_text_rate) * 15 + (1 - empty_constant_rate) * 15 + (1 - negative_rate) * 10, 0)))::INTEGER AS score
 FROM rates, dupes d"""
-_RATES = [
-    "completeness", "duplicate_rate", "invalid_date_rate", "numeric_text_rate", "empty_constant_rate", "negative_rate",
-]
-
-
 def rounded_score(df: DataFrame) -> DataFrame:
-    return quality.quality_score(df).withColumns({c: F.round(c, 6) for c in _RATES})
+    return quality.quality_score(df).withColumns({c: F.round(c, 6) for c in quality.RATES})
 
 
 @register("quality_score_v2", f"WITH {MESSY_SQL}, {_finding_sql('raw', _TEXT, CLEAN_NAMES)}{_SCORE_SQL}")

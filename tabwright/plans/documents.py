@@ -104,9 +104,8 @@ def _store(t: Tables) -> S.Store:
 
 @register("write_raw_clean")
 def write_raw_clean(t):
-    store, raw = _store(t), messy_orders(t)
-    raw = raw.toDF(*[n.strip() for n in raw.columns])
-    store.write_raw_clean("messy_orders", raw, clean_table(raw).df)
+    store = _store(t)
+    flow.clean_and_store(messy_orders(t), "messy_orders", store)
     kept = {"messy_orders__raw": store.read("messy_orders__raw"), "user_data": t.spark.table("user_data")}
     return S.catalog(kept)
 
@@ -115,8 +114,7 @@ def write_raw_clean(t):
 def save_metadata(t):
     store, raw = _store(t), messy_orders(t)
     cleaned = clean_table(raw)
-    for _ in range(2):
-        store.save_metadata("messy_orders", cleaned.report("messy_orders"), cleaned.mapping)
+    store.save_metadata("messy_orders", cleaned.report("messy_orders"), cleaned.mapping)
     reports = store.metadata("_cleaning_reports").select("table_name", "report")
     mappings = store.metadata("_column_mappings").select("table_name", F.to_json("mapping").alias("mapping"))
     return reports.join(mappings, "table_name")
@@ -439,7 +437,7 @@ def report_build(t):
 @register("dataset_report")
 def dataset_report(t):
     cleaned = clean_table(t.customer)
-    found = flow.dataset_report("customer", cleaned, cleaned.df)
+    found = flow.dataset_report("customer", cleaned, cleaned.report("customer"))
     return found.select("table_name", "rows_raw", "rows_clean", "columns_count", F.to_json(F.struct("*")).alias("report"))
 
 

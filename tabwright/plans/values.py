@@ -201,7 +201,7 @@ def drop_duplicates(t):
 )
 def fn_trim(t):
     padded = F.concat(F.lit("\t  "), F.col("text"), F.lit("  \n"))
-    return t.conversations.select("conv_id", "turn", parse.strip(padded).alias("text"))
+    return t.conversations.withColumn("text", padded).selectExpr("conv_id", "turn", f"{parse.strip('text')} AS text")
 
 
 _IDENTIFIER_SQL = r"lower(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g'))"
@@ -252,7 +252,8 @@ def fn_dedupe_names(t):
 )
 def fn_parse_bool(t):
     word = F.when(F.col("o_orderstatus") == "F", " Yes ").when(F.col("o_orderstatus") == "O", "N").otherwise("perhaps")
-    return t.orders.select("o_orderkey", parse.parse_bool(word).alias("flag"))
+    words = t.orders.select("o_orderkey", word.alias("word"))
+    return words.selectExpr("o_orderkey", f"{parse.read_bool('word')} AS flag")
 
 
 def money_text(amount: Column) -> Column:
@@ -271,8 +272,8 @@ MONEY_SQL = "'$' || format('{:,.2f}', o_totalprice)"
 def fn_parse_currency(t):
     money = money_text(F.col("o_totalprice"))
     text = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("n.a. "), money)).otherwise(money)
-    return t.orders.select(
-        "o_orderkey", parse.is_currency_text(text).alias("is_currency"), parse.parse_currency(text).alias("amount")
+    return t.orders.select("o_orderkey", text.alias("money")).selectExpr(
+        "o_orderkey", f"{parse.is_currency('money')} AS is_currency", f"{parse.read_currency('money')} AS amount"
     )
 
 
@@ -304,7 +305,7 @@ READ_DATE_SQL = "try_strptime({x}, ['%Y-%m-%d', '%m/%d/%Y', '%d/%m/%Y', '%m-%d-%
 def fn_parse_date(t):
     raw = mixed_date_text(F.col("o_orderdate"), F.col("o_orderpriority"))
     rows = t.orders.select("o_orderkey", raw.alias("raw"))
-    return rows.withColumn("read", parse.parse_date(F.col("raw")).cast("string"))
+    return rows.selectExpr("*", f"string({parse.read_date('raw')}) AS read")
 
 
 @register(
@@ -323,9 +324,7 @@ def fn_epoch_detect(t):
         F.timestamp_diff("MILLISECOND", start, "ts").alias("millis"),
         "event_id",
     )
-    units = C.per_column(
-        times, times.columns, lambda c: {"unit": parse.epoch_unit(F.min(C.col(c)), F.max(C.col(c)))}
-    )
+    units = C.per_column(times, times.columns, lambda c: {"unit": parse.epoch_unit(f"min({c})", f"max({c})")})
     return units.drop("position")
 
 
@@ -335,8 +334,9 @@ def fn_epoch_detect(t):
         FROM pages""",
 )
 def fn_coerce_numeric(t):
-    number = parse.parse_number(F.regexp_extract("url", "[^/]*$", 0))
-    return t.pages.select("page_id", number.alias("number"), F.coalesce(number, F.lit(0.0)).alias("filled"))
+    last = t.pages.select("page_id", F.regexp_extract("url", "[^/]*$", 0).alias("last"))
+    read = last.selectExpr("page_id", f"{parse.read_number('last')} AS number")
+    return read.selectExpr("*", "coalesce(number, 0D) AS filled")
 
 
 @register(
@@ -371,11 +371,9 @@ def fn_date_trunc(t):
     """SELECT event_id, replace(ts::VARCHAR, ' ', 'T') AS ts_text, CASE WHEN value >= 50 THEN round(sqrt(value - 50), 6) END AS root FROM events""",
 )
 def fn_iso(t):
-    root = parse.nan_to_null(F.sqrt(F.col("value") - 50))
+    root = parse.nan_to_null("sqrt(value - 50)")
     ts_type = dict(t.events.dtypes)["ts"]
-    return t.events.select(
-        "event_id", parse.iso_text(F.col("ts"), ts_type).alias("ts_text"), F.round(root, 6).alias("root")
-    )
+    return t.events.selectExpr("event_id", f"{parse.iso_text('ts', ts_type)} AS ts_text", f"round({root}, 6) AS root")
 
 
 @register(
@@ -383,7 +381,7 @@ def fn_iso(t):
     "SELECT doc_id, CASE WHEN length(text) > 50 THEN substring(text, 1, 47) || '...' ELSE text END AS text FROM documents",
 )
 def fn_truncate_text(t):
-    return t.documents.select("doc_id", parse.shorten(F.col("text")).alias("text"))
+    return t.documents.selectExpr("doc_id", f"{parse.shorten('text')} AS text")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.functions import parse
+from tabwright.functions.text import name, one_of, pattern
 from tabwright.operators import columns as C
 from tabwright.sources.workbook import read_workbooks
 
@@ -14,29 +15,31 @@ _INTEGER_TEXT = r"^[+-]?\d{1,18}$"
 def typed_from_text(df: DataFrame) -> DataFrame:
     """Null tokens to null, then integer / double / boolean where every value allows it."""
     text = C.string_columns(df)
-    cleared = df.select(
-        *[F.when(~C.col(c).isin(parse.NA_TOKENS), C.col(c)).alias(c) if c in text else C.col(c) for c in df.columns]
-    )
     if not text:
-        return cleared
+        return df
+    cleared = df.selectExpr(
+        *[
+            f"if({one_of(name(c), parse.NA_TOKENS)}, NULL, {name(c)}) AS {name(c)}" if c in text else name(c)
+            for c in df.columns
+        ]
+    )
     verdicts = C.per_column(
         cleared,
         text,
         lambda c: {
-            "filled": F.count(C.col(c)),
-            "integers": F.count_if(C.col(c).rlike(_INTEGER_TEXT)),
-            "numbers": F.count_if(C.col(c).rlike(parse.NUMBER_TEXT)),
-            "booleans": F.count_if(F.lower(C.col(c)).isin("true", "false")),
+            "filled": f"count({name(c)})",
+            "bigint": f"count_if({name(c)} RLIKE {pattern(_INTEGER_TEXT)})",
+            "double": f"count_if({name(c)} RLIKE {pattern(parse.NUMBER_TEXT)})",
+            "boolean": f"count_if(lower({name(c)}) IN ('true', 'false'))",
         },
     ).collect()
     types = {}
     for v in verdicts:
-        for kind, dtype in (("integers", "bigint"), ("numbers", "double"), ("booleans", "boolean")):
-            if v["filled"] and v[kind] == v["filled"]:
-                types[v["attribute"]] = dtype
-                break
-    return cleared.select(
-        *[C.col(c).cast(types[c]).alias(c) if c in types else C.col(c) for c in df.columns]
+        fitting = [dtype for dtype in ("bigint", "double", "boolean") if v["filled"] and v[dtype] == v["filled"]]
+        if fitting:
+            types[v["attribute"]] = fitting[0]
+    return cleared.selectExpr(
+        *[f"CAST({name(c)} AS {types[c]}) AS {name(c)}" if c in types else name(c) for c in df.columns]
     )
 
 
@@ -79,7 +82,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def missing_to_null(df: DataFrame) -> DataFrame:
     """NaN counts as missing everywhere in the library; make it null once, at the edge."""
-    floats = {n for n, t in df.dtypes if t in ("float", "double")}
-    return df.select(
-        *[parse.nan_to_null(C.col(c)).alias(c) if c in floats else C.col(c) for c in df.columns]
+    floats = {c for c, t in df.dtypes if t in ("float", "double")}
+    return df.selectExpr(
+        *[f"{parse.nan_to_null(name(c))} AS {name(c)}" if c in floats else name(c) for c in df.columns]
     )

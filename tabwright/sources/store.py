@@ -124,9 +124,12 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name))
 
-    def write_raw_clean(self, name: str, raw: DataFrame, clean: DataFrame) -> DataFrame:
-        """Store the raw twin and the clean table; the clean one becomes the working view."""
-        self.write(name + RAW_SUFFIX, raw)
+    def write_raw(self, name: str, raw: DataFrame) -> DataFrame:
+        """Store the untouched twin; everything after reads it instead of the source."""
+        return self.write(name + RAW_SUFFIX, raw)
+
+    def write_clean(self, name: str, clean: DataFrame) -> DataFrame:
+        """Store the clean table and make it the working view."""
         stored = self.write(name, clean)
         stored.createOrReplaceTempView(name)
         stored.createOrReplaceTempView(WORKING_VIEW)
@@ -147,9 +150,9 @@ class Store:
     def save_metadata(self, table: str, report: DataFrame, mapping: Mapping[str, str]) -> None:
         """Cleaning report and column mapping of a table; reading takes the newest."""
         named = F.lit(table).alias("table_name")
-        self.append("_cleaning_reports", report.select(named, F.to_json(F.struct("*")).alias("report")))
-        pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-        self.append("_column_mappings", report.select(named, F.create_map(*pairs).alias("mapping")))
+        self.append("_cleaning_reports", report.select(named, F.to_json(F.struct(*report.columns)).alias("report")))
+        pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+        self.append("_column_mappings", self.spark.range(1).select(named, pairs.alias("mapping")))
 
     def metadata(self, log: str) -> DataFrame:
         return latest_per_key(self.read_log(log), ["table_name"], "logged_at")
