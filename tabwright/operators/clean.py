@@ -12,6 +12,7 @@ from tabwright.functions.names import unique_names
 from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators import quality
+from tabwright.session import spread
 
 # Safety rails and inference shares.
 MAX_ROW_DROP_SHARE = 0.20
@@ -92,7 +93,7 @@ def drop_empty_rows_guarded(df: DataFrame, fill: Row | None = None) -> tuple[Dat
 def type_evidence(df: DataFrame) -> DataFrame:
     """Per text column: how many values read as boolean, date and currency."""
     return C.per_column(
-        df,
+        spread(df),
         C.string_columns(df),
         lambda c: {
             "filled": f"count({name(c)})",

@@ -10,6 +10,7 @@ from tabwright.functions import parse, stats
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name, one_of, quoted
 from tabwright.operators import columns as C
+from tabwright.session import spread
 
 SAMPLE_ALL_UP_TO = 20
 SAMPLE_SIZE = 5
@@ -159,7 +160,7 @@ def role_evidence(df: DataFrame) -> DataFrame:
             "mean_length": f"avg(length({x}))" if c in strings else "double(NULL)",
         }
 
-    words = df.selectExpr(
+    words = (spread(df) if strings else df).selectExpr(
         *[name(c) for c in flat], *[f"{parse.word(name(c))} AS {name('__word ' + c)}" for c in strings]
     )
     return C.per_column(words, flat, one).join(distinct(df), "attribute", "left")

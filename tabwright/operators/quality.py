@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright.functions import parse, stats
 from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
+from tabwright.session import spread
 
 # Name parts of columns expected to hold dates, and of amounts that
 # should not be negative.
@@ -43,7 +44,7 @@ def column_findings(df: DataFrame) -> DataFrame:
             "one_value": f"coalesce(min({x}) = max({x}), false)" if c in flat else "false",
         }
 
-    found = C.per_column(df, df.columns, one)
+    found = C.per_column(spread(df) if strings else df, df.columns, one)
     judged = found.selectExpr(
         "*", "filled > 0 AND is_text AND (date_name OR dates_ok >= greatest(1D, 0.4D * filled)) AS as_date"
     )

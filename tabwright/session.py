@@ -63,3 +63,16 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
     return estimated_bytes(df) <= (ONE_TASK_BYTES if limit is None else limit)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores before costly work on its text.
+
+    A small file arrives as one split, however many cores wait. Large inputs have more
+    splits than cores and stay as they are.
+    """
+    size = estimated_bytes(df)
+    if size > ONE_TASK_BYTES:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 1 + size // (256 * 1024)))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabwright.functions import parse
 from tabwright.functions.text import name, one_of, pattern
 from tabwright.operators import columns as C
+from tabwright.session import spread
 from tabwright.sources.workbook import read_workbooks
 
 _INTEGER_TEXT = r"^[+-]?\d{1,18}$"
@@ -24,7 +25,7 @@ def typed_from_text(df: DataFrame) -> DataFrame:
         ]
     )
     verdicts = C.per_column(
-        cleared,
+        spread(cleared),
         text,
         lambda c: {
             "filled": f"count({name(c)})",
