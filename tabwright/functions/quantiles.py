@@ -8,7 +8,7 @@ only the values inside the brackets are counted and ordered.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,25 +22,32 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Sequence[float],
+    also: Mapping[str, str] | None = None,
     in_memory: bool | None = None,
 ) -> DataFrame:
-    """One row per group: the group columns and ``quantiles`` (array, in order of probs)."""
-    long = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    """One row per group: the group columns and ``quantiles`` (array, in order of probs).
+
+    ``also`` names further aggregates over ``value`` as SQL text, taken in the same pass
+    where possible.
+    """
+    long = df.select(*by, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
+    others = [F.expr(sql).alias(key) for key, sql in (also or {}).items()]
     if in_memory is None:
         in_memory = fits_one_task(long)
     if in_memory:
-        return long.groupBy(*by).agg(F.percentile("__v", list(probs)).alias("quantiles"))
-    return _bracketed(long, list(by), list(probs))
+        return long.groupBy(*by).agg(*others, F.percentile("value", list(probs)).alias("quantiles"))
+    cuts = _bracketed(long, list(by), list(probs))
+    return long.groupBy(*by).agg(*others).join(cuts, list(by)) if others else cuts
 
 
 def _bracketed(long: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     margin = 4.0 / SKETCH_ACCURACY
     ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = long.groupBy(*by).agg(
-        F.count("__v").alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", ends, SKETCH_ACCURACY).alias("__ends"),
+        F.count("value").alias("__n"),
+        F.min("value").alias("__min"),
+        F.max("value").alias("__max"),
+        F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("__ends"),
     )
     # Small groups are bracketed by their whole range, so the sketch error cannot matter.
     whole = F.col("__n") <= SKETCH_ACCURACY
@@ -62,10 +69,10 @@ def _bracketed(long: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
         ),
     )
     same_group = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
-    in_reach = long.join(brackets, [*same_group, F.col("__v") <= F.col("__hi")])
+    in_reach = long.join(brackets, [*same_group, F.col("value") <= F.col("__hi")])
     # Everything below the bracket collapses into one null slot per rank.
     counted = (
-        in_reach.withColumn("__slot", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
+        in_reach.withColumn("__slot", F.when(F.col("value") >= F.col("__lo"), F.col("value")))
         .groupBy(*by, "__i", "__pos", "__slot")
         .agg(F.count("*").alias("__c"))
     )

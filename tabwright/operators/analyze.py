@@ -14,7 +14,7 @@ from tabwright.operators.profile import numeric_summary
 
 SKEWED_BEYOND = 1.0
 WEEKLY_BELOW_DAYS = 90
-PAIRS_PER_SCAN = 300
+PAIRS_PER_SCAN = 200
 
 
 # --- numeric columns -----------------------------------------------------------
@@ -22,16 +22,12 @@ PAIRS_PER_SCAN = 300
 
 def shape(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per numeric column: n, variance, adjusted skewness and adjusted excess kurtosis."""
-    return C.per_column(
-        df,
-        columns,
-        lambda c: {
-            "n": f"count({name(c)})",
-            "variance": f"coalesce(var_samp({name(c)}), 0D)",
-            "skewness": stats.adjusted_skew(name(c)),
-            "kurtosis": stats.adjusted_kurtosis(name(c)),
-        },
-    )
+    moments = {
+        "variance": "coalesce(var_samp(value), 0D)",
+        "skewness": stats.adjusted_skew("value"),
+        "kurtosis": stats.adjusted_kurtosis("value"),
+    }
+    return C.per_number(df, columns, moments)
 
 
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,17 +61,35 @@ def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """(col1, col2, correlation) for every column pair, nulls ignored pair by pair."""
-    numbers = df.selectExpr(*[f"double({name(c)}) AS {name(c)}" for c in columns])
+    """(col1, col2, correlation) for every column pair, nulls ignored pair by pair.
+
+    A small job finds each column's count and mean. Pairs of complete columns then need
+    one sum of products each, over values moved to their mean; the others count their own rows.
+    """
+    quoted_names = {c: name(c) for c in columns}
+    numbers = df.selectExpr(*[f"double({x}) AS {x}" for x in quoted_names.values()])
+    facts = numbers.selectExpr(
+        "count(*) AS n", *[f"struct(count({x}) AS n, avg({x}) AS mean, min({x}) = max({x}) AS flat) AS {x}" for x in quoted_names.values()]
+    ).first()
+    complete = {c for c in columns if facts[c]["n"] == facts["n"]}
+    constant = {c for c in columns if facts[c]["n"] == 0 or facts[c]["flat"]}
+    moved = numbers.selectExpr(*[f"{x} - {facts[c]['mean'] or 0.0!r}D AS {x}" for c, x in quoted_names.items()])
+
+    def correlated(a: str, b: str) -> str:
+        if {a, b} & constant:
+            return "double(NULL)"
+        if not {a, b} <= complete:
+            return stats.pearson(name(a), name(b))
+        return stats.pearson_of_sums(name(a), name(b), facts["n"])
+
     pairs = list(combinations(columns, 2))
     scans = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         cells = [
-            f"struct({quoted(a)} AS col1, {quoted(b)} AS col2, "
-            f"round({stats.pearson(name(a), name(b))}, {digits}) AS correlation)"
+            f"struct({quoted(a)} AS col1, {quoted(b)} AS col2, round({correlated(a, b)}, {digits}) AS correlation)"
             for a, b in pairs[start : start + PAIRS_PER_SCAN]
         ]
-        scans.append(numbers.agg(F.expr(f"array({', '.join(cells)})").alias("cells")).select(F.inline("cells")))
+        scans.append(moved.agg(F.expr(f"array({', '.join(cells)})").alias("cells")).select(F.inline("cells")))
     result = scans[0]
     for scan in scans[1:]:
         result = result.unionByName(scan)

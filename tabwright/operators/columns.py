@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name, one_of, quoted
+from tabwright.session import spread
 
 _NUMERIC = (T.NumericType,)
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -51,9 +53,14 @@ def per_column(df: DataFrame, columns: Sequence[str], stats: Callable[[str], Map
 
 
 def _stacked(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
-    cells = df.selectExpr(*[f"{dtype}({name(c)}) AS {name(c)}" for c in columns])
-    values = [name(c) for c in columns]
-    return cells.unpivot([], values, "attribute", "value")
+    cells = spread(df.selectExpr(*[f"{dtype}({name(c)}) AS {name(c)}" for c in columns]))
+    return cells.unpivot([], [name(c) for c in columns], "attribute", "value")
+
+
+def schema_rows(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
+    """(attribute, position): one row per column, whether or not it holds any value."""
+    named = spark.range(1).selectExpr(f"posexplode(array({', '.join(map(quoted, columns))})) AS (position, attribute)")
+    return named.select("attribute", "position")
 
 
 def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,6 +73,23 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _stacked(df, columns, "double").filter("value IS NOT NULL AND NOT isnan(value)")
 
 
+def per_number(
+    df: DataFrame, columns: Sequence[str], stats: Mapping[str, str], probs: Sequence[float] = ()
+) -> DataFrame:
+    """(attribute, position, n, ...): aggregates over ``value`` for every numeric column.
+
+    Stacking the columns keeps the plan the same size for any number of them.
+    """
+    cells = long_numbers(df, columns)
+    wanted = {"n": "count(value)", **stats}
+    if probs:
+        found = exact_quantiles(cells, ["attribute"], "value", probs, also=wanted)
+    else:
+        found = cells.groupBy("attribute").agg(*[F.expr(sql).alias(key) for key, sql in wanted.items()])
+    listed = schema_rows(df.sparkSession, columns).join(found, "attribute", "left")
+    return listed.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
     """(attribute, value, n, num). The one shuffle behind distinct counts, top values and modes.
 

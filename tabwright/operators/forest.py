@@ -16,6 +16,7 @@ from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators.anomaly import CONTAMINATION, column_medians, filled_columns
+from tabwright.session import spread, staged
 
 TREES = 100
 SAMPLE = 256
@@ -81,40 +82,39 @@ def fit(features: DataFrame, names: list[str], rows: int) -> dict[int, pd.DataFr
     return {int(t): part.sort_values("node") for t, part in nodes.groupby("tree")}
 
 
+def _walkable(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Arrays of one tree in which a leaf leads to itself, so all rows take equally many steps."""
+    feature = part["feature"].to_numpy(np.int64)
+    leaf = feature < 0
+    me = np.arange(len(part))
+    below = np.where(leaf, me, part["below"].to_numpy(np.int64))
+    above = np.where(leaf, me, part["above"].to_numpy(np.int64))
+    return np.where(leaf, 0, feature), part["cut"].to_numpy(float), below, above, part["path"].to_numpy(float)
+
+
 def _scorer(model: dict[int, pd.DataFrame], names: list[str], psi: int):
-    trees = [
-        (
-            part["feature"].to_numpy(np.int64),
-            part["cut"].to_numpy(float),
-            part["below"].to_numpy(np.int64),
-            part["above"].to_numpy(np.int64),
-            part["path"].to_numpy(float),
-        )
-        for part in model.values()
-    ]
+    trees = [_walkable(part) for part in model.values()]
+    steps = int(np.ceil(np.log2(2 * SAMPLE)))
     scale = float(_average_path(psi)) or 1.0
 
     @F.pandas_udf("score double, contributions array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(names)))
-            total = np.zeros(len(x))
-            credit = np.zeros_like(x, dtype=float)
+            values, start = x.ravel(), np.arange(len(x)) * len(names)
+            total, credit = np.zeros(len(x)), np.zeros(x.size)
             for feature, cut, below, above, path in trees:
                 at = np.zeros(len(x), dtype=np.int64)
-                moving = np.arange(len(x))
-                while len(moving := moving[feature[at[moving]] >= 0]):
-                    here = at[moving]
-                    f = feature[here]
-                    there = np.where(x[moving, f] <= cut[here], below[here], above[here])
+                for _ in range(steps):
+                    cell = start + feature[at]
+                    there = np.where(values[cell] <= cut[at], below[at], above[at])
                     # A split that shortens the expected path makes the row look more isolated.
-                    credit[moving, f] += path[here] - path[there]
-                    at[moving] = there
+                    credit[cell] += path[at] - path[there]
+                    at = there
                 total += path[at]
-            mean = total / max(len(trees), 1)
-            yield pd.DataFrame(
-                {"score": np.exp2(-mean / scale), "contributions": list(credit / max(len(trees), 1))}
-            )
+            share = max(len(trees), 1)
+            credits = credit.reshape(x.shape) / share
+            yield pd.DataFrame({"score": np.exp2(-total / share / scale), "contributions": list(credits)})
 
     return score
 
@@ -138,7 +138,9 @@ def isolation_forest(
     filled = filled_columns(names, medians)
     model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows)
     score = _scorer(model, names, min(SAMPLE, rows))
-    scored = df.select("*", score(F.expr(f"array({', '.join(filled.values())})")).alias("__s"))
+    features = F.expr(f"array({', '.join(filled.values())})")
+    # Scored once and written: the threshold and the result both read it.
+    scored = staged(spread(df).select("*", score(features).alias("__s")), "scored")
     cut = exact_quantiles(
         scored.select(F.lit(1).alias("all"), F.col("__s.score").alias("score")), ["all"], "score", [1 - contamination]
     ).first()["quantiles"][0]

@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions import parse, stats
-from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name, one_of, quoted
 from tabwright.operators import columns as C
 from tabwright.session import spread
@@ -38,28 +37,17 @@ def distinct(df: DataFrame, approximate: bool = False) -> DataFrame:
         sketched = C.per_column(df, flat, lambda c: {"distinct_count": f"approx_count_distinct({name(c)})"})
         return sketched.drop("position")
     # A column of nulls has no counts; the rows from the schema keep it in the result.
-    named = df.sparkSession.range(1).selectExpr(f"explode(array({', '.join(map(quoted, flat))})) AS attribute")
     found = C.distinct_counts(C.value_counts(df, flat))
-    return named.join(found, "attribute", "left").selectExpr("attribute", "coalesce(distinct_count, 0) AS distinct_count")
+    listed = C.schema_rows(df.sparkSession, flat).join(found, "attribute", "left")
+    return listed.selectExpr("attribute", "coalesce(distinct_count, 0) AS distinct_count")
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: n, min, max, mean, std and the three quartiles."""
-    names = columns or C.numeric_columns(df)
-    moments = C.per_column(
-        df,
-        names,
-        lambda c: {
-            "n": f"count({name(c)})",
-            "min": f"double(min({name(c)}))",
-            "max": f"double(max({name(c)}))",
-            "mean": f"double(avg({name(c)}))",
-            "std": stats.sample_std(name(c)),
-        },
-    )
-    cuts = exact_quantiles(C.long_numbers(df, names), ["attribute"], "value", [0.25, 0.5, 0.75])
-    return moments.join(cuts, "attribute", "left").selectExpr(
-        *moments.columns, "quantiles[0] AS p25", "quantiles[1] AS median", "quantiles[2] AS p75"
+    moments = {"min": "min(value)", "max": "max(value)", "mean": "avg(value)", "std": stats.sample_std("value")}
+    found = C.per_number(df, columns or C.numeric_columns(df), moments, probs=[0.25, 0.5, 0.75])
+    return found.selectExpr(
+        "attribute", "position", "n", *moments, "quantiles[0] AS p25", "quantiles[1] AS median", "quantiles[2] AS p75"
     )
 
 
@@ -70,15 +58,13 @@ def profile_table(df: DataFrame) -> DataFrame:
     dtypes = dict(df.dtypes)
 
     def one(c: str):
-        x, number, shown = name(c), c in numeric, c in numeric or c in dates
+        x, shown = name(c), c in numeric or c in dates
         return {
             "dtype": quoted(dtypes[c]),
             "row_count": "count(*)",
             "null_pct": stats.percent(f"(count(*) - count({x}))", "count(*)", 1),
             "min": parse.iso_text(f"min({x})", dtypes[c]) if shown else "string(NULL)",
             "max": parse.iso_text(f"max({x})", dtypes[c]) if shown else "string(NULL)",
-            "mean": f"round(double(avg({x})), 4)" if number else "double(NULL)",
-            "std": f"round({stats.sample_std(x)}, 4)" if number else "double(NULL)",
         }
 
     out = C.per_column(df, flat, one)
@@ -89,18 +75,12 @@ def profile_table(df: DataFrame) -> DataFrame:
     first = C.smallest_values(counts, SAMPLE_ALL_UP_TO).groupBy("attribute").agg(ranked("rank, value", "__first"))
     for part in (C.distinct_counts(counts), top, first):
         out = out.join(part, "attribute", "left")
-    if numeric:
-        cuts = exact_quantiles(C.long_numbers(df, numeric), ["attribute"], "value", [0.25, 0.5, 0.75])
-        out = out.join(cuts, "attribute", "left")
-    else:
-        out = out.withColumn("quantiles", F.expr("CAST(NULL AS ARRAY<DOUBLE>)"))
+    numbers = numeric_summary(df, numeric).select("attribute", "mean", "std", "p25", "median", "p75")
+    out = out.join(numbers, "attribute", "left")
     is_number = one_of("attribute", numeric) if numeric else "false"
     return out.withColumn("distinct_count", F.expr("coalesce(distinct_count, 0)")).selectExpr(
-        "attribute", "position", "dtype", "row_count", "null_pct", "distinct_count", "min", "max", "mean",
-        "quantiles[1] AS median",
-        "std",
-        "quantiles[0] AS p25",
-        "quantiles[2] AS p75",
+        "attribute", "position", "dtype", "row_count", "null_pct", "distinct_count", "min", "max",
+        "round(mean, 4) AS mean", "median", "round(std, 4) AS std", "p25", "p75",
         f"""coalesce(slice(transform(__first, s -> s.value), 1, if(distinct_count <= {SAMPLE_ALL_UP_TO}, {SAMPLE_ALL_UP_TO},
             {SAMPLE_SIZE})), CAST(array() AS ARRAY<STRING>)) AS sample_values""",
         f"""coalesce(if({is_number}, NULL, transform(__top, s -> struct(s.value, s.n))),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright.operators import clean, columns as C, quality
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import MIXED_DATE_SQL, MONEY_SQL, READ_DATE_SQL, each, mixed_date_text, money_text
+from tabwright.session import spread
 
 RAW_NAMES = [
     " Order ID ", "Customer-Name", "Order Date", "Total Amount", "Rush?", "Notes", "Discount Code", "Balance",
@@ -23,7 +24,7 @@ CLEAN_NAMES = [
 
 
 def messy_orders(t: Tables) -> DataFrame:
-    o = t.orders.withColumn("copies", F.when(F.col("o_totalprice") > 480000, 2).otherwise(1))
+    o = spread(t.orders).withColumn("copies", F.when(F.col("o_totalprice") > 480000, 2).otherwise(1))
     o = o.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     price, status, priority = F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderpriority")
     date = F.when((priority == "5-LOW") & (status != "F"), F.col("o_orderdate").cast("date").cast("string")).otherwise(

@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Estimated input size up to which one task may hold a column in memory.
+#: Size, and where that is unknown the row count, up to which one task may hold a column.
 ONE_TASK_BYTES = 64 * 1024 * 1024
+ONE_TASK_ROWS = 5_000_000
 
 _local_roots: dict[str, str] = {}
 
@@ -57,21 +58,34 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; costs no job."""
+    """The optimizer's size estimate of a result; costs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (ONE_TASK_BYTES if limit is None else limit)
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of everything a plan reads. Joins do not inflate it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether one task may hold a column of the result in memory.
+
+    The estimate of a join is the product of its sides, so when only the inputs are
+    small the rows are counted.
+    """
+    if estimated_bytes(df) <= ONE_TASK_BYTES:
+        return True
+    return input_bytes(df) <= ONE_TASK_BYTES and df.count() <= ONE_TASK_ROWS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores before costly work on its text.
+    """Deal the rows of a small input out to all cores before costly work on them.
 
     A small file arrives as one split, however many cores wait. Large inputs have more
     splits than cores and stay as they are.
     """
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     if size > ONE_TASK_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
