@@ -21,7 +21,7 @@ def box(df: DataFrame, columns: list[str]) -> DataFrame:
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int = BINS) -> Column:
     """Bin 1..bins; the maximum belongs to the last bin and a constant column to the first."""
     at = F.floor(F.try_divide((value - low) * bins, high - low)) + 1
-    return F.coalesce(F.least(at, F.lit(bins)), F.lit(1)).cast("int")
+    return F.when(high > low, F.least(at, F.lit(bins))).otherwise(1).cast("int")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
