@@ -225,27 +225,23 @@ def group_comparison(
     df: DataFrame, group: str, metric: str, aggregation: str = "mean", k: int = 10
 ) -> DataFrame:
     """Count, mean, median and deviation of a metric per group, best groups first."""
-    rows = df.select(C.col(group).alias("group_value"), C.col(metric).try_cast("double").alias("v")).filter(
-        "group_value is not null"
+    rows = df.select(C.col(group).alias("group_value"), C.col(metric).try_cast("double").alias("value")).filter(
+        "group_value IS NOT NULL"
     )
     known = {
-        "count": F.count("v"), "mean": F.avg("v"), "std": F.stddev_samp("v"),
-        "sum": F.sum("v"), "min": F.min("v"), "max": F.max("v"),
+        "count": "count(value)", "mean": "avg(value)", "std": "stddev_samp(value)",
+        "sum": "sum(value)", "min": "min(value)", "max": "max(value)",
     }
-    wanted = ["count", "mean", "std"] + [a for a in [aggregation] if a not in ("count", "mean", "std", "median")]
-    groups = rows.groupBy("group_value").agg(*[known[a].alias(a) for a in wanted])
+    shown = {a: known[a] for a in dict.fromkeys(["count", "mean", "std", aggregation]) if a in known}
     best_first = [F.desc_nulls_last(aggregation), "group_value"]
-
-    def with_median(kept: DataFrame, members: DataFrame) -> DataFrame:
-        middle = exact_quantiles(members, ["group_value"], "v", [0.5])
-        return kept.join(middle, "group_value", "left").withColumn("median", F.col("quantiles")[0]).drop("quantiles")
-
-    if aggregation == "median":
-        return with_median(groups, rows).orderBy(*best_first).limit(k)
-    top = groups.orderBy(*best_first).limit(k)
-    # Medians are only needed inside the k groups shown.
-    members = rows.join(F.broadcast(top.select("group_value")), "group_value", "left_semi")
-    return with_median(top, members).orderBy(*best_first)
+    if aggregation != "median":
+        # Only the k best groups, found first, need a median.
+        ranked = rows.groupBy("group_value").agg(F.expr(known[aggregation]).alias(aggregation))
+        best = [r["group_value"] for r in ranked.orderBy(*best_first).limit(k).collect()]
+        rows = rows.filter(F.col("group_value").isin(best))
+    compared = exact_quantiles(rows, ["group_value"], "value", [0.5], also=shown)
+    compared = compared.withColumn("median", F.col("quantiles")[0]).drop("quantiles")
+    return compared.orderBy(*best_first).limit(k)
 
 
 def group_extremes(compared: DataFrame, aggregation: str = "mean") -> DataFrame:

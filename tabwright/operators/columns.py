@@ -136,6 +136,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row, as a scalar subquery."""
-    values = one_row.select(F.struct(*[col(c) for c in one_row.columns]).alias("v")).scalar()
-    return df.select("*", *[values[c].alias(c) for c in one_row.columns])
+    """Attach the columns of a one-row DataFrame to every row, as one scalar subquery."""
+    row = one_row.select(F.struct(*[col(c) for c in one_row.columns]).alias("v")).scalar()
+    attached = df.select("*", row.alias("__row"))
+    return attached.select(*[col(c) for c in df.columns], *[F.col("__row")[c].alias(c) for c in one_row.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import columns as C
+from tabwright.session import staged
 
 # Name parts that mark the column a domain counts by.
 DEPARTMENT_PARTS = ["dept", "department"]
@@ -113,11 +114,12 @@ def sales(lines: DataFrame, order: str, customer: str, product: str, amount: str
         C.col(order).alias("o"), C.col(customer).alias("c"), C.col(product).cast("string").alias("p"),
         C.col(amount).cast("double").alias("amount"),
     )
-    per_order = base.groupBy("o", "c").agg(F.sum("amount").alias("amount"))
+    # Every measure reads one of these two small tables, so the lines are passed over twice.
+    per_order = staged(base.groupBy("o", "c").agg(F.sum("amount").alias("amount")), "orders")
     average = per_order.agg(F.round(F.avg("amount"), 2).alias("value"))
     per_customer = per_order.groupBy("c").agg(F.count("*").alias("orders"))
     repeats = per_customer.agg(F.round(F.avg(F.when(F.col("orders") > 1, 100.0).otherwise(0.0)), 2).alias("value"))
-    per_product = base.groupBy("p").agg(F.round(F.sum("amount"), 2).alias("revenue"))
+    per_product = staged(base.groupBy("p").agg(F.round(F.sum("amount"), 2).alias("revenue")), "products")
     top = per_product.orderBy(F.desc("revenue"), "p").limit(k)
     # Concentration needs a cut-off, not a running total: no task ever orders all products.
     cut = exact_quantiles(per_product.withColumn("all", F.lit(1)), ["all"], "revenue", [0.8]).select(
