@@ -2,8 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is
 right while the input is small.  Beyond that the same answer is reached in two
-passes whose state stays bounded: a rank sketch brackets each wanted rank, then
-only the values inside the brackets are counted and ordered.
+passes whose state stays bounded: a rank sketch brackets each wanted rank (about a
+thousandth of the rows), the values inside a bracket are counted by bins, and only
+the bin that holds the rank is ordered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabwright.session import fits_one_task
 
 SKETCH_ACCURACY = 10_000
+BINS = 4_096
 
 
 def exact_quantiles(
@@ -70,16 +72,32 @@ def _bracketed(long: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
     )
     same_group = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
     in_reach = long.join(brackets, [*same_group, F.col("value") <= F.col("__hi")])
-    # Everything below the bracket collapses into one null slot per rank.
+    # Everything below the bracket collapses into one null slot per rank, bin 0; the bracket
+    # itself is cut into bins, of which only those that hold the rank are ever ordered.
+    width = F.col("__hi") - F.col("__lo")
+    at = F.floor(F.try_divide((F.col("__slot") - F.col("__lo")) * BINS, width))
+    bin_no = F.when(F.col("__slot").isNull(), 0).otherwise(F.coalesce(F.least(at, F.lit(BINS - 1)), F.lit(0)) + 1)
+    rank = [*by, "__i", "__pos"]
     counted = (
         in_reach.withColumn("__slot", F.when(F.col("value") >= F.col("__lo"), F.col("value")))
-        .groupBy(*by, "__i", "__pos", "__slot")
+        .groupBy(*rank, bin_no.alias("__bin"), "__slot")
         .agg(F.count("*").alias("__c"))
     )
-    running = Window.partitionBy(*by, "__i").orderBy(F.col("__slot").asc_nulls_first())
-    ranked = counted.withColumn("__cum", F.sum("__c").over(running))
     lower, upper = F.floor("__pos"), F.ceil("__pos")
-    picked = ranked.groupBy(*by, "__i", "__pos").agg(
+    up_to_bin = Window.partitionBy(*rank).orderBy("__bin")
+    bins = counted.groupBy(*rank, "__bin").agg(F.sum("__c").alias("__rows"))
+    bins = bins.withColumn("__through", F.sum("__rows").over(up_to_bin))
+    wanted = bins.withColumn("__before", F.col("__through") - F.col("__rows")).filter(
+        (F.col("__through") > lower) & (F.col("__before") <= upper)
+    )
+    wanted = wanted.select(
+        *[F.col(k).alias(f"__w{i}") for i, k in enumerate(rank)], F.col("__bin").alias("__wbin"), "__before"
+    )
+    in_bin = [F.col(k).eqNullSafe(F.col(f"__w{i}")) for i, k in enumerate(rank)]
+    kept = counted.join(wanted, [*in_bin, F.col("__bin") == F.col("__wbin")])
+    up_to_slot = Window.partitionBy(*rank, "__bin").orderBy(F.col("__slot").asc_nulls_first())
+    ranked = kept.withColumn("__cum", F.col("__before") + F.sum("__c").over(up_to_slot))
+    picked = ranked.groupBy(*rank).agg(
         F.min(F.when(F.col("__cum") > lower, F.col("__slot"))).alias("__x0"),
         F.min(F.when(F.col("__cum") > upper, F.col("__slot"))).alias("__x1"),
     )

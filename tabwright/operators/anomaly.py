@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions import parse
+from tabwright.functions import parse, stats
 from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
@@ -91,16 +91,16 @@ def driver_columns(scored: DataFrame) -> DataFrame:
 
 def summary(scored: DataFrame) -> DataFrame:
     """One row: rows, flagged rows and share, the driving columns, highest score."""
-    flagged = F.count_if("is_anomaly")
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("drivers"))))
-    return scored.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        flagged.alias("anomaly_count"),
-        F.round(F.try_divide(flagged * 100.0, F.count(F.lit(1))), 1).alias("anomaly_pct"),
-        names.alias("anomaly_columns"),
-        (flagged > 0).alias("has_anomaly"),
-        F.max("anomaly_score").alias("max_score"),
+    counts = scored.selectExpr(
+        "count(*) AS row_count",
+        "count_if(is_anomaly) AS anomaly_count",
+        f"{stats.percent('count_if(is_anomaly)', 'count(*)', 1)} AS anomaly_pct",
+        "count_if(is_anomaly) > 0 AS has_anomaly",
+        "max(anomaly_score) AS max_score",
     )
+    # At most one entry per column.
+    names = scored.filter("is_anomaly").select(F.explode("drivers").alias("d"))
+    return C.with_row(counts, names.selectExpr("array_sort(collect_set(d)) AS anomaly_columns"))
 
 
 def alert(scored: DataFrame, query: str) -> DataFrame:

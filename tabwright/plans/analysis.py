@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.operators import analyze, anomaly, charts, columns as C, forest, kpis, profile
 from tabwright.plans.registry import Tables, register
-from tabwright.plans.relational import lines_by_region
 from tabwright.plans.values import LABELLED, LINE_MEASURES, each, labelled_documents, pair_sql, rounded
 
 # --- profiles -----------------------------------------------------------------------------

@@ -18,13 +18,18 @@ def avg_to(c: str | Column, digits: int = 4) -> Column:
     return F.round(F.avg(c), digits)
 
 
-def lines_by_region(t: Tables) -> DataFrame:
-    return (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    )
+def revenue_by_customer(t: Tables) -> DataFrame:
+    """Line revenue per customer. Lines are summed per order first, which combines before the
+    shuffle, and the join with orders reuses that partitioning."""
+    per_order = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("revenue"))
+    joined = per_order.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_custkey").agg(F.sum("revenue").alias("revenue"))
+
+
+def per_part(t: Tables, *measures: Column) -> DataFrame:
+    """Line measures per part, before any join with the parts themselves."""
+    sums = t.lineitem.groupBy("l_partkey").agg(*measures)
+    return sums.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
 
 
 # --- sources, projection, filters -----------------------------------------------
@@ -167,10 +172,11 @@ def apply_column_mapping(t):
        JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment ORDER BY total_sales DESC, c_mktsegment LIMIT 1""",
 )
 def q_join_inner_agg_top1(t):
+    per_customer = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
     return (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        per_customer.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_mktsegment")
-        .agg(sum_to("o_totalprice").alias("total_sales"))
+        .agg(sum_to("total").alias("total_sales"))
         .orderBy(F.desc("total_sales"), "c_mktsegment")
         .limit(1)
     )
@@ -207,9 +213,10 @@ def q_join_multi_lookup(t):
        JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'""",
 )
 def q_join_filter(t):
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    per_customer = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    joined = per_customer.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return joined.filter(F.col("c_mktsegment") == "MACHINERY").agg(
-        F.count("*").alias("orders_placed"), sum_to("o_totalprice").alias("revenue")
+        F.sum("n").alias("orders_placed"), sum_to("total").alias("revenue")
     )
 
 
@@ -264,8 +271,18 @@ def q_agg_global(t):
        GROUP BY r_name ORDER BY revenue DESC""",
 )
 def q_group_sum(t):
+    per_nation = (
+        revenue_by_customer(t)
+        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey")
+        .agg(F.sum("revenue").alias("revenue"))
+    )
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return (
-        lines_by_region(t).groupBy("r_name").agg(sum_to("l_extendedprice").alias("revenue")).orderBy(F.desc("revenue"))
+        per_nation.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy("r_name")
+        .agg(sum_to("revenue").alias("revenue"))
+        .orderBy(F.desc("revenue"))
     )
 
 
@@ -280,8 +297,9 @@ def q_group_count(t):
        GROUP BY p_type ORDER BY avg_discount DESC""",
 )
 def q_group_avg(t):
-    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy("p_type").agg(avg_to("l_discount").alias("avg_discount")).orderBy(F.desc("avg_discount"))
+    parts = per_part(t, F.sum("l_discount").alias("total"), F.count("l_discount").alias("lines"))
+    mean = F.round(F.sum("total") / F.sum("lines"), 4)
+    return parts.groupBy("p_type").agg(mean.alias("avg_discount")).orderBy(F.desc("avg_discount"))
 
 
 @register(
@@ -365,8 +383,8 @@ def q_topn(t):
        GROUP BY p_name ORDER BY total_qty, p_name LIMIT 3""",
 )
 def q_bottomn(t):
-    joined = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy("p_name").agg(sum_to("l_quantity").alias("total_qty")).orderBy("total_qty", "p_name").limit(3)
+    parts = per_part(t, F.sum("l_quantity").alias("qty"))
+    return parts.groupBy("p_name").agg(sum_to("qty").alias("total_qty")).orderBy("total_qty", "p_name").limit(3)
 
 
 @register("q_sort", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_totalprice DESC")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Size, and where that is unknown the row count, up to which one task may hold a column.
 ONE_TASK_BYTES = 64 * 1024 * 1024
-ONE_TASK_ROWS = 5_000_000
+ONE_TASK_ROWS = 1_000_000
 
 _local_roots: dict[str, str] = {}
 
