@@ -16,7 +16,9 @@ from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators.anomaly import CONTAMINATION, column_medians, filled_columns
-from tabwright.session import spread, staged
+from tabwright.session import ship_with_tasks, spread, staged
+
+ship_with_tasks(__name__)
 
 TREES = 100
 SAMPLE = 256
@@ -78,7 +80,8 @@ def fit(features: DataFrame, names: list[str], rows: int) -> dict[int, pd.DataFr
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         return _grow(int(group["tree"].iloc[0]), np.stack(group["x"].to_numpy()))
 
-    nodes = sample.groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+    tasks = min(TREES, sample.sparkSession.sparkContext.defaultParallelism)
+    nodes = sample.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     return {int(t): part.sort_values("node") for t, part in nodes.groupby("tree")}
 
 

@@ -16,10 +16,12 @@ from tabwright.plans.analysis import ROLE_TABLES, ROLES_SQL, all_roles
 from tabwright.plans.cleaning import messy_orders
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import EVERY_TABLE, LABELLED, labelled_documents
-from tabwright.session import scratch_path
+from tabwright.session import scratch_path, ship_with_tasks
 from tabwright.sources import readers, store as S
 from tabwright.sources.workbook import read_workbooks
 
+ship_with_tasks(__name__)
+
 # --- files: written by Spark below the shared folder, then read back ---------------------------
 
 _PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]

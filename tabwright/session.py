@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Size, and where that is unknown the row count, up to which one task may hold a column.
@@ -90,3 +92,8 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(min(cores, 1 + size // (256 * 1024)))
+
+
+def ship_with_tasks(module: str) -> None:
+    """Send a module's functions to Python workers by value: executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

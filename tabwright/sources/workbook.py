@@ -12,6 +12,10 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.session import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 _CHUNK = 10_000
 # Built-in number formats that show dates or times.
 _DATE_FORMATS = set(range(14, 23)) | set(range(45, 48))
