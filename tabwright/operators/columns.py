@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.functions.text import name, one_of, quoted
+from tabwright.functions.text import name, quoted
 from tabwright.session import spread
 
 _NUMERIC = (T.NumericType,)
@@ -53,8 +53,8 @@ def per_column(df: DataFrame, columns: Sequence[str], stats: Callable[[str], Map
 
 
 def _stacked(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
-    cells = spread(df.selectExpr(*[f"{dtype}({name(c)}) AS {name(c)}" for c in columns]))
-    return cells.unpivot([], [name(c) for c in columns], "attribute", "value")
+    cells = spread(df.selectExpr(*[f"CAST({name(c)} AS {dtype}) AS {name(c)}" for c in columns]))
+    return cells.unpivot([], [name(c) for c in columns], "attribute", "value").filter("value IS NOT NULL")
 
 
 def schema_rows(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
@@ -63,14 +63,9 @@ def schema_rows(spark: SparkSession, columns: Sequence[str]) -> DataFrame:
     return named.select("attribute", "position")
 
 
-def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(attribute, value): one row per non-null cell, as text."""
-    return _stacked(df, columns, "string").filter("value IS NOT NULL")
-
-
 def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(attribute, value): one row per cell of the numeric columns, as doubles."""
-    return _stacked(df, columns, "double").filter("value IS NOT NULL AND NOT isnan(value)")
+    return _stacked(df, columns, "double").filter("NOT isnan(value)")
 
 
 def per_number(
@@ -90,14 +85,30 @@ def per_number(
     return listed.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
+def _families(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by the type their values are counted in."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    families: dict[str, list[str]] = {}
+    for column, dtype in df.dtypes:
+        if column in columns:
+            families.setdefault("bigint" if dtype in whole else dtype, []).append(column)
+    return families
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(attribute, value, n, num). The one shuffle behind distinct counts, top values and modes.
 
-    ``num`` is the value as a double for numeric columns, so that they order as numbers.
+    Cells are counted in their own type, which keeps numbers small in the shuffle, and
+    become text afterwards. ``num`` is the value of a number, so that numbers order as such.
     """
-    counts = long_values(df, columns).groupBy("attribute", "value").agg(F.count("*").alias("n"))
-    number = f"CASE WHEN {one_of('attribute', numeric)} THEN try_cast(value AS DOUBLE) END" if numeric else "double(NULL)"
-    return counts.withColumn("num", F.expr(number))
+    result = None
+    for dtype, members in _families(df, columns).items():
+        counts = _stacked(df, members, dtype).groupBy("attribute", "value").agg(F.count("*").alias("n"))
+        is_number = dtype in ("bigint", "float", "double") or dtype.startswith("decimal")
+        num = "double(value)" if is_number else "double(NULL)"
+        part = counts.selectExpr("attribute", "string(value) AS value", "n", f"{num} AS num")
+        result = part if result is None else result.unionByName(part)
+    return result
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:

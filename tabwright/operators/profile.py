@@ -69,7 +69,7 @@ def profile_table(df: DataFrame) -> DataFrame:
 
     out = C.per_column(df, flat, one)
     # Distinct counts, top values and samples come from the same shuffle of value counts.
-    counts = C.value_counts(df, flat, numeric)
+    counts = C.value_counts(df, flat)
     ranked = lambda fields, to: F.expr(f"array_sort(collect_list(struct({fields})))").alias(to)
     top = C.top_values(counts, 5).groupBy("attribute").agg(ranked("rank, value, n", "__top"))
     first = C.smallest_values(counts, SAMPLE_ALL_UP_TO).groupBy("attribute").agg(ranked("rank, value", "__first"))
@@ -186,5 +186,5 @@ def quality_score_v1(df: DataFrame) -> DataFrame:
 
 def profile_samples(df: DataFrame, k: int = 3) -> DataFrame:
     """The k smallest distinct values of every column, as text."""
-    counts = C.value_counts(df, C.flat_columns(df), C.numeric_columns(df))
+    counts = C.value_counts(df, C.flat_columns(df))
     return C.smallest_values(counts, k).select("attribute", "rank", "value")

@@ -122,7 +122,7 @@ ORDER_FIELDS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
     ),
 )
 def agg_top_values(t):
-    counts = C.value_counts(t.orders, ORDER_FIELDS, ["o_custkey"])
+    counts = C.value_counts(t.orders, ORDER_FIELDS)
     return C.top_values(counts, 5).select("attribute", "rank", "value", "n")
 
 
@@ -138,7 +138,7 @@ EVENT_FIELDS = ["user_id", "event_type", "value"]
     ),
 )
 def agg_mode(t):
-    return C.modes(C.value_counts(t.events, EVENT_FIELDS, ["user_id", "value"]))
+    return C.modes(C.value_counts(t.events, EVENT_FIELDS))
 
 
 @register(
