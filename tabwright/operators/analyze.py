@@ -110,7 +110,8 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation_leaders(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     """The k strongest positive and the k strongest negative pairs."""
     pairs = correlation(df, columns)
-    label = F.format_string("%s & %s (%+.2f)", "col1", "col2", "correlation")
+    # format_number rounds the exact binary value, as printf does; format_string does not.
+    label = F.expr("concat(col1, ' & ', col2, ' (', if(correlation < 0, '', '+'), format_number(correlation, 2), ')')")
     strength = F.abs("correlation")
 
     def side(direction: str, keep: Column) -> DataFrame:

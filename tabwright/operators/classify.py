@@ -120,6 +120,7 @@ def classify_domain(catalog: DataFrame, whole_words: bool = False) -> DataFrame:
         )
     number = F.coalesce("first_number", F.lit("metric"))
     category = F.coalesce("first_other", F.lit("category"))
+    # The five questions.
     questions = F.array(
         F.format_string("What is the total distribution of %s across the dataset?", number),
         F.format_string("Which %s accounts for the highest values?", category),

@@ -87,7 +87,7 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 _NULL_PCT = "(100D * (row_count - filled) / row_count)"
-# Condition, severity, description and suggestion of every per-column issue.
+# Severities and texts of the issues, each after the condition that raises it.
 _COLUMN_ISSUES = [
     (
         f"{_NULL_PCT} > 10 AND {_NULL_PCT} < 100",

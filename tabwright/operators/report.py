@@ -41,6 +41,7 @@ def limitations(roles: DataFrame, duplicates: DataFrame, entity_column: str | No
         ),
         ", ",
     )
+    # The sentences, each after the condition that calls for it.
     without_entity = F.lit(entity_column is None) & (F.col("ids") == 0)
     rules: list[tuple[Column, Column]] = [
         (F.size("sparse") > 0,

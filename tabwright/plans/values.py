@@ -403,11 +403,12 @@ def fn_round(t):
 )
 def fn_format(t):
     pct = F.lit(100.0) * F.count_if(F.col("o_orderstatus") == "F") / F.count("*")
+    offset = F.round(F.avg("o_totalprice") / 250000 - 1, 6)
     return t.orders.groupBy("o_orderpriority").agg(
         F.format_number(F.count("*"), 0).alias("n_text"),
         F.format_number(F.round(F.sum("o_totalprice"), 2), 2).alias("total_text"),
-        F.format_string("%.1f%%", pct).alias("pct_text"),
-        F.format_string("%+.2f", F.round(F.avg("o_totalprice") / 250000 - 1, 6)).alias("signed_text"),
+        F.concat(F.format_number(pct, 1), F.lit("%")).alias("pct_text"),
+        F.concat(F.when(offset < 0, "").otherwise("+"), F.format_number(offset, 2)).alias("signed_text"),
     )
 
 
