@@ -559,7 +559,17 @@ def chart_crosstab_heatmap(t):
     return charts.heatmap(cells, "row_value", "col_value", "pct", ["de", "en", "es", "fr"])
 
 
-@register("chart_scatter")
+_GRID = "least(floor(({x} - min({x}) OVER ()) * 20 / (max({x}) OVER () - min({x}) OVER ())) + 1, 20)::INTEGER"
+
+
+@register(
+    "chart_scatter",
+    f"""WITH m AS (SELECT avg(value) AS mu, stddev_samp(value) AS sd FROM events),
+    z AS (SELECT value, abs((value - mu) / sd) AS score FROM events, m),
+    f AS (SELECT *, score >= greatest(2.5, (SELECT quantile_cont(score, 0.95) FROM z)) AS is_anomaly FROM z),
+    g AS (SELECT {_GRID.format(x='value')} AS x_bin, {_GRID.format(x='score')} AS y_bin, is_anomaly FROM f)
+    SELECT x_bin, y_bin, is_anomaly, count(*) AS n FROM g GROUP BY ALL""",
+)
 def chart_scatter(t):
     scored = anomaly.zscore(t.events, ["value"])
     return charts.density(scored, "value", "anomaly_score", "is_anomaly")
