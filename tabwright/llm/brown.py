@@ -8,7 +8,7 @@ probability is that of its class after the class before it, times that of the wo
   place.
 - Exchange clustering assigns the classes: a word moves to the class that raises the likelihood of
   the training bigrams most, until few move. The frequent words move one by one; all others, and
-  unseen ones, are tied by their first and last letters and move together with their kind. So
+  unseen ones, are tied by their first and last bytes and move together with their kind. So
   the table of classes has a fixed size, while the bigram counts behind it cover all texts.
 - Smoothing: transitions are interpolated with the classes' own shares; in a class every word
   counts a tenth more than it was seen, and one further word stands for the unseen.
@@ -39,10 +39,10 @@ ADD = 0.1
 CLASSES = 64
 #: Words with a class of their own choice; all others are of one of KINDS kinds.
 FREQUENT = 1024
-KINDS = 1024
+KINDS = 3072
 #: Weight of the classes' own shares in a transition.
 BACKOFF = 5.0
-SWEEPS = 12
+SWEEPS = 8
 SHARD_BYTES = 32 << 20
 SLICE_BYTES = 8 << 20
 END_HASH = 1
@@ -70,13 +70,13 @@ class Model:
 
 
 def kinds_of(words: Words, which: np.ndarray) -> np.ndarray:
-    """The kind of words: a hash of their first three and last three bytes."""
+    """The kind of words: a hash of their first two bytes and their last one."""
     start, end = words.start[which], words.end[which]
     if not len(start):
         return np.zeros(0, np.int64)
     eight = np.ndarray((len(words.data) - 7,), "<u8", words.data.data, strides=(1,))
-    head = eight[start] & MASK[np.minimum(end - start, 3)]
-    tail = eight[np.maximum(end - 3, start)] & MASK[np.minimum(end - start, 3)]
+    head = eight[start] & MASK[np.minimum(end - start, 2)]
+    tail = words.data[end - 1].astype(np.uint64)
     return (mix(head ^ (tail << np.uint64(32))) % np.uint64(KINDS)).astype(np.int64)
 
 

@@ -27,6 +27,12 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def first_words(text: str, words: str) -> Column:
+    """The text up to the end of its n-th word, n a column."""
+    pieces = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(pieces, F.lit(1), F.col(words).cast("int")), "")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], repeats: int) -> DataFrame:
     """Words each source should give: shares by weight, none above ``repeats`` times its own words.
 
@@ -58,15 +64,16 @@ def fair_queue(
     id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    row: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, served).
+    """(documents, served). ``row`` is a column that tells input rows apart, else they are numbered.
 
     documents: row (a number for each input row), id, source, size, source_size, target.
     served: row, pass, taken (words), finish (virtual time), through (words served so far), in which
     ``finish`` orders the mix.
     """
     narrow = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col(id).alias("id"),
         F.col(source).alias("source"),
         word_count(text).alias("size"),

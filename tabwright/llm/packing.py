@@ -257,7 +257,8 @@ def close_sequence(room: list, local: int) -> list:
 
 
 def pack_documents(docs: DataFrame, file: str, length: int = LENGTH, id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``with_ids`` adds the ids.
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``with_ids`` adds
+    the ids (unsigned 16-bit, little endian).
 
     Tokenized documents are written once, so sorting them never encodes a text again. A sequence is
     numbered by its range and its place there.
@@ -276,8 +277,8 @@ def pack_documents(docs: DataFrame, file: str, length: int = LENGTH, id: str = "
             "sequence_id": sequence, "offset": offset,
         }
         if with_ids:
-            columns["ids"] = [x.tolist() for x in wide]
-        return pa.RecordBatch.from_pydict({k: v if k == id else pa.array(v, pa.list_(pa.int64()) if k == "ids" else pa.int64()) for k, v in columns.items()})
+            columns["ids"] = pa.array([x.tobytes() for x in ids], pa.binary())
+        return pa.RecordBatch.from_pydict({k: v if k in (id, "ids") else pa.array(v, pa.int64()) for k, v in columns.items()})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal known
@@ -295,4 +296,4 @@ def pack_documents(docs: DataFrame, file: str, length: int = LENGTH, id: str = "
 
     known = None
     numbers = ", ".join(f"`{c}` long" for c in ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    return ordered.select("id", "ids").mapInArrow(pack, f"`{id}` {kind}, {numbers}" + (", ids array<long>" if with_ids else ""))
+    return ordered.select("id", "ids").mapInArrow(pack, f"`{id}` {kind}, {numbers}" + (", ids binary" if with_ids else ""))

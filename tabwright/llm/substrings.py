@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.llm.textscan import Words, mix, ragged, scan, shingle_hashes, slices, word_hashes
 from tabwright.session import input_bytes, ship_with_tasks, staged
@@ -73,10 +73,14 @@ def marks(hashes: np.ndarray, first: np.ndarray, starts: np.ndarray) -> tuple[np
 
 
 def text_digests(words: Words) -> np.ndarray:
-    """64 bits of each whole text."""
+    """64 bits of each whole text; ``digest_of`` is the same as a column."""
     raw = words.data[:-8].tobytes()
-    own = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
-    return np.frombuffer(b"".join(own), np.int64)
+    own = [hashlib.md5(raw[a:b]).digest()[:8] for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
+    return np.frombuffer(b"".join(own), ">i8").astype(np.int64)
+
+
+def digest_of(text: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit(""))), 1, 16), 16, -10).cast("long")
 
 
 def joined(raw: bytes) -> bytes:
@@ -349,9 +353,10 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     judged = texts.join(judged, ["id", "digest"]).dropDuplicates(["id", "digest"])
     cut = staged(judged.mapInArrow(_cut_rows, "id long, digest long, n_removed long, kept_sha256 string, kept_text string"), "cut")
     # Equal texts: the smallest id of each that occurs more than once.
-    twice = every.filter("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"))
-    twice = staged(twice.filter("smallest < largest").select("digest", "smallest"), "equal-texts")
-    out = every.join(twice, "digest", "left").join(cut.withColumnRenamed("kept_sha256", "cut_sha256"), ["id", "digest"], "left")
+    same = ["digest", "kept_sha256"]
+    twice = every.filter("id IS NOT NULL").groupBy(*same).agg(F.min("id").alias("smallest"), F.max("id").alias("largest"))
+    twice = staged(twice.filter("smallest < largest").select(*same, "smallest"), "equal-texts")
+    out = every.join(twice, same, "left").join(cut.withColumnRenamed("kept_sha256", "cut_sha256"), ["id", "digest"], "left")
     copy = F.coalesce(F.col("id") > F.col("smallest"), F.lit(False)) & (F.col("n_words") >= WINDOW)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
