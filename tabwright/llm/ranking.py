@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of a bucket that one window task orders, at least.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def bucket_count(rows: int) -> int:
