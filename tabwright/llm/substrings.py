@@ -4,7 +4,7 @@ A window is a run of ``WINDOW`` consecutive words of a document. A word goes whe
 covers it starts, with the same words, in a document with a smaller id as well.
 
 1. *Candidates.* Equal windows hold the same smallest ``GRAM``-word hash, at the same place. Only
-   these hashes (about one word in five) are shuffled; those that two different texts share mark
+   these hashes (about one word in four) are shuffled; those that two different texts share mark
    the suffixes that can repeat. Of equal texts the one with the smallest id stands for all.
 2. *Trees.* The marked suffixes are dealt out by a prefix, which is longer where the mark says
    that it is frequent. A group's suffixes, sorted by their words, are the leaves of its subtree
@@ -13,7 +13,7 @@ covers it starts, with the same words, in a document with a smaller id as well.
    are combined before they are shuffled.
 3. *Cutting.* The repeated starts come back to their documents, whose kept words are joined.
 
-Edges are hashes of four to five words; a leaf is told from another by 128 bits of them.
+Edges are hashes of four to five words; a leaf is told from another by 112 bits of them.
 
 Nulls: a null text has no words. A row without an id is never cut and owns nothing. Rows repeated
 with the same id and text are treated alike; rows of one id with different texts are told apart
@@ -35,7 +35,7 @@ from tabwright.session import input_bytes, ship_with_tasks, staged
 ship_with_tasks(__name__)
 
 WINDOW = 13
-GRAM = 5
+GRAM = 7
 #: Words up to which each edge of the tree reaches: prefix lengths that groups may be formed by.
 DEPTHS = (4, 8, 13)
 #: Texts that share a mark before longer prefixes part its suffixes.
@@ -87,67 +87,92 @@ def joined(raw: bytes) -> bytes:
     return b" ".join(raw.split())
 
 
-def _scan_rows(groups: int):
-    """Every document's counts, and the marks of each slice by group."""
+def pack_entries(ids: np.ndarray, digests: np.ndarray, text: np.ndarray, where: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Entries (text of the slice, word, values) as bytes, by text and word.
+
+    Texts are written once with the number of their entries, words as steps, 64-bit values as their lower 48 bits.
+    """
+    order = np.lexsort((where, text))
+    text, where = text[order], where[order].astype(np.int64)
+    used, begin, count = np.unique(text, return_index=True, return_counts=True)
+    steps = np.diff(where, prepend=0)
+    steps[begin] = where[begin]
+    out = [np.array([len(used), len(text)], np.int64), ids[used].astype(np.int64), digests[used].astype(np.int64)]
+    out += [count.astype(np.uint32), steps.astype(np.uint32)]
+    for c in columns:
+        c = np.ascontiguousarray(c[order])
+        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :6]) if c.dtype == np.uint64 else c)
+    return b"".join(x.tobytes() for x in out)
+
+
+def unpack_entries(blob: bytes, kinds: tuple) -> tuple[np.ndarray, ...]:
+    """(document, digest, word, values...) of each entry."""
+    texts, n = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    at, out = 16, []
+    for kind, m in ((np.int64, texts), (np.int64, texts), (np.uint32, texts), (np.uint32, n)):
+        out.append(np.frombuffer(blob, kind, m, at))
+        at += out[-1].nbytes
+    ids, digests, count, steps = out
+    count = count.astype(np.int64)
+    total = np.cumsum(steps, dtype=np.int64)
+    begin = np.cumsum(count) - count
+    before = np.where(begin > 0, total[np.maximum(begin - 1, 0)], 0)
+    values = []
+    for kind in kinds:
+        if kind == np.uint64:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+            at += 6 * n
+            values.append(wide.reshape(-1).view(np.uint64))
+        else:
+            values.append(np.frombuffer(blob, kind, n, at))
+            at += values[-1].nbytes
+    return np.repeat(ids, count), np.repeat(digests, count), (total - np.repeat(before, count)).astype(np.uint32), *values
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every document's counts, as if nothing were cut."""
+    for part in slices(batches, "text"):
+        w = scan(part.column("text"))
+        raw, digests = w.data[:-8].tobytes(), text_digests(w)
+        kept = [hashlib.sha256(joined(raw[a:b])).hexdigest() for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("id"), pa.array(digests), pa.array(w.count.astype(np.int64)), pa.array(kept)], ["id", "digest", "n_words", "kept_sha256"]
+        )
+
+
+def _mark_rows(groups: int):
+    """The marks of each slice by group."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             w = scan(part.column("text"))
-            raw, hashes, digests = w.data[:-8].tobytes(), word_hashes(w), text_digests(w)
-            ids = part.column("id")
-            n = part.num_rows
-            kept = [hashlib.sha256(joined(raw[a:b])).hexdigest() for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
-            none = lambda m, kind: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays(
-                [none(n, pa.int32()), ids, pa.array(digests), pa.array(w.count.astype(np.int64)), pa.array(kept), none(n, pa.binary())],
-                NAMES,
-            )
             starts, window_first = window_starts(w.first)
             if not len(starts):
                 continue
-            at_word, place = marks(hashes, w.first, starts)
+            at_word, place = marks(word_hashes(w), w.first, starts)
+            ids = part.column("id")
             named = np.array(ids.is_valid())
-            text = np.repeat(np.arange(n), np.diff(window_first))
-            chosen = np.unique(place[named[text]])
-            text = np.searchsorted(w.first, chosen, side="right") - 1
-            mark = at_word[chosen]
-            group = (mark >> np.uint64(32)) % np.uint64(groups)
-            order = np.argsort(group, kind="stable")
-            chosen, text, mark, group = chosen[order], text[order], mark[order], group[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             id_of = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            blobs = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                used, local = np.unique(text[a:b], return_inverse=True)
-                head = np.array([len(used), b - a], np.int64).tobytes()
-                where = (chosen[a:b] - w.first[text[a:b]]).astype(np.uint32)
-                blobs.append(
-                    head + id_of[used].tobytes() + digests[used].tobytes() + mark[a:b].tobytes() + where.tobytes() + local.astype(np.uint32).tobytes()
-                )
-            m = len(blobs)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[cuts[:-1]].astype(np.int32)), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.string()), pa.array(blobs, pa.binary())],
-                NAMES,
-            )
+            chosen = np.unique(place[named[np.repeat(np.arange(part.num_rows), np.diff(window_first))]])
+            text = np.searchsorted(w.first, chosen, side="right") - 1
+            digests, mark = text_digests(w), at_word[chosen]
+            yield _dealt(mark >> np.uint64(48), groups, lambda e: pack_entries(id_of, digests, text[e], chosen[e] - w.first[text[e]], [mark[e]]))
 
     return rows
 
 
-NAMES = ["group", "id", "digest", "n_words", "kept_sha256", "marks"]
-SCANNED = "group int, id long, digest long, n_words long, kept_sha256 string, marks binary"
+def _dealt(key: np.ndarray, groups: int, packed) -> pa.RecordBatch:
+    """A row for each group that entries fall in by their key."""
+    group = (mix(key) % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+    parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    numbers = np.array([group[p[0]] for p in parts], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([packed(p) for p in parts], pa.binary())], ["group", "packed"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    """(document, digest, mark, word) of each entry."""
-    texts, n = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    ids = np.frombuffer(blob, np.int64, texts, at)
-    digests = np.frombuffer(blob, np.int64, texts, at + 8 * texts)
-    at += 16 * texts
-    mark = np.frombuffer(blob, np.uint64, n, at)
-    where = np.frombuffer(blob, np.uint32, n, at + 8 * n)
-    local = np.frombuffer(blob, np.uint32, n, at + 12 * n)
-    return ids[local], digests[local], mark, where
+PACKED = "group int, packed binary"
 
 
 def shared_marks(table: pa.Table) -> pa.Table:
@@ -156,8 +181,8 @@ def shared_marks(table: pa.Table) -> pa.Table:
     Of equal texts only the smallest document is kept. A place is a word number, and in its
     upper two bits how frequent the mark is.
     """
-    parts = [_unpack(b) for b in table.column("marks").to_pylist()]
-    ids, digests, mark, where = (np.concatenate(x) for x in zip(*parts))
+    parts = [unpack_entries(b, (np.uint64,)) for b in table.column("packed").to_pylist()]
+    ids, digests, where, mark = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, digests, mark))
     ids, digests, mark, where = ids[order], digests[order], mark[order], where[order]
     new_mark = np.concatenate([[True], mark[1:] != mark[:-1]])
@@ -186,7 +211,7 @@ PLACES = "id long, digest long, places binary"
 
 
 def _suffix_rows(groups: int):
-    """Marked suffixes by group, combined within a slice; and the starts a slice can already judge."""
+    """Marked suffixes by group. Equal ones of a slice are combined: those of a larger document go along as judged."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -214,43 +239,21 @@ def _suffix_rows(groups: int):
             new = np.concatenate([[True], np.any([e[1:] != e[:-1] for e in edges], axis=0)])
             leaf = np.flatnonzero(new)
             owner = ids[text[leaf]][np.cumsum(new) - 1]
-            beaten = ids[text] > owner
-            where = (starts - w.first[text]).astype(np.uint32)
-            # What a smaller document of the same slice has as well is judged here.
-            local = _by_document(ids[text][beaten], digests[text][beaten], where[beaten])
-            # All of the smallest document's own starts follow its leaf.
-            rest = ~beaten
-            edges, text, where, level = [e[rest] for e in edges], text[rest], where[rest], level[rest]
+            beaten = (ids[text] > owner).astype(np.uint8)
+            where = starts - w.first[text]
             prefix = edges[0].copy()
             for depth in (1, 2):
                 prefix = np.where(level >= depth, mix(prefix ^ edges[depth]), prefix)
-            group = ((prefix >> np.uint64(20)) % np.uint64(groups)).astype(np.int32)
-            order = np.argsort(group, kind="stable")
-            edges, text, where, group = [e[order] for e in edges], text[order], where[order], group[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-            blobs = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                used, place = np.unique(text[a:b], return_inverse=True)
-                head = np.array([len(used), b - a], np.int64).tobytes()
-                packed = [ids[used].astype(np.int64), digests[used], edges[0][a:b].astype(np.uint32), edges[1][a:b].astype(np.uint32)]
-                packed += [edges[2][a:b], where[a:b], place.astype(np.uint32)]
-                blobs.append(head + b"".join(x.tobytes() for x in packed))
-            m, n = len(blobs), local.num_rows
-            nulls = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[cuts[:-1]]), pa.array(blobs, pa.binary()), nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.binary())], SUFFIX_NAMES
-            )
-            if n:
-                local = local.combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [nulls(n, pa.int32()), nulls(n, pa.binary()), *[local.column(c).chunk(0) for c in ("id", "digest", "places")]], SUFFIX_NAMES
-                )
+            upper, lower = edges[0].astype(np.uint32), edges[1].astype(np.uint32)
 
-    return rows
+            def packed(e, ids=ids, digests=digests, text=text, where=where, beaten=beaten, edges=(upper, lower, edges[2])):
+                live, gone = e[beaten[e] == 0], e[beaten[e] == 1]
+                own = pack_entries(ids, digests, text[live], where[live], [x[live] for x in edges])
+                return len(own).to_bytes(8, "little") + own + pack_entries(ids, digests, text[gone], where[gone], [])
 
+            yield _dealt(prefix, groups, packed)
 
-SUFFIX_NAMES = ["group", "suffixes", "id", "digest", "places"]
-SUFFIXES = "group int, suffixes binary, " + PLACES
+    return rows
 
 
 def _edge(hashes: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -267,22 +270,22 @@ def repeated_starts(table: pa.Table) -> pa.Table:
     Sorted by their edges, suffixes are the tree's leaves in order. Neighbours that share all
     edges hang from one node as deep as a window.
     """
-    parts = []
-    for blob in table.column("suffixes").to_pylist():
-        texts, n = np.frombuffer(blob, np.int64, 2)
-        at, own = 16, []
-        for kind, count in ((np.int64, texts), (np.int64, texts), (np.uint32, n), (np.uint32, n), (np.uint64, n), (np.uint32, n), (np.uint32, n)):
-            own.append(np.frombuffer(blob, kind, count, at))
-            at += own[-1].nbytes
-        ids, digests, *edges, where, local = own
-        parts.append((ids[local], digests[local], *edges, where))
-    ids, digests, *edges, where = (np.concatenate(x) for x in zip(*parts))
+    trees, judged = [], []
+    for blob in table.column("packed").to_pylist():
+        size = int.from_bytes(blob[:8], "little")
+        trees.append(unpack_entries(blob[8 : 8 + size], EDGE_KINDS))
+        judged.append(unpack_entries(blob[8 + size :], ()))
+    ids, digests, where, *edges = (np.concatenate(x) for x in zip(*trees))
     depth, order = common_depths(edges, ids)
     ids, digests, where = ids[order], digests[order], where[order]
     leaf = np.flatnonzero(depth < DEPTHS[-1])  # a leaf whose neighbour before shares less than a window
     owner = np.repeat(ids[leaf], np.diff(np.append(leaf, len(ids))))
     later = ids > owner
-    return _by_document(ids[later], digests[later], where[later])
+    found = zip((ids[later], digests[later], where[later]), (np.concatenate(x) for x in zip(*judged)))
+    return _by_document(*(np.concatenate(x) for x in found))
+
+
+EDGE_KINDS = (np.uint32, np.uint32, np.uint64)
 
 
 def common_depths(edges: list[np.ndarray], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,15 +332,12 @@ def removed_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Starts: id, digest, places (lists of packed word numbers), for the smallest of equal texts.
     """
     groups = groups_for(docs)
-    scanned = staged(docs.mapInArrow(_scan_rows(groups), SCANNED), "scanned")
-    marked = scanned.filter("marks IS NOT NULL").select("group", "marks").groupBy("group").applyInArrow(shared_marks, PLACES)
+    marked = docs.mapInArrow(_mark_rows(groups), PACKED).groupBy("group").applyInArrow(shared_marks, PLACES)
     marked = marked.groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
     texts = staged(docs.join(marked, "id").select("id", "digest", "places", "text"), "marked-texts")
-    found = staged(texts.mapInArrow(_suffix_rows(groups), SUFFIXES), "suffixes")
-    trees = found.filter("suffixes IS NOT NULL").select("group", "suffixes").groupBy("group").applyInArrow(repeated_starts, PLACES)
-    judged = found.filter("places IS NOT NULL").select("id", "digest", "places").unionByName(trees)
+    judged = texts.mapInArrow(_suffix_rows(groups), PACKED).groupBy("group").applyInArrow(repeated_starts, PLACES)
     judged = judged.groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
-    every = scanned.filter("marks IS NULL").select("id", "digest", "n_words", "kept_sha256")
+    every = staged(docs.mapInArrow(_counted, "id long, digest long, n_words long, kept_sha256 string"), "counted")
     return every, judged, texts.select("id", "digest", "text")
 
 
