@@ -43,8 +43,8 @@ KINDS = 3072
 #: Weight of the classes' own shares in a transition.
 BACKOFF = 5.0
 SWEEPS = 8
-SHARD_BYTES = 32 << 20
-SLICE_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 END_HASH = 1
 
 END = CLASSES  # the class of the end token
@@ -213,7 +213,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     the class in which the bigram likelihood of classes is highest.
     """
     n = len(bigrams)
-    bigrams = bigrams.astype(np.float64)
+    bigrams = bigrams.astype(np.float64, copy=False)
     weight = bigrams.sum(axis=1) + bigrams.sum(axis=0)
     order = np.argsort(-weight[:-1], kind="stable")
     of = np.full(n, classes, np.int64)
@@ -375,7 +375,7 @@ def _scored(sent, shards: int):
             h, text, klass = hashes[rare][order], text[order], model.classes[types[rare][order]].astype(np.uint8)
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))
             times = np.diff(np.append(new, len(h))).astype(np.uint32)
-            asked = _sharded(shards, h[new], [h[new], text[new].astype(np.uint16), times, klass[new]], np.concatenate([[n], part.column("row").to_numpy()]).astype(np.int64).tobytes())
+            asked = _sharded(shards, h[new], [h[new], text[new].astype(np.uint16), times, klass[new]], np.int64(part.column("row")[0].as_py()).tobytes())
             m = asked.num_rows
             yield pa.RecordBatch.from_arrays([*asked.columns, *[nulls(m, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], SENT_NAMES)
 
@@ -395,9 +395,8 @@ def _answers(sent):
         hashes, counts = (table[0][0], table[0][1]) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         out = []
         for blob in asked.column("packed").to_pylist():
-            (n,) = np.frombuffer(blob, np.int64, 1)
-            names = np.frombuffer(blob, np.int64, n, 8)
-            h, text, times, klass = _columns(blob, ASKED_KINDS, 8 + 8 * n)
+            (row,) = np.frombuffer(blob, np.int64, 1)  # rows of a slice are numbered one by one
+            h, text, times, klass = _columns(blob, ASKED_KINDS, 8)
             count = np.zeros(len(h), np.int64)
             if len(hashes):
                 place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -405,7 +404,7 @@ def _answers(sent):
             log = np.log10(count + ADD)
             used, local = np.unique(text, return_inverse=True)
             total = lambda x: np.bincount(local, x * times, minlength=len(used))
-            out.append((names[used], total(count > 0).astype(np.int64), total(log - z), total(log - model.inside[klass])))
+            out.append((row + used.astype(np.int64), total(count > 0).astype(np.int64), total(log - z), total(log - model.inside[klass])))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
         return pa.table(dict(zip(["row", "known", "base", "score"], columns)))
 
