@@ -51,7 +51,7 @@ END = CLASSES  # the class of the end token
 
 
 def shards_for(docs: DataFrame) -> int:
-    return max(16, 2 * input_bytes(docs) // SHARD_BYTES)
+    return max(64, 2 * input_bytes(docs) // SHARD_BYTES)
 
 
 @dataclass

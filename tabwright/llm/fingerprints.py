@@ -14,6 +14,8 @@ texts have equal fingerprints, repeated rows get a row each. An empty table give
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,18 +63,24 @@ def simhash(texts: pa.Array) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">i8").astype(np.int64).reshape(len(count), BITS // 64)
 
 
+def _halves(texts: pa.Array) -> pa.StructArray:
+    high, low = simhash(texts).T
+    return pa.StructArray.from_arrays([pa.array(high.copy()), pa.array(low.copy())], ["high", "low"])
+
+
+PRINT = "struct<high: bigint, low: bigint>"
+
+
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the fingerprint of a text column as a struct of two longs."""
     names = df.columns
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            high, low = simhash(part.column(text)).T
-            both = pa.StructArray.from_arrays([pa.array(high.copy()), pa.array(low.copy())], ["high", "low"])
-            yield pa.RecordBatch.from_arrays([*part.columns, both], [*names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, _halves(part.column(text))], [*names, name])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(add, f"{', '.join(fields)}, `{name}` struct<high: bigint, low: bigint>")
+    return df.mapInArrow(add, f"{', '.join(fields)}, `{name}` {PRINT}")
 
 
 def distance(a: str, b: str) -> Column:
@@ -131,47 +139,71 @@ def _range_of(id: str, bounds: list) -> Column:
     )
 
 
-def beside_next(docs: DataFrame, id: str, text: str, carry: list[str]) -> DataFrame:
-    """The rows with ``next``: a struct of the text and ``carry`` columns of the next row by descending id.
-
-    After the last row comes the first. Ids are cut into ranges by approximate quantiles; a window
-    orders one range, to which the first row of the following range is added. Texts are shuffled once.
-    """
-    n = docs.count()
+def in_ranges(docs: DataFrame, id: str) -> DataFrame:
+    """The rows with ``__range``, ids cut into ranges by approximate quantiles, highest last; and once more, with
+    ``__extra`` 1, the first row (by descending id) of each range for the range that ends before it."""
+    ids = docs.select(id)
+    n = ids.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     cuts = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(id, cuts, max(10_000, 10 * ranges))).first()[0] if cuts else None
+    found = ids.agg(F.percentile_approx(id, cuts, max(10_000, 10 * ranges))).first()[0] if cuts else None
     bounds = sorted(set(found or []))
+    order = Window.partitionBy().orderBy(F.col("__own").desc())
+    heads = ids.select(id, _range_of(id, bounds).alias("__own")).groupBy("__own").agg(F.max(id).alias("__head"))
+    needed = F.coalesce(F.lag("__own").over(order), F.min("__own").over(Window.partitionBy()))
+    heads = staged(heads.select("__head", "__own", needed.alias("__for")), "range-heads")  # at most RANGES rows of three numbers
     placed = docs.withColumn("__range", _range_of(id, bounds))
-    # One row per range: its first id, and the range that needs it as the row after its last.
-    heads = docs.select(F.col(id), _range_of(id, bounds).alias("__range")).groupBy("__range").agg(F.max(id).alias("__head"))
-    order = Window.partitionBy().orderBy(F.col("__range").desc())
-    first = F.max("__range").over(Window.partitionBy())
-    heads = heads.select(
-        F.col("__head"),
-        F.col("__range").alias("__own"),
-        F.coalesce(F.lag("__range").over(order), F.min("__range").over(Window.partitionBy())).alias("__for"),
-        first.alias("__first"),
-    )
-    heads = staged(heads, "range-heads")  # at most RANGES rows of four numbers
     same = (F.col("__range") == F.col("__own")) & F.col(id).eqNullSafe(F.col("__head"))
     extra = placed.join(F.broadcast(heads), same).select(*docs.columns, F.col("__for").alias("__range"), F.lit(1).alias("__extra"))
-    rows = placed.select(*docs.columns, "__range", F.lit(0).alias("__extra")).unionByName(extra)
-    line = Window.partitionBy("__range").orderBy("__extra", F.col(id).desc_nulls_last(), F.xxhash64(text))
-    following = F.lead(F.struct(text, *carry)).over(line)
-    return rows.withColumn("next", following).filter("__extra = 0").drop("__range", "__extra")
+    return placed.withColumn("__extra", F.lit(0)).unionByName(extra)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their one shuffle, with their fingerprints."""
+    for part in slices(batches, "text"):
+        texts = part.column("text")
+        packed = pa.array([zlib.compress(t.encode(), 1) for t in texts.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("__range"), part.column("__extra"), packed, _halves(texts)], PACKED)
+
+
+PACKED = ["id", "__range", "__extra", "packed", "print"]
+
+
+def edited(text: str, following: str) -> str:
+    """The text with its last third (rounded down) replaced by the beginning of another."""
+    third = len(text) // 3
+    return text[: len(text) - third] + following[:third]
+
+
+def _edit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, EDIT_ROWS):
+            part = batch.slice(at, EDIT_ROWS)
+            both = [[zlib.decompress(b).decode() for b in part.column(c).to_pylist()] for c in ("packed", "next_packed")]
+            made = [edited(t, n) for t, n in zip(*both)]
+            sha = [hashlib.sha256(t.encode()).hexdigest() for t in made]
+            columns = [part.column("id"), pa.array([len(t) for t in both[0]], pa.int64()), pa.array(sha), _halves(pa.array(made, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*columns, part.column("print"), part.column("next_print")], EDITED)
+
+
+EDIT_ROWS = 512
+EDITED = ["id", "n_chars", "edited_sha256", "edited_print", "print", "next_print"]
 
 
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edit, which ends in the beginning of the next text."""
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = beside_next(with_fingerprint(rows, "text", "print"), "id", "text", ["print"])
-    n, third = F.char_length("text"), F.expr("char_length(text) div 3")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - third).cast("int")), F.substring(F.col("next.text"), F.lit(1), third.cast("int")))
-    rows = rows.select(
-        "id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next.print").alias("next_print")
+    """Fingerprints of each text and of its edit, which ends in the beginning of the next text by descending id.
+
+    After the last row comes the first. A window orders one range of ids; texts are shuffled once, compressed.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    rows = in_ranges(docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "id")
+    rows = rows.mapInArrow(_pack_texts, f"id {kind}, __range int, __extra int, packed binary, print {PRINT}")
+    line = Window.partitionBy("__range").orderBy("__extra", F.col("id").desc_nulls_last(), F.xxhash64("packed"))
+    rows = rows.withColumn("next", F.lead(F.struct("packed", "print")).over(line)).filter("__extra = 0")
+    rows = rows.select("id", "packed", "print", F.col("next.packed").alias("next_packed"), F.col("next.print").alias("next_print"))
+    rows = rows.mapInArrow(
+        _edit_texts, f"id {kind}, n_chars long, edited_sha256 string, edited_print {PRINT}, print {PRINT}, next_print {PRINT}"
     )
-    rows = with_fingerprint(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_print")
     return rows.select(
         F.col("id").alias(id), "n_chars", "edited_sha256",
         as_text("print").alias("fingerprint"), as_text("edited_print").alias("edited_fingerprint"),

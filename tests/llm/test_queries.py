@@ -1,0 +1,41 @@
+"""Registered queries of the package against their SQL, and the pipeline stage by stage."""
+
+import os
+
+import pytest
+
+import compare
+import corpus_pipeline
+from tabwright.llm.queries import QUERIES, SQL
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_one_query_per_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
+    found = compare.spark_result(QUERIES[name](spark, FOLDER))
+    assert compare.differences(found, compare.sql_result(compare.connect(FOLDER), SQL[name])) == []
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        if name != "packing":
+            assert docs.columns == before.columns and docs.count() > 0
+        if name == "ngram_jaccard_join":
+            assert docs.count() == docs.select("doc_id").distinct().count()
+    assert {"doc_id", "ids", "sequence_id"} <= set(docs.columns)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() == 0
