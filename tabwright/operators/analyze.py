@@ -67,13 +67,15 @@ def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> Dat
     one sum of products each, over values moved to their mean; the others count their own rows.
     """
     quoted_names = {c: name(c) for c in columns}
-    numbers = df.selectExpr(*[f"double({x}) AS {x}" for x in quoted_names.values()])
+    # NaN and infinities count as missing.
+    finite = "CASE WHEN abs(double({x})) < double('Infinity') THEN double({x}) END AS {x}"
+    numbers = df.selectExpr(*[finite.format(x=x) for x in quoted_names.values()])
     facts = numbers.selectExpr(
         "count(*) AS n", *[f"struct(count({x}) AS n, avg({x}) AS mean, min({x}) = max({x}) AS flat) AS {x}" for x in quoted_names.values()]
     ).first()
     complete = {c for c in columns if facts[c]["n"] == facts["n"]}
     constant = {c for c in columns if facts[c]["n"] == 0 or facts[c]["flat"]}
-    moved = numbers.selectExpr(*[f"{x} - {facts[c]['mean'] or 0.0!r}D AS {x}" for c, x in quoted_names.items()])
+    moved = numbers.selectExpr(*[f"{x} - double('{facts[c]['mean'] or 0.0!r}') AS {x}" for c, x in quoted_names.items()])
 
     def correlated(a: str, b: str) -> str:
         if {a, b} & constant:

@@ -65,7 +65,8 @@ def zscore(
     ).first()
     if moments["n"] < min_rows:
         return nothing
-    z = [f"abs(({filled[c]} - {m!r}D) / {s or 1.0!r}D)" for c, m, s in zip(names, moments["mean"], moments["std"])]
+    # Means and deviations of very large numbers may be infinite; such a column then says nothing.
+    z = [f"nanvl(abs(({filled[c]} - double('{m!r}')) / double('{s or 1.0!r}')), 0D)" for c, m, s in zip(names, moments["mean"], moments["std"])]
     ranked = [f"struct(-{e} AS z, {i} AS i, {quoted(c)} AS c)" for i, (e, c) in enumerate(zip(z, names))]
     scored = df.selectExpr(
         "*", f"array_max(array({', '.join(z)})) AS anomaly_score", f"array({', '.join(ranked)}) AS __z"

@@ -27,14 +27,16 @@ def strip_fences(text: str) -> str:
 
 @contextmanager
 def _quoted_identifiers(spark: SparkSession):
-    """Read "name" as a column while parsing, as in standard SQL."""
-    key = "spark.sql.ansi.doubleQuotedIdentifiers"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Read "name" as a column while parsing, as in standard SQL, and no path as a table."""
+    wanted = {"spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.runSQLOnFiles": "false"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _sequence(scala_seq) -> list:

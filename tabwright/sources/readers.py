@@ -10,7 +10,10 @@ from tabwright.operators import columns as C
 from tabwright.session import spread
 from tabwright.sources.workbook import read_workbooks
 
-_INTEGER_TEXT = r"^[+-]?\d{1,18}$"
+_INTEGER_TEXT = r"^[+-]?\d{1,38}$"
+
+#: Kinds of text columns, narrowest first: long numbers stay whole numbers.
+_KINDS = {"bigint": "bigint", "whole": "decimal(38,0)", "double": "double", "boolean": "boolean"}
 
 
 def typed_from_text(df: DataFrame) -> DataFrame:
@@ -29,23 +32,36 @@ def typed_from_text(df: DataFrame) -> DataFrame:
         text,
         lambda c: {
             "filled": f"count({name(c)})",
-            "bigint": f"count_if({name(c)} RLIKE {pattern(_INTEGER_TEXT)})",
+            "bigint": f"count_if({name(c)} RLIKE {pattern(_INTEGER_TEXT)} AND try_cast({name(c)} AS BIGINT) IS NOT NULL)",
+            "whole": f"count_if({name(c)} RLIKE {pattern(_INTEGER_TEXT)})",
             "double": f"count_if({name(c)} RLIKE {pattern(parse.NUMBER_TEXT)})",
             "boolean": f"count_if(lower({name(c)}) IN ('true', 'false'))",
         },
     ).collect()
     types = {}
     for v in verdicts:
-        fitting = [dtype for dtype in ("bigint", "double", "boolean") if v["filled"] and v[dtype] == v["filled"]]
+        fitting = [kind for kind in _KINDS if v["filled"] and v[kind] == v["filled"]]
         if fitting:
-            types[v["attribute"]] = fitting[0]
+            types[v["attribute"]] = _KINDS[fitting[0]]
     return cleared.selectExpr(
         *[f"CAST({name(c)} AS {types[c]}) AS {name(c)}" if c in types else name(c) for c in df.columns]
     )
 
 
+def _opens_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line leaves a quote open, so that a record goes on in the next one."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).filter(quotes % 2 == 1).head(1))
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
-    """Delimited text with a header. A schema skips the inference scan."""
+    """Delimited text with a header. A schema skips the inference scan.
+
+    Records with line breaks inside quotes are kept whole; files that hold some are then read by one
+    task each. ``multiLine`` may be given to skip the scan that finds out.
+    """
+    if "multiLine" not in options:
+        options["multiLine"] = _opens_quotes(spark, path)
     reader = spark.read.options(header=True, escape='"', **options)
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -53,11 +69,20 @@ def read_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFram
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """An array of objects, or one object per line; the first line tells which."""
-    first = spark.read.text(path).filter(F.trim("value") != "").head()
-    whole = first is not None and first["value"].lstrip().startswith("[")
+    """An array of objects, or one object per line; each file's first line tells which."""
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place)
+    first = lines.filter(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    found = first.select("file", F.ltrim("line").startswith("[").alias("whole")).collect()  # a row per file
+    if len({r["whole"] for r in found}) < 2:
+        return _json(spark, schema, bool(found and found[0]["whole"])).json(path)
+    parts = [_json(spark, schema, whole).json([r["file"] for r in found if r["whole"] == whole]) for whole in (True, False)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _json(spark: SparkSession, schema, whole: bool):
     reader = spark.read.option("multiLine", whole)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    return reader.schema(schema) if schema is not None else reader
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

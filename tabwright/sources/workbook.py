@@ -100,6 +100,7 @@ def _explode_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"]):
             rows = sheet_rows(content)
             header = [str(h) if h is not None else f"Unnamed: {i}" for i, h in enumerate(next(rows, []))]
+            header = _told_apart(header)
             chunk: list[list[str | None]] = []
             for row in rows:
                 chunk.append((row + [None] * len(header))[: len(header)])
@@ -110,6 +111,19 @@ def _explode_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"path": path, "header": [header] * len(chunk), "cells": chunk})
 
 
+def _told_apart(header: list[str]) -> list[str]:
+    """Repeated names get a number, so no column is lost."""
+    seen: set[str] = set()
+    for i, wanted in enumerate(header):
+        name, n = wanted, 0
+        while name in seen or (n and name in header):
+            n += 1
+            name = f"{wanted}.{n}"
+        header[i] = name
+        seen.add(name)
+    return header
+
+
 def read_workbooks(files: DataFrame) -> DataFrame:
     """(path, content) files to one table of text columns, matched by header name."""
     rows = files.select("path", "content").mapInPandas(
