@@ -1,22 +1,25 @@
-"""Exact interpolated quantiles per group.
+"""Exact interpolated quantiles per group, one way for every size and any skew.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is
-right while the input is small.  Beyond that the same answer is reached in two
-passes whose state stays bounded: a rank sketch brackets each wanted rank (about a
-thousandth of the rows), the values inside a bracket are counted by bins, and only
-the bin that holds the rank is ordered.
+Rows are first combined to (group, value, count), map-side, so neither a hot group nor a hot value
+is ever moved row by row. Counts are then narrowed twice: to logarithmic bins, and to equal-width
+bins between the ends of each of these that holds a wanted rank. Only the values inside such a
+small bin are ordered. Ranks are followed by exact counts, so a bin always holds its rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabwright.session import fits_one_task
+#: Logarithmic bins for each factor of e, and equal-width bins within one of them.
+BINS_PER_E = 512
+BINS = 16_384
 
-SKETCH_ACCURACY = 10_000
-BINS = 4_096
+#: Above minus the logarithm of the smallest positive double; the bins of infinity and of NaN.
+_SHIFT = 746.0
+_INFINITE, _NAN = 1500 * BINS_PER_E, 1600 * BINS_PER_E
 
 
 def exact_quantiles(
@@ -25,87 +28,85 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     also: Mapping[str, str] | None = None,
-    in_memory: bool | None = None,
 ) -> DataFrame:
     """One row per group: the group columns and ``quantiles`` (array, in order of probs).
 
-    ``also`` names further aggregates over ``value`` as SQL text, taken in the same pass
-    where possible.
+    ``also`` names further aggregates over ``value`` as SQL text. Null is a group like any other;
+    null values don't count, a group without others has no row. NaN is above infinity.
     """
     long = df.select(*by, F.col(value).cast("double").alias("value")).filter("value IS NOT NULL")
-    others = [F.expr(sql).alias(key) for key, sql in (also or {}).items()]
-    if in_memory is None:
-        in_memory = fits_one_task(long)
-    if in_memory:
-        return long.groupBy(*by).agg(*others, F.percentile("value", list(probs)).alias("quantiles"))
-    cuts = _bracketed(long, list(by), list(probs))
-    return long.groupBy(*by).agg(*others).join(cuts, list(by)) if others else cuts
-
-
-def _bracketed(long: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    margin = 4.0 / SKETCH_ACCURACY
-    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = long.groupBy(*by).agg(
-        F.count("value").alias("__n"),
-        F.min("value").alias("__min"),
-        F.max("value").alias("__max"),
-        F.percentile_approx("value", ends, SKETCH_ACCURACY).alias("__ends"),
-    )
-    # Small groups are bracketed by their whole range, so the sketch error cannot matter.
-    whole = F.col("__n") <= SKETCH_ACCURACY
-    brackets = sketch.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)],
-        "__n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("__i"),
-                        (F.lit(p) * (F.col("__n") - 1)).alias("__pos"),
-                        F.when(whole, F.col("__min")).otherwise(F.col("__ends")[2 * i]).alias("__lo"),
-                        F.when(whole, F.col("__max")).otherwise(F.col("__ends")[2 * i + 1]).alias("__hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ),
-    )
-    same_group = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
-    in_reach = long.join(brackets, [*same_group, F.col("value") <= F.col("__hi")])
-    # Everything below the bracket collapses into one null slot per rank, bin 0; the bracket
-    # itself is cut into bins, of which only those that hold the rank are ever ordered.
-    width = F.col("__hi") - F.col("__lo")
-    at = F.floor(F.try_divide((F.col("__slot") - F.col("__lo")) * BINS, width))
-    bin_no = F.when(F.col("__slot").isNull(), 0).otherwise(F.coalesce(F.least(at, F.lit(BINS - 1)), F.lit(0)) + 1)
-    rank = [*by, "__i", "__pos"]
-    counted = (
-        in_reach.withColumn("__slot", F.when(F.col("value") >= F.col("__lo"), F.col("value")))
-        .groupBy(*rank, bin_no.alias("__bin"), "__slot")
-        .agg(F.count("*").alias("__c"))
-    )
-    lower, upper = F.floor("__pos"), F.ceil("__pos")
-    up_to_bin = Window.partitionBy(*rank).orderBy("__bin")
-    bins = counted.groupBy(*rank, "__bin").agg(F.sum("__c").alias("__rows"))
-    bins = bins.withColumn("__through", F.sum("__rows").over(up_to_bin))
-    wanted = bins.withColumn("__before", F.col("__through") - F.col("__rows")).filter(
-        (F.col("__through") > lower) & (F.col("__before") <= upper)
-    )
-    wanted = wanted.select(
-        *[F.col(k).alias(f"__w{i}") for i, k in enumerate(rank)], F.col("__bin").alias("__wbin"), "__before"
-    )
-    in_bin = [F.col(k).eqNullSafe(F.col(f"__w{i}")) for i, k in enumerate(rank)]
-    kept = counted.join(wanted, [*in_bin, F.col("__bin") == F.col("__wbin")])
-    up_to_slot = Window.partitionBy(*rank, "__bin").orderBy(F.col("__slot").asc_nulls_first())
-    ranked = kept.withColumn("__cum", F.col("__before") + F.sum("__c").over(up_to_slot))
-    picked = ranked.groupBy(*rank).agg(
-        F.min(F.when(F.col("__cum") > lower, F.col("__slot"))).alias("__x0"),
-        F.min(F.when(F.col("__cum") > upper, F.col("__slot"))).alias("__x1"),
-    )
-    blended = F.when(F.col("__x0") == F.col("__x1"), F.col("__x0")).otherwise(
-        (upper - F.col("__pos")) * F.col("__x0") + (F.col("__pos") - lower) * F.col("__x1")
-    )
-    return picked.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("__i", blended.alias("q")))), lambda s: s["q"]
-        ).alias("quantiles")
-    )
+    keys = [f"__g{i}" for i in range(len(by))]
+    named = long.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], "value")
+    cuts = _ranked(named, keys, list(probs))
+    if not also:
+        return cuts.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "quantiles")
+    others = long.groupBy(*by).agg(*[F.expr(sql).alias(name) for name, sql in also.items()])
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    return others.join(cuts, same).drop(*keys)
+
+
+def _log_bin(x: Column) -> Column:
+    """A bin number that never decreases as the value grows."""
+    size = F.floor((F.ln(F.abs(x)) + _SHIFT) * BINS_PER_E)
+    size = F.when(F.abs(x) == float("inf"), _INFINITE).otherwise(size)
+    signed = F.when(x > 0, size).when(x < 0, -size).otherwise(0)
+    return F.when(F.isnan(x), _NAN).otherwise(signed).cast("long")
+
+
+def _even_bin(x: Column, low: Column, high: Column) -> Column:
+    """The equal-width bin of a value between two ends; ends too far apart share one."""
+    place = F.nanvl(F.try_divide(x - low, high - low), F.lit(0.0))
+    return F.floor(F.least(F.coalesce(place, F.lit(0.0)), F.lit(1.0)) * (BINS - 1)).cast("long")
+
+
+def _keep_wanted(rows: DataFrame, within: list[str], order: str, amount: str) -> DataFrame:
+    """The rows along an order that hold a rank of ``targets``; ranks then count from their row."""
+    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__through", F.sum(amount).over(upto)).withColumn("__before", F.col("__through") - F.col(amount))
+    here = F.filter("targets", lambda t: (t["rank"] >= F.col("__before")) & (t["rank"] < F.col("__through")))
+    inner = F.transform(here, lambda t: F.struct(t["i"].alias("i"), (t["rank"] - F.col("__before")).alias("rank")))
+    return rows.withColumn("targets", inner).filter(F.size("targets") > 0).drop("__through", "__before")
+
+
+def _within(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts in wanted bins. The bin is part of the key, so no group is a key of its own."""
+    side = wanted.select(*[F.col(k).alias(f"__w{k}") for k in keys], *[c for c in wanted.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__w{k}")) for k in keys])
+    return counts.join(side, same).drop(*[f"__w{k}" for k in keys])
+
+
+def _ranked(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Two ranks for each probability, of the values below and above it, found by narrowing bins."""
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("c")).withColumn("b", _log_bin(F.col("value")))
+    bins = counts.groupBy(*keys, "b").agg(F.sum("c").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+    places = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ends = [end(x).cast("long") for x in places for end in (F.floor, F.ceil)]
+    # Each rank is looked for on its own, so that one group's bins are not one task's.
+    each = [*keys, "i"]
+    bins = bins.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(len(ends))])))
+    bins = bins.withColumn("n", F.sum("rows").over(Window.partitionBy(*each)))
+    bins = bins.withColumn("targets", F.array(F.struct("i", F.get(F.array(*ends), F.col("i")).alias("rank"))))
+    wanted = _keep_wanted(bins, each, "b", "rows").groupBy(*keys, "b").agg(
+        F.first("low").alias("low"), F.first("high").alias("high"), F.first("n").alias("n"),
+        F.flatten(F.collect_list("targets")).alias("targets"),
+    )
+
+    inside = _within(counts, wanted, [*keys, "b"]).withColumn("e", _even_bin(F.col("value"), F.col("low"), F.col("high")))
+    finer = inside.groupBy(*keys, "b", "e").agg(
+        F.sum("c").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"),
+        F.first("n").alias("n"), F.first("targets").alias("targets"),
+    )
+    wanted = _keep_wanted(finer, [*keys, "b"], "e", "rows").select(*keys, "b", "e", "n", "targets")
+
+    narrow = inside.select(*keys, "b", "e", "value", "c")
+    found = _keep_wanted(_within(narrow, wanted, [*keys, "b", "e"]), [*keys, "b", "e"], "value", "c")
+    found = found.select(*keys, "n", "value", F.explode("targets").alias("t"))
+    picked = F.map_from_entries(F.collect_list(F.struct(F.col("t.i"), F.col("value"))))
+    picked = found.groupBy(*keys).agg(F.first("n").alias("n"), picked.alias("x"))  # two values for each probability
+    return picked.select(*keys, F.array(*[_blend(place, 2 * i) for i, place in enumerate(places)]).alias("quantiles"))
+
+
+def _blend(place: Column, i: int) -> Column:
+    below, above = F.col("x")[i], F.col("x")[i + 1]
+    mixed = (F.ceil(place) - place) * below + (place - F.floor(place)) * above
+    return F.when(below == above, below).otherwise(mixed)

@@ -9,9 +9,8 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Size, and where that is unknown the row count, up to which one task may hold a column.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-ONE_TASK_ROWS = 1_000_000
+#: Inputs beyond this size have splits enough for all cores.
+SMALL_BYTES = 64 * 1024 * 1024
 
 _local_roots: dict[str, str] = {}
 
@@ -59,28 +58,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a result; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of everything a plan reads. Joins do not inflate it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether one task may hold a column of the result in memory.
-
-    The estimate of a join is the product of its sides, so when only the inputs are
-    small the rows are counted.
-    """
-    if estimated_bytes(df) <= ONE_TASK_BYTES:
-        return True
-    return input_bytes(df) <= ONE_TASK_BYTES and df.count() <= ONE_TASK_ROWS
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input out to all cores before costly work on them.
 
@@ -88,7 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
     splits than cores and stay as they are.
     """
     size = input_bytes(df)
-    if size > ONE_TASK_BYTES:
+    if size > SMALL_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(min(cores, 1 + size // (256 * 1024)))

@@ -2,10 +2,13 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import analyze, anomaly
 from tabwright.operators.sqlgate import RejectedSQL, safe_sql
 from tabwright.plans.documents import workbook_bytes
@@ -45,3 +48,29 @@ def test_correlation_and_scores_survive_odd_numbers(spark):
 def test_gate_opens_no_files(spark):
     with pytest.raises((RejectedSQL, AnalysisException)):
         safe_sql(spark, "SELECT * FROM text.`/etc/hostname`")
+
+
+def test_quantiles_need_no_luck_with_values_or_keys(spark):
+    """Heavy tails, one hot value, a cluster far from zero, signs, null and constant keys, no broadcasts."""
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(0, 1, 400), rng.lognormal(0, 8, 300), np.full(500, 7.0), 1e9 + rng.random(300) * 1e-3, [0.0, 5e-324, -1e308, 1e308]]
+    values = np.concatenate(parts)
+    pdf = pd.DataFrame({"g": rng.choice(["a", None, "hot", "hot"], len(values)), "v": values})
+    df, probs = spark.createDataFrame(pdf), [0.0, 0.25, 0.5, 0.95, 1.0]
+    found = exact_quantiles(df, ["g"], "v", probs, also={"m": "count(value)"})
+    got = {r["g"]: (r["quantiles"], r["m"]) for r in found.collect()}
+    for key, part in pdf.groupby("g", dropna=False):
+        cuts, n = got[key if isinstance(key, str) else None]
+        assert np.allclose(cuts, np.quantile(part["v"], probs), rtol=1e-12) and n == len(part)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = exact_quantiles(df.select(F.lit(1).alias("k"), "v"), ["k"], "v", [0.95])
+        assert np.isclose(one.first()["quantiles"][0], np.quantile(values, 0.95), rtol=1e-12)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (1.0,), (float("-inf"),)], "v double")
+    assert [str(x) for x in exact_quantiles(odd, [], "v", [0.0, 1.0]).first()["quantiles"]] == ["-inf", "nan"]
+    assert exact_quantiles(df.filter("false"), ["g"], "v", probs).count() == 0

@@ -40,8 +40,7 @@ def test_closest_name(spark):
     assert got == ["sales_data", "employee", "sales_data"]
 
 
-@pytest.mark.parametrize("in_memory", [True, False])
-def test_quantiles_equal_numpy(spark, in_memory):
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(7)
     # A hot group of a third of the rows, ties, negatives, a constant and groups of one and two.
     groups = {"hot": rng.normal(size=15000).round(2), "wide": rng.lognormal(3, 4, 12000), "flat": np.full(500, 3.5),
@@ -50,7 +49,7 @@ def test_quantiles_equal_numpy(spark, in_memory):
     pdf["g"] = pdf["g"].where(pdf["g"].notna(), None)
     df = spark.createDataFrame(pdf, "g string, v double")
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "v", probs, in_memory=in_memory).collect()}
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     assert set(got) == set(groups)
     for g, values in groups.items():
         assert got[g] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12, abs=1e-12)
@@ -60,7 +59,7 @@ def test_quantiles_equal_numpy(spark, in_memory):
 @given(values=st.lists(st.floats(-1e9, 1e9), min_size=1, max_size=60), p=st.floats(0, 1))
 def test_bracketed_quantile_of_any_values(spark, values, p):
     df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
-    got = exact_quantiles(df, ["g"], "v", [p], in_memory=False).first()["quantiles"][0]
+    got = exact_quantiles(df, ["g"], "v", [p]).first()["quantiles"][0]
     assert got == pytest.approx(float(np.quantile(values, p)), rel=1e-9, abs=1e-6)
 
 
