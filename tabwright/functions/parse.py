@@ -42,14 +42,34 @@ NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # Starts that make text look like a date.
 DATE_LOOKS = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{4}/\d{2}/\d{2})"
 
+# Month names, in order, and the names of days that may come first.
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+_MONTH = (
+    "((?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|"
+    "Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?))[.]?"
+)
+_DAY_NAME = "(?:(?i:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[A-Za-z]{0,6},? +)?"
+
 # Whole-text date shapes, and the orders in which their parts make
-# year-month-day (month first, then day first).
+# year-month-day (month first, then day first). A shape may be followed by a time of day.
 ISO_DATE = r"\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?"
+ZONED_DATE = r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s?(?:[Zz]|UTC|GMT|[+-]\d{2}(?::?\d{2})?)"
 DATE_SHAPES = [
     (r"(\d{1,2})/(\d{1,2})/(\d{4})", ["$3-$1-$2", "$3-$2-$1"]),
     (r"(\d{1,2})-(\d{1,2})-(\d{4})", ["$3-$1-$2", "$3-$2-$1"]),
     (r"(\d{4})/(\d{1,2})/(\d{1,2})", ["$1-$2-$3"]),
+    (r"(\d{4})-(\d{1,2})-(\d{1,2})", ["$1-$2-$3"]),
+    (r"((?:19|20)\d{2})(\d{2})(\d{2})", ["$1-$2-$3"]),
+    # Two-digit years from 69 on belong to the 1900s.
+    (r"(\d{1,2})[/-](\d{1,2})[/-](69|[7-9]\d)", ["19$3-$1-$2", "19$3-$2-$1"]),
+    (r"(\d{1,2})[/-](\d{1,2})[/-]([0-5]\d|6[0-8])", ["20$3-$1-$2", "20$3-$2-$1"]),
+]
+# The same with the month as a word, which becomes its number.
+NAMED_SHAPES = [
+    (rf"{_DAY_NAME}{_MONTH} +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})", "$3", "$1", "$2"),
+    (rf"{_DAY_NAME}(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH},?[ -](\d{{4}})", "$3", "$2", "$1"),
 ]
+_TIME = r"(?:,?[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?:\s?([AaPp])[.]?[Mm][.]?)?)?"
 
 # Unix times from 2000-01-01 up to the 32-bit end, in seconds.
 EPOCH_FIRST = 946_684_800
@@ -102,17 +122,38 @@ def read_number(x: str) -> str:
 
 
 def read_date(x: str) -> str:
-    """Timestamp from text in one of the fixed shapes; a bare number is not a date."""
-    possible = rf"^{_BLANK}\d{{1,4}}[-/]\d{{1,2}}[-/]\d"
+    """Timestamp from text in one of the fixed shapes; a bare number of other than eight digits is not a date.
+
+    Months come before days where both readings are possible. A time with a zone or an offset is
+    given in UTC, as timestamps here carry no zone. Impossible dates and times are null.
+    """
+    names = "Mon|Tue|Wed|Thu|Fri|Sat|Sun|" + "|".join(MONTHS)
+    possible = rf"^{_BLANK}(?:\d{{1,4}}[-/]\d{{1,2}}[-/]\d|(?:19|20)\d{{6}}|\d{{1,2}}(?:st|nd|rd|th)?[ -][A-Za-z]{{3}}|(?i:{names}))"
+    instant = f"unix_micros(try_cast({strip(x)} AS TIMESTAMP))"
     branches = [
         f"WHEN NOT {x} RLIKE {pattern(possible)} THEN NULL",
         f"WHEN {_whole(x, ISO_DATE)} THEN try_cast({strip(x)} AS TIMESTAMP_NTZ)",
+        f"WHEN {_whole(x, ZONED_DATE)} THEN timestampadd(MICROSECOND, {instant}, TIMESTAMP_NTZ '1970-01-01 00:00:00')",
     ]
+    spelled = []
     for shape, orders in DATE_SHAPES:
-        whole = pattern(f"^{_BLANK}{shape}{_BLANK}$")
-        readings = [f"try_cast(regexp_replace({x}, {whole}, '{order}') AS TIMESTAMP_NTZ)" for order in orders]
-        branches.append(f"WHEN {x} RLIKE {whole} THEN coalesce({', '.join(readings)})")
-    return f"CASE {' '.join(branches)} END"
+        whole = pattern(f"^{_BLANK}{shape}{_TIME}{_BLANK}$")
+        spelled.append(f"WHEN {x} RLIKE {whole} THEN regexp_replace({x}, {whole}, '{orders[0]}|{orders[-1]}|$4|$5')")
+    for shape, year, month, day in NAMED_SHAPES:
+        whole = pattern(f"^{_BLANK}{shape}{_TIME}{_BLANK}$")
+        word = f"lower(substring(regexp_replace({x}, {whole}, '{month}'), 1, 3))"
+        number = f"(instr('{''.join(MONTHS).lower()}', {word}) + 2) div 3"
+        rest = f"regexp_replace({x}, {whole}, '-{day}||$4|$5')"
+        spelled.append(f"WHEN {x} RLIKE {whole} THEN concat(regexp_replace({x}, {whole}, '{year}-'), {number}, {rest})")
+    # (day, day in the other order, time, a or p), bound once so that the expression stays small.
+    parts = f"split(CASE {' '.join(spelled)} END, '[|]')"
+    first, second = (f"try_cast(btrim(p[{i}] || ' ' || p[2]) AS TIMESTAMP_NTZ)" for i in (0, 1))
+    moved = (
+        "CASE lower(p[3]) WHEN '' THEN 0 WHEN 'a' THEN if(hour(t) = 12, -12, if(hour(t) BETWEEN 1 AND 11, 0, NULL)) "
+        "ELSE if(hour(t) = 12, 0, if(hour(t) BETWEEN 1 AND 11, 12, NULL)) END"
+    )
+    read = f"transform(array(coalesce({first}, {second})), t -> timestampadd(HOUR, {moved}, t))[0]"
+    return f"CASE {' '.join(branches)} ELSE transform(array({parts}), p -> {read})[0] END"
 
 
 def looks_like_date(x: str) -> str:

@@ -45,15 +45,15 @@ def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
     return C.with_row(table, leaders)
 
 
-def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Skewness, kurtosis and distribution class of the first five numeric columns."""
+def distribution(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """Skewness, kurtosis and distribution class of the numeric columns, or of the first ``most``."""
     kind = (
         F.when(F.col("skewness") > SKEWED_BEYOND, "Strongly Right-Skewed")
         .when(F.col("skewness") < -SKEWED_BEYOND, "Strongly Left-Skewed")
         .otherwise("Approximately Normal")
     )
     return (
-        shape(df, columns[:5])
+        shape(df, columns[:most])
         .filter("n >= 3")
         .select("attribute", F.round("skewness", 2).alias("skewness"), F.round("kurtosis", 2).alias("kurtosis"),
                 kind.alias("distribution_class"))
@@ -126,10 +126,9 @@ def correlation_leaders(df: DataFrame, columns: list[str], k: int = 3) -> DataFr
 # --- categories ------------------------------------------------------------------
 
 
-def value_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Classes, dominant class and its share of all rows, for the first four columns."""
-    used = columns[:4]
-    counts = C.value_counts(df, used)
+def value_frequency(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """Classes, dominant class and its share of all rows, for all columns or the first ``most``."""
+    counts = C.value_counts(df, columns[:most])
     leading = counts.groupBy("attribute").agg(
         F.count("*").alias("unique_classes"),
         F.min_by("value", F.struct((-F.col("n")).alias("c"), "value")).alias("dominant_class"),
@@ -142,8 +141,8 @@ def value_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def top_categories(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
-    top = C.top_values(C.value_counts(df, columns[:4]), k)
+def top_categories(df: DataFrame, columns: list[str], k: int = 10, most: int | None = None) -> DataFrame:
+    top = C.top_values(C.value_counts(df, columns[:most]), k)
     return top.select("attribute", "rank", "value", "n")
 
 

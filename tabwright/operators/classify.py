@@ -141,8 +141,12 @@ def classify_domain(catalog: DataFrame, whole_words: bool = False) -> DataFrame:
     return named.withColumn("reason", reason)
 
 
-def classify_dataset(roles: DataFrame, whole_words: bool = False) -> DataFrame:
-    """Dataset type, key entity and the columns that play a part, per table."""
+def classify_dataset(roles: DataFrame, whole_words: bool = False, most_groups: int | None = None) -> DataFrame:
+    """Dataset type, key entity and the columns that play a part, per table.
+
+    ``group_columns`` are all categorical columns, or the first ``most_groups``.
+    """
+    groups = _names(F.col("role") == "categorical")
     name, role = F.lower("attribute"), F.col("role")
     tables = roles.groupBy("table_name").agg(
         _names(F.lit(True)).alias("names"),
@@ -150,7 +154,7 @@ def classify_dataset(roles: DataFrame, whole_words: bool = False) -> DataFrame:
         _names(role == "datetime").alias("date_columns"),
         _names((role == "numeric") & _mentions(name, VALUE_PARTS, whole_words)).alias("value_columns"),
         _first("attribute", _mentions(name, STATUS_PARTS, whole_words)).alias("status_column"),
-        F.slice(_names(role == "categorical"), 1, 3).alias("group_columns"),
+        (F.slice(groups, 1, most_groups) if most_groups else groups).alias("group_columns"),
         _names(role == "numeric").alias("numeric_columns"),
         _names(role == "categorical").alias("categorical_columns"),
         _names(role == "boolean").alias("boolean_columns"),
@@ -199,7 +203,7 @@ def plan_tasks(roles: DataFrame) -> DataFrame:
         ("status_breakdown", status.isNotNull(), F.array(status)),
         ("cohort_retention", F.col("id_column").isNotNull() & date.isNotNull(), F.array("id_column", date)),
         ("entity_aggregation", F.col("id_column").isNotNull() & has_number,
-         F.concat(F.array("id_column"), F.slice(numeric, 1, 2))),
+         F.concat(F.array("id_column"), numeric)),
         ("group_comparison", has_category & has_number, F.array(F.get(categories, F.lit(0)), F.get(numeric, F.lit(0)))),
         ("cross_tabulation", F.size(categories) >= 2, F.slice(categories, 1, 2)),
         ("domain_kpis", domain != "generic", F.concat(numeric, categories)),

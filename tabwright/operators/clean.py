@@ -190,6 +190,9 @@ def cleaning_report(cleaned: Cleaned, source: str) -> DataFrame:
 
     renamed = [F.lit(x) for raw, clean in cleaned.mapping.items() if raw != clean for x in (raw, clean)]
     both = C.with_row(assessed(cleaned.raw, "before"), assessed(cleaned.df, "after"))
+    # A few issues per column at most.
+    for df, label in ((cleaned.raw, "raw_issues"), (cleaned.df, "clean_issues")):
+        both = C.with_row(both, quality.quality_issues(df).agg(F.array_sort(F.collect_list(F.struct("*"))).alias(label)))
     # Rows equal only after trimming are duplicates too; rows of nothing are not.
     removed = F.col("rows_before") - F.col("rows_after") - F.lit(cleaned.empty_rows_dropped)
     return both.select(
@@ -207,4 +210,6 @@ def cleaning_report(cleaned: Cleaned, source: str) -> DataFrame:
         texts(cleaned.warnings).alias("warnings"),
         F.col("score_before").alias("raw_score"),
         F.col("score_after").alias("clean_score"),
+        F.when(F.size("raw_issues") > 0, F.col("raw_issues")).otherwise(F.col("clean_issues")).alias("issues"),
+        "clean_issues",
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tabwright.operators import analyze, anomaly, charts, classify, forest, kpis, quality, report
 from tabwright.operators import columns as C
 from tabwright.operators.clean import Cleaned, clean_table
 from tabwright.operators.profile import profile_roles, profile_table, quality_score_v1
+from tabwright.operators.sqlgate import safe_rows
 from tabwright.session import staged
 from tabwright.sources.readers import missing_to_null, read_any
 from tabwright.sources.store import Store, catalog
@@ -69,6 +70,24 @@ def domain_section(kind: str, df: DataFrame, c: Row) -> DataFrame | None:
     return None
 
 
+def outlier_summary(scored: DataFrame, numbers: list[str], k: int = 2) -> DataFrame:
+    """The summary of the scores with the k columns that contribute most over all rows."""
+    leading = forest.attribution(scored, numbers).limit(k)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("mean_contribution")).alias("c"), "attribute")))
+    return C.with_row(anomaly.summary(scored), leading.agg(order["attribute"].alias("primary_drivers")))
+
+
+def top_flagged(scored: DataFrame, numbers: list[str], k: int = 10) -> DataFrame:
+    """The k flagged rows of the highest scores; ties go to the smaller values."""
+    shown = scored.filter("is_anomaly").select(*[C.col(c) for c in numbers], "anomaly_score")
+    return shown.orderBy(F.desc("anomaly_score"), *[C.col(c) for c in numbers]).limit(k)
+
+
+def of_columns(table: DataFrame, *columns: str) -> DataFrame:
+    """A section that covers some of the columns says which."""
+    return table.withColumn("of_columns", F.array(*[F.lit(c) for c in columns]))
+
+
 def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]:
     """(section, table) pairs one planned task yields."""
     numbers, categories = c["numeric_columns"], c["categorical_columns"]
@@ -77,18 +96,26 @@ def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]
     if task == "descriptive_stats":
         return [(task, analyze.descriptive(df, numbers)), ("chart_box", charts.box(df, numbers))]
     if task == "distribution_analysis":
-        return [(task, analyze.distribution(df, numbers)), ("chart_histogram", charts.histogram(df, numbers[:5]))]
+        return [(task, analyze.distribution(df, numbers)), ("chart_histogram", charts.histogram(df, numbers))]
     if task == "correlation_analysis":
         return [(task, analyze.correlation(df, numbers)), ("correlation_leaders", analyze.correlation_leaders(df, numbers))]
     if task == "outlier_detection":
         scored = forest.isolation_forest(df, numbers, min_rows=6)
         grid = charts.density(scored, numbers[0], "anomaly_score", "is_anomaly")
-        return [(task, anomaly.summary(scored)), ("chart_scatter", grid)]
+        return [
+            (task, outlier_summary(scored, numbers)),
+            ("flagged_rows", top_flagged(scored, numbers)),
+            ("chart_scatter", grid),
+        ]
     if task == "value_frequency":
         return [(task, analyze.value_frequency(df, categories)), ("chart_bar", analyze.top_categories(df, categories))]
     if task == "time_trend_analysis":
-        trend = analyze.time_trend(df, dates[0], values[0] if values else None)
-        return [(task, analyze.last_periods(trend)), ("trend_extremes", analyze.peak_and_low(trend))]
+        found = []
+        for date in dates:
+            trend = analyze.time_trend(df, date, values[0] if values else None)
+            found += [(task, analyze.last_periods(trend)), ("trend_extremes", analyze.peak_and_low(trend))]
+            found[-2:] = [(s, of_columns(part, date, *values[:1])) for s, part in found[-2:]]
+        return found
     if task == "status_breakdown":
         return [(task, analyze.status_breakdown(df, status))]
     if task == "cohort_retention":
@@ -101,10 +128,15 @@ def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]
     if task == "entity_aggregation":
         return [(task, analyze.entity_summary(df, c["id_column"])), ("top_entities", analyze.top_entities(df, c["id_column"]))]
     if task == "group_comparison":
-        compared = analyze.group_comparison(df, categories[0], values[0])
-        return [(task, compared), ("group_extremes", analyze.group_extremes(compared))]
+        found = []
+        for group in categories:
+            compared = analyze.group_comparison(df, group, values[0])
+            pair = [(task, compared), ("group_extremes", analyze.group_extremes(compared))]
+            found += [(s, of_columns(part, group, values[0])) for s, part in pair]
+        return found
     if task == "cross_tabulation":
-        return [(task, analyze.crosstab(df, categories[0], categories[1]))]
+        table = analyze.crosstab(df, categories[0], categories[1])
+        return [(task, of_columns(table, categories[0], categories[1]))]
     domain = domain_section(c["dataset_type"], df, c)
     if domain is None:
         raise ValueError("No column fits the domain measures.")
@@ -163,21 +195,45 @@ def dataset_report(name: str, cleaned: Cleaned, summary: DataFrame) -> DataFrame
     )
     domain = classify.classify_domain(catalog({name: cleaned.df}))
     cleaning = summary.select(F.struct(*summary.columns).alias("cleaning"))
-    issues = quality.quality_issues(cleaned.raw).agg(F.collect_list(F.struct("*")).alias("issues"))
-    parts = C.with_row(C.with_row(C.with_row(domain, columns), cleaning), issues)
+    parts = C.with_row(C.with_row(domain, columns), cleaning)
     facts = ["domain", "confidence", "reason", "likely_kpis", "likely_dimensions", "suggested_questions"]
     return parts.select(
         "table_name",
         F.col("cleaning.rows_before").alias("rows_raw"),
         "rows_clean",
         "columns_count",
-        F.struct("cleaning.raw_score", "cleaning.clean_score", "issues").alias("quality"),
+        F.struct("cleaning.raw_score", "cleaning.clean_score", "cleaning.issues").alias("quality"),
         F.struct(*facts).alias("domain"),
         "profile",
         "cleaning",
     )
 
 
+@dataclass
+class Answer:
+    """What a question gave: rows, whether more exist, their description, scores and the alert."""
+
+    rows: DataFrame
+    cut: bool
+    description: DataFrame
+    scored: DataFrame
+    alert: DataFrame
+    alert_rows: DataFrame
+
+
+def question_result(spark: SparkSession, question: str, sql: str) -> Answer:
+    """Run governed SQL, write its rows once, describe them, score them and raise the alert.
+
+    The gate bounds the rows, so all further steps are small. An empty result has an empty
+    description of numbers, no scores and no alert.
+    """
+    rows, cut = safe_rows(spark, sql)
+    scored = anomaly.zscore(rows)
+    return Answer(
+        rows, cut, report.describe_result(rows), scored, anomaly.alert(scored, question), anomaly.alert_rows(scored, question)
+    )
+
+
 def load_file(store: Store, path: str, name: str) -> DataFrame:
     """Read a file, store raw and clean tables, and append the next report version."""
     _, cleaned, clean = clean_and_store(read_any(store.spark, path), name, store)

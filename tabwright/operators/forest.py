@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting, Zhou 2008): small samples build trees, all rows are scored.
 
-The model has a fixed size (100 trees over at most 256 sampled rows each) whatever the
-table holds, so it is the only thing that passes through the driver.
+The model has a bounded size (by default 100 trees over about 256 sampled rows each) whatever
+the table holds, so it is the only thing that passes through the driver.
 """
 
 from __future__ import annotations
@@ -59,29 +59,30 @@ def _grow(tree: int, x: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
-def fit(features: DataFrame, names: list[str], rows: int) -> dict[int, pd.DataFrame]:
-    """Grow the trees in parallel, one group of sampled rows per tree."""
-    rate = min(1.0, SAMPLE / rows)
-    values = F.array(*[C.col(c) for c in names]).alias("x")
-    if rate * TREES <= 0.5:
-        # Large table: each sampled row serves one tree.
-        drawn = features.filter(F.rand(SEED) < rate * TREES)
-        sample = drawn.select((F.rand(SEED + 1) * TREES).cast("int").alias("tree"), values)
-    else:
-        # Small table: a row may serve several trees.
-        mark = features.select(F.rand(SEED).alias("mark"), values)
-        steps = 1_000_000
-        chosen = F.filter(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: F.pmod(F.xxhash64(F.col("mark"), t), F.lit(steps)) < int(rate * steps),
-        )
-        sample = mark.select(F.explode(chosen).alias("tree"), "x")
+def fit(features: DataFrame, names: list[str], rows: int, trees: int = TREES, sample: int = SAMPLE) -> dict[int, pd.DataFrame]:
+    """Grow the trees in parallel, one group of sampled rows per tree.
+
+    Every row joins every tree with the same chance, about ``sample`` rows a tree. One random
+    number gives the first tree a row joins (the waiting time of that chance), so that only rows
+    which join any are drawn further. Copies of a row are drawn one by one, hence a hot row fills
+    no tree; the draw follows the partition layout, so scores may differ between clusters.
+    """
+    rate = min(1.0, sample / rows)
+    waiting = np.log1p(-rate) if rate < 1 else -np.inf
+    mark = features.select(F.rand(SEED).alias("mark"), F.array(*[C.col(c) for c in names]).alias("x"))
+    first = F.least(F.floor(F.log1p(-F.col("mark")) / F.lit(float(waiting))), F.lit(trees)).cast("int")
+    steps = 1_000_000_000
+    later = F.filter(
+        F.sequence(F.col("first"), F.lit(trees - 1)),
+        lambda t: (t == F.col("first")) | (F.pmod(F.xxhash64("mark", t), F.lit(steps)) < int(rate * steps)),
+    )
+    drawn = mark.withColumn("first", first).filter(F.col("first") < trees).select(F.explode(later).alias("tree"), "x")
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         return _grow(int(group["tree"].iloc[0]), np.stack(group["x"].to_numpy()))
 
-    tasks = min(TREES, sample.sparkSession.sparkContext.defaultParallelism)
-    nodes = sample.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, _NODES).toPandas()
+    tasks = min(trees, drawn.sparkSession.sparkContext.defaultParallelism)
+    nodes = drawn.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     return {int(t): part.sort_values("node") for t, part in nodes.groupby("tree")}
 
 
@@ -97,7 +98,7 @@ def _walkable(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 def _scorer(model: dict[int, pd.DataFrame], names: list[str], psi: int):
     trees = [_walkable(part) for part in model.values()]
-    steps = int(np.ceil(np.log2(2 * SAMPLE)))
+    steps = max(int(np.ceil(np.log2(max(part["size"].max(), 2)))) for part in model.values()) + 1 if model else 0
     scale = float(_average_path(psi)) or 1.0
 
     @F.pandas_udf("score double, contributions array<double>")
@@ -123,9 +124,13 @@ def _scorer(model: dict[int, pd.DataFrame], names: list[str], psi: int):
 
 
 def isolation_forest(
-    df: DataFrame, columns: list[str] | None = None, contamination: float = CONTAMINATION, min_rows: int = 10
+    df: DataFrame, columns: list[str] | None = None, contamination: float = CONTAMINATION, min_rows: int = 10,
+    trees: int = TREES, sample: int = SAMPLE,
 ) -> DataFrame:
-    """Every row with ``anomaly_score``, ``is_anomaly``, three ``drivers`` and ``contributions``."""
+    """Every row with ``anomaly_score``, ``is_anomaly``, three ``drivers`` and ``contributions``.
+
+    ``trees`` and ``sample`` (rows a tree) bound the model, which passes through the driver.
+    """
     names = columns or C.numeric_columns(df)
     medians = column_medians(df, names)
     names = [c for c in names if c in medians]
@@ -139,8 +144,8 @@ def isolation_forest(
             F.array().cast("array<double>").alias("contributions"),
         )
     filled = filled_columns(names, medians)
-    model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows)
-    score = _scorer(model, names, min(SAMPLE, rows))
+    model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows, trees, sample)
+    score = _scorer(model, names, min(sample, rows))
     features = F.expr(f"array({', '.join(filled.values())})")
     # Scored once and written: the threshold and the result both read it.
     scored = staged(spread(df).select("*", score(features).alias("__s")), "scored")

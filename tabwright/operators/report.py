@@ -23,8 +23,13 @@ def key_metrics(roles: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
-def limitations(roles: DataFrame, duplicates: DataFrame, entity_column: str | None = None) -> DataFrame:
-    """(position, limitation): what the data does not allow, as sentences."""
+def limitations(
+    roles: DataFrame, duplicates: DataFrame, entity_column: str | None = None, most: int | None = None
+) -> DataFrame:
+    """(position, limitation): what the data does not allow, as sentences.
+
+    All sparse columns are named, or the first ``most`` followed by the number of the others.
+    """
     missing = F.col("missing_pct") > 5
     facts = roles.agg(
         F.max("row_count").alias("rows"),
@@ -36,11 +41,14 @@ def limitations(roles: DataFrame, duplicates: DataFrame, entity_column: str | No
     facts = C.with_row(facts, duplicates.select("duplicate_rows"))
     listed = F.array_join(
         F.transform(
-            F.slice("sparse", 1, 4),
+            F.slice("sparse", 1, most) if most else F.col("sparse"),
             lambda s: F.concat(s["attribute"], F.lit(" ("), s["missing_pct"].cast("string"), F.lit("%)")),
         ),
         ", ",
     )
+    if most:
+        others = F.size("sparse") - most
+        listed = F.when(others > 0, F.concat(listed, F.format_string(" and %d more", others))).otherwise(listed)
     # The sentences, each after the condition that calls for it.
     without_entity = F.lit(entity_column is None) & (F.col("ids") == 0)
     rules: list[tuple[Column, Column]] = [

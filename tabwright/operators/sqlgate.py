@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.session import staged
+
 DEFAULT_ROWS = 10_000
 MAX_ROWS = 50_000
 
@@ -65,11 +67,8 @@ def _check_expressions(plan) -> None:
             raise RejectedSQL("Forbidden function in query.")
 
 
-def safe_sql(spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS) -> DataFrame:
-    """Run one query. Spark's own query grammar admits SELECT, WITH and set operations only.
-
-    Unknown tables and columns surface here, before any job runs.
-    """
+def _checked(spark: SparkSession, text: str, default: int, cap: int) -> tuple[DataFrame, int]:
+    """The query's rows and the limit that holds for them."""
     query = strip_fences(text)
     if not query:
         raise RejectedSQL("Empty SQL statement.")
@@ -83,4 +82,25 @@ def safe_sql(spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: i
             raise
         df = spark.sql(query)
     _check_expressions(df._jdf.queryExecution().analyzed())
-    return df.limit(cap if _has_outer_limit(parsed) else min(default, cap))
+    return df, cap if _has_outer_limit(parsed) else min(default, cap)
+
+
+def safe_sql(spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS) -> DataFrame:
+    """Run one query. Spark's own query grammar admits SELECT, WITH and set operations only.
+
+    Unknown tables and columns surface here, before any job runs. At most ``default`` rows come
+    back, or ``cap`` where the query has a limit of its own; :func:`safe_rows` says if there are more.
+    """
+    df, limit = _checked(spark, text, default, cap)
+    return df.limit(limit)
+
+
+def safe_rows(
+    spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS
+) -> tuple[DataFrame, bool]:
+    """Rows of :func:`safe_sql`, written once, and whether the limit cut them."""
+    df, limit = _checked(spark, text, default, cap)
+    found = staged(df.limit(limit + 1), "answer")
+    cut = found.count() > limit
+    # Which row is left out is as open as which rows a limit takes, but it's the same in every reading.
+    return (staged(found.limit(limit), "answer") if cut else found), cut

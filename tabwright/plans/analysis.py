@@ -187,6 +187,22 @@ def an_distribution(t):
     return analyze.distribution(t.events, _EVENT_NUMBERS)
 
 
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LINE_MEASURES]
+
+
+@register(
+    "an_distribution_wide",
+    each(
+        """SELECT '{c}' AS attribute, round(skewness({c}), 2) AS skewness, round(kurtosis({c}), 2) AS kurtosis,
+  CASE WHEN skewness({c}) > 1 THEN 'Strongly Right-Skewed' WHEN skewness({c}) < -1 THEN 'Strongly Left-Skewed'
+       ELSE 'Approximately Normal' END AS distribution_class FROM lineitem""",
+        _LINE_NUMBERS,
+    ),
+)
+def an_distribution_wide(t):
+    return analyze.distribution(t.lineitem, _LINE_NUMBERS)
+
+
 _DOC_NUMBERS = ["n_chars", "quality", "toxic"]
 _COMPLETE = "(SELECT n_chars, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
 
@@ -228,6 +244,22 @@ def an_value_frequency(t):
     return analyze.value_frequency(t.documents, _CATEGORIES)
 
 
+_LINE_CLASSES = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+@register(
+    "an_value_frequency_wide",
+    each(
+        """SELECT '{c}' AS attribute, count(*) AS unique_classes, min_by(v, (-n, v)) AS dominant_class, max(n) AS dominant_count,
+  round(max(n) * 100.0 / (SELECT count(*) FROM lineitem), 1)::DOUBLE AS dominant_share_pct
+  FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c})""",
+        _LINE_CLASSES,
+    ),
+)
+def an_value_frequency_wide(t):
+    return analyze.value_frequency(t.lineitem, _LINE_CLASSES)
+
+
 _MONTHS_SQL = """SELECT strftime(o_orderdate, '%Y-%m') AS period, round(sum(o_totalprice), 2) AS total_value,
   round(avg(o_totalprice), 4) AS average_value, count(*) AS record_count FROM orders GROUP BY 1"""
 _WEEKS_SQL = """SELECT date_trunc('week', ts)::DATE::VARCHAR || '/' || (date_trunc('week', ts)::DATE + 6)::VARCHAR AS period,
@@ -653,9 +685,17 @@ def alert_sink(t):
     return anomaly.alert(anomaly.zscore(signals(t), _SIGNALS), _ALERT)
 
 
-@register("alert_sink_rows")
+@register(
+    "alert_sink_rows",
+    _Z_SQL
+    + f"""SELECT '{_ALERT}' AS query, event_id, user_id, value, k, round(score, 6) AS anomaly_score FROM f WHERE is_anomaly""",
+)
 def alert_sink_rows(t):
-    return anomaly.alert_rows(anomaly.zscore(signals(t), _SIGNALS), _ALERT)
+    sent = anomaly.alert_rows(anomaly.zscore(signals(t), _SIGNALS), _ALERT)
+    fields = "event_id bigint, user_id bigint, value double, k double, anomaly_score double"
+    return sent.select("query", F.from_json("record", fields).alias("r")).selectExpr(
+        "query", "r.event_id", "r.user_id", "r.value", "r.k", "round(r.anomaly_score, 6) AS anomaly_score"
+    )
 
 
 @register("anomaly_iforest")

@@ -188,11 +188,6 @@ def clean_table(t):
     return cleaned.withColumn("order_date", F.col("order_date").cast("string"))
 
 
-@register("cleaning_report")
-def cleaning_report(t):
-    return clean.clean_table(messy_orders(t)).report("messy_orders")
-
-
 # --- quality ---------------------------------------------------------------------------
 
 _MONEY_NUMBER = r"TRY_CAST(regexp_replace({c}, '[$€£₹¥,\s]', '', 'g') AS DOUBLE)"
@@ -245,23 +240,20 @@ def quality_score_v2(t):
 
 
 _CLEAN_TEXT = {"customer_name", "discount_code", "channel"}
-_CLEANED_NAMES = [
+CLEANED_NAMES = [
     "order_id", "customer_name", "order_date", "total_amount", "rush", "discount_code", "balance", "channel",
 ]
 
 
 @register(
     "quality_score_v2_cleaned",
-    CLEANED_SQL.rstrip() + f", {_finding_sql('cleaned', _CLEAN_TEXT, _CLEANED_NAMES)}{_SCORE_SQL}",
+    CLEANED_SQL.rstrip() + f", {_finding_sql('cleaned', _CLEAN_TEXT, CLEANED_NAMES)}{_SCORE_SQL}",
 )
 def quality_score_v2_cleaned(t):
     return rounded_score(clean.clean_table(messy_orders(t)).df)
 
 
-@register(
-    "quality_issues",
-    f"""WITH {MESSY_SQL}, {_finding_sql('raw', _TEXT, CLEAN_NAMES)}
-SELECT CASE WHEN (rows - filled) * 100.0 / rows >= 50 THEN 'high' ELSE 'medium' END AS severity, attribute,
+_ISSUES_SQL = """SELECT CASE WHEN (rows - filled) * 100.0 / rows >= 50 THEN 'high' ELSE 'medium' END AS severity, attribute,
   'Column ''' || attribute || ''' has ' || round((rows - filled) * 100.0 / rows, 1)::DOUBLE || '% missing values.' AS description,
   'Impute missing values or remove sparse rows.' AS suggestion
 FROM columns WHERE (rows - filled) * 100.0 / rows > 10 AND filled > 0
@@ -276,7 +268,37 @@ UNION ALL SELECT 'low', attribute, 'Column ''' || attribute || ''' contains a si
 UNION ALL SELECT 'high', attribute, 'Column ''' || attribute || ''' contains ' || negatives || ' negative value(s).',
   'Verify whether negative values represent invalid records or returns.' FROM columns WHERE negatives > 0
 UNION ALL SELECT 'medium', NULL, 'Found ' || n || ' duplicate row(s) (' || round(n * 100.0 / rows, 1)::DOUBLE || '% of dataset).',
-  'Deduplicate rows to prevent skewed aggregations.' FROM dupes WHERE n > 0""",
-)
+  'Deduplicate rows to prevent skewed aggregations.' FROM dupes WHERE n > 0"""
+
+
+@register("quality_issues", f"WITH {MESSY_SQL}, {_finding_sql('raw', _TEXT, CLEAN_NAMES)} {_ISSUES_SQL}")
 def quality_issues(t):
     return quality.quality_issues(with_clean_names(t))
+
+
+_FOUND_RAW, _FOUND_CLEAN = _finding_sql("raw", _TEXT, CLEAN_NAMES), _finding_sql("cleaned", _CLEAN_TEXT, CLEANED_NAMES)
+
+
+def _nulls_sql(source: str, names: list[str]) -> str:
+    return " || '|' || ".join(f"'{n}:' || (SELECT count(*) - count({n}) FROM {source})" for n in sorted(names))
+
+
+@register(
+    "cleaning_report",
+    f"""{CLEANED_SQL.rstrip()}, sizes AS (SELECT (SELECT count(*) FROM raw) AS b, (SELECT count(*) FROM cleaned) AS a,
+      (SELECT count(*) FROM trimmed WHERE NOT ({_ANY})) AS e)
+    SELECT 'messy_orders' AS source_name, b AS rows_before, a AS rows_after, 10 AS columns_before, 8 AS columns_after,
+      greatest((WITH {_FOUND_RAW} SELECT n FROM dupes), b - a - e) AS duplicates_removed, 'notes|blank' AS dropped_columns,
+      {_nulls_sql('cleaned', CLEANED_NAMES)} AS nulls_after,
+      (SELECT score FROM (WITH {_FOUND_RAW}{_SCORE_SQL})) AS raw_score, (SELECT score FROM (WITH {_FOUND_CLEAN}{_SCORE_SQL})) AS clean_score,
+      (SELECT count(*) FROM (WITH {_FOUND_RAW} {_ISSUES_SQL})) AS issues, (SELECT count(*) FROM (WITH {_FOUND_CLEAN} {_ISSUES_SQL})) AS clean_issues
+    FROM sizes""",
+)
+def cleaning_report(t):
+    found = clean.clean_table(messy_orders(t)).report("messy_orders")
+    nulls = F.transform(F.array_sort(F.map_entries("nulls_per_column_after")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return found.select(
+        "source_name", "rows_before", "rows_after", "columns_before", "columns_after", "duplicates_removed",
+        F.array_join("dropped_columns", "|").alias("dropped_columns"), F.array_join(nulls, "|").alias("nulls_after"),
+        "raw_score", "clean_score", F.size("issues").cast("long").alias("issues"), F.size("clean_issues").cast("long").alias("clean_issues"),
+    )

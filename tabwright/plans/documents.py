@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright.operators import classify, columns as C, flow, profile, report
 from tabwright.operators.clean import clean_table
 from tabwright.plans.analysis import ROLE_TABLES, ROLES_SQL, all_roles
-from tabwright.plans.cleaning import messy_orders
+from tabwright.plans.cleaning import CLEANED_NAMES, CLEANED_SQL, CLEAN_NAMES, RAW_NAMES, messy_orders
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import EVERY_TABLE, LABELLED, labelled_documents
 from tabwright.session import scratch_path, ship_with_tasks
@@ -104,7 +104,19 @@ def _store(t: Tables) -> S.Store:
     return S.Store(t.spark, scratch_path(t.spark, "store"))
 
 
-@register("write_raw_clean")
+_RAW_TYPES = ["bigint", *["string"] * 6, "double", "string", "string"]
+_CLEAN_TYPES = {"order_id": "bigint", "order_date": "timestamp_ntz", "total_amount": "double", "rush": "boolean", "balance": "double"}
+
+
+@register(
+    "write_raw_clean",
+    f"""{CLEANED_SQL.rstrip()}, columns(table_name, position, attribute, dtype) AS (VALUES """
+    + ", ".join(f"('messy_orders__raw', {i}, '{c}', '{d}')" for i, (c, d) in enumerate(zip(RAW_NAMES, _RAW_TYPES)))
+    + ", "
+    + ", ".join(f"('user_data', {i}, '{c}', '{_CLEAN_TYPES.get(c, 'string')}')" for i, c in enumerate(CLEANED_NAMES))
+    + """) SELECT *, CASE table_name WHEN 'user_data' THEN (SELECT count(*) FROM cleaned) ELSE (SELECT count(*) FROM raw) END AS row_count
+    FROM columns""",
+)
 def write_raw_clean(t):
     store = _store(t)
     flow.clean_and_store(messy_orders(t), "messy_orders", store)
@@ -112,14 +124,23 @@ def write_raw_clean(t):
     return S.catalog(kept)
 
 
-@register("save_metadata")
+_RENAMED = "|".join(f"{raw}>{clean}" for raw, clean in zip(RAW_NAMES, CLEAN_NAMES))
+
+
+@register(
+    "save_metadata",
+    f"""{CLEANED_SQL.rstrip()} SELECT 'messy_orders' AS table_name, (SELECT count(*) FROM raw) AS rows_before, (SELECT count(*) FROM cleaned) AS rows_after,
+        8 AS columns_after, '{_RENAMED}' AS mapping""",
+)
 def save_metadata(t):
     store, raw = _store(t), messy_orders(t)
     cleaned = clean_table(raw)
     store.save_metadata("messy_orders", cleaned.report("messy_orders"), cleaned.mapping)
-    reports = store.metadata("_cleaning_reports").select("table_name", "report")
-    mappings = store.metadata("_column_mappings").select("table_name", F.to_json("mapping").alias("mapping"))
-    return reports.join(mappings, "table_name")
+    sizes = "rows_before bigint, rows_after bigint, columns_after int"
+    reports = store.metadata("_cleaning_reports").select("table_name", F.from_json("report", sizes).alias("r"))
+    pairs = F.transform(F.array(*[F.lit(c) for c in RAW_NAMES]), lambda c: F.concat(c, F.lit(">"), F.col("mapping")[c]))
+    mappings = store.metadata("_column_mappings").select("table_name", F.array_join(pairs, "|").alias("mapping"))
+    return reports.join(mappings, "table_name").select("table_name", "r.*", "mapping")
 
 
 _REPORTS_SQL = """reports AS (SELECT 'customer_' || o_custkey AS table_name, (year(o_orderdate) - 1994)::INTEGER AS version, count(*) AS rows_clean,
@@ -189,15 +210,10 @@ def report_summaries(t):
     return S.report_summaries(tables, _reports(t)).withColumn("loaded_at", F.col("loaded_at").cast("string"))
 
 
-@register("column_catalog")
-def column_catalog(t):
-    return S.catalog({n: getattr(t, n) for n in EVERY_TABLE})
-
-
 @register("dataset_overview")
 def dataset_overview(t):
     """Column profiles and a ten-row sample per table."""
-    tables = {"orders": t.orders, "customer": t.customer}
+    tables = {name: getattr(t, name) for name in EVERY_TABLE}
     parts = []
     for i, (name, df) in enumerate(tables.items()):
         sample = df.orderBy(df.columns[0]).limit(10)
@@ -242,7 +258,11 @@ def query_log_lookup(t):
     return S.query_log_lookup(log, _ENTITIES)
 
 
-@register("export_json")
+@register(
+    "export_json",
+    """SELECT to_json({'doc_id': d.doc_id, 'lang': d.lang, 'source': d.source, 'quality': l.quality, 'toxic': l.toxic})::VARCHAR AS record
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
 def export_json(t):
     return S.export_json(labelled_documents(t))
 
@@ -286,6 +306,15 @@ _CATALOG_SQL = (
 )
 
 
+@register(
+    "column_catalog",
+    f"WITH {_CATALOG_SQL} SELECT n.table_name, position, attribute, is_number = 1 AS is_number, row_count FROM names n JOIN sizes s ON n.table_name = s.table_name",
+)
+def column_catalog(t):
+    is_number = F.col("dtype").rlike("^(int|bigint|float|double|decimal)").alias("is_number")
+    return _catalog(t).select("table_name", "position", "attribute", is_number, "row_count")
+
+
 def _contains_any(text: str, parts: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
 
@@ -329,7 +358,7 @@ _DATASET_SQL = f"""roles AS ({ROLES_SQL}), datasets AS (
     list(attribute ORDER BY position) FILTER (WHERE role = 'datetime') AS dates
   FROM roles GROUP BY table_name),
 typed AS (SELECT *, CASE {' '.join(f"WHEN {_contains_any('text', p)} THEN '{k}'" for k, _, _, p in classify.DATASET_TYPES)} ELSE 'generic' END AS dataset_type,
-  coalesce(array_to_string(cats[1:3], '|'), '') AS group_columns FROM datasets)"""
+  coalesce(array_to_string(cats, '|'), '') AS group_columns FROM datasets)"""
 
 
 @register(
@@ -373,7 +402,7 @@ _TASKS = [
     ("time_trend_analysis", "len(dates) > 0", "[dates[1]]"),
     ("status_breakdown", "coalesce(status_column, bools[1]) IS NOT NULL", "[coalesce(status_column, bools[1])]"),
     ("cohort_retention", "len(dates) > 0", "[id_column, dates[1]]"),
-    ("entity_aggregation", _HAS_NUM, "list_concat([id_column], nums[1:2])"),
+    ("entity_aggregation", _HAS_NUM, "list_concat([id_column], nums)"),
     ("group_comparison", f"{_HAS_CAT} AND {_HAS_NUM}", "[cats[1], nums[1]]"),
     ("cross_tabulation", "coalesce(len(cats), 0) >= 2", "cats[1:2]"),
     ("domain", "dataset_type <> 'generic'", "list_concat(coalesce(nums, []), coalesce(cats, []))"),
@@ -436,6 +465,32 @@ def report_build(t):
     )
 
 
+_ASKED = """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id ORDER BY user_id LIMIT 50000"""
+_ANSWER_COLUMNS = ["user_id", "n", "total"]
+
+
+@register(
+    "question_result",
+    f"""WITH a AS ({_ASKED}), m AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in _ANSWER_COLUMNS)} FROM a),
+    z AS (SELECT greatest({', '.join(f'abs({c} - m_{c}) / s_{c}' for c in _ANSWER_COLUMNS)}) AS score FROM a, m),
+    f AS (SELECT count(*) FILTER (WHERE score >= greatest(2.5, (SELECT quantile_cont(score, 0.95) FROM z))) AS flagged FROM z)
+    """
+    + "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS attribute, count({c}) AS n, round(avg({c}), 4) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+        (SELECT flagged FROM f) AS flagged, (SELECT flagged FROM f) > 0 AS alert_raised, false AS cut FROM a"""
+        for c in _ANSWER_COLUMNS
+    ),
+)
+def question_result(t):
+    """A question's governed SQL, its rows described, scored and, where rows stand out, alerted."""
+    t.events.createOrReplaceTempView("events")
+    answer = flow.question_result(t.spark, "Which users stand out?", _ASKED)
+    alerts = answer.alert.agg(F.count("*").alias("alerts"))
+    sent = C.with_row(answer.alert_rows.agg(F.count("*").alias("flagged")), alerts)
+    described = answer.description.select("attribute", "n", F.round("mean", 4).alias("mean"), "min", "max")
+    return C.with_row(described, sent.select("flagged", (F.col("alerts") > 0).alias("alert_raised"))).withColumn("cut", F.lit(answer.cut))
+
+
 @register("dataset_report")
 def dataset_report(t):
     cleaned = clean_table(t.customer)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions import names, parse
+from tabwright.functions.text import quoted
 from tabwright.operators import analyze, anomaly, columns as C, profile, report
 from tabwright.plans.registry import Tables, register
 from tabwright.sources.store import catalog
@@ -65,9 +66,15 @@ def agg_distinct(t):
     return profile.distinct(t.lineitem)
 
 
-@register("agg_distinct_approx")
+@register(
+    "agg_distinct_approx",
+    each("SELECT '{c}' AS attribute, count(DISTINCT {c}) AS distinct_count, true AS within_bound FROM lineitem", LINE_COLUMNS),
+)
 def agg_distinct_approx(t):
-    return profile.distinct(t.lineitem, approximate=True)
+    """The sketch's count beside the exact one: within three of its standard errors (5%)."""
+    sketch = profile.distinct(t.lineitem, approximate=True).withColumnRenamed("distinct_count", "sketched")
+    near = F.abs(F.col("sketched") - F.col("distinct_count")) <= 0.15 * F.col("distinct_count")
+    return profile.distinct(t.lineitem).join(sketch, "attribute").select("attribute", "distinct_count", near.alias("within_bound"))
 
 
 _SUMMARY_SQL = """SELECT '{c}' AS attribute, {i}::INTEGER AS position, count({c}) AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
@@ -308,6 +315,40 @@ def fn_parse_date(t):
     return rows.selectExpr("*", f"string({parse.read_date('raw')}) AS read")
 
 
+#: Spelling, in Spark's and in DuckDB's patterns, and the seconds it shows beyond the day.
+_SPELLINGS = [
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", 52_327, 0),
+    ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "%Y-%m-%dT%H:%M:%S+02:00", 52_327, -7_200),
+    ("MMM d, yyyy", "%b %-d, %Y", 0, 0),
+    ("d MMMM yyyy", "%-d %B %Y", 0, 0),
+    ("yyyyMMdd", "%Y%m%d", 0, 0),
+    ("MM/dd/yy", "%m/%d/%y", 0, 0),
+    ("MM/dd/yyyy HH:mm", "%m/%d/%Y %H:%M", 52_320, 0),
+    ("M/d/yyyy hh:mm:ss a", "%-m/%-d/%Y %I:%M:%S %p", 52_327, 0),
+    ("EEE, dd MMM yyyy HH:mm:ss", "%a, %d %b %Y %H:%M:%S", 52_327, 0),
+]
+
+
+def _per_spelling(branch) -> str:
+    cases = " ".join(f"WHEN {i} THEN {branch(*s)}" for i, s in enumerate(_SPELLINGS))
+    return f"CASE o_custkey % {len(_SPELLINGS)} {cases} END"
+
+
+@register(
+    "fn_parse_date_spellings",
+    f"""WITH d AS (SELECT o_orderkey, o_custkey, date_trunc('day', o_orderdate) AS day FROM orders)
+    SELECT o_orderkey, {_per_spelling(lambda _, p, shown, off: f"strftime(day + INTERVAL {shown} SECOND, '{p}')")} AS raw,
+      (day + INTERVAL 1 SECOND * {_per_spelling(lambda _, p, shown, off: shown + off)})::VARCHAR AS read FROM d""",
+)
+def fn_parse_date_spellings(t):
+    """Every order's day in one of nine spellings of exports and logs, read back."""
+    day = t.orders.selectExpr("o_orderkey", "o_custkey", "CAST(date(o_orderdate) AS TIMESTAMP_NTZ) AS day")
+    text = _per_spelling(
+        lambda p, _, shown, off: f"date_format(day + INTERVAL '{shown}' SECOND, {quoted(p)})"
+    )
+    return day.selectExpr("o_orderkey", f"{text} AS raw").selectExpr("*", f"string({parse.read_date('raw')}) AS read")
+
+
 @register(
     "fn_epoch_detect",
     """WITH e AS (SELECT epoch(ts)::BIGINT AS seconds, epoch_ms(ts) AS millis, event_id FROM events)

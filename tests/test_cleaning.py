@@ -133,7 +133,10 @@ def test_negative_amounts(spark):
 
 
 DATES = ["2024-02-29", "2024-02-30", "1/2/2023", "13/02/2023", "05-10-2022", "25-12-1998", "2021/3/4", " 2020-01-01 ",
-         "2020-01-01T10:20:30", "2020-01-01 10:20", "30", "2019", "yes", "", "99/99/2020"]
+         "2020-01-01T10:20:30", "2020-01-01 10:20", "30", "2019", "yes", "", "99/99/2020",
+         "2024-01-05T10:00:00Z", "2024-01-05T10:00:00+02:00", "2024-01-05 10:00:00.25-0530", "Jan 5, 2024", "5 January 2024",
+         "5-Jan-2024", "20240105", "20241305", "01/05/24", "01/05/2024 10:30", "01/05/2024 10:00:00 AM",
+         "1/5/2024 12:15 AM", "1/5/2024 12:15 PM", "01/05/2024 3:15 pm", "Fri, 05 Jan 2024 10:00:00", "Mayor 5, 2024", "hello"]
 
 
 def test_dates_read_as_the_frame_library_reads_them(spark):
@@ -144,9 +147,18 @@ def test_dates_read_as_the_frame_library_reads_them(spark):
         expected = pd.to_datetime(pd.Series([d.strip()]), format="mixed", errors="coerce")[0]
         if d in ("2019", "30"):  # bare numbers stay numbers
             expected = pd.NaT
+        if not pd.isna(expected) and expected.tzinfo:  # zones are resolved to UTC
+            expected = expected.tz_convert("UTC").tz_localize(None)
         assert (read is None and pd.isna(expected)) or read == expected.to_pydatetime(), d
 
 
+def test_two_digit_years_have_a_fixed_turn(spark):
+    from tabwright.functions import parse
+
+    df = spark.createDataFrame([("13/05/69",), ("05/13/68",)], "d string")
+    assert [str(r[0])[:10] for r in df.selectExpr(parse.read_date("d")).collect()] == ["1969-05-13", "2068-05-13"]
+
+
 def test_currency_and_booleans(spark):
     from tabwright.functions import parse
 

@@ -9,8 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.operators import analyze, anomaly
-from tabwright.operators.sqlgate import RejectedSQL, safe_sql
+from tabwright.operators import analyze, anomaly, classify, flow, forest, report
+from tabwright.operators.sqlgate import RejectedSQL, safe_rows, safe_sql
 from tabwright.plans.documents import workbook_bytes
 from tabwright.sources import readers
 from tabwright.sources.workbook import read_workbooks
@@ -74,3 +74,66 @@ def test_quantiles_need_no_luck_with_values_or_keys(spark):
     odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (1.0,), (float("-inf"),)], "v double")
     assert [str(x) for x in exact_quantiles(odd, [], "v", [0.0, 1.0]).first()["quantiles"]] == ["-inf", "nan"]
     assert exact_quantiles(df.filter("false"), ["g"], "v", probs).count() == 0
+
+
+def test_cut_answers_say_so(spark):
+    spark.range(30).createOrReplaceTempView("thirty")
+    for limit, cut in ((10, True), (30, False), (31, False)):
+        rows, marked = safe_rows(spark, "SELECT * FROM thirty", default=limit)
+        assert rows.count() == min(limit, 30) and marked is cut
+    answer = flow.question_result(spark, "none", "SELECT * FROM thirty WHERE id < 0")
+    assert answer.rows.count() == answer.alert.count() == answer.alert_rows.count() == 0 and not answer.cut
+
+
+@pytest.mark.parametrize("rows", [40, 3000])
+def test_forest_flags_what_lies_above_its_threshold(spark, rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (rows, 2))
+    x[0] = [60, -60]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    scored = forest.isolation_forest(df, ["a", "b"]).toPandas()
+    cut = np.quantile(scored["anomaly_score"], 0.95)
+    assert len(scored) == rows and (scored["is_anomaly"] == (scored["anomaly_score"] > cut)).all()
+    assert scored["anomaly_score"].between(0, 1).all()
+    assert scored.loc[scored["anomaly_score"].idxmax(), "a"] == 60
+
+
+def test_forest_samples_about_as_many_rows_as_asked(spark):
+    df = spark.range(20_000).selectExpr("double(id) AS a")
+    grown = forest.fit(df, ["a"], 20_000, trees=40, sample=200)
+    sizes = [int(part["size"].iloc[0]) for part in grown.values()]
+    assert len(sizes) == 40 and 180 < np.mean(sizes) < 220 and min(sizes) > 120
+    whole = forest.fit(df.limit(100), ["a"], 100, trees=5, sample=200)
+    assert [int(part["size"].iloc[0]) for part in whole.values()] == [100] * 5
+
+
+def test_no_column_is_left_out_silently(spark):
+    wide = spark.createDataFrame([tuple(range(i, i + 9)) for i in range(60)], ", ".join(f"c{i} int" for i in range(9)))
+    names = wide.columns
+    assert analyze.distribution(wide, names).count() == 9 and analyze.distribution(wide, names, most=5).count() == 5
+    assert analyze.value_frequency(wide, names).count() == 9
+    roles = spark.createDataFrame(
+        [("t", f"g{i}", i, "categorical", 90, 10.0 + i) for i in range(6)],
+        "table_name string, attribute string, position int, role string, row_count long, missing_pct double",
+    )
+    assert len(classify.classify_dataset(roles).first()["group_columns"]) == 6
+    none = spark.createDataFrame([(0,)], "duplicate_rows long")
+    said = report.limitations(roles, none, "g0").filter("position = 1").first()["limitation"]
+    assert all(f"g{i} (" in said for i in range(6))
+    said = report.limitations(roles, none, "g0", most=4).filter("position = 1").first()["limitation"]
+    assert said.endswith("g3 (13.0%) and 2 more.")
+
+
+def test_report_names_its_columns_outliers_and_drivers(spark, store):
+    rows = [(i, f"g{i % 3}", f"k{i % 4}", float(i % 17), 900.0 if i == 7 else float(i % 5), f"2024-0{1 + i % 9}-05T10:00:00Z") for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id int, kind string, class string, amount double, price double, created_at string")
+    done = flow.auto_analysis(df, "facts", store)
+    assert dict(done.clean.dtypes)["created_at"] == "timestamp_ntz"
+    records = {}
+    for r in done.sections.filter("record IS NOT NULL").collect():
+        records.setdefault(r["section"], []).append(json.loads(r["record"]))
+    summary = records["outlier_detection"][0]
+    assert len(summary["primary_drivers"]) == 2 and summary["anomaly_count"] > 0
+    assert records["flagged_rows"][0]["price"] == 900.0 and len(records["flagged_rows"]) <= 10
+    assert {r["of_columns"][0] for r in records["group_comparison"]} >= {"kind", "class"}
+    assert all(r["of_columns"] for r in records["time_trend_analysis"])
