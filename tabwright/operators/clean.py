@@ -39,6 +39,17 @@ def column_fill(df: DataFrame) -> Row:
     ).first()
 
 
+def trimmed_fill(df: DataFrame) -> Row:
+    """One job: the fill of the trimmed table, and that of the cells as delivered (``raw_filled``)."""
+    cells = {c: parse.strip_to_null(name(c)) if c in set(C.string_columns(df)) else name(c) for c in df.columns}
+    return df.selectExpr(
+        "count(*) AS rows",
+        f"count_if(coalesce({', '.join(f'string(({x}) IS NOT NULL OR NULL)' for x in cells.values())}) IS NULL) AS empty_rows",
+        f"array({', '.join(f'count({x})' for x in cells.values())}) AS filled",
+        f"array({', '.join(f'count({name(c)})' for c in df.columns)}) AS raw_filled",
+    ).first()
+
+
 def _drop_below(df: DataFrame, fill: Row, keep: Callable[[int, int], bool]) -> DataFrame:
     gone = [c for c, n in zip(df.columns, fill["filled"]) if not keep(n, fill["rows"])]
     return df.drop(*[C.col(c) for c in gone])
@@ -149,23 +160,20 @@ class Cleaned:
 def clean_table(raw: DataFrame, stage: Callable[[DataFrame], DataFrame] | None = None) -> Cleaned:
     """Names, sparse columns, trim, empty rows, duplicates, empty columns, types.
 
-    Two small jobs decide (fill counts, then text evidence) and one lazy plan does the
-    work.  ``stage`` may write the deduplicated rows once and read them back, so that the
+    Small jobs decide (fill counts, counted again when sparse columns go; then text evidence)
+    and one lazy plan does the work.  ``stage`` may write the deduplicated rows once and read them back, so that the
     later jobs do not repeat the shuffle; large inputs should pass it.
     """
     mapping = name_mapping(raw)
     named = trim_strings(raw.toDF(*mapping.values()))
-    raw_fill = column_fill(raw)
+    both = trimmed_fill(raw.toDF(*mapping.values()))
     # Sparse columns are judged on the raw cells, as delivered.
-    sparse = {
-        mapping[c]
-        for c, n in zip(raw.columns, raw_fill["filled"])
-        if raw_fill["rows"] and n < raw_fill["rows"] * MIN_COLUMN_FILL
-    }
+    sparse = {c for c, n in zip(mapping.values(), both["raw_filled"]) if n < both["rows"] * MIN_COLUMN_FILL}
     kept = named.drop(*sparse)
-    fill = column_fill(kept)
+    empty = [c for c, n in zip(mapping.values(), both["filled"]) if n == 0 and c not in sparse]
+    # Dropping columns may empty further rows; only then a second count is needed.
+    fill = column_fill(kept) if sparse else both
     rows, warnings = drop_empty_rows_guarded(kept, fill)
-    empty = [c for c, n in zip(kept.columns, fill["filled"]) if n == 0]
     unique = drop_duplicates(rows.drop(*empty))
     if stage:
         unique = stage(unique)

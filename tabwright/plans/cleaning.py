@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright.operators import clean, columns as C, quality
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import MIXED_DATE_SQL, MONEY_SQL, READ_DATE_SQL, each, mixed_date_text, money_text
-from tabwright.session import spread
+from tabwright.session import spread, staged
 
 RAW_NAMES = [
     " Order ID ", "Customer-Name", "Order Date", "Total Amount", "Rush?", "Notes", "Discount Code", "Balance",
@@ -179,12 +179,17 @@ CLEANED_SQL = f"""WITH {MESSY_SQL}, {TRIMMED_SQL}, cleaned AS (
 """
 
 
+def staged_cleaning(t: Tables) -> clean.Cleaned:
+    """The whole chain as large inputs take it: the deduplicated rows are written once."""
+    return clean.clean_table(messy_orders(t), stage=lambda df: staged(df, "clean"))
+
+
 @register(
     "clean_table",
     CLEANED_SQL + "SELECT * REPLACE (order_date::VARCHAR AS order_date) FROM cleaned",
 )
 def clean_table(t):
-    cleaned = clean.clean_table(messy_orders(t)).df
+    cleaned = staged_cleaning(t).df
     return cleaned.withColumn("order_date", F.col("order_date").cast("string"))
 
 
@@ -250,7 +255,7 @@ CLEANED_NAMES = [
     CLEANED_SQL.rstrip() + f", {_finding_sql('cleaned', _CLEAN_TEXT, CLEANED_NAMES)}{_SCORE_SQL}",
 )
 def quality_score_v2_cleaned(t):
-    return rounded_score(clean.clean_table(messy_orders(t)).df)
+    return rounded_score(staged_cleaning(t).df)
 
 
 _ISSUES_SQL = """SELECT CASE WHEN (rows - filled) * 100.0 / rows >= 50 THEN 'high' ELSE 'medium' END AS severity, attribute,
@@ -295,7 +300,7 @@ def _nulls_sql(source: str, names: list[str]) -> str:
     FROM sizes""",
 )
 def cleaning_report(t):
-    found = clean.clean_table(messy_orders(t)).report("messy_orders")
+    found = staged_cleaning(t).report("messy_orders")
     nulls = F.transform(F.array_sort(F.map_entries("nulls_per_column_after")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
     return found.select(
         "source_name", "rows_before", "rows_after", "columns_before", "columns_after", "duplicates_removed",
