@@ -37,7 +37,11 @@ def distinct(df: DataFrame, approximate: bool = False) -> DataFrame:
         sketched = C.per_column(df, flat, lambda c: {"distinct_count": f"approx_count_distinct({name(c)})"})
         return sketched.drop("position")
     # A column of nulls has no counts; the rows from the schema keep it in the result.
-    found = C.distinct_counts(C.value_counts(df, flat))
+    # Long texts are counted by digest and length, so that no whole text is shuffled as a key.
+    text = set(C.string_columns(df))
+    key = "CASE WHEN octet_length({x}) <= 32 THEN {x} ELSE md5({x}) || octet_length({x}) END AS {x}"
+    keys = df.selectExpr(*[key.format(x=name(c)) if c in text else name(c) for c in flat])
+    found = C.distinct_counts(C.value_counts(keys, flat))
     listed = C.schema_rows(df.sparkSession, flat).join(found, "attribute", "left")
     return listed.selectExpr("attribute", "coalesce(distinct_count, 0) AS distinct_count")
 

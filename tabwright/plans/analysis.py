@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.operators import analyze, anomaly, charts, columns as C, forest, kpis, profile
 from tabwright.plans.registry import Tables, register
-from tabwright.plans.values import LABELLED, LINE_MEASURES, each, labelled_documents, pair_sql, rounded
+from tabwright.plans.values import LABELLED, LINE_MEASURES, SCHEMA, each, labelled_documents, pair_sql, rounded
 
 # --- profiles -----------------------------------------------------------------------------
 
@@ -46,18 +46,8 @@ def profile_table(t):
     return rounded(shown, 4, "median", "p25", "p75")
 
 
-# Tables whose columns cover every role.
-ROLE_TABLES = {
-    "orders": [(c, k) for c, _, k in ORDER_COLUMNS],
-    "customer": [
-        ("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text"),
-    ],
-    "events": [
-        ("event_id", "number"), ("ts", "date"), ("user_id", "number"), ("event_type", "text"), ("value", "number"), ("props", "text"),
-    ],
-    "documents": [("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number")],
-    "labels": [("doc_id", "number"), ("quality", "number"), ("toxic", "number")],
-}
+# Lists have no role.
+ROLE_TABLES = {t: [(c, kind) for c, kind in cols if kind != "list"] for t, cols in SCHEMA.items()}
 _LOOKS = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|^[0-9]{4}/[0-9]{2}/[0-9]{2}"
 _PAIRS = [
     ("true", "false"), ("0", "1"), ("0.0", "1.0"), ("yes", "no"), ("y", "n"), ("active", "inactive"), ("t", "f"),

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright.operators import classify, columns as C, flow, profile, report
 from tabwright.operators.clean import clean_table
-from tabwright.plans.analysis import ROLE_TABLES, ROLES_SQL, all_roles
+from tabwright.plans.analysis import ROLES_SQL, all_roles
 from tabwright.plans.cleaning import CLEANED_NAMES, CLEANED_SQL, CLEAN_NAMES, RAW_NAMES, messy_orders
 from tabwright.plans.registry import Tables, register
-from tabwright.plans.values import EVERY_TABLE, LABELLED, labelled_documents
+from tabwright.plans.values import EVERY_TABLE, LABELLED, SCHEMA, labelled_documents
 from tabwright.session import scratch_path, ship_with_tasks
 from tabwright.sources import readers, store as S
 from tabwright.sources.workbook import read_workbooks
@@ -278,30 +278,13 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
 
 
-# The schema of the given tables: name, numeric or not, in column order.
-_SCHEMA = {
-    "region": "r_regionkey# r_name",
-    "nation": "n_nationkey# n_name n_regionkey#",
-    "customer": "c_custkey# c_name c_nationkey# c_acctbal# c_mktsegment",
-    "supplier": "s_suppkey# s_name s_nationkey# s_acctbal#",
-    "part": "p_partkey# p_name p_brand p_type p_size# p_retailprice#",
-    "orders": "o_orderkey# o_custkey# o_orderstatus o_totalprice# o_orderdate o_orderpriority",
-    "lineitem": "l_orderkey# l_partkey# l_suppkey# l_linenumber# l_quantity# l_extendedprice# l_discount# l_tax# l_returnflag l_linestatus l_shipdate",
-    "events": "event_id# ts user_id# event_type value# props",
-    "documents": "doc_id# text lang source n_chars#",
-    "embeddings": "vec_id# embedding label#",
-    "pages": "page_id# url html",
-    "benchmark": "item_id# text",
-    "labels": "doc_id# quality# toxic#",
-    "conversations": "conv_id# turn# role text",
-}
 _CATALOG_SQL = (
     "names(table_name, position, attribute, is_number) AS (VALUES "
     + _values(
-        [(tb, i, c.rstrip("#"), int(c.endswith("#"))) for tb, cols in _SCHEMA.items() for i, c in enumerate(cols.split())]
+        [(tb, i, c, int(kind == "number")) for tb, cols in SCHEMA.items() for i, (c, kind) in enumerate(cols)]
     )
     + "), sizes AS ("
-    + " UNION ALL ".join(f"SELECT '{tb}' AS table_name, count(*) AS row_count FROM {tb}" for tb in _SCHEMA)
+    + " UNION ALL ".join(f"SELECT '{tb}' AS table_name, count(*) AS row_count FROM {tb}" for tb in SCHEMA)
     + ")"
 )
 
