@@ -9,7 +9,7 @@ for folder in (ROOT, ROOT / "tests"):
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tabwright.session import build_session
 
     session = build_session(
@@ -18,6 +18,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
