@@ -11,7 +11,7 @@ from tabwright.operators import analyze, anomaly, charts, classify, forest, kpis
 from tabwright.operators import columns as C
 from tabwright.operators.clean import Cleaned, clean_table
 from tabwright.operators.profile import profile_roles, profile_table, quality_score_v1
-from tabwright.operators.sqlgate import safe_rows
+from tabwright.operators.sqlgate import DEFAULT_ROWS, MAX_ROWS, safe_rows
 from tabwright.session import staged
 from tabwright.sources.readers import missing_to_null, read_any
 from tabwright.sources.store import Store, catalog
@@ -221,13 +221,15 @@ class Answer:
     alert_rows: DataFrame
 
 
-def question_result(spark: SparkSession, question: str, sql: str) -> Answer:
+def question_result(
+    spark: SparkSession, question: str, sql: str, default: int | None = DEFAULT_ROWS, cap: int | None = MAX_ROWS
+) -> Answer:
     """Run governed SQL, write its rows once, describe them, score them and raise the alert.
 
-    The gate bounds the rows, so all further steps are small. An empty result has an empty
-    description of numbers, no scores and no alert.
+    The gate bounds the rows unless ``default`` and ``cap`` lift its limits; ``cut`` says whether it left
+    any out. An empty result has an empty description of numbers, no scores and no alert.
     """
-    rows, cut = safe_rows(spark, sql)
+    rows, cut = safe_rows(spark, sql, default, cap)
     scored = anomaly.zscore(rows)
     return Answer(
         rows, cut, report.describe_result(rows), scored, anomaly.alert(scored, question), anomaly.alert_rows(scored, question)

@@ -67,8 +67,8 @@ def _check_expressions(plan) -> None:
             raise RejectedSQL("Forbidden function in query.")
 
 
-def _checked(spark: SparkSession, text: str, default: int, cap: int) -> tuple[DataFrame, int]:
-    """The query's rows and the limit that holds for them."""
+def _checked(spark: SparkSession, text: str, default: int | None, cap: int | None) -> tuple[DataFrame, int | None]:
+    """The query's rows and the limit that holds for them, if any."""
     query = strip_fences(text)
     if not query:
         raise RejectedSQL("Empty SQL statement.")
@@ -82,24 +82,28 @@ def _checked(spark: SparkSession, text: str, default: int, cap: int) -> tuple[Da
             raise
         df = spark.sql(query)
     _check_expressions(df._jdf.queryExecution().analyzed())
-    return df, cap if _has_outer_limit(parsed) else min(default, cap)
+    held = [cap] if _has_outer_limit(parsed) else [default, cap]
+    return df, min((n for n in held if n is not None), default=None)
 
 
-def safe_sql(spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS) -> DataFrame:
+def safe_sql(spark: SparkSession, text: str, default: int | None = DEFAULT_ROWS, cap: int | None = MAX_ROWS) -> DataFrame:
     """Run one query. Spark's own query grammar admits SELECT, WITH and set operations only.
 
     Unknown tables and columns surface here, before any job runs. At most ``default`` rows come
     back, or ``cap`` where the query has a limit of its own; :func:`safe_rows` says if there are more.
+    None lifts either limit.
     """
     df, limit = _checked(spark, text, default, cap)
-    return df.limit(limit)
+    return df if limit is None else df.limit(limit)
 
 
 def safe_rows(
-    spark: SparkSession, text: str, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS
+    spark: SparkSession, text: str, default: int | None = DEFAULT_ROWS, cap: int | None = MAX_ROWS
 ) -> tuple[DataFrame, bool]:
     """Rows of :func:`safe_sql`, written once, and whether the limit cut them."""
     df, limit = _checked(spark, text, default, cap)
+    if limit is None:
+        return staged(df, "answer"), False
     found = staged(df.limit(limit + 1), "answer")
     cut = found.count() > limit
     # Which row is left out is as open as which rows a limit takes, but it's the same in every reading.

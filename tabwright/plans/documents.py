@@ -449,6 +449,8 @@ def report_build(t):
 
 
 _ASKED = """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id ORDER BY user_id LIMIT 50000"""
+#: The question asks about all users; the check's limit agrees with it up to 50,000 of them.
+_QUESTION = "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"
 _ANSWER_COLUMNS = ["user_id", "n", "total"]
 
 
@@ -465,9 +467,9 @@ _ANSWER_COLUMNS = ["user_id", "n", "total"]
     ),
 )
 def question_result(t):
-    """A question's governed SQL, its rows described, scored and, where rows stand out, alerted."""
+    """A question's governed SQL, all its rows described, scored and, where rows stand out, alerted."""
     t.events.createOrReplaceTempView("events")
-    answer = flow.question_result(t.spark, "Which users stand out?", _ASKED)
+    answer = flow.question_result(t.spark, "Which users stand out?", _QUESTION, default=None, cap=None)
     alerts = answer.alert.agg(F.count("*").alias("alerts"))
     sent = C.with_row(answer.alert_rows.agg(F.count("*").alias("flagged")), alerts)
     described = answer.description.select("attribute", "n", F.round("mean", 4).alias("mean"), "min", "max")
