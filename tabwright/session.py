@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete what :func:`staged` wrote; the table can't be read any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no table needs any more, between the rounds of an iteration."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Estimated size of everything a plan reads. Joins do not inflate it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
