@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwright.llm import brown, fingerprints, jaccard, mixing, packing, quality, sharding, substrings, toxicity, warczip
+from tabwright.llm import attention, brown, fingerprints, jaccard, merkle, mixing, packing, phrases, quality, sharding, substrings, toxicity, warczip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,3 +237,143 @@ GROUP BY ALL"""
 @_query
 def op8_brown_classes(spark, folder):
     return brown.score_documents(_table(spark, folder, "documents"), id_remainder(10) != 0)
+
+
+# --- 11: Merkle manifest ----------------------------------------------------------------------
+
+
+@_query
+def op11_merkle_manifest(spark, folder):
+    docs = _table(spark, folder, "documents")
+    proved = merkle.manifest(docs, {"text": merkle.lower_ascii(docs["text"])}, id_remainder(3) == 0, proofs=False)
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _digest_sql(text: str) -> str:
+    """A row's digest in SQL, with ``text`` as its text."""
+    named = [("doc_id", "doc_id"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars"), ("text", text)]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for _, v in named) + ")"
+
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+), hashed AS (
+  SELECT doc_id, lang, {_digest_sql("text")} AS leaf, {_digest_sql(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} AS other,
+         xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc_table
+), trees AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) AS m FROM hashed GROUP BY lang
+), leaves AS (
+  SELECT h.doc_id, h.leaf, CASE WHEN crc % 3 = 0 THEN other ELSE leaf END AS now, t.tree, t.m,
+         row_number() OVER (PARTITION BY t.tree ORDER BY h.doc_id NULLS FIRST, h.leaf) - 1 AS idx
+  FROM hashed h JOIN trees t ON h.lang IS NOT DISTINCT FROM t.lang
+), low AS (
+  SELECT tree, 0 AS level, idx, leaf AS node, m FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (m + 7) // 8
+  FROM low WHERE m > 1 GROUP BY tree, level, idx // 8, m
+), subroots AS (
+  SELECT tree, node AS subroot, level AS height, count(*) OVER () AS m FROM low WHERE m = 1
+), high AS (
+  SELECT 0 AS level, tree AS idx, subroot AS node, m FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (m + 7) // 8 FROM high WHERE m > 1 GROUP BY level, idx // 8, m
+), runs AS (
+  SELECT tree, level, idx // 8 AS idx, list(node ORDER BY idx) AS nodes FROM low WHERE m > 1 GROUP BY tree, level, idx // 8
+), tops AS (
+  SELECT level, idx // 8 AS idx, list(node ORDER BY idx) AS nodes FROM high WHERE m > 1 GROUP BY level, idx // 8
+), steps AS (
+  SELECT l.tree, l.idx, r.level + 1 AS k, (l.idx // pow(8, r.level)::BIGINT) % 8 AS place, r.nodes
+  FROM leaves l JOIN runs r ON r.tree = l.tree AND r.idx = l.idx // pow(8, r.level + 1)::BIGINT
+  UNION ALL
+  SELECT l.tree, l.idx, s.height + r.level + 1, (l.tree // pow(8, r.level)::BIGINT) % 8, r.nodes
+  FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN tops r ON r.idx = l.tree // pow(8, r.level + 1)::BIGINT
+), sided AS (
+  SELECT tree, idx, k, array_to_string(nodes[1:place], '') AS before, array_to_string(nodes[place + 2:], '') AS after FROM steps
+), folds AS (
+  SELECT tree, idx, 0::BIGINT AS k, now AS node FROM leaves
+  UNION ALL
+  SELECT f.tree, f.idx, f.k + 1, sha256(s.before || f.node || s.after)
+  FROM folds f JOIN sided s ON s.tree = f.tree AND s.idx = f.idx AND s.k = f.k + 1
+), folded AS (
+  SELECT tree, idx, arg_max(node, k) AS folded_root FROM folds GROUP BY tree, idx
+), proofs AS (
+  SELECT tree, idx, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM sided GROUP BY tree, idx
+)
+SELECT l.doc_id, l.leaf, s.subroot, h.node AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+       f.folded_root, f.folded_root = h.node AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN high h ON h.m = 1
+  JOIN folded f ON f.tree = l.tree AND f.idx = l.idx LEFT JOIN proofs p ON p.tree = l.tree AND p.idx = l.idx"""
+
+
+# --- 12: phrases ------------------------------------------------------------------------------
+
+
+@_query
+def op12_toivonen_phrases(spark, folder):
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
+SQL["op12_toivonen_phrases"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spans AS (
+  SELECT lang, unnest(list_concat(
+    list_transform(range(1, len(w) + 1), lambda i: {{'k': 1, 'p': w[i]}}),
+    list_transform(range(1, len(w)), lambda i: {{'k': 2, 'p': w[i] || ' ' || w[i + 1]}}),
+    list_transform(range(1, len(w) - 1), lambda i: {{'k': 3, 'p': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}}))) AS s
+  FROM lists
+), counted AS MATERIALIZED (
+  SELECT lang, s.k AS k, s.p AS p, count(*) AS f FROM spans GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, k, p, f, string_split(p, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, k, p, f AS a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM candidates
+  UNION ALL
+  SELECT lang, k, p, f, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE k = 3
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, ((a::HUGEINT * a * 1000000) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.p = c.head AND x.k = c.cut
+    JOIN counted y ON y.lang = c.lang AND y.p = c.rest AND y.k = c.k - c.cut
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, p, max(f) AS longer FROM (
+    SELECT lang, f, w[1] || ' ' || w[2] AS p FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, f, w[2] || ' ' || w[3] FROM candidates WHERE k = 3) GROUP BY lang, p
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.p) AS rank,
+         b.p AS phrase, b.a, b.l, b.r, t.n, b.score
+  FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inside i ON b.k = 2 AND i.lang = b.lang AND i.p = b.p
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a
+)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+# --- 13: quality classifier -------------------------------------------------------------------
+
+
+@_query
+def op13_attention_quality(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = attention.train(docs, _table(spark, folder, "labels"), where=id_remainder(5) != 0)
+    scored = attention.score_documents(docs, model)
+    held_out = F.coalesce(id_remainder(5) == 0, F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "n_passages", "top_passage", "top_weight",
+    )

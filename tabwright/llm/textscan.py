@@ -70,6 +70,11 @@ def text_bytes(texts: pa.Array) -> np.ndarray:
     return np.diff(_buffers(texts)[1])
 
 
+def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, byte bounds of each)."""
+    return _buffers(texts)
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if texts.null_count:
         texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
