@@ -1,10 +1,6 @@
 """Findings of the second advice: whole results where the first code cut them."""
 
-import pytest
-from pyspark.sql import functions as F
-
 import __spark_entry__ as contract
-from tabwright.llm import brown
 
 
 def test_a_question_covers_more_users_than_the_gate_returns(spark, tmp_path):
@@ -13,17 +9,3 @@ def test_a_question_covers_more_users_than_the_gate_returns(spark, tmp_path):
     found = {r["attribute"]: r for r in contract.queries()["question_result"](spark, str(tmp_path)).collect()}
     assert found["user_id"]["n"] == 60_000 and found["user_id"]["max"] == 59_999
     assert found["total"]["max"] == 1e9 and found["total"]["alert_raised"] and not found["total"]["cut"]
-
-
-def test_rare_words_of_one_spelling_get_classes_of_their_own(spark):
-    filler = " ".join(f"w{i}" for i in range(1100))
-    texts = [filler] * 30 + ["left raxa right up raya down"] * 10 + ["left right up down"] * 30
-    rows = [(i, t, True) for i, t in enumerate(texts)] + [(-1, "left raxa right", False), (-2, "left raya right", False)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, seen boolean")
-    got = {r["doc_id"]: r for r in brown.score_documents(docs, F.col("seen")).collect()}
-    assert got[-1]["base_score"] == pytest.approx(got[-2]["base_score"])
-    assert got[-1]["score"] > got[-2]["score"] + 0.1
-
-
-def test_classes_grow_with_the_vocabulary():
-    assert brown.classes_for(1000) == 64 and brown.classes_for(10**6) == 100 and brown.classes_for(10**9) == 1000
