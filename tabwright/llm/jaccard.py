@@ -14,8 +14,9 @@ linked set of the tile. Those rows are the edges from which groups (connected co
 found.
 
 Nulls: a null or empty text has no shingles and no links; a row without an id is its own group
-without links. Repeated rows are copies like any others. Rows of one id but different texts are
-linked as the id's texts are. An empty table gives an empty result.
+without links. Repeated rows are copies like any others. A class has a number of its own, so rows of
+one id with different texts are compared, linked and counted each by its own text. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,8 +90,8 @@ def _signed(runs: int):
             low = mix(lowest_tokens(sets, first, runs * DEPTH)).view(np.int64)
             paths = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, max(low.shape[1], 1), dtype=np.int32)), pa.array(low.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(set_digests(sets, first)), pa.array(np.diff(first).astype(np.int64)), paths],
-                ["id", "digest", "size", "steps"],
+                [part.column("id"), part.column("text_hash"), pa.array(set_digests(sets, first)), pa.array(np.diff(first).astype(np.int64)), paths],
+                ["id", "text_hash", "digest", "size", "steps"],
             )
 
     return rows
@@ -101,19 +102,19 @@ def _signed(runs: int):
 
 def paths(classes: DataFrame, runs: int, tile: int) -> DataFrame:
     """The classes with ``leaves``: per run the bucket their path ends in."""
-    step = classes.select("rep", F.posexplode(F.expr(f"transform(sequence(0, {runs - 1}), r -> steps[r * {DEPTH}])")).alias("run", "bucket"))
+    step = classes.select("key", F.posexplode(F.expr(f"transform(sequence(0, {runs - 1}), r -> steps[r * {DEPTH}])")).alias("run", "bucket"))
     large = staged(step.groupBy("run", "bucket").count().filter(F.col("count") > tile).select(F.col("run").alias("lr"), F.col("bucket").alias("lb")), "large-buckets")
-    split = classes.select("rep", "steps", F.posexplode(F.expr(f"transform(sequence(0, {runs - 1}), r -> steps[r * {DEPTH}])")).alias("run", "bucket"))
+    split = classes.select("key", "steps", F.posexplode(F.expr(f"transform(sequence(0, {runs - 1}), r -> steps[r * {DEPTH}])")).alias("run", "bucket"))
     split = split.join(large, (F.col("run") == F.col("lr")) & (F.col("bucket") == F.col("lb")), "left")
     deeper = F.xxhash64("bucket", F.expr(f"steps[run * {DEPTH} + 1]"))
     leaf = F.struct("run", F.when(F.col("lr").isNull(), F.col("bucket")).otherwise(deeper).alias("leaf"))
-    leaves = split.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["leaf"]).alias("leaves"))
+    leaves = split.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["leaf"]).alias("leaves"))
     return leaves
 
 
 def memberships(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
-    """(rep, run, leaf, blocks) of the buckets in which some pair meets for the first time."""
-    each = leaves.select("rep", "leaves", F.posexplode("leaves").alias("run", "leaf"))
+    """(key, run, leaf, blocks) of the buckets in which some pair meets for the first time."""
+    each = leaves.select("key", "leaves", F.posexplode("leaves").alias("run", "leaf"))
     spans = [f(F.col("leaves")[r]).alias(f"{n}{r}") for r in range(runs) for n, f in (("lo", F.min), ("hi", F.max))]
     buckets = each.groupBy("run", "leaf").agg(F.count("*").alias("members"), *spans)
     together = [(F.col("run") > r) & (F.col(f"lo{r}") == F.col(f"hi{r}")) for r in range(runs)]
@@ -122,28 +123,30 @@ def memberships(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
         met = met | t
     live = buckets.filter((F.col("members") > 1) & ~met)
     live = staged(live.select(F.col("run").alias("br"), F.col("leaf").alias("bl"), F.ceil(F.col("members") / tile).cast("int").alias("blocks")), "buckets")
-    return each.join(live, (F.col("run") == F.col("br")) & (F.col("leaf") == F.col("bl"))).select("rep", "leaves", "run", "leaf", "blocks")
+    return each.join(live, (F.col("run") == F.col("br")) & (F.col("leaf") == F.col("bl"))).select("key", "leaves", "run", "leaf", "blocks")
 
 
 def _tile_rows(bins: int):
-    """A row for each tile a set takes part in."""
+    """A row for each tile a set takes part in; a text that comes again in a task is left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for part in slices(batches, "text"):
             sets, first = shingle_sets(part.column("text"))
             digests = set_digests(sets, first)
             out = []
-            columns = [part.column(c).to_pylist() for c in ("rep", "digest", "copies", "leaves", "buckets")]
-            for i, (rep, digest, copies, leaves, buckets) in enumerate(zip(*columns)):
-                if digest != digests[i]:
+            columns = [part.column(c).to_pylist() for c in ("key", "digest", "copies", "leaves", "buckets")]
+            for i, (key, digest, copies, leaves, buckets) in enumerate(zip(*columns)):
+                if digest != digests[i] or key in done:
                     continue
+                done.add(key)
                 packed, known = sets[first[i] : first[i + 1]].tobytes(), np.array(leaves, np.int64).tobytes()
                 for b in buckets:
-                    own = int(mix(np.array([rep], np.int64).view(np.uint64) + np.uint64(b["run"]))[0] >> np.uint64(11)) % b["blocks"]
+                    own = int(mix(np.array([key], np.int64).view(np.uint64) + np.uint64(b["run"]))[0] >> np.uint64(11)) % b["blocks"]
                     for other in range(b["blocks"]):
                         low, high = min(own, other), max(own, other)
                         name = hash((b["run"], b["leaf"], low, high))
-                        out.append((name % bins, b["run"], b["leaf"], low * b["blocks"] + high, own, low == high, rep, copies, known, packed))
+                        out.append((name % bins, b["run"], b["leaf"], low * b["blocks"] + high, own, low == high, key, copies, known, packed))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TILE_TYPES)], TILE_NAMES)
                     out = []
@@ -153,9 +156,9 @@ def _tile_rows(bins: int):
     return rows
 
 
-TILE_NAMES = ["bin", "run", "leaf", "tile", "block", "alone", "rep", "copies", "leaves", "tokens"]
+TILE_NAMES = ["bin", "run", "leaf", "tile", "block", "alone", "key", "copies", "leaves", "tokens"]
 TILE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-TILES = "bin long, run int, leaf long, tile long, block int, alone boolean, rep long, copies long, leaves binary, tokens binary"
+TILES = "bin long, run int, leaf long, tile long, block int, alone boolean, key long, copies long, leaves binary, tokens binary"
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -185,8 +188,8 @@ def compare_bin(threshold: float):
     """Links and local groups of the tiles of one bin."""
 
     def rows(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("run", "leaf", "tile", "rep")])
-        run, leaf, tile, rep = (table.column(c).to_numpy() for c in ("run", "leaf", "tile", "rep"))
+        table = table.sort_by([(c, "ascending") for c in ("run", "leaf", "tile", "key")])
+        run, leaf, tile, key = (table.column(c).to_numpy() for c in ("run", "leaf", "tile", "key"))
         block, alone, copies = (table.column(c).to_numpy() for c in ("block", "alone", "copies"))
         leaves = [np.frombuffer(x, np.int64) for x in table.column("leaves").to_pylist()]
         tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
@@ -194,20 +197,20 @@ def compare_bin(threshold: float):
         cuts = np.append(np.flatnonzero(new), len(run))
         out = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            own = lo + np.flatnonzero(np.concatenate([[True], rep[lo + 1 : hi] != rep[lo : hi - 1]]))
+            own = lo + np.flatnonzero(np.concatenate([[True], key[lo + 1 : hi] != key[lo : hi - 1]]))
             if alone[lo]:
                 left = right = own
             else:
                 left, right = own[block[own] == block[own].min()], own[block[own] > block[own].min()]
             if len(left) and len(right) and not (alone[lo] and len(own) < 2):
-                out.append(_compare(left, right, alone[lo], run[lo], rep, copies, leaves, tokens, threshold))
+                out.append(_compare(left, right, alone[lo], run[lo], key, copies, leaves, tokens, threshold))
         names, links, roots = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.table({"rep": pa.array(names, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
+        return pa.table({"key": pa.array(names, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     return rows
 
 
-def _compare(left, right, alone, run, rep, copies, leaves, tokens, threshold):
+def _compare(left, right, alone, run, key, copies, leaves, tokens, threshold):
     a = [tokens[i] for i in left]
     shared = intersections(a, a if alone else [tokens[i] for i in right])
     size_a = np.array([len(tokens[i]) for i in left], np.float32)
@@ -222,7 +225,7 @@ def _compare(left, right, alone, run, rep, copies, leaves, tokens, threshold):
         for r in range(run):
             fresh &= one[:, r][:, None] != two[:, r][None, :]
     links_a, links_b = fresh @ copies[right], fresh.T @ copies[left]
-    root_a, root_b = rep[left].copy(), rep[right].copy()
+    root_a, root_b = key[left].copy(), key[right].copy()
     top = np.iinfo(np.int64).max
     while True:
         best_a = np.minimum(root_a, np.where(near, root_b[None, :], top).min(axis=1))
@@ -231,8 +234,8 @@ def _compare(left, right, alone, run, rep, copies, leaves, tokens, threshold):
             break
         root_a, root_b = best_a, best_b
     if alone:
-        return rep[left], links_a, root_a
-    return np.concatenate([rep[left], rep[right]]), np.concatenate([links_a, links_b]), np.concatenate([root_a, root_b])
+        return key[left], links_a, root_a
+    return np.concatenate([key[left], key[right]]), np.concatenate([links_a, links_b]), np.concatenate([root_a, root_b])
 
 
 # --- groups -----------------------------------------------------------------------------------
@@ -264,40 +267,60 @@ def components(edges: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------------------
 
 
-def near_groups(
+def near_rows(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per document: id, class_id (smallest id of its group of near duplicates), copy_of (smallest id with
-    an equal set) and n_links (documents whose similarity reaches the threshold, equal ones included)."""
+    """One row per row of ``docs``: id, text_hash (xxhash64 of the text), class_id (smallest id of its group of near
+    duplicates), copy_of (smallest id with an equal set), n_links (rows whose similarity reaches the threshold, equal
+    ones included) and keeper: whether id and text_hash are the smallest of the group."""
     kind = docs.schema[id].dataType
     runs = runs_for(threshold, recall)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(_signed(runs), "id long, digest long, size long, steps array<long>"), "signed")
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
+    signed = staged(rows.mapInArrow(_signed(runs), "id long, text_hash long, digest long, size long, steps array<long>"), "signed")
     full = signed.filter("id IS NOT NULL AND size > 0")
-    classes = full.groupBy("digest", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("steps").alias("steps"))
-    classes = staged(classes, "classes")
+    least = F.min(F.struct("id", "text_hash")).alias("rep")
+    classes = full.groupBy("digest", "size").agg(least, F.count("*").alias("copies"), F.min("steps").alias("steps"))
+    classes = staged(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     leaves = staged(paths(classes, runs, tile), "leaves")
     chosen = staged(memberships(leaves, runs, tile), "memberships")
-    chosen = chosen.groupBy("rep").agg(F.min("leaves").alias("leaves"), F.collect_list(F.struct("run", "leaf", "blocks")).alias("buckets"))
-    chosen = staged(chosen.join(classes.select("rep", "digest", "size", "copies"), "rep"), "chosen")
+    chosen = chosen.groupBy("key").agg(F.min("leaves").alias("leaves"), F.collect_list(F.struct("run", "leaf", "blocks")).alias("buckets"))
+    sets = classes.select("key", "digest", "size", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    chosen = staged(chosen.join(sets, "key"), "chosen")
     sent = chosen.agg(F.sum(F.expr("size * aggregate(buckets, 0L, (n, b) -> n + b.blocks)"))).first()[0] or 0
     bins = max(32, 8 * sent // BIN_BYTES)
-    tiles = rows.join(chosen, F.col("id") == F.col("rep")).select("rep", "digest", "copies", "leaves", "buckets", "text")
-    tiles = tiles.mapInArrow(_tile_rows(bins), TILES)
-    found = tiles.groupBy("bin").applyInArrow(compare_bin(threshold), "rep long, links long, root long")
+    tiles = rows.join(chosen, (F.col("id") == F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+    tiles = tiles.select("key", "digest", "copies", "leaves", "buckets", "text").mapInArrow(_tile_rows(bins), TILES)
+    found = tiles.repartition(bins, "bin").groupBy("bin").applyInArrow(compare_bin(threshold), "key long, links long, root long")
     found = staged(found, "compared")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    named = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    named = staged(
-        named.select("digest", "size", "rep", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
-        "named",
-    )
-    out = signed.select("id", "digest", "size").join(named, ["digest", "size"], "left")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    named = classes.join(links, "key", "left").select("digest", "size", "key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    groups = _group_names(roots, classes.select("key", "rep"))
+    named = named.join(groups, F.col("key") == F.col("node"), "left")
+    named = named.select("digest", "size", "rep", F.coalesce("first", "rep").alias("first"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    out = signed.select("id", "text_hash", "digest", "size").join(staged(named, "named"), ["digest", "size"], "left")
     known = F.col("id").isNotNull()
+    own = F.struct("id", "text_hash")
     return out.select(
         F.col("id").cast(kind).alias(id),
-        F.when(known, F.coalesce("class_id", "id")).cast(kind).alias("class_id"),
-        F.when(known, F.coalesce("rep", "id")).cast(kind).alias("copy_of"),
+        "text_hash",
+        F.when(known, F.coalesce("first.id", "id")).cast(kind).alias("class_id"),
+        F.when(known, F.coalesce("rep.id", "id")).cast(kind).alias("copy_of"),
         F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        (~known | F.coalesce(F.col("first") == own, F.lit(True))).alias("keeper"),
     )
+
+
+def _group_names(roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, first): the smallest representative of each node's group, for the nodes of groups of two or more."""
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = members.join(classes, F.col("node") == F.col("key")).groupBy(F.col("root").alias("of")).agg(F.min("rep").alias("first"))
+    return members.join(staged(least, "group-names"), F.col("root") == F.col("of")).select("node", "first")
+
+
+def near_groups(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """id, class_id, copy_of and n_links of :func:`near_rows`."""
+    return near_rows(docs, threshold, recall, tile, id, text).select(id, "class_id", "copy_of", "n_links")

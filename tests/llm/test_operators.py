@@ -14,9 +14,14 @@ import pytest
 from tabwright.llm import brown, fingerprints, jaccard, mixing, packing, quality, sharding, substrings, textscan, toxicity, warczip
 from tabwright.llm.queries import id_remainder, tokenizer_file
 
+WORDS = [f"w{i}" for i in range(4000)]
 SEP = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def run_of(a, n):
+    return " ".join(WORDS[a : a + n])
+
+
 def words(text):
     return SEP.findall(text or "")
 
@@ -246,22 +251,53 @@ def shingles(text):
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("tile", [2048, 4])
-def test_jaccard_join_equals_brute_force(corpus, nothing, tile):
-    docs = [(r["doc_id"], r["text"]) for r in corpus.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
-    sets = {i: shingles(t) for i, t in docs}
+def groups_by_hand(rows):
+    """Sorted (doc_id, class_id, copy_of, n_links, keeper) of rows of (doc_id, text, text_hash)."""
+    sets = [shingles(t) if i is not None else set() for i, t, _ in rows]
     near = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    links = {a: [b for b in sets if b != a and near(a, b)] for a in sets}
-    group = {a: a for a in sets}
-    for _ in sets:
-        group = {a: min([group[a], *(group[b] for b in links[a])]) for a in sets}
-    found = jaccard.near_groups(corpus.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), tile=tile)
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_of(found)}
-    assert got == {a: (group[a], len(links[a])) for a in sets}
+    links = [[b for b in range(len(rows)) if b != a and near(a, b)] for a in range(len(rows))]
+    group = list(range(len(rows)))
+    while True:
+        least = [min([group[a], *(group[b] for b in links[a])]) for a in range(len(rows))]
+        if least == group:
+            break
+        group = least
+    out = []
+    for a, (i, _, h) in enumerate(rows):
+        if not sets[a]:
+            out.append((i, i, i, 0, True))
+            continue
+        own = [b for b in range(len(rows)) if group[b] == group[a]]
+        first = min((rows[b][0], rows[b][2]) for b in own)
+        same = min(rows[b][0] for b in own if sets[b] == sets[a])
+        out.append((i, first[0], same, len(links[a]), first == (i, h)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_jaccard_join_equals_brute_force(spark, corpus, nothing, tile):
+    docs = corpus.select("doc_id", "text")
+    more = [(6, run_of(600, 200)), (6, run_of(3300, 200)), (15, run_of(600, 199) + " x"), (50, run_of(3300, 198) + " y z"), (6, run_of(600, 200)), (0, None), (None, run_of(600, 200))]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(4)
+    rows = [tuple(r) for r in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    found = jaccard.near_rows(docs, tile=tile).select("doc_id", "class_id", "copy_of", "n_links", "keeper")
+    assert sorted(map(tuple, found.collect()), key=str) == groups_by_hand(rows)
     assert jaccard.near_groups(corpus).count() == corpus.count()
     assert jaccard.near_groups(nothing).count() == 0
 
 
+def test_jaccard_join_of_one_id_with_many_texts(spark):
+    """Every row has one of two ids; each text has a partner under the other id or its own."""
+    rows = []
+    for i in range(40):
+        text = [f"t{i}x{j}" for j in range(120)]
+        rows += [(i % 2, " ".join(text)), (1, " ".join(text[:118]) + " a b"), (0, " ".join([f"u{i}x{j}" for j in range(30)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_rows(docs).collect()
+    assert sorted(r["n_links"] for r in got) == [0] * 40 + [1] * 80
+    assert sum(r["keeper"] for r in got) == 80
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 40)] + [(139, 500), (7, 7)]
     got = {r["node"]: r["root"] for r in rows_of(jaccard.components(spark.createDataFrame(edges, "u long, v long")))}
