@@ -2,13 +2,13 @@
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last
 return the columns of documents. A stage's result is written and read again before the next.
-Rows without an id pass the near-duplicate and substring stages untouched; an empty table gives
-an empty result.
+Rows without an id pass the near-duplicate and substring stages untouched, and rows that share an id are
+judged each by its own text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.llm import jaccard, mixing, packing, substrings, toxicity
 from tabwright.llm.queries import tokenizer_file
@@ -23,13 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    groups = jaccard.near_groups(docs)
-    gone = staged(groups.filter("doc_id <> class_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("__again", again).filter((F.col("__again") == 1) | F.col("doc_id").isNull())
-    return kept.select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id and, for one id, the smallest hash of its text.
+
+    Rows without an id or without words are in no group. Of rows equal in id and text one stays.
+    """
+    rows = jaccard.near_rows(docs).filter("doc_id IS NOT NULL AND (n_links > 0 OR NOT keeper)")
+    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("keeper").alias("__keeper"), F.count("*").alias("__n"))
+    rows = staged(rows, "near-duplicates")
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = hashed.join(rows.filter("NOT __keeper OR __n > 1"), same, "left")
+    single = kept.filter("__keeper IS NULL")
+    again = kept.filter("__keeper").dropDuplicates(["doc_id", "__text_hash"])
+    return single.unionByName(again).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -43,13 +49,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The mix: a row for each time a document is taken, its text cut where its source's target ends."""
+    """The mix in the order of its virtual finish times: a row for each time a document is taken, its text cut where
+    its source's target ends."""
     numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     _, served = mixing.fair_queue(numbered, row=F.col("__row"))
-    taken = staged(served.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken")), "served")
-    out = numbered.join(taken, "__row")
+    taken = served.select(F.col("row").alias("__row"), *[F.col(c).alias(f"__{c}") for c in ("size", "taken", "finish", "pass")])
+    out = numbered.join(staged(taken, "served"), "__row")
     text = F.when(F.col("__taken") < F.col("__size"), mixing.first_words("text", "__taken")).otherwise(F.col("text"))
-    return _with_text(out, text, docs.columns)
+    return _with_text(out.orderBy("__finish", "__row", "__pass"), text, docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
