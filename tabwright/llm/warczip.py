@@ -6,9 +6,12 @@ as WARC asks for) and ``indexes/index.cdxj`` (a line per record with its place).
 a name of their own for each attempt, and only those in the written list of archives count, so
 a lost executor leaves no half-read file behind.
 
-Reading: the end of the file gives the central directory (ZIP64 too), that gives the stored
-members' places, the index gives the records' places, and each record is read as a byte range.
-Nothing is extracted and no file is read whole.
+Reading: the end of the file gives the central directory (ZIP64 too), that gives the members'
+places, every index below ``indexes/`` (plain, gzipped or deflated; JSON, with or without a key and a
+time before it) gives the records' members and places, and each record is read as a byte range of
+its stored member below ``archive/``. Nothing is extracted and no file is read whole. What can't be
+read that way is an error, never left out: a deflated archive member, one that no index mentions, an
+index line whose member is missing, a package without an index.
 
 Of records with equal payloads the one with the smallest id is a response, the others are
 revisits that refer to it. Nulls: a null html is an empty payload, a null url an empty target,
@@ -26,6 +29,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -81,8 +85,14 @@ def zip_bytes(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
     return bytes(out)
 
 
-def members(file, size: int) -> dict[str, tuple[int, int]]:
-    """Name -> (offset, length) of every stored member, from the central directory alone."""
+class Member(NamedTuple):
+    at: int
+    size: int  # bytes in the file
+    deflated: bool
+
+
+def members(file, size: int) -> dict[str, Member]:
+    """Every member of a ZIP file by name, from the central directory and the members' own headers."""
     tail_at = max(0, size - 65_557)
     tail = file.read_at(size - tail_at, tail_at)
     found = tail.rfind(b"PK\5\6")
@@ -110,13 +120,41 @@ def members(file, size: int) -> dict[str, tuple[int, int]]:
                 packed = next(wide) if packed == _BIG else packed
                 offset = next(wide) if offset == _BIG else offset
             q += 4 + width
-        if how == 0:
-            name_here, extra_here = struct.unpack_from("<HH", file.read_at(30, offset), 26)
-            places[name] = (offset + 30 + name_here + extra_here, plain)
+        if how not in (0, 8):
+            raise ValueError(f"{name}: packed by method {how}")
+        name_here, extra_here = struct.unpack_from("<HH", file.read_at(30, offset), 26)
+        places[name] = Member(offset + 30 + name_here + extra_here, packed, how == 8)
         p += 46 + name_len + extra_len + note_len
     return places
 
 
+def record_places(file, places: dict[str, Member]) -> Iterator[tuple[int, int]]:
+    """(offset in the file, length) of every record that the package's indexes list."""
+    archives = {n for n in places if n.startswith("archive/") and n != "archive/"}
+    indexes = [n for n in places if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdx", ".cdxj"))]
+    if archives and not indexes:
+        raise ValueError("no index among " + ", ".join(sorted(places)))
+    seen = set()
+    for name in indexes:
+        member = places[name]
+        raw = file.read_at(member.size, member.at)
+        raw = zlib.decompress(raw, -15) if member.deflated else raw
+        raw = gzip.decompress(raw) if name.endswith(".gz") else raw
+        for line in raw.decode().splitlines():
+            if "{" not in line:
+                continue
+            fields = json.loads(line[line.index("{") :])
+            held = f"archive/{fields['filename'].removeprefix('archive/')}" if "filename" in fields else min(archives) if len(archives) == 1 else None
+            if held not in archives:
+                raise ValueError(f"{name} names a member that isn't there: {line}")
+            if places[held].deflated:
+                raise ValueError(f"{held} is deflated, so its records can't be read in place")
+            seen.add(held)
+            yield places[held].at + int(fields["offset"]), int(fields["length"])
+    if archives - seen and any(places[n].size for n in archives - seen):
+        raise ValueError("in no index: " + ", ".join(sorted(archives - seen)))
+
+
 # --- WARC -------------------------------------------------------------------------------------
 
 
@@ -204,7 +242,8 @@ def write_archives(
                     str(record_id), url, (html or "").encode(), None if first is None else str(first), date
                 )
                 packed = gzip.compress(raw, 1, mtime=0)
-                index.append(f"{json.dumps({'offset': len(data), 'length': len(packed)})}\n")
+                place = {"offset": len(data), "length": len(packed), "filename": DATA.removeprefix("archive/")}
+                index.append(f"{json.dumps(place)}\n")
                 data += packed
                 records += 1
                 if len(data) >= archive_bytes:
@@ -220,6 +259,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """A row per record of the archives, each read as a byte range; ``payloads`` adds the payload itself.
 
     The digest and size of a response are taken from the bytes read, those of a revisit from its headers.
+    There is a task for each archive.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +268,11 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 store, where = pyarrow.fs.FileSystem.from_uri(path)
                 size = store.get_file_info(where).size
                 with store.open_input_file(where) as file:
-                    places = members(file, size)
-                    (data_at, _), (index_at, index_len) = places[DATA], places[INDEX]
                     rows = []
-                    for line in file.read_at(index_len, index_at).decode().splitlines():
-                        at = json.loads(line)
-                        raw = gzip.decompress(file.read_at(at["length"], data_at + at["offset"]))
-                        rows.append(_row(parse_record(raw), path, data_at + at["offset"], at["length"], payloads))
+                    for at, length in record_places(file, members(file, size)):
+                        raw = file.read_at(length, at)
+                        raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                        rows.append(_row(parse_record(raw), path, at, length, payloads))
                         if len(rows) == 2000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []
@@ -243,8 +281,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
     fields = [(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in RECORDS.split(","))]
     schema = pa.schema(fields + ([("payload", pa.binary())] if payloads else []))
-    spread = archives.repartition(F.xxhash64("archive"))
-    return spread.mapInArrow(read, RECORDS + (", payload binary" if payloads else ""))
+    return archives.repartition(max(1, archives.count())).mapInArrow(read, RECORDS + (", payload binary" if payloads else ""))
 
 
 def _row(record: dict, path: str, offset: int, length: int, payloads: bool) -> dict:

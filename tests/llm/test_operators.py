@@ -343,8 +343,59 @@ def test_zip_members_in_both_formats(tmp_path):
         assert zipfile.ZipFile(path).read("a/b") == b"x" * 1000 and zipfile.ZipFile(path).testzip() is None
         with fs.LocalFileSystem().open_input_file(str(path)) as f:
             places = warczip.members(f, path.stat().st_size)
-            at, size = places["a/b"]
-            assert f.read_at(size, at) == b"x" * 1000 and places["c"][1] == 0
+            at, size, deflated = places["a/b"]
+            assert f.read_at(size, at) == b"x" * 1000 and places["c"].size == 0 and not deflated
+
+
+def package(path, members):
+    """A ZIP file of (name, bytes, whether to deflate)."""
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data, deflate in members:
+            z.writestr(name, data, zipfile.ZIP_DEFLATED if deflate else zipfile.ZIP_STORED)
+    return f"file://{path}"
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    import gzip
+    import json
+
+    def archive(name, ids, key=""):
+        data, lines = b"", []
+        for i in ids:
+            raw = gzip.compress(warczip.record_bytes(i, f"http://x/{i}", i.encode() * 9, None, "2026-01-01T00:00:00Z"))
+            lines.append(key + json.dumps({"offset": str(len(data)), "length": str(len(raw)), "filename": name}))
+            data += raw
+        return (f"archive/{name}", data, False), "\n".join(lines) + "\n"
+
+    def read(name, members):
+        path = package(tmp_path / f"{name}.wacz", members)
+        archives = spark.createDataFrame([(path, 1, 1)], warczip.ARCHIVES)
+        return {r["record_id"]: bytes(r["payload"]) for r in warczip.read_archives(archives, payloads=True).collect()}
+
+    one, first = archive("a.warc.gz", ["1", "2"], "com,x)/ 20260101000000 ")
+    two, second = archive("b.warc.gz", ["3"])
+    want = {i: i.encode() * 9 for i in "123"}
+    assert read("two", [one, two, ("indexes/index.cdxj", first + second, False)]) == want
+    assert read("both", [one, two, ("indexes/a.cdxj", first, True), ("indexes/b.cdx.gz", gzip.compress(second.encode()), False), ("pages/pages.jsonl", "{}", True)]) == want
+    bare = "".join(json.dumps({k: v for k, v in json.loads(line[line.index("{") :]).items() if k != "filename"}) + "\n" for line in first.splitlines())
+    assert set(read("bare", [one, ("indexes/index.cdx", bare, False)])) == {"1", "2"}
+    for name, members, what in [
+        ("deflated", [(one[0], one[1], True), ("indexes/index.cdxj", first, False)], "deflated"),
+        ("unlisted", [one, two, ("indexes/index.cdxj", first, False)], "in no index"),
+        ("missing", [one, ("indexes/index.cdxj", first + second, False)], "isn't there"),
+        ("plain", [one], "no index"),
+    ]:
+        with pytest.raises(Exception, match=what):
+            read(name, members)
+
+
+def test_a_task_for_each_archive(spark):
+    pages = spark.range(64).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 100 + id) AS html").repartition(4)
+    archives = warczip.write_archives(warczip.with_roles(pages), f"file://{warczip.scratch_path(spark, 'test')}", archive_bytes=1500)
+    n = archives.count()
+    assert n > 4 and warczip.read_archives(archives).rdd.getNumPartitions() == n
 
 
 def test_pages_survive_the_round_trip(spark):
