@@ -1,15 +1,16 @@
 """Collocations by Toivonen's sampling: phrases of two or three words that occur together more than apart.
 
 A hashed quarter of the documents proposes words and word pairs. One pass over all documents counts
-what the proposal allows and its negative border, exactly: every word, every pair of proposed words
+what the proposal allows and its negative border: every word, every pair of proposed words
 (proposed itself or not) and every triple whose two pairs are proposed. A word or pair of the
 border that turns out frequent is a failure of the proposal; it is added, and a further pass counts
 only the pairs and triples that the addition makes possible, until no pass finds a failure.
-So the counts of all frequent phrases are whole, whatever the sample missed.
+These passes count by a hash of the phrase, which can only raise a count, so nothing frequent is missed;
+a last pass counts by the phrases themselves, those whose hash was frequent, and drops the others.
+So the counts of all frequent phrases are whole and exact, whatever the sample missed.
 
-The proposal travels as a bitmap of fixed size (``BITS``). Two phrases that share a bit
-only make the border larger: what is counted is counted by its own words, and counts below the
-minimum are dropped. Each pass counts within slices of text (numpy), then by Spark's grouping.
+What is proposed or frequent travels as a bitmap of bounded size (``MOST_BITS``). Phrases that share
+a bit only make the border larger. Each pass counts within slices of text (numpy), then by Spark's grouping.
 
 Text: A to Z are lower-cased; pieces end at ``. , ; : ! ?`` and line ends; the words of a piece are split
 by blanks and tabs. Phrases do not cross pieces; overlapping occurrences all count. Nulls: a null text is empty; a
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tabwright.llm.ordering import numbered
-from tabwright.llm.textscan import SLICE_BYTES, mix, ragged, range_hashes, share, shared, slices, text_buffer
+from tabwright.llm.textscan import mix, ragged, range_hashes, share, shared, slices, text_buffer
 from tabwright.session import ship_with_tasks, staged
 
 ship_with_tasks(__name__)
@@ -39,8 +40,11 @@ COVER = 50
 #: One document of so many proposes phrases, those found twice at least.
 SAMPLE = 4
 PROPOSED = 2
-#: Bits of the proposal: 16 MB.
-BITS = 27
+#: Bits of a bitmap: 32 MB at most, eight for each phrase below that.
+LEAST_BITS, MOST_BITS = 16, 28
+#: Bits of the hash that the first passes count by.
+KEY_BITS = 44
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _BREAK = np.zeros(256, bool)
@@ -89,129 +93,169 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(0x9E3779B97F4A7C15) + b)
 
 
-def _bit(spot: np.ndarray, bits: int) -> np.ndarray:
-    return (spot >> _U(64 - bits)).astype(np.int64)
+def _key(spot: np.ndarray) -> np.ndarray:
+    return (spot >> _U(64 - KEY_BITS)).astype(np.int64)
 
 
-def _has(marks: np.ndarray, spot: np.ndarray, bits: int) -> np.ndarray:
-    at = _bit(spot, bits)
+def _has(marks: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    at = (spot >> _U(61 - (len(marks).bit_length() - 1))).astype(np.int64)  # len(marks) bytes
     return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
 # --- counting ---------------------------------------------------------------------------------
 
-COUNTED = "lang string, k byte, phrase string, n long"
-
-
-def count_slice(texts: pa.Array, langs: pa.Array, new: np.ndarray | None, old: np.ndarray | None, bits: int, words_too: bool) -> pa.RecordBatch:
-    """Occurrences in a slice: of words (``words_too``; with k = 0 their sum), of pairs and of triples that
-    ``new`` allows and ``old`` did not. Without ``new``: of words and pairs, all of them."""
-    words, text, piece = words_of(texts)
-    named = langs.fill_null("und").dictionary_encode()
-    lang = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
-    coded = words.dictionary_encode()
-    known = coded.dictionary
-    size = max(len(known), 1)
-    own, u, n = np.unique(lang * size + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-    lang_of, word_of = own // size, own % size
-    spot = _spot(hashes(known)[word_of], hashes(named.dictionary)[lang_of]) if len(own) else np.zeros(0, np.uint64)
-    names: list[pa.Array] = []
-    parts: list[tuple[int, np.ndarray, np.ndarray]] = []  # (k, language, count)
-
-    def tell(k: int, at: np.ndarray, n: np.ndarray, *ids: np.ndarray) -> None:
-        texts = [known.take(pa.array(word_of[i])) for i in ids]
-        names.append(texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, pa.scalar(" ", texts[0].type)))
-        parts.append((k, lang_of[at], n))
-
-    if words_too:
-        tell(1, np.arange(len(own)), n, np.arange(len(own)))
-        total = np.bincount(lang, minlength=len(named.dictionary))
-        names.append(pa.array([""] * len(total), pa.large_string()))
-        parts.append((0, np.arange(len(total)), total))
-
-    near = np.flatnonzero(piece[1:] == piece[:-1])
-    first, second = u[near], u[near + 1]
-    fresh = np.ones(len(near), bool)
-    if new is not None:
-        may, did = _has(new, spot, bits), _has(old, spot, bits)
-        fresh = may[first] & may[second] & ~(did[first] & did[second])
-    key, n = np.unique(first[fresh] * len(own) + second[fresh], return_counts=True)
-    tell(2, key // max(len(own), 1), n, key // max(len(own), 1), key % max(len(own), 1))
 
+class Slice:
+    """The words of a slice of texts: each place's word of its language, and their hashes."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        words, text, self.piece = words_of(texts)
+        named = langs.fill_null("und").dictionary_encode()
+        self.lang = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+        self.langs = named.dictionary.cast(pa.string())
+        coded = words.dictionary_encode()
+        self.words = coded.dictionary
+        size = max(len(self.words), 1)
+        own, self.at, self.n = np.unique(self.lang * size + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        self.own_lang, self.own_word = own // size, own % size
+        self.spot = _spot(hashes(self.words)[self.own_word], hashes(self.langs)[self.own_lang]) if len(own) else np.zeros(0, np.uint64)
+        self.size = max(len(own), 1)
+        #: Places whose word is followed by another in the same piece, and the hash of the two.
+        self.near = np.flatnonzero(self.piece[1:] == self.piece[:-1])
+        self.joined = _pair(self.spot[self.at[self.near]], self.spot[self.at[self.near + 1]])
+
+    def pairs(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, count) of the distinct pairs at the ``live`` ones of ``near``."""
+        at = self.near[live]
+        key, n = np.unique(self.at[at] * self.size + self.at[at + 1], return_counts=True)
+        return key // self.size, key % self.size, n
+
+    def following(self, of_pair: np.ndarray) -> np.ndarray:
+        """A value of each pair of ``near`` at its place, 0 or false where no pair begins."""
+        out = np.zeros(len(self.piece), of_pair.dtype)
+        out[self.near] = of_pair
+        return out
+
+    def triples(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, third, count) of the distinct triples at places ``at``."""
+        pairs, which = np.unique(self.at[at] * self.size + self.at[at + 1], return_inverse=True)
+        key, n = np.unique(which * self.size + self.at[at + 2], return_counts=True)
+        pair = pairs[key // self.size]
+        return pair // self.size, pair % self.size, key % self.size, n
+
+    def triple_places(self) -> np.ndarray:
+        return np.flatnonzero(self.piece[2:] == self.piece[:-2])
+
+
+def hashed_counts(s: Slice, new: np.ndarray | None, old: np.ndarray | None, words_too: bool) -> pa.RecordBatch:
+    """(k, key, n): counts by hash of all words (``words_too``), and of the pairs and triples that ``new`` allows
+    and ``old`` did not. Without ``new``: of words and pairs, all of them."""
+    parts = [(1, _key(s.spot), s.n)] if words_too else []
+    live = np.ones(len(s.near), bool)
+    if new is not None:
+        may, did = _has(new, s.spot)[s.at], _has(old, s.spot)[s.at]
+        live = may[s.near] & may[s.near + 1] & ~(did[s.near] & did[s.near + 1])
+    first, second, n = s.pairs(live)
+    parts.append((2, _key(_pair(s.spot[first], s.spot[second])), n))
     if new is not None:
-        joined = _pair(spot[first], spot[second])
-        may, did = np.zeros(len(piece), bool), np.zeros(len(piece), bool)
-        may[near], did[near] = _has(new, joined, bits), _has(old, joined, bits)
-        at = np.flatnonzero(may[:-1] & may[1:] & ~(did[:-1] & did[1:])) if len(piece) else np.zeros(0, np.int64)
-        pairs, which = np.unique(u[at] * len(own) + u[at + 1] if len(at) else at, return_inverse=True)
-        key, n = np.unique(which * max(len(own), 1) + u[at + 2] if len(at) else at, return_counts=True)
-        pair, third = pairs[key // max(len(own), 1)], key % max(len(own), 1)
-        tell(3, pair // max(len(own), 1), n, pair // max(len(own), 1), pair % max(len(own), 1), third)
-
-    lang_names = named.dictionary.cast(pa.string())
+        may, did = s.following(_has(new, s.joined)), s.following(_has(old, s.joined))
+        first, second, third, n = s.triples(np.flatnonzero(may[:-1] & may[1:] & ~(did[:-1] & did[1:])))
+        parts.append((3, _key(_pair(_pair(s.spot[first], s.spot[second]), s.spot[third])), n))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([np.full(len(n), k, np.int8) for k, _, n in parts])),
+            pa.array(np.concatenate([key for _, key, _ in parts])),
+            pa.array(np.concatenate([n for _, _, n in parts]).astype(np.int64)),
+        ],
+        ["k", "key", "n"],
+    )
+
+
+def named_counts(s: Slice, marks: np.ndarray) -> pa.RecordBatch:
+    """(lang, k, phrase, n): counts of the words, pairs and triples in ``marks``; with k = 0 the number of words."""
+    kept = np.flatnonzero(_has(marks, s.spot))
+    live = _has(marks, s.joined)
+    first, second, n2 = s.pairs(live)
+    at = s.triple_places()
+    at = at[_has(marks, _pair(s.following(s.joined)[at], s.spot[s.at[at + 2]]))] if len(at) else at
+    a, b, c, n3 = s.triples(at)
+    text = lambda i: s.words.take(pa.array(s.own_word[i]))
+    blank = pa.scalar(" ", s.words.type)
+    total = np.bincount(s.lang, minlength=len(s.langs))
+    parts = [
+        (0, np.arange(len(total)), pa.array([""] * len(total), s.words.type), total),
+        (1, s.own_lang[kept], text(kept), s.n[kept]),
+        (2, s.own_lang[first], pc.binary_join_element_wise(text(first), text(second), blank), n2),
+        (3, s.own_lang[a], pc.binary_join_element_wise(text(a), text(b), text(c), blank), n3),
+    ]
     return pa.RecordBatch.from_arrays(
         [
-            lang_names.take(pa.array(np.concatenate([p[1] for p in parts]))),
-            pa.array(np.concatenate([np.full(len(p[2]), p[0], np.int8) for p in parts])),
-            pa.chunked_array(names).combine_chunks().cast(pa.string()),
-            pa.array(np.concatenate([p[2] for p in parts]).astype(np.int64)),
+            s.langs.take(pa.array(np.concatenate([p[1] for p in parts]))),
+            pa.array(np.concatenate([np.full(len(p[3]), p[0], np.int8) for p in parts])),
+            pa.chunked_array([p[2] for p in parts]).combine_chunks().cast(pa.string()),
+            pa.array(np.concatenate([p[3] for p in parts]).astype(np.int64)),
         ],
         ["lang", "k", "phrase", "n"],
     )
 
 
-def _counts(docs: DataFrame, least: int, marks: tuple[np.ndarray, np.ndarray] | None, bits: int, words_too: bool) -> DataFrame:
-    """Summed counts of all slices, those of at least ``least`` (and the number of words, k = 0)."""
-    sent = share(docs.sparkSession, marks)  # two bitmaps of fixed size
+def _each_slice(docs: DataFrame, count, marks: tuple, shape: str) -> DataFrame:
+    """``count`` of every slice of the documents, with the bitmaps ``marks``."""
+    sent = share(docs.sparkSession, marks)  # bitmaps of bounded size
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = shared(sent) or (None, None)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared(sent)
         for part in slices(batches, "text", SLICE_BYTES):
-            yield count_slice(part.column("text"), part.column("lang"), new, old, bits, words_too)
+            yield count(Slice(part.column("text"), part.column("lang")), *own)
+
+    return docs.mapInArrow(counted, shape)
+
+
+def _frequent_keys(docs: DataFrame, least: int, new: np.ndarray | None, old: np.ndarray | None, words_too: bool) -> DataFrame:
+    """(k, key) of the hashes counted ``least`` times or more, written."""
+
+    def count(s: Slice, new, old) -> pa.RecordBatch:
+        return hashed_counts(s, new, old, words_too)
 
-    summed = docs.mapInArrow(count, COUNTED).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
-    return summed.filter(f"f >= {least} OR k = 0")
+    counts = _each_slice(docs, count, (new, old), "k byte, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("f"))
+    return staged(counts.filter(f"f >= {least}").select("k", "key"), "phrase-keys")
 
 
-def _marks(found: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of words and pairs: hashed on the executors, set by Spark's bitmap aggregate."""
+def bits_for(phrases: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (8 * phrases).bit_length()))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, text, _ = words_of(batch.column("phrase"))
-            spot = _spot(hashes(words), hashes(batch.column("lang"))[text])
-            first = np.searchsorted(text, np.arange(batch.num_rows))
-            last = np.searchsorted(text, np.arange(batch.num_rows), side="right") - 1
-            out = np.where(first == last, spot[first], _pair(spot[first], spot[last])) if len(spot) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(out, bits) + 1)], ["at"])
 
-    at = found.filter("k IN (1, 2)").select("lang", "phrase").mapInArrow(places, "at long")
+def _marks(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of hashes, set by Spark's bitmap aggregate: 2 ** bits / 32768 rows of 4 KB."""
+    at = keys.select((F.shiftright("key", KEY_BITS - bits) + 1).alias("at"))
     buckets = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for bucket, part in buckets.collect():  # 2 ** BITS / 32768 rows of 4 KB at most
+    for bucket, part in buckets.collect():
         begin = (bucket - 1) * 4096
         out[begin : begin + 4096] = np.frombuffer(part, np.uint8)[: len(out) - begin]
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, bits: int = BITS) -> tuple[DataFrame, int]:
+def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, bits: int | None = None) -> tuple[DataFrame, int]:
     """(lang, k, phrase, f) of all words, pairs and triples found ``least`` times or more, and of k = 0, the
-    number of words; and how many passes over all documents it took. ``docs`` has text and lang."""
+    number of words; and how many counting passes over all documents it took. ``docs`` has text, lang and __id."""
     chosen = docs.filter(F.pmod(F.xxhash64("__id", "text"), F.lit(sample)) == 0).select("text", "lang")
-    new = _marks(_counts(chosen, min(PROPOSED, least), None, bits, True), bits)
-    old = np.zeros_like(new)
-    found: list[DataFrame] = []
+    docs = docs.select("text", "lang")
+    proposed = _frequent_keys(chosen, min(PROPOSED, least), None, None, True)
+    bits = bits or bits_for(2 * proposed.count())
+    new = _marks(proposed, bits)
+    old, frequent, passes = np.zeros_like(new), np.zeros_like(new), 0
     while True:
-        part = _counts(docs.select("text", "lang"), least, (new, old), bits, not found)
-        found.append(staged(part, "phrase-counts"))
-        grown = new | _marks(found[-1], bits)
+        found = _frequent_keys(docs, least, new, old, not passes)
+        passes += 1
+        frequent |= _marks(found, bits)
+        grown = new | _marks(found.filter("k < 3"), bits)
         if np.array_equal(grown, new):
             break
         new, old = grown, new
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out, len(found)
+    named = _each_slice(docs, named_counts, (frequent,), "lang string, k byte, phrase string, n long")
+    counts = named.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(f"f >= {least} OR k = 0")
+    return staged(counts, "phrase-counts"), passes
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -219,7 +263,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
 
 def collocations(
     docs: DataFrame, top: int = TOP, least: int = LEAST, cover: int = COVER, sample: int = SAMPLE,
-    bits: int = BITS, text: str = "text", lang: str = "lang", id: str = "doc_id",
+    bits: int | None = None, text: str = "text", lang: str = "lang", id: str = "doc_id",
 ) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n and score, whole and exact."""
     plain = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), docs[id].alias("__id"))
