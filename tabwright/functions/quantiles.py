@@ -1,25 +1,17 @@
 """Exact interpolated quantiles per group, one way for every size and any skew.
 
 Rows are first combined to (group, value, count), map-side, so neither a hot group nor a hot value
-is ever moved row by row. Counts are then narrowed twice: to logarithmic bins, and to equal-width
-bins between the ends of each of these that holds a wanted rank. Only the values inside such a
-small bin are ordered. Ranks are followed by exact counts, so a bin always holds its rank.
+is ever moved row by row. The counts are sorted once over ranges; sums of ranges tell which of them
+hold a wanted rank, and only in those are counts followed value by value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Logarithmic bins for each factor of e, and equal-width bins within one of them.
-BINS_PER_E = 512
-BINS = 16_384
-
-#: Above minus the logarithm of the smallest positive double; the bins of infinity and of NaN.
-_SHIFT = 746.0
-_INFINITE, _NAN = 1500 * BINS_PER_E, 1600 * BINS_PER_E
+from tabwright.functions import ordered
 
 
 def exact_quantiles(
@@ -45,62 +37,22 @@ def exact_quantiles(
     return others.join(cuts, same).drop(*keys)
 
 
-def _log_bin(x: Column) -> Column:
-    """A bin number that never decreases as the value grows."""
-    size = F.floor((F.ln(F.abs(x)) + _SHIFT) * BINS_PER_E)
-    size = F.when(F.abs(x) == float("inf"), _INFINITE).otherwise(size)
-    signed = F.when(x > 0, size).when(x < 0, -size).otherwise(0)
-    return F.when(F.isnan(x), _NAN).otherwise(signed).cast("long")
-
-
-def _even_bin(x: Column, low: Column, high: Column) -> Column:
-    """The equal-width bin of a value between two ends; ends too far apart share one."""
-    place = F.nanvl(F.try_divide(x - low, high - low), F.lit(0.0))
-    return F.floor(F.least(F.coalesce(place, F.lit(0.0)), F.lit(1.0)) * (BINS - 1)).cast("long")
-
-
-def _keep_wanted(rows: DataFrame, within: list[str], order: str, amount: str) -> DataFrame:
-    """The rows along an order that hold a rank of ``targets``; ranks then count from their row."""
-    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__through", F.sum(amount).over(upto)).withColumn("__before", F.col("__through") - F.col(amount))
-    here = F.filter("targets", lambda t: (t["rank"] >= F.col("__before")) & (t["rank"] < F.col("__through")))
-    inner = F.transform(here, lambda t: F.struct(t["i"].alias("i"), (t["rank"] - F.col("__before")).alias("rank")))
-    return rows.withColumn("targets", inner).filter(F.size("targets") > 0).drop("__through", "__before")
-
-
-def _within(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The counts in wanted bins. The bin is part of the key, so no group is a key of its own."""
-    side = wanted.select(*[F.col(k).alias(f"__w{k}") for k in keys], *[c for c in wanted.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__w{k}")) for k in keys])
-    return counts.join(side, same).drop(*[f"__w{k}" for k in keys])
-
-
 def _ranked(long: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Two ranks for each probability, of the values below and above it, found by narrowing bins."""
-    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("c")).withColumn("b", _log_bin(F.col("value")))
-    bins = counts.groupBy(*keys, "b").agg(F.sum("c").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """Two ranks for each probability, those of the values below and above it."""
+    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("c"))
+    placed = ordered.sorted_ranges(counts, [*[F.col(k) for k in keys], F.col("value")], "value-counts")
+    totals = ordered.range_totals(placed, keys, "c", "rank-ranges")
     places = [F.lit(p) * (F.col("n") - 1) for p in probs]
     ends = [end(x).cast("long") for x in places for end in (F.floor, F.ceil)]
-    # Each rank is looked for on its own, so that one group's bins are not one task's.
-    each = [*keys, "i"]
-    bins = bins.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(len(ends))])))
-    bins = bins.withColumn("n", F.sum("rows").over(Window.partitionBy(*each)))
-    bins = bins.withColumn("targets", F.array(F.struct("i", F.get(F.array(*ends), F.col("i")).alias("rank"))))
-    wanted = _keep_wanted(bins, each, "b", "rows").groupBy(*keys, "b").agg(
-        F.first("low").alias("low"), F.first("high").alias("high"), F.first("n").alias("n"),
-        F.flatten(F.collect_list("targets")).alias("targets"),
-    )
-
-    inside = _within(counts, wanted, [*keys, "b"]).withColumn("e", _even_bin(F.col("value"), F.col("low"), F.col("high")))
-    finer = inside.groupBy(*keys, "b", "e").agg(
-        F.sum("c").alias("rows"), F.first("low").alias("low"), F.first("high").alias("high"),
-        F.first("n").alias("n"), F.first("targets").alias("targets"),
-    )
-    wanted = _keep_wanted(finer, [*keys, "b"], "e", "rows").select(*keys, "b", "e", "n", "targets")
-
-    narrow = inside.select(*keys, "b", "e", "value", "c")
-    found = _keep_wanted(_within(narrow, wanted, [*keys, "b", "e"]), [*keys, "b", "e"], "value", "c")
-    found = found.select(*keys, "n", "value", F.explode("targets").alias("t"))
+    totals = totals.withColumn("n", F.col("total"))
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("rank")) for i, x in enumerate(ends)])
+    here = F.filter(targets, lambda t: (t["rank"] >= F.col("before")) & (t["rank"] < F.col("before") + F.col("here")))
+    totals = totals.withColumn("targets", here).filter(F.size("targets") > 0).drop("here", "total")
+
+    inside = Window.partitionBy("__range", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.join(totals, ordered.same_range(keys)).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    hit = F.filter("targets", lambda t: (t["rank"] < F.col("upto")) & (t["rank"] >= F.col("upto") - F.col("c")))
+    found = rows.select(*keys, "n", "value", F.explode(hit).alias("t"))
     picked = F.map_from_entries(F.collect_list(F.struct(F.col("t.i"), F.col("value"))))
     picked = found.groupBy(*keys).agg(F.first("n").alias("n"), picked.alias("x"))  # two values for each probability
     return picked.select(*keys, F.array(*[_blend(place, 2 * i) for i, place in enumerate(places)]).alias("quantiles"))

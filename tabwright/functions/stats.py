@@ -22,20 +22,5 @@ def adjusted_kurtosis(x: str) -> str:
     return f"CASE WHEN {n} > 3 THEN coalesce({scale} * (({n} + 1) * kurtosis({x}) + 6), 0D) END"
 
 
-def pearson(a: str, b: str) -> str:
-    """Pearson r over rows where both are present; null when either is constant there."""
-    a_here, b_here = f"nvl2({b}, {a}, NULL)", f"nvl2({a}, {b}, NULL)"
-    return f"try_divide(covar_samp({a}, {b}), stddev_samp({a_here}) * stddev_samp({b_here}))"
-
-
-def pearson_of_sums(a: str, b: str, n: int) -> str:
-    """Pearson r of two complete columns of n rows whose values were moved close to zero."""
-
-    def centred(x: str, y: str) -> str:
-        return f"(sum({x} * {y}) - sum({x}) * sum({y}) / {n}D)"
-
-    return f"try_divide({centred(a, b)}, sqrt({centred(a, a)} * {centred(b, b)}))"
-
-
 def percent(part: str, whole: str, digits: int) -> str:
     return f"round(try_divide(100D * {part}, {whole}), {digits})"

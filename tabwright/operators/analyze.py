@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions import stats
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.functions.text import name, quoted
 from tabwright.operators import columns as C
+from tabwright.operators.pairs import correlations
 from tabwright.operators.profile import numeric_summary
 
 SKEWED_BEYOND = 1.0
 WEEKLY_BELOW_DAYS = 90
-PAIRS_PER_SCAN = 200
 
 
 # --- numeric columns -----------------------------------------------------------
@@ -61,41 +58,10 @@ def distribution(df: DataFrame, columns: list[str], most: int | None = None) ->
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """(col1, col2, correlation) for every column pair, nulls ignored pair by pair.
-
-    A small job finds each column's count and mean. Pairs of complete columns then need
-    one sum of products each, over values moved to their mean; the others count their own rows.
-    """
-    quoted_names = {c: name(c) for c in columns}
-    # NaN and infinities count as missing.
-    finite = "CASE WHEN abs(double({x})) < double('Infinity') THEN double({x}) END AS {x}"
-    numbers = df.selectExpr(*[finite.format(x=x) for x in quoted_names.values()])
-    facts = numbers.selectExpr(
-        "count(*) AS n", *[f"struct(count({x}) AS n, avg({x}) AS mean, min({x}) = max({x}) AS flat) AS {x}" for x in quoted_names.values()]
-    ).first()
-    complete = {c for c in columns if facts[c]["n"] == facts["n"]}
-    constant = {c for c in columns if facts[c]["n"] == 0 or facts[c]["flat"]}
-    moved = numbers.selectExpr(*[f"{x} - double('{facts[c]['mean'] or 0.0!r}') AS {x}" for c, x in quoted_names.items()])
-
-    def correlated(a: str, b: str) -> str:
-        if {a, b} & constant:
-            return "double(NULL)"
-        if not {a, b} <= complete:
-            return stats.pearson(name(a), name(b))
-        return stats.pearson_of_sums(name(a), name(b), facts["n"])
-
-    pairs = list(combinations(columns, 2))
-    scans = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = [
-            f"struct({quoted(a)} AS col1, {quoted(b)} AS col2, round({correlated(a, b)}, {digits}) AS correlation)"
-            for a, b in pairs[start : start + PAIRS_PER_SCAN]
-        ]
-        scans.append(moved.agg(F.expr(f"array({', '.join(cells)})").alias("cells")).select(F.inline("cells")))
-    result = scans[0]
-    for scan in scans[1:]:
-        result = result.unionByName(scan)
-    return result
+    """(col1, col2, correlation) for every column pair, nulls ignored pair by pair. One scan for any number of columns."""
+    names = F.array(*[F.lit(c) for c in columns])
+    found = correlations(df, columns)
+    return found.select(F.get(names, F.col("i")).alias("col1"), F.get(names, F.col("j")).alias("col2"), F.round("r", digits).alias("correlation"))
 
 
 def strongest_pairs(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:

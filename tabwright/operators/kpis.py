@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions import ordered
 from tabwright.operators import columns as C
 from tabwright.session import staged
 
@@ -121,14 +121,9 @@ def sales(lines: DataFrame, order: str, customer: str, product: str, amount: str
     repeats = per_customer.agg(F.round(F.avg(F.when(F.col("orders") > 1, 100.0).otherwise(0.0)), 2).alias("value"))
     per_product = staged(base.groupBy("p").agg(F.round(F.sum("amount"), 2).alias("revenue")), "products")
     top = per_product.orderBy(F.desc("revenue"), "p").limit(k)
-    # Concentration needs a cut-off, not a running total: no task ever orders all products.
-    cut = exact_quantiles(per_product.withColumn("all", F.lit(1)), ["all"], "revenue", [0.8]).select(
-        F.col("quantiles")[0].alias("cut")
-    )
-    head = F.sum(F.when(F.col("revenue") >= F.col("cut"), F.col("revenue")))
-    pareto = C.with_row(per_product, cut).agg(
-        F.round(F.try_divide(head * 100.0, F.sum("revenue")), 2).alias("value")
-    )
+    curve = staged(concentration(per_product, "p", "revenue"), "concentration")
+    head = F.max(F.when(F.col("items_pct") <= 20, F.col("revenue_pct")))
+    pareto = curve.agg(F.round(F.coalesce(head, F.lit(0.0)), 2).alias("value"))
 
     def named(df: DataFrame, metric: str, item: str | Column = "") -> DataFrame:
         label = F.lit(item) if isinstance(item, str) else item
@@ -142,6 +137,34 @@ def sales(lines: DataFrame, order: str, customer: str, product: str, amount: str
     )
 
 
+def concentration(amounts: DataFrame, item: str, amount: str) -> DataFrame:
+    """The Pareto curve: items by falling amount, ties by item, with the share of all items and of the whole
+    amount up to and with each. Amounts are summed as decimals of 4 digits, so the curve is exact and repeatable."""
+    exact = F.col(amount).cast("decimal(28, 4)")
+    rows = amounts.filter(F.col(amount).isNotNull()).select(F.col(item).alias("item"), F.col(amount).alias("amount"), exact.alias("__exact"), F.lit(1).alias("__one"))
+    order = [F.col("amount").desc(), F.col("item")]
+    placed = ordered.sorted_ranges(rows, order, "pareto")
+    amounts_before = ordered.range_totals(placed, [], "__exact", "pareto-amounts")
+    items_before = ordered.range_totals(placed, [], "__one", "pareto-items").select(
+        F.col("__in").alias("__of"), F.col("before").alias("items_before"), F.col("total").alias("items")
+    )
+    so_far = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.join(amounts_before, ordered.same_range([])).join(items_before, F.col("__range") == F.col("__of"))
+    rows = rows.withColumn("rank", F.col("items_before") + F.sum("__one").over(so_far)).withColumn("through", F.col("before") + F.sum("__exact").over(so_far))
+    return rows.select(
+        "rank", "item", "amount",
+        (F.col("rank") * 100.0 / F.col("items")).alias("items_pct"),
+        F.try_divide(F.col("through").cast("double") * 100.0, F.col("total").cast("double")).alias("revenue_pct"),
+    )
+
+
+def gini(curve: DataFrame) -> DataFrame:
+    """One row: items and the Gini value of a :func:`concentration` curve, 0 where all items are equal."""
+    n, whole = F.count("*"), F.sum("amount")
+    by_rank = F.sum(F.col("rank") * F.col("amount"))
+    return curve.agg(n.alias("items"), F.try_divide(n + 1 - 2 * by_rank / whole, n).alias("gini"))
+
+
 def subscription(df: DataFrame, signup: str, cancelled: str, monthly: str, as_of: str) -> DataFrame:
     """Churn, recurring revenue of live accounts, paid split and mean lifetime in days."""
     live = C.col(cancelled).isNull()

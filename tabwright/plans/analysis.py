@@ -421,17 +421,48 @@ def kpi_sensor(t):
     "kpi_sales",
     """WITH b AS (SELECT o_orderkey AS o, o_custkey AS c, l_partkey::VARCHAR AS p, l_extendedprice AS a FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     po AS (SELECT o, c, sum(a) AS a FROM b GROUP BY o, c), pc AS (SELECT c, count(*) AS n FROM po GROUP BY c),
-    pp AS (SELECT p, round(sum(a), 2) AS revenue FROM b GROUP BY p), cut AS (SELECT quantile_cont(revenue, 0.8) AS q FROM pp)
+    pp AS (SELECT p, round(sum(a), 2) AS revenue FROM b GROUP BY p),
+    curve AS (SELECT row_number() OVER w AS rank, sum(revenue::DECIMAL(28, 4)) OVER w AS through, count(*) OVER () AS n, sum(revenue::DECIMAL(28, 4)) OVER () AS whole
+      FROM pp WINDOW w AS (ORDER BY revenue DESC, p ROWS UNBOUNDED PRECEDING))
     SELECT 'average_order_value' AS metric, '' AS item, round(avg(a), 2) AS value FROM po
     UNION ALL SELECT 'repeat_purchase_pct', '', round(avg(CASE WHEN n > 1 THEN 100.0 ELSE 0.0 END), 2)::DOUBLE FROM pc
     UNION ALL (SELECT 'top_product', p, revenue FROM pp ORDER BY revenue DESC, p LIMIT 5)
-    UNION ALL SELECT 'top_20pct_products_revenue_pct', '', round(sum(CASE WHEN revenue >= q THEN revenue END) * 100.0 / sum(revenue), 2) FROM pp, cut""",
+    UNION ALL SELECT 'top_20pct_products_revenue_pct', '', round(coalesce(max(CASE WHEN rank * 100.0 / n <= 20 THEN through::DOUBLE * 100.0 / whole::DOUBLE END), 0), 2)::DOUBLE FROM curve""",
 )
 def kpi_sales(t):
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return kpis.sales(lines, "o_orderkey", "o_custkey", "l_partkey", "l_extendedprice")
 
 
+_CURVE_SQL = """WITH pp AS (SELECT l_partkey AS item, round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY l_partkey),
+    curve AS (SELECT row_number() OVER w AS rank, item, amount, count(*) OVER () AS n, sum(amount::DECIMAL(28, 4)) OVER w AS through,
+      sum(amount::DECIMAL(28, 4)) OVER () AS whole FROM pp WINDOW w AS (ORDER BY amount DESC, item ROWS UNBOUNDED PRECEDING))
+"""
+
+
+def revenue_curve(t: Tables) -> DataFrame:
+    revenue = t.lineitem.groupBy("l_partkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    return kpis.concentration(revenue, "l_partkey", "revenue")
+
+
+@register(
+    "kpi_concentration",
+    _CURVE_SQL + """SELECT rank, item, amount, round(rank * 100.0 / n, 6)::DOUBLE AS items_pct,
+      round(through::DOUBLE * 100.0 / whole::DOUBLE, 6) AS revenue_pct FROM curve""",
+)
+def kpi_concentration(t):
+    """Every part by falling revenue, with the cumulative shares of parts and revenue."""
+    return rounded(revenue_curve(t), 6, "items_pct", "revenue_pct")
+
+
+@register(
+    "kpi_gini",
+    _CURVE_SQL + """SELECT count(*) AS items, round((count(*) + 1 - 2 * sum(rank * amount) / sum(amount)) / count(*), 6) AS gini FROM curve""",
+)
+def kpi_gini(t):
+    return rounded(kpis.gini(revenue_curve(t)), 6, "gini")
+
+
 _AS_OF = "2001-08-01"
 
 

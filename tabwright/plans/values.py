@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions import names, parse
 from tabwright.functions.text import quoted
-from tabwright.operators import analyze, anomaly, columns as C, profile, report
+from tabwright.operators import analyze, anomaly, columns as C, profile, report, sketches
 from tabwright.plans.registry import Tables, register
+from tabwright.session import staged
 from tabwright.sources.store import catalog
 
 # The schema of the given tables in column order: # marks numbers, @ times, [] lists, the rest is text.
@@ -93,6 +94,38 @@ def agg_distinct_approx(t):
     return profile.distinct(t.lineitem).join(sketch, "attribute").select("attribute", "distinct_count", near.alias("within_bound"))
 
 
+@register(
+    "agg_sketched_parts",
+    each(
+        """SELECT '{c}' AS attribute, count(*) AS row_count, count({c}) AS n, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high,
+  round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, true AS distinct_within, true AS median_within FROM lineitem""",
+        LINE_NUMBERS,
+    )
+    + "\nUNION ALL "
+    + each(
+        """SELECT '{c}', count(*), count({c}), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, true, NULL::BOOLEAN FROM lineitem""",
+        LINE_COLUMNS[8:],
+    ),
+)
+def agg_sketched_parts(t):
+    """Sketches of three parts, merged, beside the whole table: moments exact, the rest within the stated bounds."""
+    third = F.pmod(F.xxhash64("l_orderkey"), F.lit(3))
+    parts = [sketches.sketch_table(t.lineitem.filter(third == i)) for i in range(3)]
+    stored = staged(parts[0].unionByName(parts[1]).unionByName(parts[2]), "sketches")
+    merged = staged(sketches.read_sketches(sketches.merge_sketches(stored)), "sketched")
+    distinct = profile.distinct(t.lineitem).withColumnRenamed("distinct_count", "exact")
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    distinct = merged.join(distinct, "attribute").select("attribute", (off <= 4 * sketches.DISTINCT_ERROR * F.col("exact")).alias("distinct_within"))
+    medians = merged.select("attribute", F.col("quantiles")[1].alias("m"))
+    ranks = C.long_numbers(t.lineitem, LINE_NUMBERS).join(medians, "attribute").groupBy("attribute").agg(
+        (F.count_if(F.col("value") < F.col("m")) / F.count("*")).alias("below"), (F.count_if(F.col("value") <= F.col("m")) / F.count("*")).alias("upto")
+    )
+    within = (F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)
+    out = merged.join(distinct, "attribute").join(ranks.select("attribute", within.alias("median_within")), "attribute", "left")
+    out = out.select("attribute", F.col("rows").alias("row_count"), "n", "low", "high", "mean", "std", "distinct_within", "median_within")
+    return rounded(out, 4, "mean", "std")
+
+
 _SUMMARY_SQL = """SELECT '{c}' AS attribute, {i}::INTEGER AS position, count({c}) AS n, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
   round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}, 0.25), 6) AS p25,
   round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS p75 FROM lineitem"""

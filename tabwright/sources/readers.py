@@ -8,6 +8,7 @@ from tabwright.functions import parse
 from tabwright.functions.text import name, one_of, pattern
 from tabwright.operators import columns as C
 from tabwright.session import spread
+from tabwright.sources import quoted
 from tabwright.sources.workbook import read_workbooks
 
 _INTEGER_TEXT = r"^[+-]?\d{1,38}$"
@@ -48,24 +49,20 @@ def typed_from_text(df: DataFrame) -> DataFrame:
     )
 
 
-def _opens_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line leaves a quote open, so that a record goes on in the next one."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).filter(quotes % 2 == 1).head(1))
-
-
 def read_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
     """Delimited text with a header. A schema skips the inference scan.
 
-    Records with line breaks inside quotes are kept whole; files that hold some are then read by one
-    task each. ``multiLine`` may be given to skip the scan that finds out.
+    Records with line breaks inside quotes are kept whole, and a large file is read by many tasks
+    (see :mod:`tabwright.sources.quoted`). ``multiLine=False`` says that there are none; options that the
+    splitting reader doesn't know (encodings, comments) leave each file to one task of Spark's own.
     """
-    if "multiLine" not in options:
-        options["multiLine"] = _opens_quotes(spark, path)
-    reader = spark.read.options(header=True, escape='"', **options)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return typed_from_text(reader.csv(path))
+    if str(options.get("multiLine", "")).lower() == "false" or set(options) - quoted.OPTIONS:
+        options.setdefault("multiLine", True)
+        reader = spark.read.options(header=True, escape='"', **options)
+        read = (reader.schema(schema) if schema is not None else reader).csv(path)
+    else:
+        read = quoted.read_quoted(spark, path, schema, **options)
+    return read if schema is not None else typed_from_text(read)
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabwright.operators import sketches
 from tabwright.session import shared_root
 
 RAW_SUFFIX = "__raw"
@@ -107,6 +110,38 @@ def export_json(df: DataFrame) -> DataFrame:
 # --- storage ---------------------------------------------------------------------
 
 
+class Files:
+    """Small files of a store, by the file system its path names."""
+
+    def __init__(self, spark: SparkSession):
+        self._jvm = spark._jvm
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def _open(self, path: str):
+        path = self._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self._conf), path
+
+    def names(self, folder: str) -> list[str]:
+        """The names in a folder; none where there is no such folder."""
+        system, path = self._open(folder)
+        return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+    def create(self, path: str) -> bool:
+        """Create an empty file; false if it is there already. Of several callers one is told true."""
+        system, path = self._open(path)
+        system.mkdirs(path.getParent())
+        plain = system.makeQualified(path).toUri()
+        if plain.getScheme() == "file":  # Hadoop's own create first looks and then creates
+            return bool(self._jvm.java.io.File(plain.getPath()).createNewFile())
+        try:
+            system.create(path, False).close()
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
+
 class Store:
     """Parquet tables below one shared folder. Every write goes to a path of its own or appends."""
 
@@ -158,10 +193,38 @@ class Store:
         return latest_per_key(self.read_log(log), ["table_name"], "logged_at")
 
     def append_report(self, reports: DataFrame) -> None:
-        """Number and append (table_name, ...) report rows."""
-        known = self.read_log("_dataset_reports", like=append_shape(reports))
-        self.append("_dataset_reports", append_versions(known, reports))
-
-
-def append_shape(reports: DataFrame) -> DataFrame:
-    return reports.withColumn("version", F.lit(0))
+        """Number and append (table_name, ...) report rows.
+
+        Each number is claimed in the store before a report with it is written, so two writers never share one;
+        a writer that dies between the two leaves a number without a report.
+        """
+        claimed = [(name, self.claim_version(name)) for name in sorted(r[0] for r in reports.select("table_name").distinct().collect())]
+        numbers = self.spark.createDataFrame(claimed, "table_name string, version int")
+        self.append("_dataset_reports", reports.join(F.broadcast(numbers), "table_name"))  # a row per reported table
+
+    def claim_version(self, table: str) -> int:
+        """The next version number of a table, taken by creating a file that nobody else can create as well."""
+        folder = f"{self._path('_claims')}/{hashlib.md5(table.encode()).hexdigest()}"
+        files = Files(self.spark)
+        version = max([int(n) for n in files.names(folder) if n.isdigit()], default=0)
+        if not version:  # reports from before the first claim
+            like = self.spark.createDataFrame([], "table_name string, version int")
+            last = self.read_log("_dataset_reports", like).filter(F.col("table_name") == table).agg(F.max("version")).first()[0]
+            version = int(last or 0)
+        while not files.create(f"{folder}/{(version := version + 1)}"):
+            pass
+        return version
+
+    def append_sketches(self, table: str, part: DataFrame) -> int:
+        """Sketch a new part of a table and store it; returns the version it was given."""
+        version = self.claim_version(f"{table}/sketches")
+        named = sketches.sketch_table(part).select(F.lit(table).alias("table_name"), F.lit(version).alias("version"), *sketches.COLUMNS)
+        self.append("_column_sketches", named)
+        return version
+
+    def sketched_profile(self, table: str, versions: Sequence[int] | None = None, k: int = 5) -> DataFrame:
+        """The profile of all parts of a table (or of some versions) from their stored sketches; no part is read again."""
+        stored = self.read_log("_column_sketches").filter(F.col("table_name") == table)
+        if versions is not None:
+            stored = stored.filter(F.col("version").isin(list(versions)))
+        return sketches.read_sketches(sketches.merge_sketches(stored.select(*sketches.COLUMNS)), k)
