@@ -6,7 +6,9 @@ the table holds, so it is the only thing that passes through the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -59,28 +61,58 @@ def _grow(tree: int, x: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
-def fit(features: DataFrame, names: list[str], rows: int, trees: int = TREES, sample: int = SAMPLE) -> dict[int, pd.DataFrame]:
-    """Grow the trees in parallel, one group of sampled rows per tree.
+def drawn_rows(features: DataFrame, names: list[str], rows: int, trees: int, sample: int) -> DataFrame:
+    """(tree, x, order): for every tree about ``sample`` rows, each with a hash that puts them in order.
 
-    Every row joins every tree with the same chance, about ``sample`` rows a tree. One random
-    number gives the first tree a row joins (the waiting time of that chance), so that only rows
-    which join any are drawn further. Copies of a row are drawn one by one, hence a hot row fills
-    no tree; the draw follows the partition layout, so scores may differ between clusters.
+    Every copy of a row has for every tree a number from a hash of its values, the tree and the number of the
+    copy; a tree takes the copies with the smallest numbers. Equal rows are counted first, map-side, so a hot row is
+    one record, and only its numbers below the bound are made, in ascending order. The draw depends on
+    the rows and on nothing else: neither on their order nor on how they are partitioned.
     """
-    rate = min(1.0, sample / rows)
-    waiting = np.log1p(-rate) if rate < 1 else -np.inf
-    mark = features.select(F.rand(SEED).alias("mark"), F.array(*[C.col(c) for c in names]).alias("x"))
-    first = F.least(F.floor(F.log1p(-F.col("mark")) / F.lit(float(waiting))), F.lit(trees)).cast("int")
-    steps = 1_000_000_000
-    later = F.filter(
-        F.sequence(F.col("first"), F.lit(trees - 1)),
-        lambda t: (t == F.col("first")) | (F.pmod(F.xxhash64("mark", t), F.lit(steps)) < int(rate * steps)),
-    )
-    drawn = mark.withColumn("first", first).filter(F.col("first") < trees).select(F.explode(later).alias("tree"), "x")
+    bound = min(1.0, (sample + 6 * np.sqrt(sample) + 10) / rows)  # fewer than ``sample`` numbers are below it once in 10**8 draws
+    x = F.array(*[C.col(c).cast("double") + F.lit(0.0) for c in names])  # adding 0 makes one zero of both
+    counted = features.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("copies"))
+    digest = F.xxhash64(F.lit(SEED), "x")
+    # The first tree a row joins, by one number: most rows of a large table join none.
+    none = float(np.log1p(-bound)) if bound < 1 else float("-inf")
+    uniform = (F.pmod(digest, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    first = F.floor(F.log(uniform) / (F.col("copies") * F.lit(none))) if bound < 1 else F.lit(0)
+    joined = counted.select("x", "copies", digest.alias("digest"), F.least(first, F.lit(trees)).cast("int").alias("first")).filter(F.col("first") < trees)
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for values, copies, digest, first in zip(batch["x"], batch["copies"], batch["digest"], batch["first"]):
+                for tree in range(first, trees):
+                    rng = np.random.default_rng([SEED, digest & (1 << 64) - 1, tree])
+                    out += [(tree, values, u) for u in _lowest(rng, copies, bound, tree == first)]
+            yield pd.DataFrame(out, columns=["tree", "x", "order"])
+
+    return joined.mapInPandas(numbers, "tree int, x array<double>, order double")
+
+
+def _lowest(rng: np.random.Generator, copies: int, bound: float, some: bool) -> Iterator[float]:
+    """The numbers below ``bound`` of so many uniform ones, ascending; with ``some``, given that there is one."""
+    below = 0.0
+    for left in range(copies, 0, -1):
+        # The smallest of ``left`` uniform numbers above ``below``.
+        u = rng.random()
+        if some and left == copies and bound < 1:
+            u *= -np.expm1(left * np.log1p(-bound))
+        below = below - (1 - below) * float(np.expm1(np.log1p(-u) / left))
+        if below >= bound:
+            return
+        yield below
+
+
+def fit(features: DataFrame, names: list[str], rows: int, trees: int = TREES, sample: int = SAMPLE) -> dict[int, pd.DataFrame]:
+    """Grow the trees in parallel, one group of sampled rows per tree."""
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        return _grow(int(group["tree"].iloc[0]), np.stack(group["x"].to_numpy()))
+        chosen = group.nsmallest(sample, "order", keep="all").iloc[:sample]
+        return _grow(int(group["tree"].iloc[0]), np.stack(chosen["x"].to_numpy()))
 
+    drawn = drawn_rows(features, names, rows, trees, sample)
     tasks = min(trees, drawn.sparkSession.sparkContext.defaultParallelism)
     nodes = drawn.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     return {int(t): part.sort_values("node") for t, part in nodes.groupby("tree")}
@@ -96,29 +128,113 @@ def _walkable(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.where(leaf, 0, feature), part["cut"].to_numpy(float), below, above, part["path"].to_numpy(float)
 
 
-def _scorer(model: dict[int, pd.DataFrame], names: list[str], psi: int):
+# --- attribution -------------------------------------------------------------------------------
+
+
+@dataclass
+class Leaves:
+    """Leaves whose paths split on the same number of columns."""
+
+    columns: np.ndarray  # leaf x d
+    low: np.ndarray  # a row is on the path where low < value <= high
+    high: np.ndarray
+    credit: np.ndarray  # leaf x 2**d x d: what each column adds, by which of the conditions a row meets
+
+
+def _leaf_boxes(part: pd.DataFrame) -> Iterator[tuple[float, dict[int, list[float]]]]:
+    """(path length, column -> [low, high, share]) of each leaf; the share is that of the sampled rows which
+    the splits on the column let through."""
+    rows = part.set_index("node")
+    stack: list[tuple[int, dict[int, list[float]]]] = [(0, {})]
+    while stack:
+        node, box = stack.pop()
+        r = rows.loc[node]
+        f = int(r["feature"])
+        if f < 0:
+            yield float(r["path"]), box
+            continue
+        for child, side in ((int(r["below"]), 1), (int(r["above"]), 0)):
+            low, high, share = box.get(f, [-np.inf, np.inf, 1.0])
+            share *= rows.at[child, "size"] / r["size"]
+            inner = [low, min(high, r["cut"]), share] if side else [max(low, r["cut"]), high, share]
+            stack.append((child, {**box, f: inner}))
+
+
+def _shapley(value: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Exact Shapley values of games ``v(S) = value * prod(met in S) * prod(share outside S)`` for every pattern of
+    conditions met: leaf x 2**d x d."""
+    leaves, d = share.shape
+    met = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(float)
+    out = np.zeros((leaves, 1 << d, d))
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    for f in range(d):
+        # Coefficients by size of the products over the other columns.
+        sums = np.zeros((d, leaves, 1 << d))
+        sums[0] = 1.0
+        for n, s in enumerate(x for x in range(d) if x != f):
+            for k in range(n + 1, -1, -1):
+                sums[k] = sums[k] * share[:, s, None] + (sums[k - 1] * met[:, s] if k else 0.0)
+        total = sum(w * c for w, c in zip(weight, sums))
+        out[:, :, f] = value[:, None] * total * (met[:, f] - share[:, f, None])
+    return out
+
+
+def leaves_of(model: dict[int, pd.DataFrame], scale: float) -> tuple[list[Leaves], float]:
+    """All leaves of the forest, by their number of columns, and the score (log2) expected when no column is known.
+
+    A leaf's value is its part of the score's logarithm, so the credits of a row add up to
+    log2(score) less that expectation.
+    """
+    found: dict[int, list] = {}
+    expected = 0.0
+    for part in model.values():
+        for path, box in _leaf_boxes(part):
+            value = -path / max(len(model), 1) / scale
+            expected += value * math.prod(b[2] for b in box.values())
+            found.setdefault(len(box), []).append((value, box))
+    out = []
+    for d, leaves in sorted(found.items()):
+        if d:
+            columns = np.array([sorted(box) for _, box in leaves])
+            ends = np.array([[box[f] for f in sorted(box)] for _, box in leaves], dtype=float)
+            out.append(Leaves(columns, ends[..., 0], ends[..., 1], _shapley(np.array([v for v, _ in leaves]), ends[..., 2])))
+    return out, expected
+
+
+def shapley_values(x: np.ndarray, leaves: list[Leaves]) -> np.ndarray:
+    """Path-dependent tree SHAP values of every row and column: each leaf's conditions are looked up in its table."""
+    out = np.zeros(x.shape)
+    for group in leaves:
+        count, d = group.columns.shape
+        place = np.arange(count)
+        columns = np.zeros((count * d, x.shape[1]))
+        columns[np.arange(count * d), group.columns.ravel()] = 1.0
+        step = max(1, (1 << 21) // (count * d))
+        for at in range(0, len(x), step):
+            cell = x[at : at + step][:, group.columns]
+            met = (cell > group.low) & (cell <= group.high)
+            pattern = met @ (1 << np.arange(d))
+            out[at : at + step] += group.credit[place, pattern].reshape(len(cell), -1) @ columns
+    return out
+
+
+def _scorer(model: dict[int, pd.DataFrame], leaves: list[Leaves], names: list[str], scale: float):
     trees = [_walkable(part) for part in model.values()]
     steps = max(int(np.ceil(np.log2(max(part["size"].max(), 2)))) for part in model.values()) + 1 if model else 0
-    scale = float(_average_path(psi)) or 1.0
 
     @F.pandas_udf("score double, contributions array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(names)))
             values, start = x.ravel(), np.arange(len(x)) * len(names)
-            total, credit = np.zeros(len(x)), np.zeros(x.size)
+            total = np.zeros(len(x))
             for feature, cut, below, above, path in trees:
                 at = np.zeros(len(x), dtype=np.int64)
                 for _ in range(steps):
-                    cell = start + feature[at]
-                    there = np.where(values[cell] <= cut[at], below[at], above[at])
-                    # A split that shortens the expected path makes the row look more isolated.
-                    credit[cell] += path[at] - path[there]
-                    at = there
+                    at = np.where(values[start + feature[at]] <= cut[at], below[at], above[at])
                 total += path[at]
-            share = max(len(trees), 1)
-            credits = credit.reshape(x.shape) / share
-            yield pd.DataFrame({"score": np.exp2(-total / share / scale), "contributions": list(credits)})
+            credits = np.round(shapley_values(x, leaves), 12)  # sums of products end differently in batches of other sizes
+            yield pd.DataFrame({"score": np.exp2(-total / max(len(trees), 1) / scale), "contributions": list(credits)})
 
     return score
 
@@ -127,9 +243,10 @@ def isolation_forest(
     df: DataFrame, columns: list[str] | None = None, contamination: float = CONTAMINATION, min_rows: int = 10,
     trees: int = TREES, sample: int = SAMPLE,
 ) -> DataFrame:
-    """Every row with ``anomaly_score``, ``is_anomaly``, three ``drivers`` and ``contributions``.
+    """Every row with ``anomaly_score``, ``is_anomaly``, three ``drivers``, ``contributions`` and ``expected_score``.
 
-    ``trees`` and ``sample`` (rows a tree) bound the model, which passes through the driver.
+    The contributions are exact path-dependent SHAP values of the score's logarithm to base 2: they add up to
+    log2(anomaly_score) - log2(expected_score). ``trees`` and ``sample`` (rows a tree) bound the model, which passes through the driver.
     """
     names = columns or C.numeric_columns(df)
     medians = column_medians(df, names)
@@ -142,10 +259,13 @@ def isolation_forest(
             F.lit(False).alias("is_anomaly"),
             F.array().cast("array<string>").alias("drivers"),
             F.array().cast("array<double>").alias("contributions"),
+            F.lit(None).cast("double").alias("expected_score"),
         )
     filled = filled_columns(names, medians)
     model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows, trees, sample)
-    score = _scorer(model, names, min(sample, rows))
+    scale = float(_average_path(min(sample, rows))) or 1.0
+    leaves, expected = leaves_of(model, scale)
+    score = _scorer(model, leaves, names, scale)
     features = F.expr(f"array({', '.join(filled.values())})")
     # Scored once and written: the threshold and the result both read it.
     scored = staged(spread(df).select("*", score(features).alias("__s")), "scored")
@@ -166,6 +286,7 @@ def isolation_forest(
         flagged.alias("is_anomaly"),
         F.when(flagged, top).otherwise(F.array().cast("array<string>")).alias("drivers"),
         F.col("__s.contributions").alias("contributions"),
+        F.lit(2.0**expected).alias("expected_score"),
     )
 
 

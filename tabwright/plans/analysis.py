@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import analyze, anomaly, charts, columns as C, forest, kpis, profile
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import LABELLED, LINE_MEASURES, SCHEMA, each, labelled_documents, pair_sql, rounded
+from tabwright.session import staged
 
 # --- profiles -----------------------------------------------------------------------------
 
@@ -727,3 +729,27 @@ def anomaly_iforest(t):
 @register("anomaly_attribution")
 def anomaly_attribution(t):
     return forest.attribution(forest.isolation_forest(signals(t), _SIGNALS), _SIGNALS)
+
+
+@register(
+    "anomaly_iforest_checked",
+    """SELECT count(*) AS row_count, true AS flags_follow_threshold, true AS at_most_a_twentieth, true AS scores_in_range, true AS credits_add_up,
+       (SELECT count(*) FROM (SELECT DISTINCT user_id, value, (props::JSON->>'$.k')::DOUBLE FROM events)) AS different_rows, true AS equal_rows_score_alike
+       FROM events""",
+)
+def anomaly_iforest_checked(t):
+    """What must hold of all scores, flags and credits: the flagged rows are those above the 95 % quantile."""
+    scored = staged(forest.isolation_forest(signals(t), _SIGNALS), "iforest")
+    cut = exact_quantiles(scored.select(F.lit(1).alias("all"), "anomaly_score"), ["all"], "anomaly_score", [0.95])
+    rows = C.with_row(scored, cut.select(F.col("quantiles")[0].alias("cut")))
+    credit = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c) + F.log2("expected_score") - F.log2("anomaly_score")
+    alike = scored.groupBy(*_SIGNALS).agg(F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high"))
+    alike = alike.agg(F.count("*").alias("different_rows"), F.bool_and(F.col("low") == F.col("high")).alias("equal_rows_score_alike"))
+    facts = rows.agg(
+        F.count("*").alias("row_count"),
+        F.bool_and(F.col("is_anomaly") == (F.col("anomaly_score") > F.col("cut"))).alias("flags_follow_threshold"),
+        (F.count_if("is_anomaly") <= 0.05 * F.count("*")).alias("at_most_a_twentieth"),
+        F.bool_and((F.col("anomaly_score") > 0) & (F.col("anomaly_score") < 1)).alias("scores_in_range"),
+        F.bool_and(F.abs(credit) < 1e-9).alias("credits_add_up"),
+    )
+    return C.with_row(facts, alike)
