@@ -9,6 +9,7 @@ from tabwright.functions.quantiles import exact_quantiles
 from tabwright.operators import columns as C
 from tabwright.operators.pairs import correlations
 from tabwright.operators.profile import numeric_summary
+from tabwright.session import staged
 
 SKEWED_BEYOND = 1.0
 WEEKLY_BELOW_DAYS = 90
@@ -204,9 +205,11 @@ def group_comparison(
     best_first = [F.desc_nulls_last(aggregation), "group_value"]
     if aggregation != "median":
         # Only the k best groups, found first, need a median.
-        ranked = rows.groupBy("group_value").agg(F.expr(known[aggregation]).alias(aggregation))
-        best = [r["group_value"] for r in ranked.orderBy(*best_first).limit(k).collect()]
-        rows = rows.filter(F.col("group_value").isin(best))
+        ranked = rows.groupBy("group_value").agg(*[F.expr(sql).alias(a) for a, sql in shown.items()])
+        best = staged(ranked.orderBy(*best_first).limit(k), "best-groups")
+        medians = exact_quantiles(rows.join(best.select("group_value"), "group_value", "left_semi"), ["group_value"], "value", [0.5])
+        compared = best.join(medians, "group_value", "left").withColumn("median", F.col("quantiles")[0]).drop("quantiles")
+        return compared.orderBy(*best_first)
     compared = exact_quantiles(rows, ["group_value"], "value", [0.5], also=shown)
     compared = compared.withColumn("median", F.col("quantiles")[0]).drop("quantiles")
     return compared.orderBy(*best_first).limit(k)

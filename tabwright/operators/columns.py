@@ -111,6 +111,13 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return result
 
 
+def short_keys(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns as SQL, long texts by digest and length, so that no whole text is shuffled as a key."""
+    text = set(string_columns(df))
+    key = "CASE WHEN octet_length({x}) <= 32 THEN {x} ELSE md5({x}) || octet_length({x}) END AS {x}"
+    return [key.format(x=name(c)) if c in text else name(c) for c in columns]
+
+
 def distinct_counts(counts: DataFrame) -> DataFrame:
     # Reads n as well, so that this and the other users of the counts share one shuffle.
     return counts.groupBy("attribute").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))
@@ -140,7 +147,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     Equal rows are combined before the shuffle, so a row that makes up a third of
     the table costs one record per input partition.
     """
-    copies = df.groupBy(*[name(c) for c in df.columns]).agg(F.expr("count(*)").alias("__copies"))
+    copies = df.selectExpr(*short_keys(df, df.columns)).groupBy(*[name(c) for c in df.columns]).agg(F.expr("count(*)").alias("__copies"))
     return copies.selectExpr(
         "coalesce(sum(__copies), 0) AS row_count", "coalesce(sum(__copies - 1), 0) AS duplicate_rows"
     )

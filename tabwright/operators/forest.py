@@ -133,9 +133,9 @@ def _walkable(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 @dataclass
 class Leaves:
-    """Leaves whose paths split on the same number of columns."""
+    """Leaves whose paths split on the same columns."""
 
-    columns: np.ndarray  # leaf x d
+    columns: tuple[int, ...]
     low: np.ndarray  # a row is on the path where low < value <= high
     high: np.ndarray
     credit: np.ndarray  # leaf x 2**d x d: what each column adds, by which of the conditions a row meets
@@ -180,23 +180,22 @@ def _shapley(value: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def leaves_of(model: dict[int, pd.DataFrame], scale: float) -> tuple[list[Leaves], float]:
-    """All leaves of the forest, by their number of columns, and the score (log2) expected when no column is known.
+    """All leaves of the forest, by the columns of their paths, and the score (log2) expected when no column is known.
 
     A leaf's value is its part of the score's logarithm, so the credits of a row add up to
     log2(score) less that expectation.
     """
-    found: dict[int, list] = {}
+    found: dict[tuple[int, ...], list] = {}
     expected = 0.0
     for part in model.values():
         for path, box in _leaf_boxes(part):
             value = -path / max(len(model), 1) / scale
             expected += value * math.prod(b[2] for b in box.values())
-            found.setdefault(len(box), []).append((value, box))
+            found.setdefault(tuple(sorted(box)), []).append((value, box))
     out = []
-    for d, leaves in sorted(found.items()):
-        if d:
-            columns = np.array([sorted(box) for _, box in leaves])
-            ends = np.array([[box[f] for f in sorted(box)] for _, box in leaves], dtype=float)
+    for columns, leaves in sorted(found.items()):
+        if columns:
+            ends = np.array([[box[f] for f in columns] for _, box in leaves], dtype=float)
             out.append(Leaves(columns, ends[..., 0], ends[..., 1], _shapley(np.array([v for v, _ in leaves]), ends[..., 2])))
     return out, expected
 
@@ -205,16 +204,17 @@ def shapley_values(x: np.ndarray, leaves: list[Leaves]) -> np.ndarray:
     """Path-dependent tree SHAP values of every row and column: each leaf's conditions are looked up in its table."""
     out = np.zeros(x.shape)
     for group in leaves:
-        count, d = group.columns.shape
-        place = np.arange(count)
-        columns = np.zeros((count * d, x.shape[1]))
-        columns[np.arange(count * d), group.columns.ravel()] = 1.0
-        step = max(1, (1 << 21) // (count * d))
+        count, d = group.low.shape
+        table = group.credit.reshape(count << d, d)
+        place = (np.arange(count) << d).astype(np.int32)
+        step = max(16, (1 << 20) // (count * d))
         for at in range(0, len(x), step):
-            cell = x[at : at + step][:, group.columns]
-            met = (cell > group.low) & (cell <= group.high)
-            pattern = met @ (1 << np.arange(d))
-            out[at : at + step] += group.credit[place, pattern].reshape(len(cell), -1) @ columns
+            rows = x[at : at + step]
+            spot = np.repeat(place[None, :], len(rows), axis=0)
+            for j, f in enumerate(group.columns):
+                cell = rows[:, f, None]
+                spot += ((cell > group.low[:, j]) & (cell <= group.high[:, j])).astype(np.int32) << j
+            out[at : at + step, group.columns] += table[spot].sum(axis=1)
     return out
 
 

@@ -37,11 +37,7 @@ def distinct(df: DataFrame, approximate: bool = False) -> DataFrame:
         sketched = C.per_column(df, flat, lambda c: {"distinct_count": f"approx_count_distinct({name(c)})"})
         return sketched.drop("position")
     # A column of nulls has no counts; the rows from the schema keep it in the result.
-    # Long texts are counted by digest and length, so that no whole text is shuffled as a key.
-    text = set(C.string_columns(df))
-    key = "CASE WHEN octet_length({x}) <= 32 THEN {x} ELSE md5({x}) || octet_length({x}) END AS {x}"
-    keys = df.selectExpr(*[key.format(x=name(c)) if c in text else name(c) for c in flat])
-    found = C.distinct_counts(C.value_counts(keys, flat))
+    found = C.distinct_counts(C.value_counts(df.selectExpr(*C.short_keys(df, flat)), flat))
     listed = C.schema_rows(df.sparkSession, flat).join(found, "attribute", "left")
     return listed.selectExpr("attribute", "coalesce(distinct_count, 0) AS distinct_count")
 
@@ -105,7 +101,7 @@ def has_id_name(name: str) -> bool:
 
 
 def role_evidence(df: DataFrame) -> DataFrame:
-    """Per column: the measurements the role rules look at (one scan, one shuffle)."""
+    """Per column: what the role rules look at beside distinct counts, in one scan without a shuffle of rows."""
     flat = C.flat_columns(df)
     numeric, strings, dates = C.numeric_columns(df), C.string_columns(df), C.date_columns(df)
     dtypes = dict(df.dtypes)
@@ -147,12 +143,12 @@ def role_evidence(df: DataFrame) -> DataFrame:
     words = (spread(df) if strings else df).selectExpr(
         *[name(c) for c in flat], *[f"{parse.word(name(c))} AS {name('__word ' + c)}" for c in strings]
     )
-    return C.per_column(words, flat, one).join(distinct(df), "attribute", "left")
+    return C.per_column(words, flat, one)
 
 
 def profile_roles(df: DataFrame) -> DataFrame:
     """Role per column; the first rule that matches wins."""
-    return role_evidence(df).selectExpr(
+    return role_evidence(df).join(distinct(df), "attribute", "left").selectExpr(
         "attribute", "position", "dtype", "row_count",
         f"{stats.percent('null_count', 'row_count', 2)} AS missing_pct",
         "distinct_count",

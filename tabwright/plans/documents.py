@@ -210,9 +210,31 @@ def report_summaries(t):
     return S.report_summaries(tables, _reports(t)).withColumn("loaded_at", F.col("loaded_at").cast("string"))
 
 
-@register("dataset_overview")
+def _overview_sql() -> str:
+    parts = []
+    for i, table in enumerate(EVERY_TABLE):
+        flat = [c for c, kind in SCHEMA[table] if kind != "list"]
+        counted = " + ".join(f"count(DISTINCT {c})" for c in flat)
+        parts.append(f"SELECT {2 * i + 1} AS position, '{table} profile' AS section, {len(flat)}::BIGINT AS rows, ({counted})::BIGINT AS distinct_values FROM {table}")
+        parts.append(f"SELECT {2 * i + 2}, '{table} sample', least(10, count(*)), NULL::BIGINT FROM {table}")
+    return "\nUNION ALL ".join(parts)
+
+
+def _section_rows(sections: DataFrame, *measures: str) -> DataFrame:
+    """Rows per section, and the sums of some numbers of their records."""
+    sums = [F.sum(F.get_json_object("record", f"$.{m}").cast("double")).cast("bigint").alias(m) for m in measures]
+    return sections.groupBy("position", "section").agg(F.count("*").alias("rows"), *sums)
+
+
+@register("dataset_overview", _overview_sql())
 def dataset_overview(t):
-    """Column profiles and a ten-row sample per table."""
+    """Per table its column profiles and a ten-row sample: rows and distinct values of each section."""
+    return _section_rows(dataset_overview_records(t), "distinct_count").withColumnRenamed("distinct_count", "distinct_values")
+
+
+@register("dataset_overview_records")
+def dataset_overview_records(t):
+    """Column profiles and a ten-row sample per table, as records."""
     tables = {name: getattr(t, name) for name in EVERY_TABLE}
     parts = []
     for i, (name, df) in enumerate(tables.items()):
@@ -435,8 +457,21 @@ def report_limitations(t):
     return report.limitations(profile.profile_roles(rows), C.duplicate_rows(rows))
 
 
-@register("report_build")
+@register(
+    "report_build",
+    """WITH m AS (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS dup FROM orders)
+    SELECT 1 AS position, 'key_metrics' AS section, 1::BIGINT AS rows, n AS total_records, dup AS duplicate_row_count, NULL::BIGINT AS n FROM m
+    UNION ALL SELECT 2, 'data_limitations', 2 + (dup > 0)::BIGINT + (n < 50)::BIGINT, NULL, NULL, NULL FROM m
+    UNION ALL SELECT 3, 'describe_result', 3, NULL, NULL, 3 * n FROM m
+    UNION ALL SELECT 4, 'domain_subscription_kpis', 1, NULL, NULL, NULL FROM m""",
+)
 def report_build(t):
+    """The assembled report: rows of each section, with its sizes."""
+    return _section_rows(report_build_records(t), "total_records", "duplicate_row_count", "n")
+
+
+@register("report_build_records")
+def report_build_records(t):
     roles = profile.profile_roles(t.orders)
     return report.build(
         [
@@ -448,6 +483,17 @@ def report_build(t):
     )
 
 
+@register(
+    "query_log_search",
+    """WITH e AS (SELECT DISTINCT substr(text, 4, 14) AS entity FROM conversations WHERE conv_id % 5 = 0 AND length(text) > 3)
+    SELECT DISTINCT text AS question FROM conversations WHERE EXISTS (SELECT 1 FROM e WHERE contains(text, entity))""",
+)
+def query_log_search(t):
+    """All turns that mention any of the pieces of other turns."""
+    entities = t.conversations.filter("conv_id % 5 = 0 AND length(text) > 3").select(F.substring("text", 4, 14).alias("entity"))
+    return S.query_log_search(t.conversations.select(F.col("text").alias("question")), entities)
+
+
 _ASKED = """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id ORDER BY user_id LIMIT 50000"""
 #: The question asks about all users; the check's limit agrees with it up to 50,000 of them.
 _QUESTION = "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"
@@ -476,11 +522,28 @@ def question_result(t):
     return C.with_row(described, sent.select("flagged", (F.col("alerts") > 0).alias("alert_raised"))).withColumn("cut", F.lit(answer.cut))
 
 
-@register("dataset_report")
+@register(
+    "dataset_report",
+    """SELECT 'customer' AS table_name, count(*) AS rows_raw, (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS rows_clean,
+       5 AS columns_count, (count(DISTINCT c_custkey) + count(DISTINCT c_name) + count(DISTINCT c_nationkey) + count(DISTINCT c_acctbal)
+       + count(DISTINCT c_mktsegment))::BIGINT AS distinct_values, round(avg(c_acctbal), 4) AS mean_balance FROM customer""",
+)
 def dataset_report(t):
+    """The report row of a cleaned table: its sizes and what its profile adds up to."""
+    found = _customer_report(t)
+    total = F.aggregate("profile", F.lit(0).cast("bigint"), lambda a, c: a + c["distinct_count"])
+    balance = F.filter("profile", lambda c: c["attribute"] == "c_acctbal")[0]["mean"]
+    return found.select("table_name", "rows_raw", "rows_clean", "columns_count", total.alias("distinct_values"), balance.alias("mean_balance"))
+
+
+def _customer_report(t) -> DataFrame:
     cleaned = clean_table(t.customer)
-    found = flow.dataset_report("customer", cleaned, cleaned.report("customer"))
-    return found.select("table_name", "rows_raw", "rows_clean", "columns_count", F.to_json(F.struct("*")).alias("report"))
+    return flow.dataset_report("customer", cleaned, cleaned.report("customer"))
+
+
+@register("dataset_report_record")
+def dataset_report_record(t):
+    return _customer_report(t).select("table_name", "rows_raw", "rows_clean", "columns_count", F.to_json(F.struct("*")).alias("report"))
 
 
 @register("auto_analysis")

@@ -291,6 +291,26 @@ def fn_table_name(t):
     return t.pages.groupBy(names.table_identifier(file).alias("table_name")).agg(F.count("*").alias("files"))
 
 
+_FREE_SQL = _IDENTIFIER_SQL.format(x=f"regexp_replace(regexp_replace({_FILE_SQL}, '[0-9]+', '', 'g'), '[.][^.]*$', '')")
+
+
+@register(
+    "fn_table_name_free",
+    f"""WITH b AS (SELECT page_id, CASE WHEN s = '' THEN 'uploaded_table' WHEN regexp_matches(s, '^[0-9]') THEN 'tbl_' || s ELSE s END AS base
+          FROM (SELECT page_id, {_FREE_SQL} AS s FROM pages)),
+        taken AS (SELECT DISTINCT base FROM b WHERE page_id % 7 = 0),
+        n AS (SELECT page_id, b.base, row_number() OVER (PARTITION BY b.base ORDER BY page_id) + (t.base IS NOT NULL)::INT AS s
+          FROM b LEFT JOIN taken t ON t.base = b.base)
+        SELECT page_id, CASE WHEN s = 1 THEN base ELSE base || '_' || s END AS table_name FROM n""",
+)
+def fn_table_name_free(t):
+    """A table name of its own for the file behind each page (numbers left out), beside raw tables that exist already."""
+    file = F.regexp_replace(F.regexp_extract("url", "[^/]*$", 0), r"\d+", "")
+    files = t.pages.select("page_id", file.alias("file"))
+    existing = files.filter("page_id % 7 = 0").select(F.concat(names.table_identifier(F.col("file")), F.lit("__raw")).alias("table_name")).distinct()
+    return names.free_table_names(files, "file", existing, ["page_id"]).select("page_id", "table_name")
+
+
 @register("fn_dedupe_names")
 def fn_dedupe_names(t):
     """All columns of all tables side by side, as one wide file would hold them."""
@@ -504,17 +524,22 @@ def fn_format(t):
 
 # --- closest names ------------------------------------------------------------------------
 
+#: Common subsequence of two words, letter by letter, as nested folds over lists of numbers.
+_COMMON_SQL = """list_reduce([list_transform(range(length(name) + 1), lambda x: 0::BIGINT)] || list_transform(string_split(requested, ''), lambda c: [ord(c)::BIGINT]),
+  lambda row, letter: list_reduce([[0::BIGINT]] || list_transform(range(1, length(name) + 1), lambda j: [j]),
+    lambda done, j: done || [CASE WHEN ord(name[j[1]]) = letter[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], done[-1]) END]))[-1]"""
+
+
 @register(
     "fuzzy_name_match",
-    """WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_type || ' ' || p_name || ' ' || p_brand), ' ')) AS requested FROM part),
+    f"""WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_type || ' ' || p_name || ' ' || p_brand), ' ')) AS requested FROM part),
             known AS (SELECT unnest(['promotion', 'standards', 'widgets', 'brand', 'medium_size', 'gizmos', 'economic', 'plates', 'hot', 'older']) AS name),
-            scored AS (SELECT requested, name, (1.0 - levenshtein(requested, name)::DOUBLE / greatest(length(requested), length(name), 1)) * 100.0 AS score
-                       FROM words, known),
+            scored AS (SELECT requested, name, 200.0 * ({_COMMON_SQL})::DOUBLE / (length(requested) + length(name)) AS score FROM words, known WHERE requested <> ''),
             best AS (SELECT requested, name, score, row_number() OVER (PARTITION BY requested ORDER BY score DESC, name) AS rn FROM scored)
        SELECT requested, CASE WHEN score >= 60 THEN name ELSE 'unknown' END AS matched FROM best WHERE rn = 1""",
 )
 def fuzzy_name_match(t):
     known = ["promotion", "standards", "widgets", "brand", "medium_size", "gizmos", "economic", "plates", "hot", "older"]
     text = F.lower(F.concat_ws(" ", "p_type", "p_name", "p_brand"))
-    words = t.part.select(F.explode(F.split(text, " ")).alias("requested")).distinct()
+    words = t.part.select(F.explode(F.split(text, " ")).alias("requested")).filter("requested <> ''").distinct()
     return words.select("requested", names.closest_name(F.col("requested"), known, "unknown").alias("matched"))

@@ -103,6 +103,12 @@ def _explode_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             header = _told_apart(header)
             chunk: list[list[str | None]] = []
             for row in rows:
+                wide = max((i + 1 for i, cell in enumerate(row) if cell is not None), default=0)
+                if wide > len(header):  # cells beyond the header get columns of their own from here on
+                    if chunk:
+                        yield pd.DataFrame({"path": path, "header": [header] * len(chunk), "cells": chunk})
+                        chunk = []
+                    header = _told_apart(header + [f"Unnamed: {i}" for i in range(len(header), wide)])
                 chunk.append((row + [None] * len(header))[: len(header)])
                 if len(chunk) == _CHUNK:
                     yield pd.DataFrame({"path": path, "header": [header] * len(chunk), "cells": chunk})
