@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.operators import analyze, anomaly, charts, columns as C, forest, kpis, profile
+from tabwright.operators import activity, analyze, anomaly, charts, columns as C, forest, kpis, profile
 from tabwright.plans.registry import Tables, register
 from tabwright.plans.values import LABELLED, LINE_MEASURES, SCHEMA, each, labelled_documents, pair_sql, rounded
 from tabwright.session import staged
@@ -721,6 +721,37 @@ def alert_sink_rows(t):
     )
 
 
+@register(
+    "an_active_entities",
+    """SELECT 'week' AS span, date_trunc('week', o_orderdate)::DATE::VARCHAR AS period, count(DISTINCT o_custkey) AS entities FROM orders GROUP BY 2
+       UNION ALL SELECT 'month', strftime(o_orderdate, '%Y-%m'), count(DISTINCT o_custkey) FROM orders GROUP BY 2
+       UNION ALL SELECT 'all', 'all', count(DISTINCT o_custkey) FROM orders""",
+)
+def an_active_entities(t):
+    """Different customers by week, by month and in all, from one table of daily bitmaps."""
+    days = _customer_days(t)
+    spans = {"week": F.trunc("day", "week").cast("string"), "month": analyze.month_label(F.col("day")), "all": F.lit("all")}
+    parts = [activity.active_entities(days, period).select(F.lit(span).alias("span"), "period", "entities") for span, period in spans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(
+    "an_returning_entities",
+    """WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month, o_custkey FROM orders)
+       SELECT strftime(a.month, '%Y-%m') AS period, count(*) AS entities, count(b.o_custkey) AS returned
+       FROM m a LEFT JOIN m b ON b.o_custkey = a.o_custkey AND b.month = a.month + INTERVAL 1 MONTH GROUP BY 1""",
+)
+def an_returning_entities(t):
+    """Of each month's customers those who order in the next month too."""
+    month = F.trunc("day", "month")
+    return activity.returning(_customer_days(t), analyze.month_label(F.col("day")), analyze.month_label(F.add_months(month, 1)))
+
+
+def _customer_days(t: Tables) -> DataFrame:
+    numbers = staged(activity.entity_numbers(t.orders, "o_custkey"), "numbers")
+    return staged(activity.daily_bitmaps(t.orders, "o_custkey", "o_orderdate", numbers), "days")
+
+
 @register("anomaly_iforest")
 def anomaly_iforest(t):
     return forest.isolation_forest(signals(t), _SIGNALS)
