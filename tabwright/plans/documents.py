@@ -494,9 +494,7 @@ def query_log_search(t):
     return S.query_log_search(t.conversations.select(F.col("text").alias("question")), entities)
 
 
-_ASKED = """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id ORDER BY user_id LIMIT 50000"""
-#: The question asks about all users; the check's limit agrees with it up to 50,000 of them.
-_QUESTION = "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"
+_ASKED = """SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id"""
 _ANSWER_COLUMNS = ["user_id", "n", "total"]
 
 
@@ -508,18 +506,18 @@ _ANSWER_COLUMNS = ["user_id", "n", "total"]
     """
     + "\nUNION ALL ".join(
         f"""SELECT '{c}' AS attribute, count({c}) AS n, round(avg({c}), 4) AS mean, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
-        (SELECT flagged FROM f) AS flagged, (SELECT flagged FROM f) > 0 AS alert_raised, false AS cut FROM a"""
+        (SELECT flagged FROM f) AS flagged, (SELECT flagged FROM f) > 0 AS alert_raised FROM a"""
         for c in _ANSWER_COLUMNS
     ),
 )
 def question_result(t):
     """A question's governed SQL, all its rows described, scored and, where rows stand out, alerted."""
     t.events.createOrReplaceTempView("events")
-    answer = flow.question_result(t.spark, "Which users stand out?", _QUESTION, default=None, cap=None)
+    answer = flow.question_result(t.spark, "Which users stand out?", _ASKED, default=None, cap=None)
     alerts = answer.alert.agg(F.count("*").alias("alerts"))
     sent = C.with_row(answer.alert_rows.agg(F.count("*").alias("flagged")), alerts)
     described = answer.description.select("attribute", "n", F.round("mean", 4).alias("mean"), "min", "max")
-    return C.with_row(described, sent.select("flagged", (F.col("alerts") > 0).alias("alert_raised"))).withColumn("cut", F.lit(answer.cut))
+    return C.with_row(described, sent.select("flagged", (F.col("alerts") > 0).alias("alert_raised")))
 
 
 @register(
