@@ -544,6 +544,36 @@ def dataset_report_record(t):
     return _customer_report(t).select("table_name", "rows_raw", "rows_clean", "columns_count", F.to_json(F.struct("*")).alias("report"))
 
 
-@register("auto_analysis")
+def _sections_sql() -> str:
+    """Rows of the sections of the messy orders' analysis; charts of scores have no count in SQL."""
+    month = "strftime(order_date, '%Y-%m')"
+    values = " + ".join(f"least(10, count(DISTINCT {c}))" for c in ("customer_name", "discount_code", "channel"))
+    rows = [
+        ("key_metrics", "1"), ("data_limitations", "3"), ("descriptive_stats", "2"), ("chart_box", "2"), ("distribution_analysis", "2"),
+        ("chart_histogram", "40"), ("correlation_analysis", "1"), ("correlation_leaders", "1"), ("outlier_detection", "1"),
+        ("flagged_rows", "10"), ("chart_scatter", "NULL"), ("value_frequency", "3"), ("chart_bar", values),
+        ("time_trend_analysis", f"least(12, count(DISTINCT {month}))"), ("trend_extremes", "1"), ("status_breakdown", "count(DISTINCT rush)"),
+        ("cohort_retention", f"least(12, count(DISTINCT {month}))"), ("largest_cohort", "1"), ("retention", f"count(DISTINCT {month})"),
+        ("entity_aggregation", "1"), ("top_entities", "least(10, count(DISTINCT order_id))"),
+        ("group_comparison", "least(10, count(DISTINCT customer_name))"), ("group_extremes", "1"),
+        ("group_comparison", "count(DISTINCT discount_code)"), ("group_extremes", "1"),
+        ("group_comparison", "count(DISTINCT channel)"), ("group_extremes", "1"),
+        ("cross_tabulation", "count(DISTINCT (customer_name, discount_code)) FILTER (WHERE customer_name IS NOT NULL AND discount_code IS NOT NULL)"),
+        ("domain_sales_kpis", "8"),
+    ]
+    one = lambda n: n if "(" in n else f"max({n})"
+    parts = [f"SELECT {i} AS position, '{name}' AS section, ({one(n)})::BIGINT AS rows FROM cleaned" for i, (name, n) in enumerate(rows, 1)]
+    return CLEANED_SQL + "\nUNION ALL ".join(parts)
+
+
+@register("auto_analysis", _sections_sql())
 def auto_analysis(t):
+    """The whole analysis of the messy orders: its sections in order, and their rows."""
+    sections = flow.auto_analysis(messy_orders(t), "messy_orders", _store(t)).sections
+    counted = _section_rows(sections.filter("record IS NOT NULL"))
+    return counted.withColumn("rows", F.when(F.col("section") != "chart_scatter", F.col("rows")))
+
+
+@register("auto_analysis_records")
+def auto_analysis_records(t):
     return flow.auto_analysis(messy_orders(t), "messy_orders", _store(t)).sections
