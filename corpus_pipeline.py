@@ -27,14 +27,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
     Rows without an id or without words are in no group. Of rows equal in id and text one stays.
     """
-    rows = jaccard.near_rows(docs).filter("doc_id IS NOT NULL AND (n_links > 0 OR NOT keeper)")
-    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("keeper").alias("__keeper"), F.count("*").alias("__n"))
-    rows = staged(rows, "near-duplicates")
-    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = (F.col("doc_id") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    kept = hashed.join(rows.filter("NOT __keeper OR __n > 1"), same, "left")
+    rows = staged(jaccard.near_rows(docs).filter("doc_id IS NOT NULL"), "near-rows")
+    removed = rows.groupBy("doc_id").agg(F.bool_or("keeper").alias("some"), F.bool_and("keeper").alias("all"))
+    # Ids that lose all their rows go by id alone; only ids that share texts and lose some are looked up by text.
+    gone = staged(removed.filter("NOT some").select("doc_id"), "near-duplicates")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    mixed = removed.filter("some AND NOT all").select("doc_id")
+    judged = rows.join(mixed.withColumn("part", F.lit(True)), "doc_id", "left").groupBy("doc_id", "text_hash")
+    judged = judged.agg(F.first("keeper").alias("__keeper"), F.max("n_links").alias("links"), F.count("*").alias("n"), F.first("part").alias("part"))
+    judged = judged.filter("(part AND NOT __keeper) OR (__keeper AND n > 1 AND links > 0)")
+    judged = staged(judged.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__keeper"), "judged-texts")
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = kept.join(judged, same, "left")
     single = kept.filter("__keeper IS NULL")
-    again = kept.filter("__keeper").dropDuplicates(["doc_id", "__text_hash"])
+    again = kept.filter("__keeper").dropDuplicates(["__id", "__hash"])
     return single.unionByName(again).select(*docs.columns)
 
 
