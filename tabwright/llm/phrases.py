@@ -93,8 +93,9 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(0x9E3779B97F4A7C15) + b)
 
 
-def _key(spot: np.ndarray) -> np.ndarray:
-    return (spot >> _U(64 - KEY_BITS)).astype(np.int64)
+def _key(k: int, spot: np.ndarray) -> np.ndarray:
+    """What the first passes count by: the number of words, then KEY_BITS bits of the hash."""
+    return (spot >> _U(64 - KEY_BITS)).astype(np.int64) | (k << KEY_BITS)
 
 
 def _has(marks: np.ndarray, spot: np.ndarray) -> np.ndarray:
@@ -148,27 +149,22 @@ class Slice:
 
 
 def hashed_counts(s: Slice, new: np.ndarray | None, old: np.ndarray | None, words_too: bool) -> pa.RecordBatch:
-    """(k, key, n): counts by hash of all words (``words_too``), and of the pairs and triples that ``new`` allows
+    """(key, n): counts by length and hash of all words (``words_too``), and of the pairs and triples that ``new`` allows
     and ``old`` did not. Without ``new``: of words and pairs, all of them."""
-    parts = [(1, _key(s.spot), s.n)] if words_too else []
+    parts = [(_key(1, s.spot), s.n)] if words_too else []
     live = np.ones(len(s.near), bool)
     if new is not None:
         may, did = _has(new, s.spot)[s.at], _has(old, s.spot)[s.at]
         live = may[s.near] & may[s.near + 1] & ~(did[s.near] & did[s.near + 1])
     first, second, n = s.pairs(live)
-    parts.append((2, _key(_pair(s.spot[first], s.spot[second])), n))
+    parts.append((_key(2, _pair(s.spot[first], s.spot[second])), n))
     if new is not None:
         may, did = s.following(_has(new, s.joined)), s.following(_has(old, s.joined))
         first, second, third, n = s.triples(np.flatnonzero(may[:-1] & may[1:] & ~(did[:-1] & did[1:])))
-        parts.append((3, _key(_pair(_pair(s.spot[first], s.spot[second]), s.spot[third])), n))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([np.full(len(n), k, np.int8) for k, _, n in parts])),
-            pa.array(np.concatenate([key for _, key, _ in parts])),
-            pa.array(np.concatenate([n for _, _, n in parts]).astype(np.int64)),
-        ],
-        ["k", "key", "n"],
-    )
+        parts.append((_key(3, _pair(_pair(s.spot[first], s.spot[second]), s.spot[third])), n))
+    key, n = np.concatenate([key for key, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(key)  # neighbours compress well in the shuffle
+    return pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(n[order].astype(np.int64))], ["key", "n"])
 
 
 def named_counts(s: Slice, marks: np.ndarray) -> pa.RecordBatch:
@@ -212,13 +208,17 @@ def _each_slice(docs: DataFrame, count, marks: tuple, shape: str) -> DataFrame:
 
 
 def _frequent_keys(docs: DataFrame, least: int, new: np.ndarray | None, old: np.ndarray | None, words_too: bool) -> DataFrame:
-    """(k, key) of the hashes counted ``least`` times or more, written."""
+    """(k, key) of the hashes counted ``least`` times or more, written.
+
+    Few of a task's hashes come from more than one of its slices, so they are summed behind the shuffle only.
+    """
 
     def count(s: Slice, new, old) -> pa.RecordBatch:
         return hashed_counts(s, new, old, words_too)
 
-    counts = _each_slice(docs, count, (new, old), "k byte, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("f"))
-    return staged(counts.filter(f"f >= {least}").select("k", "key"), "phrase-keys")
+    counts = _each_slice(docs, count, (new, old), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("f"))
+    found = counts.filter(f"f >= {least}")
+    return staged(found.select(F.shiftright("key", KEY_BITS).alias("k"), F.col("key").bitwiseAND((1 << KEY_BITS) - 1).alias("key")), "phrase-keys")
 
 
 def bits_for(phrases: int) -> int:
