@@ -42,11 +42,17 @@ DEPTHS = (4, 8, 13)
 FREQUENT = (256, 4096)
 #: Bytes of input text behind one group.
 GROUP_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 50
+#: Bytes of entries a task holds before it sends them.
+GATHER_BYTES = 32 << 20
 
 
 def groups_for(docs: DataFrame) -> int:
     """Groups of bounded size: they grow with the input (its files hold about half the text's bytes)."""
-    return max(16, 2 * input_bytes(docs) // GROUP_BYTES)
+    size = 2 * input_bytes(docs)
+    if size >= UNKNOWN_BYTES:  # what Spark assumes of rows that don't come from files
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(16, size // GROUP_BYTES)
 
 
 # --- windows and their marks ------------------------------------------------------------------
@@ -142,9 +148,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark_rows(groups: int):
-    """The marks of each slice by group."""
+    """The marks of a task's texts by group."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Gathered(groups)
         for part in slices(batches, "text"):
             w = scan(part.column("text"))
             starts, window_first = window_starts(w.first)
@@ -157,19 +164,47 @@ def _mark_rows(groups: int):
             chosen = np.unique(place[named[np.repeat(np.arange(part.num_rows), np.diff(window_first))]])
             text = np.searchsorted(w.first, chosen, side="right") - 1
             digests, mark = text_digests(w), at_word[chosen]
-            yield _dealt(mark >> np.uint64(48), groups, lambda e: pack_entries(id_of, digests, text[e], chosen[e] - w.first[text[e]], [mark[e]]))
+            yield from sent.add(mark >> np.uint64(48), lambda e: pack_entries(id_of, digests, text[e], chosen[e] - w.first[text[e]], [mark[e]]))
+        yield from sent.flush()
 
     return rows
 
 
-def _dealt(key: np.ndarray, groups: int, packed) -> pa.RecordBatch:
-    """A row for each group that entries fall in by their key."""
-    group = (mix(key) % np.uint64(groups)).astype(np.int32)
-    order = np.argsort(group, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
-    parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    numbers = np.array([group[p[0]] for p in parts], np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([packed(p) for p in parts], pa.binary())], ["group", "packed"])
+class _Gathered:
+    """Packed entries by group, held back until a task has GATHER_BYTES of them: a row for each group then, not for
+    each group and slice, so rows follow what is sent."""
+
+    def __init__(self, groups: int):
+        self.groups, self.held, self.size = groups, {}, 0
+
+    def add(self, key: np.ndarray, packed) -> Iterator[pa.RecordBatch]:
+        """Take entries to the groups of their keys; ``packed`` gives the bytes of some of them."""
+        group = (mix(key) % np.uint64(self.groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group[order])) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            raw = packed(order[a:b])
+            self.held.setdefault(int(group[order[a]]), []).extend((len(raw).to_bytes(8, "little"), raw))
+            self.size += len(raw)
+        if self.size >= GATHER_BYTES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            numbers = sorted(self.held)
+            rows = pa.array([b"".join(self.held[n]) for n in numbers], pa.binary())
+            self.held, self.size = {}, 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers, np.int32)), rows], ["group", "packed"])
+
+
+def _blobs(table: pa.Table) -> Iterator[bytes]:
+    """What slices packed for a group."""
+    for row in table.column("packed"):
+        raw, at = row.as_py(), 0
+        while at < len(raw):
+            size = int.from_bytes(raw[at : at + 8], "little")
+            yield raw[at + 8 : at + 8 + size]
+            at += 8 + size
 
 
 PACKED = "group int, packed binary"
@@ -181,7 +216,7 @@ def shared_marks(table: pa.Table) -> pa.Table:
     Of equal texts only the smallest document is kept. A place is a word number, and in its
     upper two bits how frequent the mark is.
     """
-    parts = [unpack_entries(b, (np.uint64,)) for b in table.column("packed").to_pylist()]
+    parts = [unpack_entries(b, (np.uint64,)) for b in _blobs(table)]
     ids, digests, where, mark = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, digests, mark))
     ids, digests, mark, where = ids[order], digests[order], mark[order], where[order]
@@ -214,6 +249,7 @@ def _suffix_rows(groups: int):
     """Marked suffixes by group. Equal ones of a slice are combined: those of a larger document go along as judged."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Gathered(groups)
         for part in slices(batches, "text"):
             w = scan(part.column("text"))
             digests = text_digests(w)
@@ -251,7 +287,8 @@ def _suffix_rows(groups: int):
                 own = pack_entries(ids, digests, text[live], where[live], [x[live] for x in edges])
                 return len(own).to_bytes(8, "little") + own + pack_entries(ids, digests, text[gone], where[gone], [])
 
-            yield _dealt(prefix, groups, packed)
+            yield from out.add(prefix, packed)
+        yield from out.flush()
 
     return rows
 
@@ -271,7 +308,7 @@ def repeated_starts(table: pa.Table) -> pa.Table:
     edges hang from one node as deep as a window.
     """
     trees, judged = [], []
-    for blob in table.column("packed").to_pylist():
+    for blob in _blobs(table):
         size = int.from_bytes(blob[:8], "little")
         trees.append(unpack_entries(blob[8 : 8 + size], EDGE_KINDS))
         judged.append(unpack_entries(blob[8 + size :], ()))
@@ -332,10 +369,10 @@ def removed_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Starts: id, digest, places (lists of packed word numbers), for the smallest of equal texts.
     """
     groups = groups_for(docs)
-    marked = docs.mapInArrow(_mark_rows(groups), PACKED).groupBy("group").applyInArrow(shared_marks, PLACES)
+    marked = docs.mapInArrow(_mark_rows(groups), PACKED).repartition(groups, "group").groupBy("group").applyInArrow(shared_marks, PLACES)
     marked = marked.groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
     texts = staged(docs.join(marked, "id").select("id", "digest", "places", "text"), "marked-texts")
-    judged = texts.mapInArrow(_suffix_rows(groups), PACKED).groupBy("group").applyInArrow(repeated_starts, PLACES)
+    judged = texts.mapInArrow(_suffix_rows(groups), PACKED).repartition(groups, "group").groupBy("group").applyInArrow(repeated_starts, PLACES)
     judged = judged.groupBy("id", "digest").agg(F.collect_list("places").alias("places"))
     every = staged(docs.mapInArrow(_counted, "id long, digest long, n_words long, kept_sha256 string"), "counted")
     return every, judged, texts.select("id", "digest", "text")
