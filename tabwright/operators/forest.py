@@ -6,6 +6,7 @@ the table holds, so it is the only thing that passes through the driver.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,13 +19,17 @@ from tabwright.functions.quantiles import exact_quantiles
 from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators.anomaly import CONTAMINATION, column_medians, filled_columns
-from tabwright.session import ship_with_tasks, spread, staged
+from tabwright.session import ship_with_tasks, staged
 
 ship_with_tasks(__name__)
 
 TREES = 100
 SAMPLE = 256
 SEED = 42
+#: Rows a task scores; small tables go to all cores in parts of at least so many rows.
+TASK_ROWS, LEAST_ROWS = 50_000, 1_000
+#: Cells that the tables of :class:`Steps` may have in all.
+CELLS = 1 << 22
 
 _NODES = "tree int, node int, feature int, cut double, below int, above int, path double, size int"
 
@@ -78,6 +83,8 @@ def drawn_rows(features: DataFrame, names: list[str], rows: int, trees: int, sam
     uniform = (F.pmod(digest, F.lit(1 << 52)) + 0.5) / float(1 << 52)
     first = F.floor(F.log(uniform) / (F.col("copies") * F.lit(none))) if bound < 1 else F.lit(0)
     joined = counted.select("x", "copies", digest.alias("digest"), F.least(first, F.lit(trees)).cast("int").alias("first")).filter(F.col("first") < trees)
+    # These are few and small, but every number costs a generator of its own: all cores share them.
+    joined = joined.repartition(joined.sparkSession.sparkContext.defaultParallelism, "digest")
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -218,9 +225,97 @@ def shapley_values(x: np.ndarray, leaves: list[Leaves]) -> np.ndarray:
     return out
 
 
-def _scorer(model: dict[int, pd.DataFrame], leaves: list[Leaves], names: list[str], scale: float):
+@dataclass
+class Steps:
+    """What the forest expects of a row of which only some columns are known, as step functions of these.
+
+    Credits are sums of these expectations over all subsets of the columns, so a row costs a look-up for each tree
+    and subset in place of one for each leaf. That of one column is a single function for all trees; that of
+    all columns is the score itself and has no table.
+    """
+
+    cuts: list[np.ndarray]  # per column the cuts of all trees, ascending
+    alone: list[np.ndarray]  # per column the expectation when only it is known, by step
+    trees: list[tuple[list[np.ndarray], list[tuple[int, tuple[int, ...], np.ndarray]]]]  # step of the tree by step of all; (subset, columns, table)
+    weights: np.ndarray  # subset (as bits) x column: its share in the column's credit
+    expected: float
+
+
+def _subset_weights(d: int) -> np.ndarray:
+    """Shapley's weights by subset (as bits) and column: those with the column count for it, the others against it."""
+    out = np.zeros((1 << d, d))
+    for s in range(1 << d):
+        k = s.bit_count()
+        for f in range(d):
+            if s >> f & 1:
+                out[s, f] = math.factorial(k - 1) * math.factorial(d - k) / math.factorial(d)
+            else:
+                out[s, f] = -math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+    return out
+
+
+def steps_of(model: dict[int, pd.DataFrame], scale: float, columns: int, most: int = CELLS) -> Steps | None:
+    """The forest's step functions, or None where their tables would have more than ``most`` cells."""
+    cuts = []
+    for part in model.values():
+        split = part["feature"].to_numpy()
+        cuts.append([np.unique(part["cut"].to_numpy(float)[split == f]) for f in range(columns)])
+    if columns > 8:
+        return None
+    several = [s for k in range(2, columns) for s in itertools.combinations(range(columns), k)]
+    if sum(math.prod(len(own[f]) + 1 for f in s) for own in cuts for s in several) > most:
+        return None
+    every = [np.unique(np.concatenate([own[f] for own in cuts] or [np.zeros(0)])) for f in range(columns)]
+    alone = [np.zeros(len(c) + 1) for c in every]
+    trees, expected = [], 0.0
+    for part, own in zip(model.values(), cuts):
+        tables = [(sum(1 << f for f in s), s, np.zeros([len(own[f]) + 1 for f in s])) for s in several]
+        for path, box in _leaf_boxes(part):
+            value = -path / max(len(model), 1) / scale
+            share = [box[f][2] if f in box else 1.0 for f in range(columns)]
+            expected += value * math.prod(b[2] for b in box.values())
+            inside = [_steps_between(own[f], box.get(f)) for f in range(columns)]
+            for f in range(columns):
+                alone[f][_steps_between(every[f], box.get(f))] += value * math.prod(share[g] for g in range(columns) if g != f)
+            for _, s, table in tables:
+                table[tuple(inside[f] for f in s)] += value * math.prod(share[g] for g in range(columns) if g not in s)
+        places = [np.searchsorted(own[f], np.concatenate([[-np.inf], every[f]]), "right").astype(np.int32) for f in range(columns)]
+        trees.append((places, tables))
+    return Steps(every, alone, trees, _subset_weights(columns), expected)
+
+
+def _steps_between(cuts: np.ndarray, ends: list[float] | None) -> slice:
+    """The steps a path's condition on a column lets through: low < value <= high."""
+    low, high = ends[:2] if ends else (-np.inf, np.inf)
+    first = np.searchsorted(cuts, low, "right") if low > -np.inf else 0
+    return slice(first, np.searchsorted(cuts, high, "left") + 1 if high < np.inf else len(cuts) + 1)
+
+
+def credits_by_steps(x: np.ndarray, steps: Steps, whole: np.ndarray) -> np.ndarray:
+    """Path-dependent tree SHAP values of every row and column; ``whole`` is the score's logarithm to base 2."""
+    d = x.shape[1]
+    at = [np.searchsorted(cuts, x[:, f], "left") for f, cuts in enumerate(steps.cuts)]
+    known = np.zeros((1 << d, len(x)))  # by subset
+    known[0] = steps.expected
+    for f in range(d):
+        known[1 << f] = steps.alone[f][at[f]]
+    known[-1] = whole
+    for places, tables in steps.trees if d > 2 else []:
+        here = [place[i] for place, i in zip(places, at)]
+        for subset, columns, table in tables:
+            spot = here[columns[0]]
+            for f, size in zip(columns[1:], table.shape[1:]):
+                spot = spot * size + here[f]
+            known[subset] += table.ravel()[spot]
+    out = np.zeros(x.shape)
+    for subset in range(1 << d):  # one after the other, so that a row's sums do not depend on its batch
+        out += known[subset][:, None] * steps.weights[subset]
+    return out
+
+
+def _scorer(model: dict[int, pd.DataFrame], credit: Steps | list[Leaves], names: list[str], scale: float):
     trees = [_walkable(part) for part in model.values()]
-    steps = max(int(np.ceil(np.log2(max(part["size"].max(), 2)))) for part in model.values()) + 1 if model else 0
+    depth = max(int(np.ceil(np.log2(max(part["size"].max(), 2)))) for part in model.values()) + 1 if model else 0
 
     @F.pandas_udf("score double, contributions array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -230,15 +325,23 @@ def _scorer(model: dict[int, pd.DataFrame], leaves: list[Leaves], names: list[st
             total = np.zeros(len(x))
             for feature, cut, below, above, path in trees:
                 at = np.zeros(len(x), dtype=np.int64)
-                for _ in range(steps):
+                for _ in range(depth):
                     at = np.where(values[start + feature[at]] <= cut[at], below[at], above[at])
                 total += path[at]
-            credits = np.round(shapley_values(x, leaves), 12)  # sums of products end differently in batches of other sizes
-            yield pd.DataFrame({"score": np.exp2(-total / max(len(trees), 1) / scale), "contributions": list(credits)})
+            whole = -total / max(len(trees), 1) / scale
+            found = credits_by_steps(x, credit, whole) if isinstance(credit, Steps) else shapley_values(x, credit)
+            credits = np.round(found, 12) + 0.0  # sums of products end differently in batches of other sizes
+            yield pd.DataFrame({"score": np.exp2(whole), "contributions": list(credits)})
 
     return score
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt out for costly work on each, by their number: a file of many rows may be small or come as one split."""
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS))
+    return df.repartition(max(tasks, -(-rows // TASK_ROWS)))
+
+
 def isolation_forest(
     df: DataFrame, columns: list[str] | None = None, contamination: float = CONTAMINATION, min_rows: int = 10,
     trees: int = TREES, sample: int = SAMPLE,
@@ -264,11 +367,12 @@ def isolation_forest(
     filled = filled_columns(names, medians)
     model = fit(df.selectExpr(*[f"{x} AS {name(c)}" for c, x in filled.items()]), names, rows, trees, sample)
     scale = float(_average_path(min(sample, rows))) or 1.0
-    leaves, expected = leaves_of(model, scale)
-    score = _scorer(model, leaves, names, scale)
+    credit = steps_of(model, scale, len(names))
+    credit, expected = (credit, credit.expected) if credit else leaves_of(model, scale)
+    score = _scorer(model, credit, names, scale)
     features = F.expr(f"array({', '.join(filled.values())})")
     # Scored once and written: the threshold and the result both read it.
-    scored = staged(spread(df).select("*", score(features).alias("__s")), "scored")
+    scored = staged(_dealt(df, rows).select("*", score(features).alias("__s")), "scored")
     cut = exact_quantiles(
         scored.select(F.lit(1).alias("all"), F.col("__s.score").alias("score")), ["all"], "score", [1 - contamination]
     ).first()["quantiles"][0]

@@ -124,3 +124,26 @@ def test_few_rows_and_no_rows(spark):
     assert len({r["anomaly_score"] for r in same}) == 1 and not any(r["is_anomaly"] for r in same)
     assert all(list(r["contributions"]) == [0.0, 0.0] for r in same)
     assert isinstance(forest.leaves_of({}, 1.0)[1], float) and pd.DataFrame().empty
+
+
+@pytest.mark.parametrize("columns", [1, 2, 3, 4])
+def test_step_tables_equal_the_leaf_tables(columns):
+    rng = np.random.default_rng(7)
+    model = grown(rng, trees=6, columns=columns)
+    x = np.vstack([np.round(rng.normal(0, 1, (60, columns)), 1), np.full((1, columns), 9.0), np.full((1, columns), -9.0)])
+    leaves, expected = forest.leaves_of(model, 2.5)
+    steps = forest.steps_of(model, 2.5, columns)
+    want = forest.shapley_values(x, leaves)
+    got = forest.credits_by_steps(x, steps, expected + want.sum(axis=1))
+    assert got == pytest.approx(want, abs=1e-12) and steps.expected == expected
+    assert (forest.steps_of(model, 2.5, columns, most=0) is None) == (columns > 2)
+
+
+def test_a_table_in_one_split_is_scored_by_several_tasks(spark, monkeypatch):
+    from tabwright import session
+
+    monkeypatch.setattr(session, "SMALL_BYTES", 0)  # as if the split were of a large file
+    one = spark.createDataFrame([(float(i % 37), float(i % 11)) for i in range(3000)], "a double, b double").coalesce(1)
+    scored = forest.isolation_forest(one, ["a", "b"], trees=5)
+    assert scored.count() == 3000
+    assert len({f for f in scored.inputFiles()}) > 1
