@@ -8,8 +8,9 @@ from collections.abc import Mapping, Sequence
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabwright.functions import mentions
 from tabwright.operators import sketches
-from tabwright.session import shared_root, staged
+from tabwright.session import shared_root, spread, staged
 
 RAW_SUFFIX = "__raw"
 WORKING_VIEW = "user_data"
@@ -82,23 +83,19 @@ def query_log_lookup(log: DataFrame, entities: list[str], k: int = 5) -> DataFra
 def query_log_search(log: DataFrame, entities: DataFrame) -> DataFrame:
     """The different questions of a log that mention any of the entities (a column entity), however many there are.
 
-    Questions are indexed by their letter grams up to three; each entity is looked up by the rarest of
-    its own, and what that finds is verified. Empty and null entities match nothing.
+    Each question is cut into its pieces as long as the entities are, those that a filter of the entities' hashes
+    lets through are joined with them, so no question is ever paired with an entity it does not hold.
+    Empty and null entities match nothing.
     """
-
-    def grams(text: str, sizes: Column) -> Column:
-        cut = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n)))
-        return F.explode(F.array_distinct(F.flatten(cut)))
-
     questions = log.select("question").filter("question <> ''").distinct()
-    sizes = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.length("question"))
-    index = staged(questions.select("question", grams("question", sizes).alias("gram")), "question-grams")
-    often = index.groupBy("gram").agg(F.count("*").alias("often"))
-    asked = entities.select("entity").filter("entity <> ''").distinct()
-    asked = asked.select("entity", grams("entity", F.array(F.least(F.length("entity"), F.lit(3)))).alias("gram"))
-    rarest = asked.join(often, "gram", "left").groupBy("entity").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("gram"))).alias("key"))
-    keys = rarest.filter("key.often > 0").select("entity", "key.gram")
-    return index.join(keys, "gram").filter(F.contains("question", F.col("entity"))).select("question").distinct()
+    numbered = staged(questions.select("question", F.monotonically_increasing_id().alias("id")), "questions")
+    asked = staged(entities.select("entity").filter("entity <> ''").distinct(), "entities")
+    lengths = sorted(r[0] for r in asked.select(F.length("entity")).distinct().collect())
+    if not lengths:
+        return numbered.select("question").limit(0)
+    pieces = spread(numbered.select("id", "question")).mapInArrow(mentions.pieces(mentions.entity_filter(asked), lengths), "id long, piece string")
+    found = pieces.join(asked, F.col("piece") == F.col("entity")).select("id").distinct()
+    return numbered.join(found, "id", "left_semi").select("question")
 
 
 def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Names held as data, log search, frequent values with proof, daily bitmaps and wide workbook rows."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.functions import names
+from tabwright.functions import mentions, names
 from tabwright.operators import activity, columns as C, hitters
 from tabwright.plans.documents import workbook_bytes
 from tabwright.sources import store as S
@@ -75,6 +76,21 @@ def test_log_search_by_many_entities(spark):
     assert S.query_log_search(log, asked.limit(0)).count() == 0
 
 
+def test_log_search_pairs_no_question_with_an_entity_it_does_not_hold(spark):
+    """Every question holds every three letters of every entity, and none holds one of them but those it equals."""
+    rng = random.Random(11)
+    every = ["".join(p) for p in itertools.product("abc", repeat=5)]
+    questions = ["-".join(rng.sample(every, len(every))) for _ in range(60)]
+    entities = [f"{a}{b}" for a in every[:40] for b in every[40:60]] + [questions[7][100:180], questions[9]]
+    log, asked = (spark.createDataFrame([(x,) for x in some], f"{c} string") for some, c in ((questions, "question"), (entities, "entity")))
+    found = S.query_log_search(log, asked)
+    assert sorted(r[0] for r in found.collect()) == sorted([questions[7], questions[9]])
+    words = spark.createDataFrame([(e,) for e in entities], "entity string")
+    cut = mentions.pieces(mentions.entity_filter(words), sorted({len(e) for e in entities}))
+    numbered = spark.createDataFrame(list(enumerate(questions)), "id long, question string")
+    assert numbered.mapInArrow(cut, "id long, piece string").count() < 60 * 30
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(7)
