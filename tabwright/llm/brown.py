@@ -18,7 +18,7 @@ probability is that of its class after the class before it, times that of the wo
 
 Texts are encoded once, in slices: their distinct words by shard and the tokens as places among
 these. Shards send a slice the classes and counts of its words; a slice sends a shard how often each
-of its words stands beside each class.
+of its words that move in a sweep stands beside each class.
 
 Nulls: a null text has the end token alone; a row without an id is held out. Repeated rows count
 and are scored one by one. Without training texts all counts are zero and the class model is
@@ -405,22 +405,24 @@ def _started(sent):
     return rows
 
 
-def _moved(sent, sweep: int):
+def turns(hashes: np.ndarray, sweep: int) -> np.ndarray:
+    """Which words may move in a sweep: half of them, the other half in the next one."""
+    return (mix(hashes) >> np.uint64(sweep // 2)) & np.uint64(1) == np.uint64(sweep % 2)
+
+
+def _moved(sent):
     def rows(table: pa.Table) -> pa.Table:
         bigrams = shared(sent)
         found, k = _by_kind(table), len(bigrams)
-        hashes, counts, _ = _unpack(found[WORDS][0][2])
+        counts = _unpack(found[WORDS][0][2])[1]
         of = _unpack(found[CLASSED][0][2])[0].astype(np.int64)
         places = {at: _unpack(blob)[0].astype(np.int64) for at, _, blob in found[PLACES]}
-        turn = (mix(hashes) >> np.uint64(sweep // 2)) & np.uint64(1) == np.uint64(sweep % 2)
         codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, _, blob in found.get(BESIDE, []):
             step, n = _unpack(blob)
             code = np.cumsum(step, dtype=np.int64)  # (place, side, class)
-            word = places[at][code // (2 * k)]
-            use = turn[word]
-            codes.append((word * (2 * k) + code % (2 * k))[use])
-            times.append(n[use].astype(np.int64))
+            codes.append(places[at][code // (2 * k)] * (2 * k) + code % (2 * k))
+            times.append(n.astype(np.int64))
         code, times = np.concatenate(codes), np.concatenate(times)
         order = np.argsort(code, kind="stable")
         code, times = code[order], times[order]
@@ -445,8 +447,11 @@ def _steps(code: np.ndarray) -> np.ndarray:
     return steps.astype(np.uint32) if steps.max() < 1 << 32 else steps
 
 
-def _beside(sent):
-    """How often the words of a slice stand beside each class, by shard, and its table of classes."""
+def _beside(sent, sweep: int | None):
+    """How often the words of a slice that move in a sweep stand beside each class, by shard, and its table of classes.
+
+    Without a sweep to come only the table is asked for.
+    """
 
     def rows(table: pa.Table) -> pa.Table:
         by_kind, k = shared(sent)
@@ -458,14 +463,20 @@ def _beside(sent):
         if not len(count):
             return _row_batch([])
         before, after = _sequence(place, count, len(hashes))
-        code, times = np.unique(np.concatenate([before * (2 * k) + of[after], after * (2 * k) + k + of[before]]), return_counts=True)
+        pair, pairs = np.unique(of[before] * k + of[after], return_counts=True)
+        own = _row_batch([(TABLE, at, -1, _pack(pair, pairs))])
+        if sweep is None:
+            return own
+        turn = np.append(turns(hashes, sweep), False)  # the end token stays
+        first, second = turn[before], turn[after]
+        code = np.concatenate([(before * (2 * k) + of[after])[first], (after * (2 * k) + k + of[before])[second]])
+        code, times = np.unique(code, return_counts=True)
         bounds = np.searchsorted(code, cuts * (2 * k))
         out = [
             (BESIDE, at, int(s), _pack(_steps(code[a:b] - cut * (2 * k)), times[a:b].astype(np.uint32)))
             for s, cut, a, b in zip(here, cuts, bounds[:-1], bounds[1:]) if b > a
         ]
-        pair, times = np.unique(of[before] * k + of[after], return_counts=True)
-        return _row_batch([*out, (TABLE, at, -1, _pack(pair, times))])
+        return pa.concat_tables([own, _row_batch(out)])
 
     return rows
 
@@ -526,7 +537,7 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
     before = None
     for sweep in range(sweeps + 1):
         sent = of.filter(F.col("kind") == SENT)
-        beside = staged(encoded.unionByName(sent).groupBy("slice").applyInArrow(_beside(kinds), ROW), "beside")
+        beside = staged(encoded.unionByName(sent).groupBy("slice").applyInArrow(_beside(kinds, sweep if sweep < sweeps else None), ROW), "beside")
         table = class_table(beside, k)
         if before is not None and likelihood(table) < likelihood(before[1]):
             of, table = before
@@ -537,7 +548,7 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
             break
         before = of, table
         both = words.unionByName(of.filter(F.col("kind") == CLASSED)).unionByName(beside.filter(F.col("kind") == BESIDE))
-        of = staged(both.groupBy("shard").applyInArrow(_moved(share(spark, table), sweep), ROW), "classes")
+        of = staged(both.groupBy("shard").applyInArrow(_moved(share(spark, table)), ROW), "classes")
         unstaged(beside)
         del sent, beside, both
         drop_shuffles(spark)

@@ -1,5 +1,6 @@
 """Classes of rare words, and their number."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,3 +19,21 @@ def test_rare_words_of_one_spelling_get_classes_of_their_own(spark):
 
 def test_classes_grow_with_the_vocabulary():
     assert brown.classes_for(1000) == 64 and brown.classes_for(10**6) == 100 and brown.classes_for(10**9) == 1000
+
+
+def test_a_sweep_is_sent_only_the_words_that_may_move_in_it(spark, monkeypatch):
+    sent, keep = [], brown.staged
+
+    def counting(df, label):
+        out = keep(df, label)
+        if label == "beside":
+            blobs = [bytes(r["packed"]) for r in out.filter(out["kind"] == brown.BESIDE).collect()]
+            codes = [np.cumsum(brown._unpack(b)[0], dtype=np.int64) for b in blobs]
+            sent.append(sum(len(np.unique(c // (2 * (brown.CLASSES + 1)))) for c in codes))
+        return out
+
+    monkeypatch.setattr(brown, "staged", counting)
+    docs = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(2000)), True)], "doc_id long, text string, seen boolean")
+    brown.score_documents(docs, F.col("seen"), sweeps=2).collect()
+    assert sum(sent[:2]) == 2000 and 800 < sent[0] < 1200
+    assert sent[2:] in ([0], [])  # a sweep that lowers the likelihood is the last
