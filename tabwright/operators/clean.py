@@ -12,7 +12,6 @@ from tabwright.functions.names import unique_names
 from tabwright.functions.text import name
 from tabwright.operators import columns as C
 from tabwright.operators import quality
-from tabwright.session import spread
 
 # Safety rails and inference shares.
 MAX_ROW_DROP_SHARE = 0.20
@@ -103,16 +102,15 @@ def drop_empty_rows_guarded(df: DataFrame, fill: Row | None = None) -> tuple[Dat
 
 def type_evidence(df: DataFrame) -> DataFrame:
     """Per text column: how many values read as boolean, date and currency."""
-    return C.per_column(
-        spread(df),
-        C.string_columns(df),
-        lambda c: {
-            "filled": f"count({name(c)})",
-            "booleans": f"count_if({parse.is_bool(name(c))})",
-            "dates": f"count({parse.read_date(name(c))})",
-            "currency": f"count_if({parse.is_currency(name(c))})",
-        },
-    )
+    texts = C.string_columns(df)
+    measures = {
+        "booleans": lambda x: f"if({parse.is_bool(x)}, 1, 0)",
+        "dates": lambda x: f"if({parse.read_date(x)} IS NULL, 0, 1)",
+        "currency": lambda x: f"if({parse.is_currency(x)}, 1, 0)",
+    }
+    found = C.text_evidence(df, texts, measures)
+    counted = [f"coalesce({c}, 0L) AS {c}" for c in ("filled", *measures)]
+    return C.schema_rows(df.sparkSession, texts).join(found, "attribute", "left").selectExpr("attribute", "position", *counted)
 
 
 def inferred_types(evidence: DataFrame) -> DataFrame:
@@ -153,8 +151,8 @@ class Cleaned:
     empty_rows_dropped: int = 0
     warnings: list[str] = field(default_factory=list)
 
-    def report(self, source: str) -> DataFrame:
-        return cleaning_report(self, source)
+    def report(self, source: str, rows: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        return cleaning_report(self, source, rows)
 
 
 def clean_table(raw: DataFrame, stage: Callable[[DataFrame], DataFrame] | None = None) -> Cleaned:
@@ -182,11 +180,15 @@ def clean_table(raw: DataFrame, stage: Callable[[DataFrame], DataFrame] | None =
     return Cleaned(infer_types(unique), raw, mapping, dropped, gone, warnings)
 
 
-def cleaning_report(cleaned: Cleaned, source: str) -> DataFrame:
-    """One row describing what cleaning did, before and after."""
+def cleaning_report(cleaned: Cleaned, source: str, rows: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row describing what cleaning did, before and after.
+
+    ``rows``: what :func:`columns.duplicate_rows` gives of the raw and the clean table, where it is known.
+    """
+    rows_before, rows_after = rows or (None, None)
 
-    def assessed(df: DataFrame, when: str) -> DataFrame:
-        return quality.assess(df).select(
+    def assessed(df: DataFrame, when: str, rows: DataFrame | None) -> DataFrame:
+        return quality.assess(df, rows).select(
             F.col("row_count").alias(f"rows_{when}"),
             F.col("duplicate_rows").alias(f"duplicates_{when}"),
             F.col("nulls").alias(f"nulls_per_column_{when}"),
@@ -197,10 +199,10 @@ def cleaning_report(cleaned: Cleaned, source: str) -> DataFrame:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
     renamed = [F.lit(x) for raw, clean in cleaned.mapping.items() if raw != clean for x in (raw, clean)]
-    both = C.with_row(assessed(cleaned.raw, "before"), assessed(cleaned.df, "after"))
+    both = C.with_row(assessed(cleaned.raw, "before", rows_before), assessed(cleaned.df, "after", rows_after))
     # A few issues per column at most.
-    for df, label in ((cleaned.raw, "raw_issues"), (cleaned.df, "clean_issues")):
-        both = C.with_row(both, quality.quality_issues(df).agg(F.array_sort(F.collect_list(F.struct("*"))).alias(label)))
+    for df, known, label in ((cleaned.raw, rows_before, "raw_issues"), (cleaned.df, rows_after, "clean_issues")):
+        both = C.with_row(both, quality.quality_issues(df, known).agg(F.array_sort(F.collect_list(F.struct("*"))).alias(label)))
     # Rows equal only after trimming are duplicates too; rows of nothing are not.
     removed = F.col("rows_before") - F.col("rows_after") - F.lit(cleaned.empty_rows_dropped)
     return both.select(

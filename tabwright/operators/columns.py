@@ -118,6 +118,31 @@ def short_keys(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [key.format(x=name(c)) if c in text else name(c) for c in columns]
 
 
+#: Texts up to so many bytes are counted by themselves, longer ones by digest and length.
+SHORT_TEXT = 64
+
+
+def text_evidence(df: DataFrame, columns: Sequence[str], measures: Mapping[str, Callable[[str], str]]) -> DataFrame:
+    """(attribute, filled, distinct_count, ...): sums of whole-number ``measures`` over the cells of text columns.
+
+    A measure turns the SQL text of a value into that of a number. Equal cells are combined first, so that
+    costly readings are made once for each different text, and once in the plan for any number of columns. Long texts
+    are read where they are and not shuffled. Columns without a filled cell have no row.
+    """
+    short = f"octet_length(value) <= {SHORT_TEXT}"
+    split = _stacked(df, columns, "string").selectExpr(
+        "attribute", f"CASE WHEN {short} THEN value ELSE md5(value) || octet_length(value) END AS key",
+        f"CASE WHEN NOT {short} THEN value END AS long",
+    )
+    read = lambda x: ", ".join(f"bigint({sql(x)}) AS {name(key)}" for key, sql in measures.items())
+    keyed = split.selectExpr("attribute", "key", f"CASE WHEN long IS NOT NULL THEN struct({read('long')}) END AS read")
+    counts = keyed.groupBy("attribute", "key", "read").agg(F.count("*").alias("n"))
+    texts = counts.selectExpr("attribute", "n", "read", "CASE WHEN read IS NULL THEN key END AS text")
+    found = texts.selectExpr("attribute", "n", "read", f"struct({read('text')}) AS own")
+    sums = [F.expr(f"sum(n * coalesce(read.{name(key)}, own.{name(key)}, 0))").alias(key) for key in measures]
+    return found.groupBy("attribute").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct_count"), *sums)
+
+
 def distinct_counts(counts: DataFrame) -> DataFrame:
     # Reads n as well, so that this and the other users of the counts share one shuffle.
     return counts.groupBy("attribute").agg(F.count_if(F.col("n") > 0).alias("distinct_count"))

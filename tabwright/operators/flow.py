@@ -146,15 +146,17 @@ def task_tables(task: str, df: DataFrame, c: Row) -> list[tuple[str, DataFrame]]
 def auto_analysis(raw: DataFrame, name: str, store: Store) -> Analysis:
     """Clean, profile, classify, plan, run and store. A section that fails is kept with its reason."""
     raw, cleaned, clean = clean_and_store(raw, name, store)
-    store.save_metadata(name, cleaned.report(name), cleaned.mapping)
+    # Both are read by several sections, and cost a shuffle of the whole table each.
+    copies, left = staged(C.duplicate_rows(raw), "raw-copies"), staged(C.duplicate_rows(clean), "clean-copies")
+    store.save_metadata(name, cleaned.report(name, (copies, left)), cleaned.mapping)
     roles = staged(with_table_name(profile_roles(clean), name), "roles")
     c = classify.classify_dataset(roles).first()
     tasks = classify.plan_tasks(roles).orderBy("position").collect()
 
     log = f"{name}__report"
     first = [
-        ("key_metrics", report.key_metrics(roles, quality_score_v1(clean))),
-        ("data_limitations", report.limitations(roles, C.duplicate_rows(raw), c["id_column"])),
+        ("key_metrics", report.key_metrics(roles, quality_score_v1(clean, left))),
+        ("data_limitations", report.limitations(roles, copies, c["id_column"])),
     ]
     position = 0
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from tabwright.functions import parse, stats
 from tabwright.functions.text import name, one_of, quoted
 from tabwright.operators import columns as C
-from tabwright.session import spread
 
 SAMPLE_ALL_UP_TO = 20
 SAMPLE_SIZE = 5
@@ -101,7 +100,7 @@ def has_id_name(name: str) -> bool:
 
 
 def role_evidence(df: DataFrame) -> DataFrame:
-    """Per column: what the role rules look at beside distinct counts, in one scan without a shuffle of rows."""
+    """Per column: what the role rules look at, for texts with their distinct counts. One scan, and one of the different texts."""
     flat = C.flat_columns(df)
     numeric, strings, dates = C.numeric_columns(df), C.string_columns(df), C.date_columns(df)
     dtypes = dict(df.dtypes)
@@ -109,21 +108,11 @@ def role_evidence(df: DataFrame) -> DataFrame:
     def is_datetime(c: str, x: str) -> str:
         if c in dates:
             return "true"
-        if c in numeric:
-            return f"{parse.epoch_unit(f'min({x})', f'max({x})')} IS NOT NULL"
-        if c in strings:
-            looks, reads = f"count_if({parse.looks_like_date(x)})", f"count({parse.read_date(x)})"
-            return f"count({x}) > 0 AND ({looks} >= 0.7D * count({x}) OR {reads} = count({x}))"
-        return "false"
+        return f"{parse.epoch_unit(f'min({x})', f'max({x})')} IS NOT NULL" if c in numeric else "false"
 
     def is_boolean(c: str, x: str) -> str:
         if c in numeric:
             return f"coalesce(bool_and({x} IN (0, 1)), false)"
-        if c in strings:
-            word = name("__word " + c)
-            fits = [f"coalesce({one_of(word, pair)}, false)" for pair in parse.BOOLEAN_PAIRS]
-            pairs = [f"coalesce(bool_and(nvl2({x}, {fit}, NULL)), false)" for fit in fits]
-            return f"({' OR '.join(pairs)})"
         return "true" if dtypes[c] == "boolean" else "false"
 
     def one(c: str):
@@ -133,22 +122,42 @@ def role_evidence(df: DataFrame) -> DataFrame:
             "row_count": "count(*)",
             "null_count": f"count(*) - count({x})",
             "has_id_name": str(has_id_name(c)).lower(),
-            "is_datetime": is_datetime(c, x),
-            "is_boolean": is_boolean(c, x),
+            "datetime_cells": is_datetime(c, x),
+            "boolean_cells": is_boolean(c, x),
             "is_numeric": str(c in numeric).lower(),
             "is_string": str(c in strings).lower(),
-            "mean_length": f"avg(length({x}))" if c in strings else "double(NULL)",
         }
 
-    words = (spread(df) if strings else df).selectExpr(
-        *[name(c) for c in flat], *[f"{parse.word(name(c))} AS {name('__word ' + c)}" for c in strings]
+    found = C.per_column(df, flat, one)
+    pairs = {f"pair{i}": pair for i, pair in enumerate(parse.BOOLEAN_PAIRS)}
+    measures = {
+        "looks": lambda x: f"if({parse.looks_like_date(x)}, 1, 0)",
+        "reads": lambda x: f"if({parse.read_date(x)} IS NULL, 0, 1)",
+        "characters": lambda x: f"length({x})",
+        **{key: lambda x, pair=pair: f"if({one_of(parse.word(x), pair)}, 1, 0)" for key, pair in pairs.items()},
+    }
+    if strings:
+        found = found.join(C.text_evidence(df, strings, measures), "attribute", "left")
+    else:
+        found = found.selectExpr("*", *[f"bigint(NULL) AS {key}" for key in ("filled", "distinct_count", *measures)])
+    kept = ["attribute", "position", "dtype", "row_count", "null_count", "has_id_name", "is_numeric", "is_string"]
+    return found.selectExpr(
+        *kept,
+        "datetime_cells OR coalesce(looks >= 0.7D * filled OR reads = filled, false) AS is_datetime",
+        f"boolean_cells OR coalesce(filled IN ({', '.join(pairs)}), false) AS is_boolean",
+        "try_divide(characters, filled) AS mean_length",
+        "if(is_string, coalesce(distinct_count, 0L), NULL) AS distinct_texts",
     )
-    return C.per_column(words, flat, one)
 
 
 def profile_roles(df: DataFrame) -> DataFrame:
     """Role per column; the first rule that matches wins."""
-    return role_evidence(df).join(distinct(df), "attribute", "left").selectExpr(
+    found, others = role_evidence(df), [c for c in C.flat_columns(df) if c not in C.string_columns(df)]
+    if others:
+        found = found.join(distinct(df.select(*[C.col(c) for c in others])), "attribute", "left")
+    else:
+        found = found.selectExpr("*", "bigint(NULL) AS distinct_count")
+    return found.withColumn("distinct_count", F.coalesce("distinct_texts", "distinct_count")).selectExpr(
         "attribute", "position", "dtype", "row_count",
         f"{stats.percent('null_count', 'row_count', 2)} AS missing_pct",
         "distinct_count",
@@ -170,12 +179,15 @@ def detect_boolean_columns(df: DataFrame) -> DataFrame:
     return role_evidence(df).select("attribute", "is_boolean")
 
 
-def quality_score_v1(df: DataFrame) -> DataFrame:
-    """100 less penalties for missing cells, duplicate rows and mostly empty columns."""
+def quality_score_v1(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """100 less penalties for missing cells, duplicate rows and mostly empty columns.
+
+    ``rows``: the table's :func:`columns.duplicate_rows`, where they are known.
+    """
     columns = null_stats(df).withColumn("pct", F.expr(stats.percent("null_count", "row_count", 2))).selectExpr(
         "coalesce(avg(pct), 0D) AS avg_missing_pct", "count_if(pct >= 60) AS mostly_missing_columns"
     )
-    rows = C.duplicate_rows(df).selectExpr(
+    rows = (rows or C.duplicate_rows(df)).selectExpr(
         "*", "coalesce(try_divide(100D * duplicate_rows, row_count), 0D) AS duplicate_pct"
     )
     penalty = "avg_missing_pct * 0.4D + duplicate_pct * 0.3D + mostly_missing_columns * 3D"

@@ -3,7 +3,7 @@ import datetime
 import pandas as pd
 import pytest
 
-from tabwright.operators import clean, quality
+from tabwright.operators import clean, columns as C, quality
 
 
 @pytest.fixture
@@ -180,3 +180,20 @@ def test_strip_removes_what_python_strips(spark):
     texts = ["  a b 　", "\t\r\n x", "  ", "plain", "\x1cq\x1f", " é "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.selectExpr(parse.strip("t")).collect()] == [t.strip() for t in texts]
+
+
+def test_texts_are_judged_once_for_each_different_value(spark):
+    long = "1," + "0" * 80
+    rows = [("yes", "2024-01-05"), ("yes", "2024-01-05"), (None, "5 Jan 2024"), ("no", long), ("no", long), ("1,000", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    seen = {r["attribute"]: r for r in C.text_evidence(df, ["a", "b"], {"letters": lambda x: f"length({x})"}).collect()}
+    assert (seen["a"]["filled"], seen["a"]["distinct_count"], seen["a"]["letters"]) == (5, 3, 3 + 3 + 2 + 2 + 5)
+    assert (seen["b"]["filled"], seen["b"]["distinct_count"], seen["b"]["letters"]) == (5, 3, 10 + 10 + 10 + 82 + 82)
+    evidence = {r["attribute"]: r for r in clean.type_evidence(df).collect()}
+    assert [evidence["a"][k] for k in ("filled", "booleans", "dates", "currency")] == [5, 4, 0, 1]
+    assert [evidence["b"][k] for k in ("filled", "booleans", "dates", "currency")] == [5, 0, 3, 2]
+
+
+def test_evidence_of_texts_is_one_expression_for_any_number_of_columns(spark):
+    plan = lambda n: clean.type_evidence(spark.createDataFrame([("x",) * n], [f"c{i}" for i in range(n)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(40).count("RLIKE") == plan(2).count("RLIKE") > 0
