@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions import parse, stats
 from tabwright.functions.text import name, one_of, quoted
-from tabwright.operators import columns as C
+from tabwright.operators import columns as C, counted
 
 SAMPLE_ALL_UP_TO = 20
 SAMPLE_SIZE = 5
@@ -64,25 +64,22 @@ def profile_table(df: DataFrame) -> DataFrame:
             "null_pct": stats.percent(f"(count(*) - count({x}))", "count(*)", 1),
             "min": parse.iso_text(f"min({x})", dtypes[c]) if shown else "string(NULL)",
             "max": parse.iso_text(f"max({x})", dtypes[c]) if shown else "string(NULL)",
+            "mean": f"avg({counted.number(c)})" if c in numeric else "double(NULL)",
+            "std": stats.sample_std(counted.number(c)) if c in numeric else "double(NULL)",
         }
 
     out = C.per_column(df, flat, one)
-    # Distinct counts, top values and samples come from the same shuffle of value counts.
-    counts = C.value_counts(df, flat)
-    ranked = lambda fields, to: F.expr(f"array_sort(collect_list(struct({fields})))").alias(to)
-    top = C.top_values(counts, 5).groupBy("attribute").agg(ranked("rank, value, n", "__top"))
-    first = C.smallest_values(counts, SAMPLE_ALL_UP_TO).groupBy("attribute").agg(ranked("rank, value", "__first"))
-    for part in (C.distinct_counts(counts), top, first):
-        out = out.join(part, "attribute", "left")
-    numbers = numeric_summary(df, numeric).select("attribute", "mean", "std", "p25", "median", "p75")
-    out = out.join(numbers, "attribute", "left")
+    # Distinct counts, top values, samples and quartiles come from the same value counts.
+    distinct_counts, ranked = counted.facts(df, flat, SAMPLE_ALL_UP_TO, 5, [0.25, 0.5, 0.75])
+    out = out.withColumn("distinct_count", F.array(*[F.lit(n).cast("long") for n in distinct_counts])[F.col("position")])
+    out = out.join(ranked, "attribute", "left")
     is_number = one_of("attribute", numeric) if numeric else "false"
-    return out.withColumn("distinct_count", F.expr("coalesce(distinct_count, 0)")).selectExpr(
+    return out.selectExpr(
         "attribute", "position", "dtype", "row_count", "null_pct", "distinct_count", "min", "max",
-        "round(mean, 4) AS mean", "median", "round(std, 4) AS std", "p25", "p75",
-        f"""coalesce(slice(transform(__first, s -> s.value), 1, if(distinct_count <= {SAMPLE_ALL_UP_TO}, {SAMPLE_ALL_UP_TO},
+        "round(mean, 4) AS mean", "quantiles[1] AS median", "round(std, 4) AS std", "quantiles[0] AS p25", "quantiles[2] AS p75",
+        f"""coalesce(slice(transform(first, s -> s.value), 1, if(distinct_count <= {SAMPLE_ALL_UP_TO}, {SAMPLE_ALL_UP_TO},
             {SAMPLE_SIZE})), CAST(array() AS ARRAY<STRING>)) AS sample_values""",
-        f"""coalesce(if({is_number}, NULL, transform(__top, s -> struct(s.value, s.n))),
+        f"""coalesce(if({is_number}, NULL, transform(most, s -> struct(s.value, s.n))),
             CAST(array() AS ARRAY<STRUCT<value: STRING, n: BIGINT>>)) AS top_5""",
         "try_divide(distinct_count, row_count) >= 0.95D AS is_candidate_id",
         "distinct_count <= 1 AS is_constant",
