@@ -517,6 +517,7 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
     """(model, words and places, their classes), from encoded slices with ``ends`` training texts."""
     spark = encoded.sparkSession
     words = staged(encoded.mapInArrow(_asked, ROW).groupBy("shard").applyInArrow(merged_counts, MERGED), "words")
+    drop_shuffles(spark)
     tokens, distinct = words.agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
     top = words.filter("top IS NOT NULL").select(F.explode(F.arrays_zip("top", "top_counts")).alias("x")).select("x.top", "x.top_counts")
@@ -527,6 +528,7 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
     for block, packed in pairs.collect():  # TYPES squared numbers at most
         used, count = _columns(bytes(packed), (np.uint32, np.int64))
         bigrams[block * BLOCK + used.astype(np.int64)] = count
+    del top, pairs
     classes = classes_for(distinct)
     start = exchange(bigrams.reshape(TYPES, TYPES), classes)
     del bigrams
@@ -534,15 +536,21 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
     words = words.select("kind", "slice", "shard", "packed")
     kinds = share(spark, (by_kind, k))
     of = staged(words.groupBy("shard").applyInArrow(_started(share(spark, (frequent, start))), ROW), "classes")
+    drop_shuffles(spark)
     before = None
     for sweep in range(sweeps + 1):
         sent = of.filter(F.col("kind") == SENT)
         beside = staged(encoded.unionByName(sent).groupBy("slice").applyInArrow(_beside(kinds, sweep if sweep < sweeps else None), ROW), "beside")
+        del sent
         table = class_table(beside, k)
-        if before is not None and likelihood(table) < likelihood(before[1]):
-            of, table = before
-            unstaged(beside)
-            break
+        drop_shuffles(spark)
+        if before is not None:
+            worse = likelihood(table) < likelihood(before[1])
+            unstaged(of if worse else before[0])
+            if worse:
+                of, table = before
+                unstaged(beside)
+                break
         if sweep == sweeps or not tokens:
             unstaged(beside)
             break
@@ -550,7 +558,7 @@ def train(encoded: DataFrame, ends: int, sweeps: int = SHARD_SWEEPS) -> tuple[Mo
         both = words.unionByName(of.filter(F.col("kind") == CLASSED)).unionByName(beside.filter(F.col("kind") == BESIDE))
         of = staged(both.groupBy("shard").applyInArrow(_moved(share(spark, table)), ROW), "classes")
         unstaged(beside)
-        del sent, beside, both
+        del beside, both
         drop_shuffles(spark)
     model = Model(by_kind, transitions(table), np.zeros(k), int(tokens), int(distinct), int(ends))
     model.inside = np.log10(class_sizes(words, of, classes))

@@ -37,3 +37,27 @@ def test_a_sweep_is_sent_only_the_words_that_may_move_in_it(spark, monkeypatch):
     brown.score_documents(docs, F.col("seen"), sweeps=2).collect()
     assert sum(sent[:2]) == 2000 and 800 < sent[0] < 1200
     assert sent[2:] in ([0], [])  # a sweep that lowers the likelihood is the last
+
+
+def test_shuffles_are_dropped_before_the_next_table_is_written(spark, monkeypatch):
+    calls, written, keep, drop, delete = [], [], brown.staged, brown.drop_shuffles, brown.unstaged
+
+    def staging(df, label):
+        calls.append(label)
+        out = keep(df, label)
+        if label == "classes":
+            written.append(out)
+        return out
+
+    def deleting(df):
+        written[:] = [x for x in written if x is not df]
+        delete(df)
+
+    monkeypatch.setattr(brown, "staged", staging)
+    monkeypatch.setattr(brown, "drop_shuffles", lambda spark: calls.append("drop") or drop(spark))
+    monkeypatch.setattr(brown, "unstaged", deleting)
+    docs = spark.createDataFrame([(i, f"a{i} b{i % 7} c", True) for i in range(50)], "doc_id long, text string, seen boolean")
+    brown.score_documents(docs, F.col("seen"), sweeps=2).collect()
+    after_words = calls[calls.index("words") :]
+    assert set(after_words[1::2]) == {"drop"} and "drop" not in after_words[::2]
+    assert len(written) == 1  # classes of earlier or worse sweeps are deleted
