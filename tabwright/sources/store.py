@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -145,6 +146,15 @@ class Files:
         system, path = self._open(folder)
         return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
 
+    def move_parts(self, source: str, target: str) -> None:
+        """Move the part files of a written table, whose names nobody else uses, into another folder."""
+        system, into = self._open(target)
+        system.mkdirs(into)
+        for part in self.names(source):
+            if part.startswith("part-") and not system.rename(self._open(f"{source}/{part}")[1], self._open(f"{target}/{part}")[1]):
+                raise OSError(f"{source}/{part} was not moved to {target}")
+        system.delete(self._open(source)[1], True)
+
     def create(self, path: str) -> bool:
         """Create an empty file; false if it is there already. Of several callers one is told true."""
         system, path = self._open(path)
@@ -190,7 +200,11 @@ class Store:
         return stored
 
     def append(self, log: str, df: DataFrame) -> None:
-        df.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(self._path(log))
+        """Add rows to a log. They are written to a folder of their own first: jobs that write to one folder at the same
+        time share Spark's temporary files there, and the first to end deletes them."""
+        own = self._path(f"_appends/{uuid.uuid4().hex}")
+        df.withColumn("logged_at", F.current_timestamp()).write.parquet(own)
+        Files(self.spark).move_parts(own, self._path(log))
 
     def read_log(self, log: str, like: DataFrame | None = None) -> DataFrame:
         """The log, or an empty one of the given shape when nothing was written yet."""
