@@ -39,8 +39,10 @@ RECALL = 0.9999
 DEPTH = 2
 #: Sets of a bucket that one task compares at once.
 TILE = 2048
-#: Bytes of sets that one task holds.
+#: Bytes of sets that one task holds; of fewer than LEAST_BINS tasks, each gets SMALL_BIN_BYTES at least.
 BIN_BYTES = 16 << 20
+SMALL_BIN_BYTES = 256 << 10
+LEAST_BINS = 32
 
 
 def runs_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
@@ -126,6 +128,11 @@ def memberships(leaves: DataFrame, runs: int, tile: int) -> DataFrame:
     return each.join(live, (F.col("run") == F.col("br")) & (F.col("leaf") == F.col("bl"))).select("key", "leaves", "run", "leaf", "blocks")
 
 
+def bins_for(size: int) -> int:
+    """Tasks that compare ``size`` bytes of sets."""
+    return max(min(LEAST_BINS, 1 + size // SMALL_BIN_BYTES), size // BIN_BYTES)
+
+
 def _tile_rows(bins: int):
     """A row for each tile a set takes part in; a text that comes again in a task is left out."""
 
@@ -288,7 +295,7 @@ def near_rows(
     sets = classes.select("key", "digest", "size", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     chosen = staged(chosen.join(sets, "key"), "chosen")
     sent = chosen.agg(F.sum(F.expr("size * aggregate(buckets, 0L, (n, b) -> n + b.blocks)"))).first()[0] or 0
-    bins = max(32, 8 * sent // BIN_BYTES)
+    bins = bins_for(8 * sent)
     tiles = rows.join(chosen, (F.col("id") == F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
     tiles = tiles.select("key", "digest", "copies", "leaves", "buckets", "text").mapInArrow(_tile_rows(bins), TILES)
     found = tiles.repartition(bins, "bin").groupBy("bin").applyInArrow(compare_bin(threshold), "key long, links long, root long")

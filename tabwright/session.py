@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Inputs beyond this size have splits enough for all cores.
 SMALL_BYTES = 64 * 1024 * 1024
 
+#: How scratch tables are written. Without its native library Hadoop spawns a process for the permissions of each folder and
+#: file on a local disk, one more for each checksum file; executors that spawn are counted twice until the child runs its own
+#: program. Scratch tables have neither checksum files nor a success marker.
+SCRATCH = {
+    "compression": "zstd",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+
 _local_roots: dict[str, str] = {}
 
 
@@ -55,7 +65,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage without relying on executor-local blocks."""
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
